@@ -1 +1,13 @@
-"""Registrations beyond the dashboard reports (filled in as operators land)."""
+"""Registrations beyond the dashboard reports."""
+
+from lossledger.catalog import register
+from lossledger.oracle.tables import TABLES
+from lossledger.oracle.weather import WEATHER
+from lossledger.plans import outlook, tables
+
+for _k, _sql in TABLES.items():
+    register(_k, getattr(tables, _k), _sql)
+
+register("weather_outlook", outlook.weather_outlook, WEATHER["weather_outlook"])
+register("forecast_latest", outlook.forecast_latest, WEATHER["forecast_latest"])
+register("climatology", outlook.climatology_table, WEATHER["climatology"])
