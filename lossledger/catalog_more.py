@@ -11,3 +11,12 @@ for _k, _sql in TABLES.items():
 register("weather_outlook", outlook.weather_outlook, WEATHER["weather_outlook"])
 register("forecast_latest", outlook.forecast_latest, WEATHER["forecast_latest"])
 register("climatology", outlook.climatology_table, WEATHER["climatology"])
+
+from lossledger.oracle.quality import Q as _QUALITY_SQL
+from lossledger.plans import quality
+
+for _k in ["orphan_keys", "primary_key_check", "relationship_map", "fk_coverage", "required_tables",
+           "build_validation", "numeric_histogram", "category_top_n", "numeric_profile", "null_profile",
+           "distinct_counts"]:
+    register(_k, getattr(quality, _k), _QUALITY_SQL[_k])
+register("table_inventory", quality.table_inventory)  # schema-derived columns: rows-only check
