@@ -20,3 +20,12 @@ for _k in ["orphan_keys", "primary_key_check", "relationship_map", "fk_coverage"
            "distinct_counts"]:
     register(_k, getattr(quality, _k), _QUALITY_SQL[_k])
 register("table_inventory", quality.table_inventory)  # schema-derived columns: rows-only check
+
+from lossledger.oracle.semantic import SEMANTIC as _SEM_SQL
+from lossledger.plans import semantic as _sem
+
+for _k in ["semantic_metrics", "semantic_by_dimension", "semantic_join_path", "semantic_drill_across",
+           "sq_legal_fees", "sq_expense_ratio_by_claim_type"]:
+    register(_k, getattr(_sem, _k), _SEM_SQL[_k])
+for _k in _sem.CANNED:
+    register(_k, _sem.canned(_k), _SEM_SQL[_k])
