@@ -29,3 +29,9 @@ for _k in ["semantic_metrics", "semantic_by_dimension", "semantic_join_path", "s
     register(_k, getattr(_sem, _k), _SEM_SQL[_k])
 for _k in _sem.CANNED:
     register(_k, _sem.canned(_k), _SEM_SQL[_k])
+
+from lossledger.oracle.incremental import INC as _INC_SQL
+from lossledger.plans import incremental as _inc
+
+for _k in ["cdc_net_changes", "merge_fact_claims", "merge_fact_expense", "merge_dim_policy"]:
+    register(_k, getattr(_inc, _k), _INC_SQL[_k])
