@@ -35,3 +35,9 @@ from lossledger.plans import incremental as _inc
 
 for _k in ["cdc_net_changes", "merge_fact_claims", "merge_fact_expense", "merge_dim_policy"]:
     register(_k, getattr(_inc, _k), _INC_SQL[_k])
+
+from lossledger.streaming import pipeline as _stream
+
+# writes change files and table versions under spark.checkpoint.dir; no SQL oracle
+register("stream_fact_claims", _stream.stream_fact_claims)
+register("run_history", _stream.stream_run_history)

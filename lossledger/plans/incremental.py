@@ -106,16 +106,22 @@ def cdc_net_changes(ctx) -> DataFrame:
     return net_changes(claim_change_feed(ctx), ["CLAIM_ID"])
 
 
-def merge_fact_claims_from(ctx, feed: DataFrame, target: DataFrame | None = None,
-                           strict_reference: bool = False, apply_deletes: bool = False) -> DataFrame:
+def claim_fact_rows(ctx, feed: DataFrame, apply_deletes: bool = False) -> DataFrame:
+    """Changed claims rebuilt into FACT_CLAIMS rows (+ action, seq): the
+    change rows are the streaming side, financials / litigation / dims the
+    static side of the joins."""
     s = ctx.star
-    target = target if target is not None else s.fact_claims()
     net = net_changes(feed, ["CLAIM_ID"], apply_deletes=apply_deletes)
-    claims_cols = [c for c in ctx.raw.claims().columns]
-    changed = net.select(*claims_cols)
+    changed = net.select(*ctx.raw.claims().columns)
     rebuilt = build_fact_claims(changed, ctx.raw.financial_data(), ctx.raw.litigation(with_id=False),
                                 s.dim_geography(), s.dim_loss_cause(), ctx.fraud_rule)
-    src = rebuilt.join(net.select(F.col("CLAIM_ID").alias("CLAIM_KEY"), "action", "seq"), "CLAIM_KEY")
+    return rebuilt.join(net.select(F.col("CLAIM_ID").alias("CLAIM_KEY"), "action", "seq"), "CLAIM_KEY")
+
+
+def merge_fact_claims_from(ctx, feed: DataFrame, target: DataFrame | None = None,
+                           strict_reference: bool = False, apply_deletes: bool = False) -> DataFrame:
+    target = target if target is not None else ctx.star.fact_claims()
+    src = claim_fact_rows(ctx, feed, apply_deletes)
     update = FACT_CLAIMS_UPDATE_STRICT if strict_reference else None
     return upsert(target, src, ["CLAIM_KEY"], update, apply_deletes=apply_deletes)
 
