@@ -29,7 +29,9 @@ class Context:
     date_end: dt.date = DEFAULT_DATE_END
     fraud_rule: str = "score"
     catastrophic_loss: int = 25_000_000_000
+    raw_dir: str | None = None    # read materialised raw tables from here when given
     star_dir: str | None = None   # read star tables from here when given
+    source: str = "driver"        # "driver": tables mapped from sf_dir; "seed": generated seed tables
     _cache: dict = field(default_factory=dict, repr=False)
 
     def table(self, name: str) -> DataFrame:
@@ -46,6 +48,9 @@ class Context:
 
     @cached_property
     def raw(self):
+        if self.source == "seed":
+            from lossledger.sources.seeds import SeedTables
+            return SeedTables(self)
         from lossledger.sources.raw import RawTables
         return RawTables(self)
 

@@ -42,10 +42,30 @@ class RawTables:
         self.ctx = ctx
         self.spark = ctx.spark
 
+    # tables written by `materialize` (internal key -> directory name)
+    STORED = {"insured": "INSURED", "policy": "POLICY", "vendor": "VENDOR", "claims_base": "CLAIMS_BASE",
+              "assignment": "CLAIM_ASSIGNMENT", "financial": "FINANCIAL_DATA", "expense": "CLAIMS_EXPENSE",
+              "litigation_core": "LITIGATION_CORE", "litigation": "LITIGATION"}
+
     # -- helpers ---------------------------------------------------------
     def _m(self, key, build):
+        if self.ctx.raw_dir and key in self.STORED:
+            path = f"{self.ctx.raw_dir}/{self.STORED[key]}"
+            return self.ctx.memo(("raw", key), lambda: self.spark.read.parquet(path))
         return self.ctx.memo(("raw", key), build)
 
+    def materialize(self, out_dir: str) -> None:
+        """Write the derived raw tables once (each a parquet table); a Context
+        with raw_dir=out_dir then reads them instead of re-deriving them, which
+        also cuts the lineage for every later job."""
+        getters = {"insured": self.insured, "policy": self.policy, "vendor": self.vendor,
+                   "claims_base": self._claims_base, "assignment": self.claim_assignment,
+                   "financial": self.financial_data, "expense": self.claims_expense,
+                   "litigation_core": lambda: self.litigation(with_id=False),
+                   "litigation": lambda: self.litigation(with_id=True)}
+        for key, name in self.STORED.items():
+            getters[key]().write.mode("overwrite").parquet(f"{out_dir}/{name}")
+
     @property
     def _as_of(self) -> Column:
         return F.lit(self.ctx.as_of)
