@@ -1,0 +1,22 @@
+"""Join helpers: broadcast only behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+
+
+def is_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
+    """True when df has at most max_rows rows. Counts with a LIMIT, so a
+    large table is not fully scanned (meant for written dimension tables)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """(F.broadcast(df), True) when the size check passes, else (df, False):
+    above the bound the caller's join stays a shuffle join."""
+    if is_small(df, max_rows):
+        return F.broadcast(df), True
+    return df, False

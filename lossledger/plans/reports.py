@@ -230,7 +230,7 @@ def top_loss_causes(ctx, k: int = 8) -> DataFrame:
     """Top-k causes by claim count (ties broken by cause name): aggregate
     the fact per cause key, then attach the (broadcast) cause names."""
     s = ctx.star
-    lc = F.broadcast(s.dim_loss_cause().select("LOSS_CAUSE_KEY", "LOSS_CAUSE", "LOSS_CATEGORY"))
+    lc = s.dim_loss_cause().select("LOSS_CAUSE_KEY", "LOSS_CAUSE", "LOSS_CATEGORY")
     g = (s.fact_claims().groupBy("LOSS_CAUSE_KEY")
          .agg(F.count(F.lit(1)).alias("COUNT"), _r0("PAID_AMOUNT").alias("TOTAL_PAID")))
     g = g.join(lc, "LOSS_CAUSE_KEY").select("LOSS_CAUSE", "LOSS_CATEGORY", "COUNT", "TOTAL_PAID")
@@ -239,7 +239,7 @@ def top_loss_causes(ctx, k: int = 8) -> DataFrame:
 
 def fraud_top_causes(ctx, k: int = 10) -> DataFrame:
     s = ctx.star
-    lc = F.broadcast(s.dim_loss_cause().select("LOSS_CAUSE_KEY", "LOSS_CAUSE"))
+    lc = s.dim_loss_cause().select("LOSS_CAUSE_KEY", "LOSS_CAUSE")
     f = s.fact_claims().where(F.col("FRAUD_INDICATOR")).join(lc, "LOSS_CAUSE_KEY")
     g = f.groupBy("LOSS_CAUSE").agg(F.count(F.lit(1)).alias("FRAUD_COUNT"),
                                     avg_round("FRAUD_SCORE", 1).alias("AVG_SCORE"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lossledger.functions import calendar as cal
 from lossledger.functions.rules import event_severity_tier, fraud_risk_tier, primary_weather_driver
-from lossledger.operators.keys import sequential_key, small_sequential_key
+from lossledger.operators.keys import sequential_key
 from lossledger.sources import reference as ref
 
 STAR_TABLES = ["DIM_DATE", "DIM_CLAIM_TYPE", "DIM_LOSS_CAUSE", "DIM_GEOGRAPHY", "DIM_POLICY",
@@ -102,14 +102,15 @@ class StarSchema:
 
     def dim_loss_cause(self) -> DataFrame:
         """Distinct causes seen in CLAIMS, categorised by the 15-row reference
-        list; a cause missing from the list is kept (category NULL) so no fact
-        row loses its key. The distinct-cause count is bounded by the cause
-        vocabulary, so a one-task numbering window is the cheapest plan."""
+        list (broadcast: fixed size); a cause missing from the list is kept
+        (category NULL) so no fact row loses its key. Numbered with the
+        two-phase operator: the number of distinct causes comes from the data,
+        so no single-task window is assumed safe."""
         def build():
             causes = self.raw.claims().select("LOSS_CAUSE").where(F.col("LOSS_CAUSE").isNotNull()).distinct()
             lc = causes.join(F.broadcast(ref.loss_causes(self.spark)), "LOSS_CAUSE", "left")
             lc = lc.withColumn("IS_WEATHER_RELATED", F.coalesce("IS_WEATHER_RELATED", F.lit(False)))
-            keyed = small_sequential_key(lc, ["LOSS_CAUSE"], "LOSS_CAUSE_KEY")
+            keyed = sequential_key(lc, ["LOSS_CAUSE"], "LOSS_CAUSE_KEY")
             return keyed.select("LOSS_CAUSE_KEY", "LOSS_CAUSE", "LOSS_CATEGORY", "IS_WEATHER_RELATED",
                                 "WEATHER_CONDITION_MAPPING")
         return self._m("DIM_LOSS_CAUSE", build)
@@ -171,16 +172,24 @@ class StarSchema:
             "FACT_CLAIMS": self.fact_claims, "FACT_CLAIM_EXPENSE": self.fact_claim_expense,
         }[name]()
 
-    def write(self, out_dir: str, mode: str = "overwrite") -> dict:
-        """Materialise every star table as parquet under out_dir/<TABLE>.
-        Facts are written partitioned by nothing but sorted by their key, so
-        later joins on the key read well-clustered files."""
-        counts = {}
-        for name in STAR_TABLES:
-            df = self.by_name(name)
-            df.write.mode(mode).parquet(f"{out_dir}/{name}")
-            counts[name] = None
-        return counts
+    def write(self, out_dir: str, max_broadcast_rows: int | None = None) -> None:
+        """Materialise the star under out_dir/<TABLE>: dimensions first; the
+        facts are then built from the *written* dimensions (lineage cut, and
+        their sizes can be checked: a dimension within the bound is
+        broadcast, a larger one keeps the shuffle / narrow-lookup join)."""
+        from lossledger.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_small
+        bound = max_broadcast_rows or DEFAULT_MAX_BROADCAST_ROWS
+        for name in STAR_TABLES[:6]:
+            self.by_name(name).write.mode("overwrite").parquet(f"{out_dir}/{name}")
+        read = {n: self.spark.read.parquet(f"{out_dir}/{n}") for n in STAR_TABLES[:6]}
+        geo, geo_small = broadcast_if_small(read["DIM_GEOGRAPHY"], bound)
+        cause, _ = broadcast_if_small(read["DIM_LOSS_CAUSE"], bound)
+        fact = build_fact_claims(self.raw.claims(), self.raw.financial_data(), self.raw.litigation(with_id=False),
+                                 geo, cause, self.ctx.fraud_rule, geo_broadcast=geo_small)
+        fact.write.mode("overwrite").parquet(f"{out_dir}/FACT_CLAIMS")
+        written = self.spark.read.parquet(f"{out_dir}/FACT_CLAIMS")
+        build_fact_expense(self.raw.claims_expense(), written).write.mode("overwrite").parquet(
+            f"{out_dir}/FACT_CLAIM_EXPENSE")
 
 
 def weather_event_rows(cat: DataFrame, catastrophic_loss: int) -> DataFrame:
@@ -196,22 +205,50 @@ def weather_event_rows(cat: DataFrame, catastrophic_loss: int) -> DataFrame:
     )
 
 
+def geography_keys(claims: DataFrame, dim_geo: DataFrame) -> DataFrame:
+    """(CLAIM_ID, GEOGRAPHY_KEY) by a narrow lookup: only the claim id and the
+    three address columns travel to the (state, city, zip) join; the wide
+    claim rows stay partitioned by claim id. Geography keys are unique per
+    address, so there is at most one row per claim."""
+    addr = claims.select("CLAIM_ID", "CLAIM_STATE", "CLAIM_CITY", "CLAIM_ZIP")
+    g = dim_geo.select("GEOGRAPHY_KEY", "STATE_CODE", "CITY", "ZIP_CODE")
+    j = addr.join(g, (addr.CLAIM_STATE == g.STATE_CODE) & (addr.CLAIM_CITY == g.CITY)
+                  & (addr.CLAIM_ZIP == g.ZIP_CODE))
+    return j.select("CLAIM_ID", "GEOGRAPHY_KEY")
+
+
 def build_fact_claims(claims: DataFrame, financial: DataFrame, litigation: DataFrame,
-                      dim_geo: DataFrame, dim_cause: DataFrame, fraud_rule: str = "score") -> DataFrame:
+                      dim_geo: DataFrame, dim_cause: DataFrame, fraud_rule: str = "score",
+                      geo_broadcast: bool = False) -> DataFrame:
     """FACT_CLAIMS: one row per claim (all left joins on unique keys, so the
-    row count equals CLAIMS)."""
+    row count equals CLAIMS). The financial, litigation and geography-key
+    inputs are all keyed by claim id, so the wide claim rows are shuffled
+    once, by claim id, and every join reuses that partitioning.
+    `geo_broadcast=True` (the caller checked the dimension's size and wrapped
+    it in a broadcast) joins the address columns directly instead."""
+    if geo_broadcast:
+        g0 = dim_geo.select("GEOGRAPHY_KEY", "STATE_CODE", "CITY", "ZIP_CODE")
+        c0 = claims.join(g0, (claims.CLAIM_STATE == g0.STATE_CODE) & (claims.CLAIM_CITY == g0.CITY)
+                         & (claims.CLAIM_ZIP == g0.ZIP_CODE), "left").drop("STATE_CODE", "CITY", "ZIP_CODE")
+        return _fact_from(c0, financial, litigation, None, dim_cause, fraud_rule)
+    return _fact_from(claims, financial, litigation, geography_keys(claims, dim_geo), dim_cause, fraud_rule)
+
+
+def _fact_from(claims, financial, litigation, geo_keys, dim_cause, fraud_rule):
     c = claims.alias("c")
     f = financial.select("CLAIM_ID", "PAID_AMOUNT", "RESERVE_AMOUNT", "INCURRED_LOSS", "RECOVERY_AMOUNT",
                          "SUBROGATION_AMOUNT", "SALVAGE_AMOUNT", "PAYMENT_TYPE", "PAYMENT_DATE").alias("f")
     lit = litigation.select("CLAIM_ID", "SETTLEMENT_AMOUNT", "DEFENSE_COSTS", "LITIGATION_STATUS").alias("l")
-    g = dim_geo.select("GEOGRAPHY_KEY", "STATE_CODE", "CITY", "ZIP_CODE").alias("g")
-    lc = F.broadcast(dim_cause.select("LOSS_CAUSE_KEY", "LOSS_CAUSE", "IS_WEATHER_RELATED",
-                                      "WEATHER_CONDITION_MAPPING")).alias("lc")
+    # data-derived dimension: AQE broadcasts it only after measuring its size
+    lc = dim_cause.select("LOSS_CAUSE_KEY", "LOSS_CAUSE", "IS_WEATHER_RELATED", "WEATHER_CONDITION_MAPPING").alias("lc")
     j = (c.join(f, F.col("c.CLAIM_ID") == F.col("f.CLAIM_ID"), "left")
-         .join(lit, F.col("c.CLAIM_ID") == F.col("l.CLAIM_ID"), "left")
-         .join(g, (F.col("c.CLAIM_STATE") == F.col("g.STATE_CODE")) & (F.col("c.CLAIM_CITY") == F.col("g.CITY"))
-               & (F.col("c.CLAIM_ZIP") == F.col("g.ZIP_CODE")), "left")
-         .join(lc, F.col("c.LOSS_CAUSE") == F.col("lc.LOSS_CAUSE"), "left"))
+         .join(lit, F.col("c.CLAIM_ID") == F.col("l.CLAIM_ID"), "left"))
+    if geo_keys is not None:
+        j = j.join(geo_keys.alias("g"), F.col("c.CLAIM_ID") == F.col("g.CLAIM_ID"), "left")
+        geo_key = F.col("g.GEOGRAPHY_KEY")
+    else:
+        geo_key = F.col("c.GEOGRAPHY_KEY")
+    j = j.join(lc, F.col("c.LOSS_CAUSE") == F.col("lc.LOSS_CAUSE"), "left")
     zero = F.lit(0).cast("decimal(15,2)")
 
     def m0(name):
@@ -220,7 +257,7 @@ def build_fact_claims(claims: DataFrame, financial: DataFrame, litigation: DataF
     net = (m0("INCURRED_LOSS") - m0("RECOVERY_AMOUNT") - m0("SUBROGATION_AMOUNT") - m0("SALVAGE_AMOUNT"))
     return j.select(
         F.col("c.CLAIM_ID").alias("CLAIM_KEY"), F.col("c.CLAIM_NUMBER"), F.col("c.LOSS_DATE").alias("DATE_KEY"),
-        F.col("g.GEOGRAPHY_KEY"), F.col("c.LOB_ID").alias("CLAIM_TYPE_KEY"), F.col("lc.LOSS_CAUSE_KEY"),
+        geo_key.alias("GEOGRAPHY_KEY"), F.col("c.LOB_ID").alias("CLAIM_TYPE_KEY"), F.col("lc.LOSS_CAUSE_KEY"),
         F.col("c.CATASTROPHE_ID").alias("WEATHER_EVENT_KEY"), F.col("c.POLICY_ID").alias("POLICY_KEY"),
         F.col("c.CLAIM_STATUS"), F.col("c.CLAIM_STAGE"), F.col("c.CLAIM_SEVERITY"), F.col("c.EXPOSURES"),
         m0("PAID_AMOUNT").alias("PAID_AMOUNT"), m0("RESERVE_AMOUNT").alias("RESERVE_AMOUNT"),

@@ -23,8 +23,9 @@ class RunLog:
     def record(self, task: str, batch_id: int, state: str, rows: int, started: float, ended: float,
                error: str | None = None) -> None:
         """Append one log record (a single row)."""
-        row = (task, int(batch_id), state, int(rows), dt.datetime.utcfromtimestamp(started),
-               dt.datetime.utcfromtimestamp(ended), error)
+        def utc(t):
+            return dt.datetime.fromtimestamp(t, dt.timezone.utc).replace(tzinfo=None)
+        row = (task, int(batch_id), state, int(rows), utc(started), utc(ended), error)
         self.spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
 
     def read(self) -> DataFrame:
