@@ -29,7 +29,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lossledger.operators.keys import extend_keys
 from lossledger.operators.upsert import net_changes, upsert
+from lossledger.sources import reference as ref
 from lossledger.plans.star import build_fact_claims, build_fact_expense, weather_event_rows
 
 # FIXED VALUES — columns the original MERGE statements update on a match
@@ -106,15 +108,33 @@ def cdc_net_changes(ctx) -> DataFrame:
     return net_changes(claim_change_feed(ctx), ["CLAIM_ID"])
 
 
-def claim_fact_rows(ctx, feed: DataFrame, apply_deletes: bool = False) -> DataFrame:
+def new_geography_rows(dim_geo: DataFrame, claims: DataFrame, spark) -> DataFrame:
+    """DIM_GEOGRAPHY rows for addresses in `claims` that the dimension lacks,
+    keyed after its largest key (a claim in an unseen city gets a key instead
+    of a NULL)."""
+    cand = claims.where(F.col("CLAIM_STATE").isNotNull()).select(
+        F.col("CLAIM_STATE").alias("STATE_CODE"), F.col("CLAIM_CITY").alias("CITY"), F.col("CLAIM_ZIP").alias("ZIP_CODE"))
+    new = extend_keys(dim_geo, cand, ["STATE_CODE", "CITY", "ZIP_CODE"], "GEOGRAPHY_KEY")
+    st = F.broadcast(ref.states(spark))
+    return new.join(st, "STATE_CODE", "left").select(
+        "GEOGRAPHY_KEY", "STATE_CODE", F.coalesce("STATE_NAME", "STATE_CODE").alias("STATE_NAME"),
+        F.coalesce("REGION", F.lit("Unknown")).alias("REGION"), "CITY", "ZIP_CODE")
+
+
+def claim_fact_rows(ctx, feed: DataFrame, apply_deletes: bool = False,
+                    dim_geo: DataFrame | None = None) -> DataFrame:
     """Changed claims rebuilt into FACT_CLAIMS rows (+ action, seq): the
     change rows are the streaming side, financials / litigation / dims the
-    static side of the joins."""
+    static side of the joins. Addresses the geography dimension does not
+    know yet are keyed first (`new_geography_rows`), so no fact row gets a
+    NULL geography key."""
     s = ctx.star
     net = net_changes(feed, ["CLAIM_ID"], apply_deletes=apply_deletes)
     changed = net.select(*ctx.raw.claims().columns)
+    geo = dim_geo if dim_geo is not None else s.dim_geography()
+    geo = geo.unionByName(new_geography_rows(geo, changed, ctx.spark))
     rebuilt = build_fact_claims(changed, ctx.raw.financial_data(), ctx.raw.litigation(with_id=False),
-                                s.dim_geography(), s.dim_loss_cause(), ctx.fraud_rule)
+                                geo, s.dim_loss_cause(), ctx.fraud_rule)
     return rebuilt.join(net.select(F.col("CLAIM_ID").alias("CLAIM_KEY"), "action", "seq"), "CLAIM_KEY")
 
 

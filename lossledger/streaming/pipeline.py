@@ -32,7 +32,21 @@ def run_claims_stream(ctx, buckets: int = 8) -> tuple[BucketedTable, RunLog]:
     changes = f"{base}/changes"
     step = F.col("seq") % 10
     drops = [feed.where(step <= 1), feed.where(step >= 2), feed.where(F.lit(False))]
-    on_batch = merge_batch_fn(table, lambda b: claim_fact_rows(ctx, b), log, "INCR_FACT_CLAIMS")
+    # the geography dimension is kept as a table too: unseen addresses of a
+    # batch are appended (keyed after the current maximum) before the facts
+    geo_path = f"{base}/dim_geography"
+    ctx.star.dim_geography().write.mode("overwrite").parquet(geo_path)
+
+    def build(batch):
+        from lossledger.plans.incremental import new_geography_rows
+        current = spark.read.parquet(geo_path)
+        net = batch.where(F.col("action") == "INSERT")
+        new_geo = new_geography_rows(current, net, spark)
+        if not new_geo.isEmpty():
+            new_geo.write.mode("append").parquet(geo_path)
+        return claim_fact_rows(ctx, batch, dim_geo=spark.read.parquet(geo_path))
+
+    on_batch = merge_batch_fn(table, build, log, "INCR_FACT_CLAIMS")
     for i, drop in enumerate(drops):
         drop.write.mode("append").parquet(f"{changes}/drop={i}")
         run_change_stream(spark, f"{changes}/drop=*", schema, on_batch, f"{base}/checkpoint")

@@ -99,3 +99,20 @@ def test_money_rounding_is_exact(spark):
     assert df.agg(avg_round("x", 2)).first()[0] == Decimal("0.02")
     assert df.agg(pct(F.lit(1), F.lit(8), 1)).first()[0] == Decimal("12.5")
     assert df.select(pct(F.lit(1), F.lit(0), 1)).first()[0] is None
+
+
+def test_extend_keys(spark):
+    from lossledger.operators.keys import extend_keys
+    dim = spark.createDataFrame([("a", 1), ("c", 2)], "x string, k long")
+    cand = spark.createDataFrame([("a",), ("b",), ("d",), ("b",), (None,)], "x string")
+    got = {r["x"]: r["k"] for r in extend_keys(dim, cand, ["x"], "k").collect()}
+    assert got == {None: 3, "b": 4, "d": 5}
+    again = dim.unionByName(extend_keys(dim, cand, ["x"], "k"))
+    assert extend_keys(again, cand, ["x"], "k").count() == 0
+
+
+def test_broadcast_if_small(spark):
+    from lossledger.operators.joins import broadcast_if_small, is_small
+    df = spark.range(100)
+    assert is_small(df, 100) and not is_small(df, 99)
+    assert broadcast_if_small(df, 10)[1] is False

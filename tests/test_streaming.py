@@ -27,3 +27,46 @@ def test_bucketed_merge_replay(ctx):
     first = sorted(t.read().collect())
     t.merge(rows, 0)
     assert sorted(t.read().collect()) == first
+
+
+def test_unseen_city_gets_a_new_geography_key(ctx):
+    from pyspark.sql import functions as F
+    from lossledger.plans.incremental import merge_fact_claims_from
+    c = ctx.raw.claims().orderBy("CLAIM_ID").limit(1)
+    moved = c.withColumn("CLAIM_CITY", F.lit("NEW CITY")).select("*", F.lit("INSERT").alias("action"),
+                                                                 F.lit(1).cast("long").alias("seq"))
+    max_key = ctx.star.dim_geography().agg(F.max("GEOGRAPHY_KEY")).first()[0]
+    out = merge_fact_claims_from(ctx, moved)
+    cid = c.first()["CLAIM_ID"]
+    row = out.where(F.col("CLAIM_KEY") == cid).first()
+    assert row["GEOGRAPHY_KEY"] == max_key + 1
+    assert out.count() == ctx.star.fact_claims().count()
+
+
+def test_merge_dim_weather(ctx):
+    from decimal import Decimal
+    from pyspark.sql import functions as F
+    from lossledger.plans.incremental import merge_dim_weather_from
+    cat = ctx.raw.catastrophe()
+    grown = cat.where("CATASTROPHE_ID = 14").withColumn(
+        "ESTIMATED_INDUSTRY_LOSS", F.lit(Decimal("26000000000.00")).cast("decimal(15,2)"))
+    new = cat.where("CATASTROPHE_ID = 15").withColumn("CATASTROPHE_ID", F.lit(16)).withColumn(
+        "EVENT_TYPE", F.lit("Derecho"))
+    feed = grown.unionByName(new).select("*", F.lit("INSERT").alias("action"), F.lit(1).cast("long").alias("seq"))
+    out = {r["WEATHER_EVENT_KEY"]: r for r in merge_dim_weather_from(ctx, feed).collect()}
+    assert len(out) == 16
+    assert out[14]["EVENT_SEVERITY_TIER"] == "Catastrophic"
+    assert out[16]["PRIMARY_WEATHER_DRIVER"] == "Wind/Hail"
+    strict = {r["WEATHER_EVENT_KEY"]: r for r in merge_dim_weather_from(ctx, feed, strict_reference=True).collect()}
+    assert strict[14]["EVENT_SEVERITY_TIER"] == "Catastrophic"
+
+
+def test_expense_retry_for_missing_claim(ctx):
+    from pyspark.sql import functions as F
+    from lossledger.plans.incremental import merge_fact_expense_from
+    e = ctx.raw.claims_expense().orderBy("EXPENSE_ID").limit(1)
+    orphan = e.withColumn("CLAIM_ID", F.lit(-1).cast("long")).withColumn("EXPENSE_ID", F.lit(-10).cast("long"))
+    feed = orphan.select("*", F.lit("INSERT").alias("action"), F.lit(1).cast("long").alias("seq"))
+    merged, retry = merge_fact_expense_from(ctx, feed)
+    assert retry.count() == 1
+    assert merged.count() == ctx.star.fact_claim_expense().count()
