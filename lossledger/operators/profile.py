@@ -67,16 +67,26 @@ def category_top_n(df: DataFrame, col: str, n: int = 15) -> DataFrame:
 
 def numeric_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """MIN / MAX / AVG (2 places) / exact DISTINCT per numeric column, in long
-    form. The columns are unpivoted into (column, value) pairs and grouped
-    once: count-distinct then runs as a two-level aggregate with map-side
-    de-duplication instead of one Expand copy of the table per column."""
+    form. Min, max, sum and count come from one pass over the columns in
+    their own types (cheap fixed-width arithmetic); only the distinct counts
+    use the unpivoted (column, value) pairs, grouped once — a two-level
+    aggregate with map-side de-duplication instead of one Expand copy of the
+    table per column."""
     cols = cols or numeric_columns(df)
+    wide = df.agg(*[e for i, c in enumerate(cols) for e in (
+        F.min(c).cast("decimal(38,2)").alias(f"_mn{i}"), F.max(c).cast("decimal(38,2)").alias(f"_mx{i}"),
+        F.sum(F.col(c).cast("decimal(28,2)")).alias(f"_s{i}"), F.count(c).alias(f"_n{i}"))])
+    stats = wide.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("COLUMN_NAME"), F.col(f"_mn{i}").alias("MIN_VALUE"),
+                 F.col(f"_mx{i}").alias("MAX_VALUE"), round_div(F.col(f"_s{i}"), F.col(f"_n{i}"), 2).alias("AVG_VALUE"))
+        for i, c in enumerate(cols)])).alias("r")).select("r.*")
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("COLUMN_NAME"),
                                          F.col(c).cast("decimal(38,2)").alias("V")) for c in cols]))
-    long = df.select(pairs.alias("p")).select("p.*")
-    return long.groupBy("COLUMN_NAME").agg(
-        F.min("V").alias("MIN_VALUE"), F.max("V").alias("MAX_VALUE"), avg_round("V", 2).alias("AVG_VALUE"),
-        F.count_distinct("V").alias("DISTINCT_COUNT"))
+    distinct = (df.select(pairs.alias("p")).select("p.*").groupBy("COLUMN_NAME")
+                .agg(F.count_distinct("V").alias("DISTINCT_COUNT")))
+    return F.broadcast(stats).join(distinct, "COLUMN_NAME", "left").select(
+        "COLUMN_NAME", "MIN_VALUE", "MAX_VALUE", "AVG_VALUE",
+        F.coalesce("DISTINCT_COUNT", F.lit(0)).cast("long").alias("DISTINCT_COUNT"))
 
 
 def null_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
