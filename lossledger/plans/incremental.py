@@ -169,14 +169,12 @@ def merge_fact_expense(ctx) -> DataFrame:
     return merge_fact_expense_from(ctx, expense_change_feed(ctx))[0]
 
 
-def merge_dim_policy_from(ctx, feed: DataFrame, target: DataFrame | None = None,
-                          strict_reference: bool = False) -> DataFrame:
-    s = ctx.star
-    target = target if target is not None else s.dim_policy()
+def merge_dim_policy_rows(ctx, feed: DataFrame) -> DataFrame:
+    """DIM_POLICY rows (+ action, seq) for the policies in a change feed."""
     net = net_changes(feed, ["POLICY_ID"])
     i = ctx.raw.insured().select("INSURED_ID", "FIRST_NAME", "LAST_NAME")
     as_of = F.lit(ctx.as_of)
-    rows = net.join(i, "INSURED_ID", "left").select(
+    return net.join(i, "INSURED_ID", "left").select(
         F.col("POLICY_ID").alias("POLICY_KEY"), "POLICY_NUMBER", "INSURED_ID",
         F.concat(F.coalesce("FIRST_NAME", F.lit("")), F.lit(" "), F.coalesce("LAST_NAME", F.lit("")))
         .alias("INSURED_NAME"),
@@ -185,8 +183,13 @@ def merge_dim_policy_from(ctx, feed: DataFrame, target: DataFrame | None = None,
         F.when(F.col("POLICY_EXPIRATION_DATE") < as_of, "Expired").when(F.col("POLICY_EFFECTIVE_DATE") > as_of,
                                                                            "Future").otherwise("Active")
         .alias("POLICY_ACTIVE_STATUS"), "action", "seq")
+
+
+def merge_dim_policy_from(ctx, feed: DataFrame, target: DataFrame | None = None,
+                          strict_reference: bool = False) -> DataFrame:
+    target = target if target is not None else ctx.star.dim_policy()
     update = DIM_POLICY_UPDATE_STRICT if strict_reference else None
-    return upsert(target, rows, ["POLICY_KEY"], update)
+    return upsert(target, merge_dim_policy_rows(ctx, feed), ["POLICY_KEY"], update)
 
 
 def merge_dim_policy(ctx) -> DataFrame:

@@ -88,7 +88,7 @@ class BucketedTable:
 
 def merge_batch_fn(table: BucketedTable, build, log: RunLog, task: str, update_cols=None, apply_deletes=False):
     """foreachBatch callback: skip empty batches, build target rows from the
-    change rows, merge, and log the outcome."""
+    change rows (`build(batch, batch_id)`), merge, and log the outcome."""
     def run(batch: DataFrame, batch_id: int) -> None:
         started = time.time()
         if batch.isEmpty():
@@ -97,7 +97,7 @@ def merge_batch_fn(table: BucketedTable, build, log: RunLog, task: str, update_c
         rows = None
         try:
             # two actions read the rows (count, merge): cache them for the batch
-            rows = (build(batch) if build else batch).persist()
+            rows = (build(batch, batch_id) if build else batch).persist()
             n = rows.count()
             table.merge(rows, batch_id, update_cols, apply_deletes)
             log.record(task, batch_id, "SUCCEEDED", n, started, time.time())

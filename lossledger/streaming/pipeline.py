@@ -1,14 +1,27 @@
-"""End-to-end incremental run of FACT_CLAIMS with Structured Streaming.
-
-1. FACT_CLAIMS is built once and stored as a BucketedTable in the shared
-   checkpoint folder.
-2. The claim change feed arrives as files in two drops (first updates, then
-   the second update of the stalled claims) plus an empty drop; after each
-   drop the stream runs with an availableNow trigger — the scheduled
-   incremental job — and merges only the new files (offsets are in the
-   stream checkpoint).
-3. Each micro-batch is logged; the table's final state equals the batch
-   MERGE of the whole feed.
+"""End-to-end incremental runs with Structured Streaming.
+
+Each task keeps one target as a BucketedTable in the shared checkpoint
+folder and consumes its own change directory with a file-source stream:
+
+  INCR_DIM_POLICY    POLICY changes        -> DIM_POLICY        by POLICY_KEY
+  INCR_FACT_CLAIMS   CLAIMS changes        -> FACT_CLAIMS       by CLAIM_KEY
+  INCR_FACT_EXPENSE  CLAIMS_EXPENSE changes-> FACT_CLAIM_EXPENSE by EXPENSE_KEY
+
+The change files arrive in drops; after each drop every task runs once with
+an availableNow trigger (the scheduled incremental job), in dependency order
+(policy, claims, expense), and merges only files it has not seen (offsets are
+in each stream's checkpoint). Rules the original left open are handled:
+
+* a claim at an address the geography dimension lacks gets a new key
+  (dimension rows are appended first, keyed after the current maximum);
+* an expense whose claim has not arrived yet is not dropped: the unmatched
+  change rows are written back into the expense change directory as a retry
+  file, which the next run picks up — by then the claim is in the fact;
+* an empty batch is logged SKIPPED.
+
+The feeds are derived from the data (`plans.incremental`), plus one claim
+that arrives late (a copy of the newest claim under the next free id) and
+its expense line, which arrives one drop early.
 """
 
 from __future__ import annotations
@@ -16,48 +29,108 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lossledger.plans.incremental import claim_change_feed, claim_fact_rows
+from lossledger.operators.upsert import net_changes
+from lossledger.plans.incremental import (claim_change_feed, claim_fact_rows, expense_change_feed,
+                                          new_geography_rows, policy_change_feed)
+from lossledger.plans.star import build_fact_expense
 from lossledger.streaming.cdc import BucketedTable, merge_batch_fn, run_change_stream, shared_dir
 from lossledger.streaming.runlog import RunLog, run_history
 
+ROUNDS = 3
+
+
+def _with_change(df: DataFrame, key: str, step: int) -> DataFrame:
+    return df.select("*", F.lit("INSERT").alias("action"), (F.col(key) * 10 + step).cast("long").alias("seq"))
+
+
+def late_claim(ctx) -> DataFrame:
+    """A new claim derived from the data: the newest claim copied under the
+    next free claim id (it arrives one drop after its expense line)."""
+    c = ctx.raw.claims()
+    top = c.agg(F.max("CLAIM_ID").alias("_mx"))
+    newest = c.join(F.broadcast(top), c.CLAIM_ID == top._mx).drop("_mx")   # one-row aggregate
+    return newest.withColumn("CLAIM_ID", (F.col("CLAIM_ID") + 1).cast(c.schema["CLAIM_ID"].dataType))
 
-def run_claims_stream(ctx, buckets: int = 8) -> tuple[BucketedTable, RunLog]:
+
+def early_expense(ctx) -> DataFrame:
+    """The late claim's expense line (arrives before the claim)."""
+    e = ctx.raw.claims_expense()
+    lc = late_claim(ctx).select(F.col("CLAIM_ID").alias("_new"))
+    first = e.join(F.broadcast(e.agg(F.max("CLAIM_ID").alias("_mx"))), e.CLAIM_ID == F.col("_mx")).drop("_mx")
+    first = first.join(F.broadcast(first.agg(F.min("EXPENSE_ID").alias("_me"))), F.col("EXPENSE_ID") == F.col("_me"))
+    return first.crossJoin(F.broadcast(lc)).select(
+        *[(F.col("_new") * 10 + 1).cast(e.schema["EXPENSE_ID"].dataType).alias(c) if c == "EXPENSE_ID"
+          else F.col("_new").cast(e.schema["CLAIM_ID"].dataType).alias(c) if c == "CLAIM_ID" else F.col(c)
+          for c in e.columns])
+
+
+def run_incremental(ctx, buckets: int = 8) -> dict:
     spark = ctx.spark
-    base = shared_dir(spark, "claims-stream")
-    table = BucketedTable(spark, f"{base}/fact_claims", ["CLAIM_KEY"], buckets)
-    table.create(ctx.star.fact_claims())
+    base = shared_dir(spark, "incremental")
     log = RunLog(spark, f"{base}/run_log")
-    feed = claim_change_feed(ctx)
-    schema = feed.schema
-    changes = f"{base}/changes"
+    s = ctx.star
+
+    claims_t = BucketedTable(spark, f"{base}/FACT_CLAIMS", ["CLAIM_KEY"], buckets)
+    claims_t.create(s.fact_claims())
+    expense_t = BucketedTable(spark, f"{base}/FACT_CLAIM_EXPENSE", ["EXPENSE_KEY"], buckets)
+    expense_t.create(s.fact_claim_expense())
+    policy_t = BucketedTable(spark, f"{base}/DIM_POLICY", ["POLICY_KEY"], buckets)
+    policy_t.create(s.dim_policy())
+    geo_path = f"{base}/DIM_GEOGRAPHY"
+    s.dim_geography().write.mode("overwrite").parquet(geo_path)
+
     step = F.col("seq") % 10
-    drops = [feed.where(step <= 1), feed.where(step >= 2), feed.where(F.lit(False))]
-    # the geography dimension is kept as a table too: unseen addresses of a
-    # batch are appended (keyed after the current maximum) before the facts
-    geo_path = f"{base}/dim_geography"
-    ctx.star.dim_geography().write.mode("overwrite").parquet(geo_path)
-
-    def build(batch):
-        from lossledger.plans.incremental import new_geography_rows
-        current = spark.read.parquet(geo_path)
+    claim_feed = claim_change_feed(ctx)
+    claim_drops = [claim_feed.where(step <= 1),
+                   claim_feed.where(step >= 2).unionByName(_with_change(late_claim(ctx), "CLAIM_ID", 1)),
+                   claim_feed.where(F.lit(False))]
+    exp_feed = expense_change_feed(ctx)
+    exp_drops = [exp_feed.unionByName(_with_change(early_expense(ctx), "EXPENSE_ID", 1)),
+                 exp_feed.where(F.lit(False)), exp_feed.where(F.lit(False))]
+    pol_feed = policy_change_feed(ctx)
+    pol_drops = [pol_feed, pol_feed.where(F.lit(False)), pol_feed.where(F.lit(False))]
+
+    def build_claims(batch, batch_id):
         net = batch.where(F.col("action") == "INSERT")
-        new_geo = new_geography_rows(current, net, spark)
+        new_geo = new_geography_rows(spark.read.parquet(geo_path), net, spark)
         if not new_geo.isEmpty():
             new_geo.write.mode("append").parquet(geo_path)
         return claim_fact_rows(ctx, batch, dim_geo=spark.read.parquet(geo_path))
 
-    on_batch = merge_batch_fn(table, build, log, "INCR_FACT_CLAIMS")
-    for i, drop in enumerate(drops):
-        drop.write.mode("append").parquet(f"{changes}/drop={i}")
-        run_change_stream(spark, f"{changes}/drop=*", schema, on_batch, f"{base}/checkpoint")
-    return table, log
+    exp_changes = f"{base}/changes/expense"
+
+    def build_expense(batch, batch_id):
+        net = net_changes(batch, ["EXPENSE_ID"])
+        fc = claims_t.read()           # the claims fact as of now (stream-static join)
+        exp_cols = ctx.raw.claims_expense().columns
+        rows = build_fact_expense(net.select(*exp_cols), fc).join(
+            net.select(F.col("EXPENSE_ID").alias("EXPENSE_KEY"), "action", "seq"), "EXPENSE_KEY")
+        retry = net.join(fc.select(F.col("CLAIM_KEY").alias("CLAIM_ID")), "CLAIM_ID", "left_anti")
+        if not retry.isEmpty():        # re-queue unmatched changes for the next run
+            retry.select(*batch.columns).write.mode("overwrite").parquet(f"{exp_changes}/retry={batch_id}")
+        return rows
+
+    def build_policy(batch, batch_id):
+        from lossledger.plans.incremental import merge_dim_policy_rows
+        return merge_dim_policy_rows(ctx, batch)
+
+    tasks = [
+        ("INCR_DIM_POLICY", policy_t, build_policy, pol_drops, f"{base}/changes/policy"),
+        ("INCR_FACT_CLAIMS", claims_t, build_claims, claim_drops, f"{base}/changes/claims"),
+        ("INCR_FACT_EXPENSE", expense_t, build_expense, exp_drops, exp_changes),
+    ]
+    for i in range(ROUNDS):
+        for name, table, build, drops, changes in tasks:
+            drops[i].write.mode("append").parquet(f"{changes}/drop={i}")
+            on_batch = merge_batch_fn(table, build, log, name)
+            run_change_stream(spark, f"{changes}/*", drops[i].schema, on_batch, f"{base}/checkpoints/{name}")
+    return {"FACT_CLAIMS": claims_t, "FACT_CLAIM_EXPENSE": expense_t, "DIM_POLICY": policy_t, "log": log,
+            "geo_path": geo_path}
 
 
 def stream_fact_claims(ctx) -> DataFrame:
-    table, _ = run_claims_stream(ctx)
-    return table.read()
+    return run_incremental(ctx)["FACT_CLAIMS"].read()
 
 
 def stream_run_history(ctx) -> DataFrame:
-    _, log = run_claims_stream(ctx)
-    return run_history(log.read())
+    return run_history(run_incremental(ctx)["log"].read())

@@ -3,19 +3,31 @@ skips an empty batch, and replays idempotently."""
 
 from lossledger.plans.incremental import claim_change_feed, claim_fact_rows, merge_fact_claims
 from lossledger.streaming.cdc import BucketedTable, shared_dir
-from lossledger.streaming.pipeline import run_claims_stream
 from lossledger.streaming.runlog import run_history
 
 
-def test_stream_equals_batch_merge(ctx):
-    table, log = run_claims_stream(ctx)
-    a = table.read()
+def test_incremental_streams(ctx):
+    from pyspark.sql import functions as F
+    from lossledger.plans.incremental import merge_dim_policy
+    from lossledger.streaming.pipeline import early_expense, late_claim, run_incremental
+    out = run_incremental(ctx)
+    a = out["FACT_CLAIMS"].read()
     b = merge_fact_claims(ctx)
-    assert a.count() == b.count()
-    assert a.exceptAll(b.select(*a.columns)).count() == 0
-    h = run_history(log.read()).first()
-    assert (h["TOTAL_RUNS"], h["SUCCEEDED"], h["SKIPPED"], h["FAILED"]) == (3, 2, 1, 0)
-    assert h["CURRENT_STATE"] == "SKIPPED"
+    late_id = late_claim(ctx).first()["CLAIM_ID"]
+    assert a.count() == b.count() + 1
+    assert a.where(F.col("CLAIM_KEY") != late_id).exceptAll(b.select(*a.columns)).count() == 0
+    # the expense line that arrived before its claim was retried, not lost
+    e = out["FACT_CLAIM_EXPENSE"].read()
+    early_key = early_expense(ctx).first()["EXPENSE_ID"]
+    assert e.where(F.col("EXPENSE_KEY") == early_key).count() == 1
+    assert e.count() == ctx.star.fact_claim_expense().count() + 1
+    p = out["DIM_POLICY"].read()
+    assert p.exceptAll(merge_dim_policy(ctx).select(*p.columns)).count() == 0
+    hist = {r["TASK"]: r for r in run_history(out["log"].read()).collect()}
+    assert set(hist) == {"INCR_DIM_POLICY", "INCR_FACT_CLAIMS", "INCR_FACT_EXPENSE"}
+    assert (hist["INCR_FACT_CLAIMS"]["SUCCEEDED"], hist["INCR_FACT_CLAIMS"]["SKIPPED"]) == (2, 1)
+    assert hist["INCR_FACT_EXPENSE"]["SUCCEEDED"] == 2          # drop 0, then the retry file
+    assert all(h["FAILED"] == 0 for h in hist.values())
 
 
 def test_bucketed_merge_replay(ctx):
