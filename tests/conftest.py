@@ -14,7 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     from pyspark.sql import SparkSession
     s = (SparkSession.builder.master("local[4]").appName("lossledger-tests")
-         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
          .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
