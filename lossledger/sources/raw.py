@@ -63,8 +63,13 @@ class RawTables:
                    "financial": self.financial_data, "expense": self.claims_expense,
                    "litigation_core": lambda: self.litigation(with_id=False),
                    "litigation": lambda: self.litigation(with_id=True)}
+        # dependency order; each written table replaces its lazy definition,
+        # so later tables (financials, litigation, assignments) read the
+        # written claims instead of re-deriving the orders/customer join
         for key, name in self.STORED.items():
-            getters[key]().write.mode("overwrite").parquet(f"{out_dir}/{name}")
+            path = f"{out_dir}/{name}"
+            getters[key]().write.mode("overwrite").parquet(path)
+            self.ctx._cache[("raw", key)] = self.spark.read.parquet(path)
 
     @property
     def _as_of(self) -> Column:
