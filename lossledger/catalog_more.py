@@ -33,7 +33,8 @@ for _k in _sem.CANNED:
 from lossledger.oracle.incremental import INC as _INC_SQL
 from lossledger.plans import incremental as _inc
 
-for _k in ["cdc_net_changes", "merge_fact_claims", "merge_fact_expense", "merge_dim_policy"]:
+for _k in ["cdc_net_changes", "merge_fact_claims", "merge_fact_expense", "merge_dim_policy",
+           "merge_fact_claims_all_sources"]:
     register(_k, getattr(_inc, _k), _INC_SQL[_k])
 
 from lossledger.streaming import pipeline as _stream

@@ -69,3 +69,40 @@ INC["merge_dim_policy"] = with_base(
     "SELECT * FROM dim_policy WHERE POLICY_KEY NOT IN (SELECT POLICY_KEY FROM p_dim)\nUNION ALL\n"
     "SELECT * FROM p_dim",
     [("p_feed", POLICY_FEED), ("p_net", _net("p_feed", "POLICY_ID")), ("p_dim", _changed_pol)])
+
+
+FIN_FEED = "\nUNION ALL\n".join([
+    _ch("r_financial", "CLAIM_ID IN (SELECT CLAIM_ID FROM r_claims WHERE CLAIM_STATUS = 'Approved')", "DELETE",
+        "FINANCIAL_ID", 0),
+    _ch("r_financial", "CLAIM_ID IN (SELECT CLAIM_ID FROM r_claims WHERE CLAIM_STATUS = 'Approved')", "INSERT",
+        "FINANCIAL_ID", 1, "CAST(PAID_AMOUNT + 100 AS DECIMAL(15,2)) AS PAID_AMOUNT"),
+])
+LIT_CORE = "(SELECT * EXCLUDE (LITIGATION_ID) FROM r_litigation)"
+LIT_FEED = "\nUNION ALL\n".join([
+    _ch(LIT_CORE, "LITIGATION_STATUS = 'Discovery'", "DELETE", "CLAIM_ID", 0),
+    _ch(LIT_CORE, "LITIGATION_STATUS = 'Discovery'", "INSERT", "CLAIM_ID", 1, "'Mediation' AS LITIGATION_STATUS"),
+])
+
+
+def _apply(base: str, net: str, key: str) -> str:
+    """Source table after its net changes (changed keys replaced)."""
+    return (f"SELECT * FROM {base} WHERE {key} NOT IN (SELECT {key} FROM {net})\nUNION ALL\n"
+            f"SELECT * EXCLUDE (action, seq) FROM {net}")
+
+
+_all_fact = (_STAR["fact_claims"].replace("FROM r_claims c\n", "FROM a_claims c\n")
+             .replace("LEFT JOIN r_financial f", "LEFT JOIN a_fin f")
+             .replace("LEFT JOIN r_litigation l", "LEFT JOIN a_lit l")
+             + "\nWHERE c.CLAIM_ID IN (SELECT CLAIM_ID FROM a_ids)")
+assert "a_fin f" in _all_fact and "a_lit l" in _all_fact
+INC["merge_fact_claims_all_sources"] = with_base(
+    "SELECT * FROM fact_claims WHERE CLAIM_KEY NOT IN (SELECT CLAIM_KEY FROM a_fact)\nUNION ALL\n"
+    "SELECT * FROM a_fact",
+    [("c_feed", CLAIM_FEED), ("c_net", _net("c_feed", "CLAIM_ID")),
+     ("f_feed", FIN_FEED), ("f_net", _net("f_feed", "FINANCIAL_ID")),
+     ("l_feed", LIT_FEED), ("l_net", _net("l_feed", "CLAIM_ID")),
+     ("a_claims", _apply("r_claims", "c_net", "CLAIM_ID")),
+     ("a_fin", _apply("r_financial", "f_net", "FINANCIAL_ID")),
+     ("a_lit", _apply(LIT_CORE, "l_net", "CLAIM_ID")),
+     ("a_ids", "SELECT CLAIM_ID FROM c_net UNION SELECT CLAIM_ID FROM f_net UNION SELECT CLAIM_ID FROM l_net"),
+     ("a_fact", _all_fact)])

@@ -204,3 +204,45 @@ def merge_dim_weather_from(ctx, feed: DataFrame, target: DataFrame | None = None
         net.select(F.col("CATASTROPHE_ID").alias("WEATHER_EVENT_KEY"), "action", "seq"), "WEATHER_EVENT_KEY")
     update = DIM_WEATHER_UPDATE_STRICT if strict_reference else None
     return upsert(target, rows, ["WEATHER_EVENT_KEY"], update)
+
+
+# -- FACT_CLAIMS refreshed from every source feed ---------------------------------
+def financial_change_feed(ctx) -> DataFrame:
+    """Approved claims receive a further 100.00 payment."""
+    approved = ctx.raw.claims().where(F.col("CLAIM_STATUS") == "Approved").select("CLAIM_ID")
+    f = ctx.raw.financial_data().join(approved, "CLAIM_ID", "left_semi")
+    after = f.withColumn("PAID_AMOUNT", (F.col("PAID_AMOUNT") + F.lit(100).cast("decimal(15,2)")).cast("decimal(15,2)"))
+    return _change(f, "DELETE", "FINANCIAL_ID", 0).unionByName(_change(after, "INSERT", "FINANCIAL_ID", 1))
+
+
+def litigation_change_feed(ctx) -> DataFrame:
+    """Cases in discovery move to mediation."""
+    lit = ctx.raw.litigation(with_id=False).where(F.col("LITIGATION_STATUS") == "Discovery")
+    after = lit.withColumn("LITIGATION_STATUS", F.lit("Mediation"))
+    return _change(lit, "DELETE", "CLAIM_ID", 0).unionByName(_change(after, "INSERT", "CLAIM_ID", 1))
+
+
+def merge_fact_claims_all_sources_from(ctx, claim_feed: DataFrame, financial_feed: DataFrame,
+                                       litigation_feed: DataFrame, target: DataFrame | None = None) -> DataFrame:
+    """FACT_CLAIMS refreshed for every claim touched by a CLAIMS, FINANCIAL_DATA
+    or LITIGATION change (the original only reacted to CLAIMS changes). Each
+    source is first brought to its new state (upsert), then the fact rows of
+    the union of changed claim ids are rebuilt and merged."""
+    s = ctx.star
+    target = target if target is not None else s.fact_claims()
+    claims = upsert(ctx.raw.claims(), claim_feed, ["CLAIM_ID"])
+    fin = upsert(ctx.raw.financial_data(), financial_feed, ["FINANCIAL_ID"])
+    lit = upsert(ctx.raw.litigation(with_id=False), litigation_feed, ["CLAIM_ID"])
+    ids = (net_changes(claim_feed, ["CLAIM_ID"]).select("CLAIM_ID")
+           .unionByName(net_changes(financial_feed, ["FINANCIAL_ID"]).select("CLAIM_ID"))
+           .unionByName(net_changes(litigation_feed, ["CLAIM_ID"]).select("CLAIM_ID"))
+           .distinct())
+    changed = claims.join(ids, "CLAIM_ID", "left_semi")
+    rows = build_fact_claims(changed, fin, lit, s.dim_geography(), s.dim_loss_cause(), ctx.fraud_rule)
+    rows = rows.select("*", F.lit("INSERT").alias("action"), F.lit(0).cast("long").alias("seq"))
+    return upsert(target, rows, ["CLAIM_KEY"])
+
+
+def merge_fact_claims_all_sources(ctx) -> DataFrame:
+    return merge_fact_claims_all_sources_from(ctx, claim_change_feed(ctx), financial_change_feed(ctx),
+                                              litigation_change_feed(ctx))
