@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass, field
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,7 +45,11 @@ class Context:
             self._cache[key] = build()
         return self._cache[key]
 
-    @cached_property
+    # `raw` / `star` are cheap views created on access (their state lives in
+    # `_cache`); not caching them on the context avoids a reference cycle,
+    # so a finished query's DataFrames — and the JVM plans and broadcast
+    # relations behind them — are released as soon as the context is dropped.
+    @property
     def raw(self):
         if self.source == "seed":
             from lossledger.sources.seeds import SeedTables
@@ -54,7 +57,7 @@ class Context:
         from lossledger.sources.raw import RawTables
         return RawTables(self)
 
-    @cached_property
+    @property
     def star(self):
         from lossledger.plans.star import StarSchema
         return StarSchema(self)
