@@ -316,3 +316,13 @@ SELECT g.REGION, COUNT(*) AS CLAIMS, {sum_money_sql("fc.SUBROGATION_AMOUNT")} AS
   {sum_money_sql("fc.RECOVERY_AMOUNT")} AS RECOVERY
 FROM fact_claims fc JOIN dim_geography g ON fc.GEOGRAPHY_KEY = g.GEOGRAPHY_KEY
 WHERE fc.CLAIM_STATUS = 'Closed' AND fc.SUBROGATION_INDICATOR GROUP BY g.REGION""")
+
+REPORTS["status_counts"] = with_base("SELECT CLAIM_STATUS, COUNT(*) AS COUNT FROM fact_claims GROUP BY CLAIM_STATUS")
+
+REPORTS["fraud_tier_rules"] = with_base("""
+SELECT 'score' AS RULE, CASE WHEN FRAUD_SCORE >= 60 THEN 'High Risk' WHEN FRAUD_SCORE >= 30 THEN 'Medium Risk'
+  ELSE 'No Flag' END AS FRAUD_RISK_TIER, COUNT(*) AS CLAIM_COUNT FROM fact_claims GROUP BY 2
+UNION ALL
+SELECT 'indicator', CASE WHEN COALESCE(FRAUD_INDICATOR, FALSE) AND FRAUD_SCORE >= 80 THEN 'High Risk'
+  WHEN COALESCE(FRAUD_INDICATOR, FALSE) AND FRAUD_SCORE >= 50 THEN 'Medium Risk'
+  WHEN COALESCE(FRAUD_INDICATOR, FALSE) THEN 'Low Risk' ELSE 'No Flag' END, COUNT(*) FROM fact_claims GROUP BY 2""")

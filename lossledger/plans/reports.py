@@ -526,3 +526,23 @@ def subrogation_pending(ctx) -> DataFrame:
     return f.join(g, "GEOGRAPHY_KEY").groupBy("REGION").agg(
         F.count(F.lit(1)).alias("CLAIMS"), sum_money("SUBROGATION_AMOUNT").alias("SUBROGATION"),
         sum_money("RECOVERY_AMOUNT").alias("RECOVERY"))
+
+
+# -- A-2 / P-2 ------------------------------------------------------------------------
+def status_counts(ctx) -> DataFrame:
+    """Claims per status (plain hash group-by)."""
+    return ctx.star.fact_claims().groupBy("CLAIM_STATUS").agg(F.count(F.lit(1)).alias("COUNT"))
+
+
+def fraud_tier_rules(ctx) -> DataFrame:
+    """Claims per fraud tier under both published rules, in one scan: the
+    score rule (>=60 High, >=30 Medium, else No Flag) and the indicator rule
+    (flagged claims only: >=80 High, >=50 Medium, else Low)."""
+    from lossledger.functions.rules import fraud_risk_tier
+    fc = ctx.star.fact_claims()
+    score, flag = F.col("FRAUD_SCORE"), F.col("FRAUD_INDICATOR")
+    pairs = F.explode(F.array(
+        F.struct(F.lit("score").alias("RULE"), fraud_risk_tier(score, flag, "score").alias("FRAUD_RISK_TIER")),
+        F.struct(F.lit("indicator").alias("RULE"), fraud_risk_tier(score, flag, "indicator").alias("FRAUD_RISK_TIER"))))
+    return (fc.select(pairs.alias("p")).select("p.*").groupBy("RULE", "FRAUD_RISK_TIER")
+            .agg(F.count(F.lit(1)).alias("CLAIM_COUNT")))

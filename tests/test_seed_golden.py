@@ -81,3 +81,20 @@ def test_seed_severity_change_rows(seed):
     up = c.where(F.col("PREVIOUS_SEVERITY") < F.col("CLAIM_SEVERITY")).count()
     down = c.where(F.col("PREVIOUS_SEVERITY") > F.col("CLAIM_SEVERITY")).count()
     assert (c.count(), up, down) == (2500, 1000, 1500)
+
+
+def test_seed_fraud_tier_rules(seed):
+    tiers = {(r["RULE"], r["FRAUD_RISK_TIER"]): r["CLAIM_COUNT"] for r in R.fraud_tier_rules(seed).collect()}
+    assert tiers == {("indicator", "High Risk"): 300, ("indicator", "Medium Risk"): 500,
+                     ("indicator", "No Flag"): 9200, ("score", "High Risk"): 600, ("score", "Medium Risk"): 900,
+                     ("score", "No Flag"): 8500}
+
+
+def test_seed_dates_beyond_2025(seed):
+    c, f = seed.raw.claims(), seed.raw.financial_data()
+    cut = dt.date(2025, 12, 31)
+    assert c.where(F.col("LOSS_DATE") > cut).count() == 308
+    pay = f.where(F.col("PAYMENT_DATE").isNotNull())
+    lo, hi = pay.agg(F.min("PAYMENT_DATE"), F.max("PAYMENT_DATE")).first()
+    assert (lo, hi) == (dt.date(2020, 2, 1), dt.date(2026, 10, 10))
+    assert pay.where(F.col("PAYMENT_DATE") > cut).count() == 438
