@@ -43,6 +43,7 @@ def main() -> None:
              .config("spark.sql.shuffle.partitions", str(max(8, cpus * 2)))
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+             .config("spark.sql.adaptive.skewJoin.enabled", "true")
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", "16g")
              .getOrCreate())

@@ -47,10 +47,17 @@ def dim_date(ctx) -> DataFrame:
 def insurance_details(ctx) -> DataFrame:
     """Wide insured / policy / line / claim / catastrophe / financial table:
     insured ⋈ policy ⋈ line of business, then claims, catastrophes and
-    financials left-joined (policies without claims keep one row). The two
+    financials attached (policies without claims keep one row). The two
     literal tables are broadcast; the others are shuffle joins on their keys.
     The property-address column has no source street address: it stays NULL
-    instead of repeating the claim city."""
+    instead of repeating the claim city.
+
+    Skew: one policy may own a large share of all claims. A LEFT JOIN
+    policy -> claims would put that policy's claims in one task (AQE can only
+    split the preserved side of an outer join), so the outer join is written
+    as an INNER join (AQE splits the skewed claims side) plus the policies
+    with no claim at all, found by an anti join against the DISTINCT policy
+    ids of the claims (a hot id is de-duplicated map-side)."""
     r = ctx.raw
     i = r.insured().select("INSURED_ID", "FIRST_NAME", "LAST_NAME", "PHONE", "EMAIL", "ADDRESS", "CITY", "STATE",
                            "ZIP_CODE")
@@ -65,8 +72,13 @@ def insurance_details(ctx) -> DataFrame:
                                              F.col("IMPACTED_STATES").alias("CATASTROPHE_IMPACTED_STATES")))
     f = r.financial_data().select("CLAIM_ID", "RESERVE_AMOUNT", "PAID_AMOUNT", "INCURRED_LOSS", "RECOVERY_AMOUNT",
                                   "SUBROGATION_AMOUNT")
-    j = (i.join(p, "INSURED_ID").join(lob, "LOB_ID").join(c, "POLICY_ID", "left")
-         .join(cat, "CATASTROPHE_ID", "left").join(f, "CLAIM_ID", "left"))
+    policies = i.join(p, "INSURED_ID").join(lob, "LOB_ID")
+    claim_rows = c.join(cat, "CATASTROPHE_ID", "left").join(f, "CLAIM_ID", "left")
+    with_claims = policies.join(claim_rows, "POLICY_ID")
+    no_claims = policies.join(c.select("POLICY_ID").distinct(), "POLICY_ID", "left_anti")
+    no_claims = no_claims.select("*", *[F.lit(None).cast(claim_rows.schema[x].dataType).alias(x)
+                                        for x in claim_rows.columns if x != "POLICY_ID"])
+    j = with_claims.unionByName(no_claims)
     prop = F.col("LOB_NAME").isin("Homeowners", "Commercial Property")
     return j.select(
         "INSURED_ID", "FIRST_NAME", "LAST_NAME", "PHONE", "EMAIL", "POLICY_ID", "POLICY_NUMBER", "POLICY_STATUS",
