@@ -23,6 +23,17 @@ def _r0(c) -> F.Column:
     return F.round(F.sum(c), 0).cast("decimal(38,0)")
 
 
+def _rollup_through(fact: DataFrame, fk: str, dim: DataFrame, dim_cols: list[str], own_cols: list[str],
+                    partials: list, finals: list) -> DataFrame:
+    """Aggregate the fact per foreign key first (exact partial counts/sums),
+    join the reduced rows to the dimension (inner, like the reports' joins),
+    then finish the aggregation per dimension attribute. A dimension too big
+    to broadcast then meets one row per key instead of every fact row."""
+    pre = fact.groupBy(fk, *own_cols).agg(*partials)
+    j = pre.join(dim.select(fk, *dim_cols), fk)
+    return j.groupBy(*dim_cols, *own_cols).agg(*finals)
+
+
 def _claims_by_month(ctx) -> DataFrame:
     s = ctx.star
     d = F.broadcast(s.dim_date().select("DATE_KEY", "YEAR_MONTH", "YEAR"))
@@ -249,9 +260,9 @@ def fraud_top_causes(ctx, k: int = 10) -> DataFrame:
 # -- B-12 ---------------------------------------------------------------------
 def region_severity_pivot(ctx) -> DataFrame:
     s = ctx.star
-    g = s.dim_geography().select("GEOGRAPHY_KEY", "REGION")
-    j = s.fact_claims().join(g, "GEOGRAPHY_KEY")
-    p = j.groupBy("REGION").pivot("CLAIM_SEVERITY", SEVERITIES).agg(F.count(F.lit(1)))
+    g = _rollup_through(s.fact_claims(), "GEOGRAPHY_KEY", s.dim_geography(), ["REGION"], ["CLAIM_SEVERITY"],
+                        [F.count(F.lit(1)).alias("_n")], [F.sum("_n").alias("_n")])
+    p = g.groupBy("REGION").pivot("CLAIM_SEVERITY", SEVERITIES).agg(F.sum("_n"))
     return p.select("REGION", *[F.coalesce(F.col(v), F.lit(0)).cast("long").alias(v) for v in SEVERITIES])
 
 
@@ -285,18 +296,18 @@ def category_rollup(ctx) -> DataFrame:
 # -- B-15 ---------------------------------------------------------------------
 def region_performance(ctx) -> DataFrame:
     s = ctx.star
-    g = s.dim_geography().select("GEOGRAPHY_KEY", "REGION")
-    j = s.fact_claims().join(g, "GEOGRAPHY_KEY")
     st = F.col("CLAIM_STATUS")
-    a = j.groupBy("REGION").agg(
-        F.count(F.lit(1)).alias("TOTAL_CLAIMS"),
-        count_if(st == "Closed").alias("SETTLED"),
-        count_if(st == "Open").alias("OPEN_CLAIMS"),
-        _r0("PAID_AMOUNT").alias("TOTAL_PAID"),
-        avg_round("PAID_AMOUNT", 0).alias("AVG_PAID"),
-        avg_round("DAYS_TO_CLOSE", 1).alias("AVG_CLOSE_DAYS"),
-        count_if(F.col("FRAUD_INDICATOR")).alias("FRAUD_COUNT"),
-    )
+    partials = [F.count(F.lit(1)).alias("_n"), count_if(st == "Closed").alias("_settled"),
+                count_if(st == "Open").alias("_open"), F.sum("PAID_AMOUNT").alias("_paid"),
+                F.count("PAID_AMOUNT").alias("_paid_n"), F.sum("DAYS_TO_CLOSE").alias("_dtc"),
+                F.count("DAYS_TO_CLOSE").alias("_dtc_n"), count_if(F.col("FRAUD_INDICATOR")).alias("_fraud")]
+    finals = [F.sum("_n").cast("long").alias("TOTAL_CLAIMS"), F.sum("_settled").cast("long").alias("SETTLED"),
+              F.sum("_open").cast("long").alias("OPEN_CLAIMS"),
+              F.round(F.sum("_paid"), 0).cast("decimal(38,0)").alias("TOTAL_PAID"),
+              round_div(F.sum("_paid"), F.sum("_paid_n"), 0).alias("AVG_PAID"),
+              round_div(F.sum("_dtc"), F.sum("_dtc_n"), 1).alias("AVG_CLOSE_DAYS"),
+              F.sum("_fraud").cast("long").alias("FRAUD_COUNT")]
+    a = _rollup_through(s.fact_claims(), "GEOGRAPHY_KEY", s.dim_geography(), ["REGION"], [], partials, finals)
     return a.select("*", pct(F.col("FRAUD_COUNT"), F.col("TOTAL_CLAIMS"), 1).alias("FRAUD_RATE_PCT"),
                     pct(F.col("SETTLED"), F.col("TOTAL_CLAIMS"), 1).alias("SETTLED_PCT"))
 
@@ -348,9 +359,9 @@ def fraud_rate_by_region(ctx) -> DataFrame:
     per-region subquery becomes a conditional count); regions without
     fraud are left out, as in the original."""
     s = ctx.star
-    g = s.dim_geography().select("GEOGRAPHY_KEY", "REGION")
-    a = s.fact_claims().join(g, "GEOGRAPHY_KEY").groupBy("REGION").agg(
-        count_if(F.col("FRAUD_INDICATOR")).alias("FRAUD_COUNT"), F.count(F.lit(1)).alias("_ALL"))
+    a = _rollup_through(s.fact_claims(), "GEOGRAPHY_KEY", s.dim_geography(), ["REGION"], [],
+                        [count_if(F.col("FRAUD_INDICATOR")).alias("_f"), F.count(F.lit(1)).alias("_n")],
+                        [F.sum("_f").cast("long").alias("FRAUD_COUNT"), F.sum("_n").alias("_ALL")])
     return a.where(F.col("FRAUD_COUNT") > 0).select(
         "REGION", "FRAUD_COUNT", pct(F.col("FRAUD_COUNT"), F.col("_ALL"), 1).alias("FRAUD_RATE"))
 
@@ -500,32 +511,36 @@ def stage_backlog(ctx) -> DataFrame:
 
 
 def agency_stage(ctx) -> DataFrame:
-    """Claims by agency × stage (agency lives in the policy dimension)."""
+    """Claims by agency × stage (agency lives in the policy dimension, which
+    grows with the customers: the fact is reduced per policy first)."""
     s = ctx.star
-    p = s.dim_policy().select("POLICY_KEY", "AGENCY_NAME")
-    j = s.fact_claims().join(p, "POLICY_KEY")
-    return j.groupBy("AGENCY_NAME", "CLAIM_STAGE").agg(
-        F.count(F.lit(1)).alias("CLAIMS"), count_if(F.col("CLAIM_STATUS") == "Rejected").alias("REJECTED"))
+    return _rollup_through(s.fact_claims(), "POLICY_KEY", s.dim_policy(), ["AGENCY_NAME"], ["CLAIM_STAGE"],
+                           [F.count(F.lit(1)).alias("_n"), count_if(F.col("CLAIM_STATUS") == "Rejected").alias("_r")],
+                           [F.sum("_n").cast("long").alias("CLAIMS"), F.sum("_r").cast("long").alias("REJECTED")])
 
 
 def backlog_by_region(ctx) -> DataFrame:
     s = ctx.star
-    g = s.dim_geography().select("GEOGRAPHY_KEY", "REGION")
     f = s.fact_claims().where(F.col("CLAIM_STATUS").isin("Open", "Pending Review", "Stalled")
                               & F.col("CLOSE_DATE").isNull())
     age = F.datediff(F.lit(ctx.as_of), F.col("OPEN_DATE"))
-    return f.join(g, "GEOGRAPHY_KEY").groupBy("REGION").agg(
-        F.count(F.lit(1)).alias("BACKLOG_COUNT"), avg_round(age, 0).alias("AVG_AGE_DAYS"))
+    return _rollup_through(f, "GEOGRAPHY_KEY", s.dim_geography(), ["REGION"], [],
+                           [F.count(F.lit(1)).alias("_n"), F.sum(age).alias("_age"), F.count(age).alias("_age_n")],
+                           [F.sum("_n").cast("long").alias("BACKLOG_COUNT"),
+                            round_div(F.sum("_age"), F.sum("_age_n"), 0).alias("AVG_AGE_DAYS")])
 
 
 def subrogation_pending(ctx) -> DataFrame:
     """Closed claims with subrogation: count and amounts by region."""
     s = ctx.star
-    g = s.dim_geography().select("GEOGRAPHY_KEY", "REGION")
     f = s.fact_claims().where((F.col("CLAIM_STATUS") == "Closed") & F.col("SUBROGATION_INDICATOR"))
-    return f.join(g, "GEOGRAPHY_KEY").groupBy("REGION").agg(
-        F.count(F.lit(1)).alias("CLAIMS"), sum_money("SUBROGATION_AMOUNT").alias("SUBROGATION"),
-        sum_money("RECOVERY_AMOUNT").alias("RECOVERY"))
+    return _rollup_through(f, "GEOGRAPHY_KEY", s.dim_geography(), ["REGION"], [],
+                           [F.count(F.lit(1)).alias("_n"), F.sum("SUBROGATION_AMOUNT").alias("_s"),
+                            F.sum("RECOVERY_AMOUNT").alias("_r")],
+                           [F.sum("_n").cast("long").alias("CLAIMS"),
+                            F.coalesce(F.sum("_s"), F.lit(0)).cast("decimal(38,2)").alias("SUBROGATION"),
+                            F.coalesce(F.sum("_r"), F.lit(0)).cast("decimal(38,2)").alias("RECOVERY")])
+
 
 
 # -- A-2 / P-2 ------------------------------------------------------------------------

@@ -232,21 +232,51 @@ class SemanticModel:
     def _df(self, logical: str) -> DataFrame:
         return self.ctx.star.by_name(self.table(logical).table)
 
-    def _metric_col(self, m: Metric) -> Column:
-        src = F.expr(ROW_FACTS[m.expr][1]) if m.expr in ROW_FACTS else F.col(m.expr)
+    def _source(self, m: Metric) -> Column:
+        return F.expr(ROW_FACTS[m.expr][1]) if m.expr in ROW_FACTS else F.col(m.expr)
+
+    def _partials(self, m: Metric) -> list[Column]:
+        """Partial aggregates of a metric (exact: integer counts, decimal sums)."""
+        src = self._source(m)
         if m.kind == "count":
-            return F.count(src)
+            return [F.count(src).alias(f"_n_{m.name}")]
         if m.kind == "avg":
-            return avg_round(src, 2)
-        if m.expr in ROW_FACTS:
-            return F.sum(src).cast("long")
-        return F.sum(src).cast("decimal(38,2)")
+            return [F.sum(src).alias(f"_s_{m.name}"), F.count(src).alias(f"_n_{m.name}")]
+        return [F.sum(src).alias(f"_s_{m.name}")]
 
-    def _fact_frame(self, fact: str, dims: list[Dimension]) -> DataFrame:
-        """The fact with every requested dimension column attached by left
-        joins along the relationship paths (each path joined once)."""
+    def _final(self, m: Metric) -> Column:
+        if m.kind == "count":
+            return F.coalesce(F.sum(f"_n_{m.name}"), F.lit(0)).cast("long")
+        if m.kind == "avg":
+            return round_div(F.sum(f"_s_{m.name}"), F.sum(f"_n_{m.name}"), 2)
+        if m.expr in ROW_FACTS:
+            return F.sum(f"_s_{m.name}").cast("long")
+        return F.sum(f"_s_{m.name}").cast("decimal(38,2)")
+
+    def _fact_frame(self, fact: str, dims: list[Dimension], metrics: list[Metric],
+                    fact_filters: dict) -> DataFrame:
+        """The fact pre-aggregated by the foreign keys its dimensions are
+        reached through (plus the requested fact-level columns), then joined
+        along the relationship paths. Pre-aggregation shrinks the fact to one
+        row per key combination before any join, so a dimension too large to
+        broadcast only meets the reduced rows; the partial sums and counts
+        are exact, so the final metrics are unchanged."""
         base = self._df(fact)
-        out = base.alias(fact)
+        for d, v in fact_filters.items():
+            c = F.col(d.column)
+            base = base.where(c.isin(*v) if isinstance(v, (list, tuple, set)) else c == v)
+        fks, own = [], []
+        for d in dims:
+            if d.table == fact:
+                own.append(d.column)
+            else:
+                first = self.join_path(fact, d.table)[0].from_column
+                if first not in fks:
+                    fks.append(first)
+        keys = fks + [c for c in own if c not in fks]
+        parts = [p for m in metrics for p in self._partials(m)]
+        pre = base.groupBy(*keys).agg(*parts) if keys else base.agg(*parts)
+        out = pre.alias(fact)
         joined = {fact}
         for d in dims:
             for r in self.join_path(fact, d.table):
@@ -269,12 +299,15 @@ class SemanticModel:
         parts = []
         for fact, fms in by_fact.items():
             need = ds + [d for d in filt if d not in ds]
-            frame = self._fact_frame(fact, need)
+            own_filters = {d: v for d, v in filt.items() if d.table == fact}
+            frame = self._fact_frame(fact, need, fms, own_filters)
             for d, v in filt.items():
+                if d.table == fact:
+                    continue
                 c = F.col(f"{d.table}.{d.column}")
                 frame = frame.where(c.isin(*v) if isinstance(v, (list, tuple, set)) else c == v)
             keys = [F.col(f"{d.table}.{d.column}").alias(d.name) for d in ds]
-            aggs = [self._metric_col(m).alias(m.name) for m in fms]
+            aggs = [self._final(m).alias(m.name) for m in fms]
             parts.append(frame.groupBy(*keys).agg(*aggs) if keys else frame.agg(*aggs))
         out = parts[0]
         names = [d.name for d in ds]
