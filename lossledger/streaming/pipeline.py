@@ -34,7 +34,7 @@ from lossledger.plans.incremental import (claim_change_feed, claim_fact_rows, ex
                                           new_geography_rows, policy_change_feed)
 from lossledger.plans.star import build_fact_expense
 from lossledger.streaming.cdc import BucketedTable, merge_batch_fn, run_change_stream, shared_dir
-from lossledger.streaming.runlog import RunLog, run_history
+from lossledger.streaming.runlog import RunLog, record_progress, run_history
 
 ROUNDS = 3
 
@@ -123,9 +123,10 @@ def run_incremental(ctx, buckets: int = 8) -> dict:
         for name, table, build, drops, changes in tasks:
             drops[i].write.mode("append").parquet(f"{changes}/drop={i}")
             on_batch = merge_batch_fn(table, build, log, name)
-            run_change_stream(spark, f"{changes}/*", drops[i].schema, on_batch, f"{base}/checkpoints/{name}")
+            q = run_change_stream(spark, f"{changes}/*", drops[i].schema, on_batch, f"{base}/checkpoints/{name}")
+            record_progress(spark, f"{base}/progress", name, q.recentProgress)
     return {"FACT_CLAIMS": claims_t, "FACT_CLAIM_EXPENSE": expense_t, "DIM_POLICY": policy_t, "log": log,
-            "geo_path": geo_path}
+            "geo_path": geo_path, "progress_path": f"{base}/progress"}
 
 
 def stream_fact_claims(ctx) -> DataFrame:

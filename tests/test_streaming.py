@@ -28,6 +28,10 @@ def test_incremental_streams(ctx):
     assert (hist["INCR_FACT_CLAIMS"]["SUCCEEDED"], hist["INCR_FACT_CLAIMS"]["SKIPPED"]) == (2, 1)
     assert hist["INCR_FACT_EXPENSE"]["SUCCEEDED"] == 2          # drop 0, then the retry file
     assert all(h["FAILED"] == 0 for h in hist.values())
+    from lossledger.streaming.runlog import recent_runs
+    assert recent_runs(out["log"].read(), per_task=2).count() == 6
+    progress = ctx.spark.read.parquet(out["progress_path"])
+    assert progress.where("NUM_INPUT_ROWS > 0").count() >= 3
 
 
 def test_bucketed_merge_replay(ctx):
