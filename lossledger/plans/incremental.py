@@ -225,19 +225,39 @@ def litigation_change_feed(ctx) -> DataFrame:
 def merge_fact_claims_all_sources_from(ctx, claim_feed: DataFrame, financial_feed: DataFrame,
                                        litigation_feed: DataFrame, target: DataFrame | None = None) -> DataFrame:
     """FACT_CLAIMS refreshed for every claim touched by a CLAIMS, FINANCIAL_DATA
-    or LITIGATION change (the original only reacted to CLAIMS changes). Each
-    source is first brought to its new state (upsert), then the fact rows of
-    the union of changed claim ids are rebuilt and merged."""
+    or LITIGATION change (the original only reacted to CLAIMS changes). The
+    fact rows of the union of changed claim ids are rebuilt from the new
+    state of each source and merged.
+
+    Only the changed claims' slice of each source is brought to its new
+    state: an upsert decides every key on its own rows, so restricting the
+    sources to the changed claim ids *before* the upsert gives the same
+    slice as upserting the whole table and filtering afterwards, without a
+    full outer join (and shuffle) of every raw table. The id set is as small
+    as the change feeds, so AQE can broadcast it into the semi joins."""
     s = ctx.star
     target = target if target is not None else s.fact_claims()
-    claims = upsert(ctx.raw.claims(), claim_feed, ["CLAIM_ID"])
-    fin = upsert(ctx.raw.financial_data(), financial_feed, ["FINANCIAL_ID"])
-    lit = upsert(ctx.raw.litigation(with_id=False), litigation_feed, ["CLAIM_ID"])
     ids = (net_changes(claim_feed, ["CLAIM_ID"]).select("CLAIM_ID")
            .unionByName(net_changes(financial_feed, ["FINANCIAL_ID"]).select("CLAIM_ID"))
            .unionByName(net_changes(litigation_feed, ["CLAIM_ID"]).select("CLAIM_ID"))
            .distinct())
-    changed = claims.join(ids, "CLAIM_ID", "left_semi")
+
+    def in_ids(df: DataFrame) -> DataFrame:
+        return df.join(ids, "CLAIM_ID", "left_semi")
+
+    # keyed by CLAIM_ID: restricting the target to the ids is exact (every
+    # key a feed inserts is one of the ids; DELETE rows are not applied)
+    changed = upsert(in_ids(ctx.raw.claims()), claim_feed, ["CLAIM_ID"])
+    lit = upsert(in_ids(ctx.raw.litigation(with_id=False)), litigation_feed, ["CLAIM_ID"])
+    # keyed by FINANCIAL_ID: a change that carries every column replaces the
+    # row whether or not it matched, so the target may be cut to the ids and
+    # the result filtered by its (possibly changed) CLAIM_ID; otherwise the
+    # whole table is upserted first
+    fin_all = ctx.raw.financial_data()
+    if set(fin_all.columns) <= set(financial_feed.columns):
+        fin = in_ids(upsert(in_ids(fin_all), financial_feed, ["FINANCIAL_ID"]))
+    else:
+        fin = in_ids(upsert(fin_all, financial_feed, ["FINANCIAL_ID"]))
     rows = build_fact_claims(changed, fin, lit, s.dim_geography(), s.dim_loss_cause(), ctx.fraud_rule)
     rows = rows.select("*", F.lit("INSERT").alias("action"), F.lit(0).cast("long").alias("seq"))
     return upsert(target, rows, ["CLAIM_KEY"])
