@@ -68,12 +68,22 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def edge_check(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
     """One row: non-NULL child keys, NULL child keys, and child rows whose key
-    has no parent (left-anti join against the parent's keys)."""
-    keys = child.select(F.col(fk).alias("_k"))
-    orphans = keys.where(F.col("_k").isNotNull()).join(parent.select(F.col(pk).alias("_k")), "_k", "left_anti")
-    total = keys.agg(F.count("_k").alias("CHILD_KEYS"), count_if(F.col("_k").isNull()).alias("NULL_KEYS"))
-    bad = orphans.agg(F.count(F.lit(1)).alias("ORPHAN_ROWS"))
-    return total.crossJoin(bad)
+    has no parent.
+
+    The child is first reduced to one row per key value with its row count
+    (partial aggregation map-side), so a hot key is summed before the shuffle
+    and only distinct keys meet the parent's distinct keys in a left join.
+    One aggregation over that join gives all three counts."""
+    per_key = child.groupBy(F.col(fk).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    parents = parent.select(F.col(pk).alias("_k")).where(F.col("_k").isNotNull()).distinct() \
+        .withColumn("_p", F.lit(True))
+    j = per_key.join(parents, "_k", "left")
+    k, n = F.col("_k"), F.col("_n")
+
+    def total(cond):
+        return F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("long")
+    return j.agg(total(k.isNotNull()).alias("CHILD_KEYS"), total(k.isNull()).alias("NULL_KEYS"),
+                 total(k.isNotNull() & F.col("_p").isNull()).alias("ORPHAN_ROWS"))
 
 
 def orphan_keys(ctx) -> DataFrame:

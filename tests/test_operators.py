@@ -116,3 +116,13 @@ def test_broadcast_if_small(spark):
     df = spark.range(100)
     assert is_small(df, 100) and not is_small(df, 99)
     assert broadcast_if_small(df, 10)[1] is False
+
+
+def test_edge_check_counts(spark):
+    from lossledger.plans.quality import edge_check
+    child = spark.createDataFrame([(1,)] * 50 + [(2,), (3,), (3,), (None,), (None,)], "k int")
+    parent = spark.createDataFrame([(1,), (1,), (2,), (None,)], "pk int")
+    row = edge_check(child, "k", parent, "pk").collect()
+    assert [tuple(r) for r in row] == [(53, 2, 2)]          # hot key 1; key 3 is an orphan twice
+    empty = edge_check(child.where("false"), "k", parent, "pk").collect()
+    assert [tuple(r) for r in empty] == [(0, 0, 0)]
