@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lossledger.llm import langid, sentencepiece_codec, token_counts
+from lossledger.llm import exact_dedup, langid, mixing, sentencepiece_codec, sharding, token_counts
 from lossledger.llm.common import documents
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -32,6 +32,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), BYTE_BPE)
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(documents(spark, sf_dir)).drop("stratum", "key")
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_language_id, op4_token_counts)}
-SQL: dict[str, str] = {}
+    f.__name__: f for f in (op1_sentencepiece, op2_language_id, op4_token_counts, op6_sharding, op8_mixing, op9_exact_dedup)}
+SQL: dict[str, str] = {"op6_sharding": sharding.SQL, "op8_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL}
