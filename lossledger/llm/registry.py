@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lossledger.llm import exact_dedup, langid, mixing, sentencepiece_codec, sharding, token_counts
+from lossledger.llm import exact_dedup, langid, line_dedup, mixing, sentencepiece_codec, sharding, token_counts
 from lossledger.llm.common import documents
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -28,6 +28,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir), PIECES)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), BYTE_BPE)
 
@@ -45,5 +49,5 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_language_id, op4_token_counts, op6_sharding, op8_mixing, op9_exact_dedup)}
-SQL: dict[str, str] = {"op6_sharding": sharding.SQL, "op8_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_line_dedup, op4_token_counts, op6_sharding, op8_mixing, op9_exact_dedup)}
+SQL: dict[str, str] = {"op3_line_dedup": line_dedup.SQL, "op6_sharding": sharding.SQL, "op8_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL}
