@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lossledger.llm import exact_dedup, hyperminhash, langid, line_dedup, mixing, sentencepiece_codec, sharding, token_counts
+from lossledger.llm import exact_dedup, hyperminhash, imatch, langid, line_dedup, mixing, sentencepiece_codec, sharding, token_counts
 from lossledger.llm.common import documents
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -40,6 +40,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.stability(documents(spark, sf_dir))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(documents(spark, sf_dir)).drop("stratum", "key")
 
@@ -53,5 +57,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_line_dedup, op4_token_counts, op6_sharding, op8_mixing, op9_exact_dedup, op10_near_dedup)}
+    f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_line_dedup, op4_token_counts, op6_sharding, op7_fingerprints, op8_mixing, op9_exact_dedup, op10_near_dedup)}
 SQL: dict[str, str] = {"op3_line_dedup": line_dedup.SQL, "op6_sharding": sharding.SQL, "op8_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL}
