@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lossledger.llm import exact_dedup, hyperminhash, imatch, langid, line_dedup, mixing, sentencepiece_codec, sharding, token_counts
+from lossledger.llm import exact_dedup, hyperminhash, imatch, langid, line_dedup, mixing, sentencepiece_codec, sharding, suffix_dedup, token_counts
 from lossledger.llm.common import documents
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -36,6 +36,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), BYTE_BPE)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(documents(spark, sf_dir)).drop("kept")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
@@ -57,5 +61,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_line_dedup, op4_token_counts, op6_sharding, op7_fingerprints, op8_mixing, op9_exact_dedup, op10_near_dedup)}
+    f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_line_dedup, op4_token_counts, op5_suffix_dedup, op6_sharding, op7_fingerprints, op8_mixing, op9_exact_dedup, op10_near_dedup)}
 SQL: dict[str, str] = {"op3_line_dedup": line_dedup.SQL, "op6_sharding": sharding.SQL, "op8_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL}
