@@ -40,6 +40,9 @@ def ship_code(spark: SparkSession) -> None:
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, str(p.relative_to(top.parent)))
+        pipeline = top.parent / "corpus_pipeline.py"
+        if pipeline.exists():
+            z.write(pipeline, pipeline.name)
     sc.addPyFile(target)
     sc._lossledger_shipped = True
 

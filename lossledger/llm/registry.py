@@ -60,6 +60,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this package
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_line_dedup, op4_token_counts, op5_suffix_dedup, op6_sharding, op7_fingerprints, op8_mixing, op9_exact_dedup, op10_near_dedup)}
+    f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_line_dedup, op4_token_counts, op5_suffix_dedup, op6_sharding, op7_fingerprints, op8_mixing, op9_exact_dedup, op10_near_dedup, pipeline)}
 SQL: dict[str, str] = {"op3_line_dedup": line_dedup.SQL, "op6_sharding": sharding.SQL, "op8_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL}
