@@ -29,6 +29,16 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def boxed(df: DataFrame, **columns) -> DataFrame:
+    """`row`, all columns of `df` as one struct, and the given columns: no name of the input can clash with them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
+def unboxed(rows: DataFrame, columns: list[str], **changed) -> DataFrame:
+    """The columns of the struct `row` again, those named in `changed` replaced."""
+    return rows.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns])
+
+
 def ship_code(spark: SparkSession) -> None:
     """Hand this library to the executors, once per application, as Spark distributes Python files."""
     sc = spark.sparkContext

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lossledger.llm.common import BLANKS, id_and_text, written
+from lossledger.llm.common import BLANKS, boxed, id_and_text, unboxed, written
 
 
 def normalised(text: Column) -> Column:
@@ -49,8 +49,9 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", conten
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `df` that stay, all columns kept; ids are expected to be unique."""
-    stay = written(groups(df, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep")), "exact-kept")
-    return df.join(stay, F.col(id_col).cast("long") == F.col("_keep"), "left_semi")
+    stay = written(groups(df, id_col, text_col).where("kept").select("doc_id"), "exact-kept")
+    rows = boxed(df, id=F.col(id_col).cast("long"))
+    return unboxed(rows.join(stay, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi"), df.columns)
 
 
 SQL = """

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lossledger.llm.common import discard, id_and_text, ship_code, written
+from lossledger.llm.common import boxed, discard, id_and_text, ship_code, unboxed, written
 from lossledger.llm.shingles import U, mix, pieces, shingle_sets
 
 BUCKET_BITS, MANTISSA = 7, 10
@@ -258,5 +258,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `df` that stay: of each component the one with the smallest id. All columns are kept."""
-    stay = written(near_duplicates(df, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep")).distinct(), "near-kept")
-    return df.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    stay = written(near_duplicates(df, id_col, text_col).where("kept").select("doc_id").distinct(), "near-kept")
+    rows = boxed(df, id=F.col(id_col).cast("long"))
+    return unboxed(rows.join(stay, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi"), df.columns)

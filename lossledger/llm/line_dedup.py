@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lossledger.llm.common import discard, written
+from lossledger.llm.common import boxed, discard, unboxed, written
 
 #: A run of this many lines is deleted where it occurs again.
 RUN_LINES = 2
@@ -39,9 +39,9 @@ PLACE = ["_d", "_t", "idx"]
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`df` with the document's key: its id (a null below all others) and a hash that tells texts under one id apart."""
-    return df.withColumns({"_d": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))),
-                           "_t": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    """`row` and `text` of `df` with the document's key: its id (a null below all others) and a hash that tells texts under one id apart."""
+    text = F.col(text_col)
+    return boxed(df, text=text, _d=F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), _t=F.xxhash64(F.coalesce(text, F.lit(""))))
 
 
 def lines_of(text: Column) -> Column:
@@ -50,7 +50,7 @@ def lines_of(text: Column) -> Column:
 
 def line_table(df: DataFrame, m: int, id_col: str, text_col: str) -> DataFrame:
     """A row per line that is not blank: place, lines of its document, line id (a, b), and where m lines from it begin and end."""
-    every = F.transform(lines_of(F.col(text_col)), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
+    every = F.transform(lines_of(F.col("text")), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
     items = keyed(df, id_col, text_col).select("_d", "_t", F.filter(every, lambda s: s["line"].rlike(NOT_BLANK)).alias("items"))
     rows = items.select("_d", "_t", F.size("items").alias("of"), F.transform("items", lambda s: s["at"]).alias("ats"),
                         F.posexplode("items").alias("idx", "item"))
@@ -132,28 +132,28 @@ def maximal_runs(copies: DataFrame) -> DataFrame:
 
 
 def _stripped(df: DataFrame, m: int, id_col: str, text_col: str) -> DataFrame:
-    """`df` with its documents' keys, `_runs` (null where nothing is deleted) and `_text`, what is left."""
+    """`keyed` with `runs` (null where nothing is deleted) and `left`, what is left of the text."""
     _, intervals = suffix_array(df, m, id_col, text_col)
-    runs = written(maximal_runs(later_copies(intervals)), "runs").withColumnRenamed("runs", "_runs")
-    inside = lambda i: F.exists("_runs", lambda r: (i >= r["first"]) & (i <= r["last"]))
-    left = F.array_join(F.filter(lines_of(F.col(text_col)), lambda x, i: ~inside(i)), "\n")
-    return keyed(df, id_col, text_col).join(runs, ["_d", "_t"], "left").withColumn("_text", F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(left))
+    runs = written(maximal_runs(later_copies(intervals)), "runs")
+    inside = lambda i: F.exists("runs", lambda r: (i >= r["first"]) & (i <= r["last"]))
+    left = F.array_join(F.filter(lines_of(F.col("text")), lambda x, i: ~inside(i)), "\n")
+    return keyed(df, id_col, text_col).join(runs, ["_d", "_t"], "left").withColumn("left", F.when(F.col("runs").isNull(), F.col("text")).otherwise(left))
 
 
 def deduplicated(df: DataFrame, m: int = RUN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`df` without the lines of later copies; a document that loses all its lines goes, all other columns stay."""
-    out = _stripped(df, m, id_col, text_col).where(F.col("_runs").isNull() | F.col("_text").rlike(NOT_BLANK))
-    return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in df.columns])
+    out = _stripped(df, m, id_col, text_col).where(F.col("runs").isNull() | F.col("left").rlike(NOT_BLANK))
+    return unboxed(out, df.columns, **{text_col: F.col("left")})
 
 
 def report(df: DataFrame, m: int = RUN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines (not blank), n_removed, n_runs, kept_sha256 of what is left."""
     count = lambda c: F.size(F.filter(lines_of(F.col(c)), lambda x: x.rlike(NOT_BLANK))).cast("long")
     out = _stripped(df.select(id_col, text_col), m, id_col, text_col)
-    return out.select(F.col(id_col).cast("long").alias("doc_id"), count(text_col).alias("n_lines"),
-                      (count(text_col) - count("_text")).alias("n_removed"),
-                      F.coalesce(F.size("_runs"), F.lit(0)).cast("long").alias("n_runs"),
-                      F.sha2(F.coalesce("_text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select(F.col(f"row.{id_col}").cast("long").alias("doc_id"), count("text").alias("n_lines"),
+                      (count("text") - count("left")).alias("n_removed"),
+                      F.coalesce(F.size("runs"), F.lit(0)).cast("long").alias("n_runs"),
+                      F.sha2(F.coalesce("left", F.lit("")), 256).alias("kept_sha256"))
 
 
 SQL = """

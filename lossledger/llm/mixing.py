@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lossledger.llm.common import WORDS, seeded_key, slice_count, written
+from lossledger.llm.common import WORDS, boxed, seeded_key, slice_count, unboxed, written
 from lossledger.llm.sharding import hash_share
 
 WEIGHTS, BUDGET, MOST, SEED = (3, 1, 2), 1.5, 2, 8
@@ -85,18 +85,17 @@ def mixed(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
 
     A copy that the mix takes in part holds its first words, one blank between them.
     """
-    taken = plan(df, weights, budget, most, seed, id_col, text_col, source_col).where("taken > 0")
-    nth = F.row_number().over(Window.partitionBy("_id").orderBy("_stratum", "_size"))  # pairs off rows that repeat an id
-    left = df.withColumns({"_id": F.col(id_col).cast("long"), "_stratum": stratum(F.col(source_col)), "_size": word_count(F.col(text_col))}).withColumn("_nth", nth)
-    right = taken.select(F.col("doc_id").alias("_id"), F.col("stratum").alias("_stratum"), F.col("size").alias("_size"), "taken").withColumn("_nth", nth)
-    right = right.select(F.col("_id").alias("_rid"), F.col("_nth").alias("_rnth"), F.col("taken").alias("_taken"))
-    left = left.where(F.col("_size") > 0)
-    rows = left.join(right, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_nth") == F.col("_rnth")))
-    copies = F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int")))
-    words = F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")).cast("int")
-    start = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORDS), F.lit(0)), F.lit(1), words))
-    rows = rows.withColumn("_copy", copies).withColumn("_words", words)
-    return rows.select(*[F.when(F.col("_words") < F.col("_size"), start).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in df.columns])
+    taken = plan(df, weights, budget, most, seed, id_col, text_col, source_col).where("size > 0")
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("stratum", "size"))  # pairs off rows that repeat an id
+    left = boxed(df, id=F.col(id_col).cast("long"), text=F.col(text_col), stratum=stratum(F.col(source_col)), size=word_count(F.col(text_col)))
+    left = left.where("size > 0").withColumn("nth", nth)
+    right = taken.withColumnRenamed("doc_id", "id").withColumn("nth", nth).select(F.col("id").alias("rid"), F.col("nth").alias("rnth"), "taken")
+    rows = left.join(right, F.col("id").eqNullSafe(F.col("rid")) & (F.col("nth") == F.col("rnth"))).where("taken > 0")
+    copies = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
+    start = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORDS), F.lit(0)), F.lit(1), F.col("words")))
+    rows = rows.withColumn("copy", copies).withColumn("words", words)
+    return unboxed(rows, df.columns, **{text_col: F.when(F.col("words") < F.col("size"), start).otherwise(F.col("text"))})
 
 
 SQL = f"""
