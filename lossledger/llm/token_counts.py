@@ -121,6 +121,28 @@ class TokenCounter:
             total += 1 if s is None else sum([get[c] for c in self.chunks(s)])
         return total
 
+    def count_and_cut(self, text: str, tokens: int) -> tuple[int, int]:
+        """All tokens of the text, and the UTF-8 bytes of its first `tokens` ones; only the chunk at the border is looked into."""
+        total, done, cut, get = 0, 0, -1, self.totals
+        for s in self.stretches(text):
+            chunks = [None] if s is None else self.chunks(s)
+            sizes = [1] if s is None else [get[c] for c in chunks]
+            here = sum(sizes)
+            if cut < 0 and total + here > tokens:
+                before = list(accumulate(sizes, initial=total))
+                k = bisect_right(before, tokens) - 1
+                cut = len(text[:done + (sum(map(len, chunks[:k])) if s is not None else 0)].encode())
+                left = tokens - before[k]
+                for word in self.words.findall(chunks[k]) if s is not None else ():
+                    table = self.tables[word.encode()]
+                    cut += table.cut(left)
+                    left -= table.counts[-1]
+                    if left < 0:
+                        break
+            total += here
+            done += len(s) if s is not None else len(self.special.match(text, done)[0])
+        return total, cut if cut >= 0 else len(text.encode())
+
     def chunks(self, s: str) -> list[str]:
         """Cut at each single blank between words; the words of a chunk don't depend on its neighbours."""
         if not s:
@@ -195,8 +217,8 @@ def token_counts(df: DataFrame, tokenizer_path: str, limit: int = 1024, id_col:
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                size, n = len(text.encode()), counter.count(text)
-                rows.append((size, n, n > limit, counter.table(text).cut(limit) if n > limit else size))
+                n, cut = counter.count_and_cut(text, limit)
+                rows.append((len(text.encode()), n, n > limit, cut))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int64()), strict=True))],

@@ -113,6 +113,7 @@ def test_token_counts_equal_the_library_at_every_prefix():
         offsets = [len(text[:b].encode()) for _, b in library.encode(text, add_special_tokens=False).offsets]
         for limit in (0, 1, 3, 1000):
             cut = table.cut(limit)
+            assert own.count_and_cut(text, limit) == (table.total(), cut)
             assert cut <= len(text.encode()) and (limit < len(offsets) or cut == len(text.encode()))
 
 
