@@ -10,13 +10,12 @@ the shared exchanges inside that plan).
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_AS_OF = dt.date(2001, 8, 1)
-DEFAULT_DATE_START = dt.date(1995, 1, 1)
-DEFAULT_DATE_END = dt.date(2002, 12, 31)
 
 
 @dataclass
@@ -24,13 +23,11 @@ class Context:
     spark: SparkSession
     sf_dir: str
     as_of: dt.date = DEFAULT_AS_OF
-    date_start: dt.date = DEFAULT_DATE_START
-    date_end: dt.date = DEFAULT_DATE_END
     fraud_rule: str = "score"
     catastrophic_loss: int = 25_000_000_000
     raw_dir: str | None = None    # read materialised raw tables from here when given
     star_dir: str | None = None   # read star tables from here when given
-    source: str = "driver"        # "driver": tables mapped from sf_dir; "seed": generated seed tables
+    tables: Callable | None = None  # raw tables from a Context, instead of those mapped from sf_dir
     _cache: dict = field(default_factory=dict, repr=False)
 
     def table(self, name: str) -> DataFrame:
@@ -51,9 +48,8 @@ class Context:
     # relations behind them — are released as soon as the context is dropped.
     @property
     def raw(self):
-        if self.source == "seed":
-            from lossledger.sources.seeds import SeedTables
-            return SeedTables(self)
+        if self.tables:
+            return self.tables(self)
         from lossledger.sources.raw import RawTables
         return RawTables(self)
 

@@ -5,16 +5,16 @@ A window with no PARTITION BY moves every row into a single task. Instead:
 1. range-partition the rows on the order columns (partition i holds only keys
    smaller than partition i+1) and sort inside each partition;
 2. tag each row with its partition id and its position inside the partition
-   (`monotonically_increasing_id` = partition id << 33 | position);
-3. count rows per partition — one small row per partition — and turn the
-   counts into start offsets with a running sum over those few rows;
-4. key = offset(partition) + position + 1, joined back through a broadcast of
-   the offsets table, whose size is the partition count (bounded by config,
-   not by the data).
+   (`monotonically_increasing_id` = partition id << 33 | position) and write
+   the tagged rows once to the shared folder;
+3. count rows per partition of that copy (one small row per partition) and
+   turn the counts into start offsets with a running sum over those few rows;
+4. key = offset(partition) + position + 1, on the same copy, joined through a
+   broadcast of the offsets, whose size is the partition count.
 
-The order columns must identify a row (the callers number DISTINCT rows),
-which makes the result deterministic and therefore safe to recompute after
-an executor is lost.
+Range bounds are sampled anew in each evaluation, so rows and counts taken
+from two evaluations would not fit each other; both come from one written
+copy, which also survives a lost executor.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lossledger.shared import written
+
 _POS_BITS = 33
 
 
@@ -35,9 +37,8 @@ def sequential_key(df: DataFrame, order_cols: list, key_name: str,
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = [_order(c) for c in order_cols]
     ranged = df.repartitionByRange(n, *ordered).sortWithinPartitions(*ordered)
-    tagged = (ranged
-              .withColumn("_kp", F.spark_partition_id())
-              .withColumn("_kpos", F.monotonically_increasing_id()))
+    tagged = written(ranged.withColumn("_kp", F.spark_partition_id())
+                     .withColumn("_kpos", F.monotonically_increasing_id()), "keys")
     counts = tagged.groupBy("_kp").agg(F.count(F.lit(1)).alias("_kn"))
     before = Window.orderBy("_kp").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_kp", F.coalesce(F.sum("_kn").over(before), F.lit(0)).alias("_koff"))

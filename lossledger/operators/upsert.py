@@ -7,24 +7,29 @@
 * by default only INSERT rows count (new rows and after-images of updates;
   a DELETE is ignored), which is what the original change-stream MERGE did;
   `apply_deletes=True` removes keys whose latest change is a DELETE;
-* a full outer join on the keys carries explicit matched flags, so a NULL
-  that arrives in the change wins over the old value (a `coalesce` would
-  silently keep the old one);
+* the changes carry an explicit matched flag, so a NULL that arrives in the
+  change wins over the old value (a `coalesce` would silently keep the old one);
 * matched rows take `update_cols` from the change and every other column
   from the target; new keys take every column from the change.
 
-Both inputs shuffle once on the keys (sort-merge or, when AQE measures one
-side as small, broadcast hash join); nothing is collected to the driver.
-Writing the result to a fresh version directory (`write_version`) keeps a
-retry of the same batch idempotent.
+The target is never shuffled for a small feed. The net changes are written
+once, so the planner knows their size, and the merge is three joins that can
+all broadcast them: target LEFT JOIN changes for the rows that stay, target
+LEFT SEMI JOIN changes for the keys that matched (no more than there are
+changes), and changes LEFT ANTI JOIN those keys for the rows that are new. A
+feed above Spark's broadcast threshold is sort-merge joined instead.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lossledger.operators.latest import latest_per_key
+from lossledger.shared import written
 
 
 def net_changes(changes: DataFrame, keys: list[str], seq_col: str = "seq", action_col: str = "action",
@@ -41,35 +46,22 @@ def upsert(target: DataFrame, changes: DataFrame, keys: list[str], update_cols:
     update = set(update_cols if update_cols is not None else [c for c in cols if c not in keys])
     net = net_changes(changes, keys, seq_col, action_col, apply_deletes)
     src_cols = [c for c in cols if c in net.columns]
-    s = net.select(*[F.col(c).alias(f"_s_{c}") for c in src_cols],
-                   F.col(action_col).alias("_s_action"), F.lit(True).alias("_s"))
-    t = target.select(*[F.col(c).alias(f"_t_{c}") for c in cols], F.lit(True).alias("_t"))
-    cond = None
-    for k in keys:
-        c = F.col(f"_t_{k}") == F.col(f"_s_{k}")
-        cond = c if cond is None else cond & c
-    j = t.join(s, cond, "full")
-    matched = F.col("_t").isNotNull() & F.col("_s").isNotNull()
-    new = F.col("_t").isNull()
-    out = []
-    for c in cols:
-        dtype = target.schema[c].dataType
-        if c in keys:
-            out.append(F.coalesce(F.col(f"_t_{c}"), F.col(f"_s_{c}")).cast(dtype).alias(c))
-        elif c in src_cols:
-            take_src = new | (matched & F.lit(c in update))
-            out.append(F.when(take_src, F.col(f"_s_{c}")).otherwise(F.col(f"_t_{c}")).cast(dtype).alias(c))
-        else:
-            out.append(F.col(f"_t_{c}").cast(dtype).alias(c))
-    res = j
-    if apply_deletes:
-        res = res.where(F.col("_s").isNull() | (F.col("_s_action") != "DELETE"))
-    return res.select(*out)
+    s = written(net.select(*[F.col(c).alias(f"_s_{c}") for c in src_cols],
+                           F.col(action_col).alias("_s_action"), F.lit(True).alias("_s")), "changes")
+    t = target.select(*[F.col(c).alias(f"_t_{c}") for c in cols])
+    on = reduce(and_, [F.col(f"_t_{k}") == F.col(f"_s_{k}") for k in keys])
+    matched = F.col("_s").isNotNull()
 
+    def typed(col, c):
+        return col.cast(target.schema[c].dataType).alias(c)
 
-def write_version(df: DataFrame, base_path: str, version: int) -> str:
-    """Write a table version to `<base>/v=<version>`; rewriting the same
-    version (a retried batch) replaces it, so the write is idempotent."""
-    path = f"{base_path.rstrip('/')}/v={int(version)}"
-    df.write.mode("overwrite").parquet(path)
-    return path
+    old = t.join(s, on, "left")
+    same_key = t.select(*[F.col(f"_t_{k}") for k in keys]).join(s.select(*[f"_s_{k}" for k in keys]), on, "left_semi").distinct()
+    new = s.join(same_key, on, "left_anti")
+    if apply_deletes:
+        old = old.where(~matched | (F.col("_s_action") != "DELETE"))
+        new = new.where(F.col("_s_action") != "DELETE")
+    take = [c for c in src_cols if c in update and c not in keys]
+    old = old.select(*[typed(F.when(matched, F.col(f"_s_{c}")).otherwise(F.col(f"_t_{c}")) if c in take else F.col(f"_t_{c}"), c) for c in cols])
+    new = new.select(*[typed(F.col(f"_s_{c}") if c in src_cols else F.lit(None), c) for c in cols])
+    return old.unionByName(new)

@@ -13,7 +13,7 @@ DECIMAL(38,k), matching the decimal quotient Spark computes.
 
 from __future__ import annotations
 
-from lossledger.context import DEFAULT_AS_OF, DEFAULT_DATE_END, DEFAULT_DATE_START
+from lossledger.context import DEFAULT_AS_OF
 from lossledger.functions.pick import pick_sql, sql_values
 from lossledger.sources import reference as ref
 
@@ -262,9 +262,8 @@ def _budget_case(sev: str, idx: int) -> str:
     return f"CAST(CASE {parts} ELSE {ref.EXPENSE_BUDGET_DEFAULT[idx]} END AS INTEGER)"
 
 
-def star_ctes(date_start=DEFAULT_DATE_START, date_end=DEFAULT_DATE_END) -> list[tuple[str, str]]:
-    n_days = (date_end - date_start).days + 1
-    dim_date = f"""
+def star_ctes() -> list[tuple[str, str]]:
+    dim_date = """
 SELECT d AS DATE_KEY,
   CAST(year(d) AS INTEGER) AS YEAR, CAST(quarter(d) AS INTEGER) AS QUARTER, CAST(month(d) AS INTEGER) AS MONTH,
   strftime(d, '%b') AS MONTH_NAME, CAST(day(d) AS INTEGER) AS DAY_OF_MONTH,
@@ -275,7 +274,13 @@ SELECT d AS DATE_KEY,
   CAST(date_trunc('month', d) AS DATE) AS FIRST_DAY_OF_MONTH,
   CAST(last_day(d) AS DATE) AS LAST_DAY_OF_MONTH,
   CAST(date_trunc('quarter', d) AS DATE) AS FIRST_DAY_OF_QUARTER
-FROM (SELECT CAST(DATE '{date_start.isoformat()}' + CAST(i AS INTEGER) AS DATE) AS d FROM range({n_days}) t(i))"""
+FROM (SELECT CAST(d AS DATE) AS d FROM (
+  SELECT unnest(generate_series(CAST(date_trunc('year', lo) AS DATE),
+                                CAST(date_trunc('year', hi) + INTERVAL 1 YEAR - INTERVAL 1 DAY AS DATE),
+                                INTERVAL 1 DAY)) AS d
+  FROM (SELECT MIN(x) AS lo, MAX(x) AS hi
+        FROM (SELECT LOSS_DATE AS x FROM r_claims UNION ALL SELECT PAYMENT_DATE FROM r_financial
+              UNION ALL SELECT EXPENSE_DATE FROM r_expense))))"""
 
     dim_claim_type = ("SELECT LOB_ID AS CLAIM_TYPE_KEY, LOB_NAME AS CLAIM_TYPE, LOB_LEAD AS CLAIM_TYPE_LEAD, "
                       "LOB_CATEGORY AS CLAIM_CATEGORY FROM r_lob")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lossledger.functions.pick import sql_values
-from lossledger.oracle.base import AS_OF, star_ctes, with_base
+from lossledger.oracle.base import AS_OF, with_base
 from lossledger.plans.star import FACT_CLAIMS_COLUMNS
 from lossledger.sources import reference as ref
 
@@ -15,15 +15,7 @@ TABLES["dim_geography"] = with_base("SELECT * FROM dim_geography")
 TABLES["dim_loss_cause"] = with_base("SELECT * FROM dim_loss_cause")
 TABLES["dim_policy"] = with_base("SELECT * FROM dim_policy")
 
-_dim_date_body = dict(star_ctes())["dim_date"]
-_dim_date_select = _dim_date_body[:_dim_date_body.index("FROM (SELECT CAST(DATE")]
-TABLES["dim_date"] = with_base(_dim_date_select + """FROM (
-  SELECT CAST(d AS DATE) AS d FROM (
-    SELECT unnest(generate_series(CAST(date_trunc('year', lo) AS DATE),
-                                  CAST(date_trunc('year', hi) + INTERVAL 1 YEAR - INTERVAL 1 DAY AS DATE),
-                                  INTERVAL 1 DAY)) AS d
-    FROM (SELECT MIN(x) AS lo, MAX(x) AS hi
-          FROM (SELECT LOSS_DATE AS x FROM r_claims UNION ALL SELECT PAYMENT_DATE FROM r_financial))))""")
+TABLES["dim_date"] = with_base("SELECT * FROM dim_date")
 
 TABLES["insurance_details"] = with_base("""
 SELECT i.INSURED_ID, i.FIRST_NAME, i.LAST_NAME, i.PHONE, i.EMAIL, p.POLICY_ID, p.POLICY_NUMBER, p.POLICY_STATUS,

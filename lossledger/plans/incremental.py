@@ -121,6 +121,28 @@ def new_geography_rows(dim_geo: DataFrame, claims: DataFrame, spark) -> DataFram
         F.coalesce("REGION", F.lit("Unknown")).alias("REGION"), "CITY", "ZIP_CODE")
 
 
+def new_cause_rows(dim_cause: DataFrame, claims: DataFrame, spark) -> DataFrame:
+    """DIM_LOSS_CAUSE rows for causes in `claims` that the dimension lacks,
+    keyed after its largest key; a cause missing from the reference list has
+    a NULL category."""
+    cand = claims.where(F.col("LOSS_CAUSE").isNotNull()).select("LOSS_CAUSE")
+    new = extend_keys(dim_cause, cand, ["LOSS_CAUSE"], "LOSS_CAUSE_KEY")
+    out = new.join(F.broadcast(ref.loss_causes(spark)), "LOSS_CAUSE", "left")
+    return out.withColumn("IS_WEATHER_RELATED", F.coalesce("IS_WEATHER_RELATED", F.lit(False))).select(*dim_cause.columns)
+
+
+def extended_causes(ctx, claims: DataFrame) -> DataFrame:
+    cause = ctx.star.dim_loss_cause()
+    return cause.unionByName(new_cause_rows(cause, claims, ctx.spark))
+
+
+def extended_dimensions(ctx, claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Geography and loss-cause dimensions with rows for what `claims` adds,
+    so that no fact row of a changed claim gets a NULL key."""
+    geo = ctx.star.dim_geography()
+    return geo.unionByName(new_geography_rows(geo, claims, ctx.spark)), extended_causes(ctx, claims)
+
+
 def claim_fact_rows(ctx, feed: DataFrame, apply_deletes: bool = False,
                     dim_geo: DataFrame | None = None) -> DataFrame:
     """Changed claims rebuilt into FACT_CLAIMS rows (+ action, seq): the
@@ -128,13 +150,11 @@ def claim_fact_rows(ctx, feed: DataFrame, apply_deletes: bool = False,
     static side of the joins. Addresses the geography dimension does not
     know yet are keyed first (`new_geography_rows`), so no fact row gets a
     NULL geography key."""
-    s = ctx.star
     net = net_changes(feed, ["CLAIM_ID"], apply_deletes=apply_deletes)
     changed = net.select(*ctx.raw.claims().columns)
-    geo = dim_geo if dim_geo is not None else s.dim_geography()
-    geo = geo.unionByName(new_geography_rows(geo, changed, ctx.spark))
+    geo, cause = extended_dimensions(ctx, changed) if dim_geo is None else (dim_geo, extended_causes(ctx, changed))
     rebuilt = build_fact_claims(changed, ctx.raw.financial_data(), ctx.raw.litigation(with_id=False),
-                                geo, s.dim_loss_cause(), ctx.fraud_rule)
+                                geo, cause, ctx.fraud_rule)
     return rebuilt.join(net.select(F.col("CLAIM_ID").alias("CLAIM_KEY"), "action", "seq"), "CLAIM_KEY")
 
 
@@ -258,7 +278,7 @@ def merge_fact_claims_all_sources_from(ctx, claim_feed: DataFrame, financial_fee
         fin = in_ids(upsert(in_ids(fin_all), financial_feed, ["FINANCIAL_ID"]))
     else:
         fin = in_ids(upsert(fin_all, financial_feed, ["FINANCIAL_ID"]))
-    rows = build_fact_claims(changed, fin, lit, s.dim_geography(), s.dim_loss_cause(), ctx.fraud_rule)
+    rows = build_fact_claims(changed, fin, lit, *extended_dimensions(ctx, changed), ctx.fraud_rule)
     rows = rows.select("*", F.lit("INSERT").alias("action"), F.lit(0).cast("long").alias("seq"))
     return upsert(target, rows, ["CLAIM_KEY"])
 

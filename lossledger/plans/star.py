@@ -1,7 +1,7 @@
 """Star schema: six dimensions and two facts.
 
 Build choices where the two published versions of the model disagree:
-date range and fraud rule are parameters; unknown loss causes are kept with a
+the calendar spans the data; the fraud rule is a parameter; unknown loss causes are kept with a
 NULL category; geography is de-duplicated before numbering; policy status has
 Active / Expired / Future at `as_of`; a claim without a catastrophe has a NULL
 weather-event key; money is coalesced to 0; days-to-open runs from the
@@ -70,10 +70,15 @@ def date_dimension(days: DataFrame, col: str = "DATE_KEY") -> DataFrame:
     )
 
 
-def date_spine(spark, start, end) -> DataFrame:
-    """One row per day in [start, end], generated in parallel by spark.range."""
-    n = (end - start).days + 1
-    return spark.range(n).select(F.date_add(F.lit(start), F.col("id").cast("int")).alias("DATE_KEY"))
+def date_spine(dates: DataFrame) -> DataFrame:
+    """One row per day from 1 January of the first year to 31 December of the
+    last year among the dates given (one column). The day list comes from
+    the one-row bounds with `sequence`: its length is the calendar span, not
+    the data size."""
+    d = F.col(dates.columns[0])
+    bounds = dates.agg(F.min(d).alias("lo"), F.max(d).alias("hi")).where(F.col("lo").isNotNull())
+    return bounds.select(F.explode(F.sequence(
+        F.trunc("lo", "year"), F.date_add(F.add_months(F.trunc("hi", "year"), 12), -1))).alias("DATE_KEY"))
 
 
 class StarSchema:
@@ -89,8 +94,14 @@ class StarSchema:
 
     # -- dimensions --------------------------------------------------------
     def dim_date(self) -> DataFrame:
-        return self._m("DIM_DATE", lambda: date_dimension(
-            date_spine(self.spark, self.ctx.date_start, self.ctx.date_end)))
+        """Every calendar year that a loss, payment or expense date falls in,
+        so a report that joins facts to it on any of them drops none."""
+        def build():
+            dates = (self.raw.claims().select(F.col("LOSS_DATE").alias("d"))
+                     .unionByName(self.raw.financial_data().select(F.col("PAYMENT_DATE").alias("d")))
+                     .unionByName(self.raw.claims_expense().select(F.col("EXPENSE_DATE").alias("d"))))
+            return date_dimension(date_spine(dates))
+        return self._m("DIM_DATE", build)
 
     def dim_claim_type(self) -> DataFrame:
         def build():
@@ -172,27 +183,29 @@ class StarSchema:
             "FACT_CLAIMS": self.fact_claims, "FACT_CLAIM_EXPENSE": self.fact_claim_expense,
         }[name]()
 
-    def write(self, out_dir: str, max_broadcast_rows: int | None = None) -> None:
+    def write(self, out_dir: str) -> None:
         """Materialise the star under out_dir/<TABLE>: dimensions first; the
-        facts are then built from the *written* dimensions (lineage cut, and
-        their sizes can be checked: a dimension within the bound is
-        broadcast, a larger one keeps the shuffle / narrow-lookup join)."""
-        from lossledger.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_small
-        bound = max_broadcast_rows or DEFAULT_MAX_BROADCAST_ROWS
+        facts are then built from the *written* dimensions, whose file sizes
+        Spark knows when it picks the joins.
+
+        Facts are range-partitioned by DATE_KEY (with the claim key as a
+        second column, so a day with many claims is split) and sorted: each
+        file then covers a narrow range of days, and a pushed-down date filter
+        skips the files and row groups of other days."""
         for name in STAR_TABLES[:6]:
             self.by_name(name).write.mode("overwrite").parquet(f"{out_dir}/{name}")
         read = {n: self.spark.read.parquet(f"{out_dir}/{n}") for n in STAR_TABLES[:6]}
-        geo, geo_small = broadcast_if_small(read["DIM_GEOGRAPHY"], bound)
-        cause, _ = broadcast_if_small(read["DIM_LOSS_CAUSE"], bound)
         fact = build_fact_claims(self.raw.claims(), self.raw.financial_data(), self.raw.litigation(with_id=False),
-                                 geo, cause, self.ctx.fraud_rule, geo_broadcast=geo_small)
-        # each task sorts its own rows by date before writing (no extra
-        # shuffle): parquet row groups then carry narrow DATE_KEY min/max
-        # statistics, so pushed-down date filters skip most row groups
-        fact.sortWithinPartitions("DATE_KEY").write.mode("overwrite").parquet(f"{out_dir}/FACT_CLAIMS")
+                                 read["DIM_GEOGRAPHY"], read["DIM_LOSS_CAUSE"], self.ctx.fraud_rule)
+        by_date(fact).write.mode("overwrite").parquet(f"{out_dir}/FACT_CLAIMS")
         written = self.spark.read.parquet(f"{out_dir}/FACT_CLAIMS")
-        build_fact_expense(self.raw.claims_expense(), written).sortWithinPartitions("DATE_KEY").write.mode(
-            "overwrite").parquet(f"{out_dir}/FACT_CLAIM_EXPENSE")
+        by_date(build_fact_expense(self.raw.claims_expense(), written)).write.mode("overwrite").parquet(
+            f"{out_dir}/FACT_CLAIM_EXPENSE")
+
+
+def by_date(fact: DataFrame) -> DataFrame:
+    """The fact's rows range-partitioned and sorted by date, then claim."""
+    return fact.repartitionByRange("DATE_KEY", "CLAIM_KEY").sortWithinPartitions("DATE_KEY", "CLAIM_KEY")
 
 
 def weather_event_rows(cat: DataFrame, catastrophic_loss: int) -> DataFrame:
@@ -221,19 +234,11 @@ def geography_keys(claims: DataFrame, dim_geo: DataFrame) -> DataFrame:
 
 
 def build_fact_claims(claims: DataFrame, financial: DataFrame, litigation: DataFrame,
-                      dim_geo: DataFrame, dim_cause: DataFrame, fraud_rule: str = "score",
-                      geo_broadcast: bool = False) -> DataFrame:
+                      dim_geo: DataFrame, dim_cause: DataFrame, fraud_rule: str = "score") -> DataFrame:
     """FACT_CLAIMS: one row per claim (all left joins on unique keys, so the
     row count equals CLAIMS). The financial, litigation and geography-key
     inputs are all keyed by claim id, so the wide claim rows are shuffled
-    once, by claim id, and every join reuses that partitioning.
-    `geo_broadcast=True` (the caller checked the dimension's size and wrapped
-    it in a broadcast) joins the address columns directly instead."""
-    if geo_broadcast:
-        g0 = dim_geo.select("GEOGRAPHY_KEY", "STATE_CODE", "CITY", "ZIP_CODE")
-        c0 = claims.join(g0, (claims.CLAIM_STATE == g0.STATE_CODE) & (claims.CLAIM_CITY == g0.CITY)
-                         & (claims.CLAIM_ZIP == g0.ZIP_CODE), "left").drop("STATE_CODE", "CITY", "ZIP_CODE")
-        return _fact_from(c0, financial, litigation, None, dim_cause, fraud_rule)
+    once, by claim id, and every join reuses that partitioning."""
     return _fact_from(claims, financial, litigation, geography_keys(claims, dim_geo), dim_cause, fraud_rule)
 
 
@@ -246,11 +251,8 @@ def _fact_from(claims, financial, litigation, geo_keys, dim_cause, fraud_rule):
     lc = dim_cause.select("LOSS_CAUSE_KEY", "LOSS_CAUSE", "IS_WEATHER_RELATED", "WEATHER_CONDITION_MAPPING").alias("lc")
     j = (c.join(f, F.col("c.CLAIM_ID") == F.col("f.CLAIM_ID"), "left")
          .join(lit, F.col("c.CLAIM_ID") == F.col("l.CLAIM_ID"), "left"))
-    if geo_keys is not None:
-        j = j.join(geo_keys.alias("g"), F.col("c.CLAIM_ID") == F.col("g.CLAIM_ID"), "left")
-        geo_key = F.col("g.GEOGRAPHY_KEY")
-    else:
-        geo_key = F.col("c.GEOGRAPHY_KEY")
+    j = j.join(geo_keys.alias("g"), F.col("c.CLAIM_ID") == F.col("g.CLAIM_ID"), "left")
+    geo_key = F.col("g.GEOGRAPHY_KEY")
     j = j.join(lc, F.col("c.LOSS_CAUSE") == F.col("lc.LOSS_CAUSE"), "left")
     zero = F.lit(0).cast("decimal(15,2)")
 

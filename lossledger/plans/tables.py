@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lossledger.plans.star import date_dimension
 from lossledger.sources import reference as ref
 from lossledger.operators.keys import small_sequential_key
 
@@ -32,16 +31,7 @@ def dim_policy(ctx) -> DataFrame:
 
 
 def dim_date(ctx) -> DataFrame:
-    """DIM_DATE over the calendar years the claims actually span: from 1 Jan
-    of the first loss year to 31 Dec of the last payment year. The day list
-    is generated from the one-row bounds with `sequence` (its length is the
-    calendar span, not the data size)."""
-    c = ctx.raw.claims().select("LOSS_DATE")
-    p = ctx.raw.financial_data().select(F.col("PAYMENT_DATE").alias("LOSS_DATE"))
-    b = c.unionByName(p).agg(F.min("LOSS_DATE").alias("lo"), F.max("LOSS_DATE").alias("hi"))
-    days = b.select(F.explode(F.sequence(F.trunc("lo", "year"),
-                                         F.date_add(F.add_months(F.trunc("hi", "year"), 12), -1))).alias("DATE_KEY"))
-    return date_dimension(days)
+    return ctx.star.dim_date()
 
 
 def insurance_details(ctx) -> DataFrame:

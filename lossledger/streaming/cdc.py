@@ -22,28 +22,17 @@ one record to a run log (see `runlog`).
 from __future__ import annotations
 
 import time
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lossledger.operators.upsert import upsert
+from lossledger.shared import shared_dir  # noqa: F401 — the run's folders
 from lossledger.streaming.runlog import RunLog
 
 BUCKET = "_bucket"
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh directory under the cluster's shared checkpoint folder
-    (spark.checkpoint.dir). Only when the session names none (local tests)
-    is a local default used."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "/tmp/lossledger-checkpoints"
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/lossledger/{name}-{uuid.uuid4().hex[:12]}"
-
-
 class BucketedTable:
     def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int = 64):
         self.spark = spark

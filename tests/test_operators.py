@@ -1,8 +1,10 @@
 """Operators on small hand-made inputs (the fixture cases of the spec)."""
 
 import datetime as dt
+import re
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -111,11 +113,50 @@ def test_extend_keys(spark):
     assert extend_keys(again, cand, ["x"], "k").count() == 0
 
 
-def test_broadcast_if_small(spark):
-    from lossledger.operators.joins import broadcast_if_small, is_small
-    df = spark.range(100)
-    assert is_small(df, 100) and not is_small(df, 99)
-    assert broadcast_if_small(df, 10)[1] is False
+@pytest.mark.parametrize("parts", [4, 8, 16])
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_sequential_key_with_payload(spark, parts, reuse):
+    """Columns that the counting side does not need must not let the two sides see different ranges."""
+    conf = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.exchange.reuse": reuse}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        orders = spark.read.parquet("/root/testdata/sf0.1/orders.parquet")
+        got = sequential_key(orders, ["o_orderkey"], "key").select("o_orderkey", "o_comment" if "o_comment" in orders.columns else "o_totalprice", "key")
+        rows = sorted((r[0], r[2]) for r in got.collect())
+        assert [k for _, k in rows] == list(range(1, orders.count() + 1))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_upsert_does_not_shuffle_the_target(spark, tmp_path):
+    from lossledger.operators.upsert import upsert
+    path = str(tmp_path / "target")
+    spark.range(2_000_000).withColumn("v", F.col("id") * 2).write.parquet(path)
+    target = spark.read.parquet(path)
+    feed = spark.createDataFrame([(5, 0, "INSERT", 1), (2_000_001, 7, "INSERT", 2), (6, None, "INSERT", 3)],
+                                 "id long, v long, action string, seq long")
+    out = upsert(target, feed, ["id"])
+    out.write.format("noop").mode("overwrite").save()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # Both joins that read the target broadcast the changes; what is shuffled is the matched keys, no more than the changes.
+    assert "FullOuter" not in plan
+    for kind in ("LeftOuter", "LeftSemi"):
+        assert re.search(rf"BroadcastHashJoin[^\n]*{kind}", plan) and not re.search(rf"SortMergeJoin[^\n]*{kind}", plan)
+    got = {r["id"]: r["v"] for r in out.where("id in (5, 6, 7, 2000001)").collect()}
+    assert got == {5: 0, 6: None, 7: 14, 2_000_001: 7} and out.count() == 2_000_001
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    from types import SimpleNamespace
+
+    from lossledger.shared import shared_dir
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session, "x")
 
 
 def test_edge_check_counts(spark):

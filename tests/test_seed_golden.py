@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from lossledger.context import Context
 from lossledger.plans import reports as R
+from tests.seeds import SeedTables
 
 
 @pytest.fixture(scope="module")
 def seed(spark):
-    return Context(spark, "", as_of=dt.date(2026, 4, 1), date_start=dt.date(2020, 1, 1),
-                   date_end=dt.date(2026, 12, 31), source="seed")
+    return Context(spark, "", as_of=dt.date(2026, 4, 1), tables=SeedTables)
 
 
 def test_seed_row_counts(seed):

@@ -24,3 +24,47 @@ def test_fact_files_sorted_by_date_and_filter_pushed(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "GreaterThanOrEqual(DATE_KEY" in plan
         assert "ReadSchema: struct<CLAIM_KEY" in plan and "PAID_AMOUNT" not in plan
+
+
+def test_month_filter_reads_only_that_months_files(spark, tmp_path):
+    """Facts are range-partitioned by date: a month's rows lie in few files."""
+    from lossledger.context import Context
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        star = str(tmp_path / "star")
+        Context(spark, SMALL).star.write(star)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spans = []
+    for f in glob.glob(f"{star}/FACT_CLAIMS/*.parquet"):
+        days = [d for d in pq.read_table(f, columns=["DATE_KEY"]).column(0).to_pylist() if d]
+        if days:
+            spans.append((min(days), max(days)))
+    spans.sort()
+    assert len(spans) >= 4 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_claims_of_any_year_reach_the_reports(spark):
+    """A loss outside the years of the other claims is counted: the calendar spans the data."""
+    from lossledger.context import Context
+    from lossledger.plans import reports
+
+    class Shifted:
+        """The driver's raw tables with one claim moved to 1987."""
+        def __init__(self, ctx):
+            self.real = Context(ctx.spark, ctx.sf_dir).raw
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+        def claims(self):
+            c = self.real.claims()
+            first = c.agg(F.min("CLAIM_ID")).first()[0]
+            old = F.lit("1987-05-05").cast("date")
+            return c.withColumn("LOSS_DATE", F.when(F.col("CLAIM_ID") == first, old).otherwise(F.col("LOSS_DATE")))
+
+    ctx = Context(spark, SMALL, tables=Shifted)
+    rows = {r["QUARTER"]: r["CNT"] for r in reports.quarter_severity(ctx).where("QUARTER = '1987-Q2'").collect()}
+    assert sum(rows.values()) == 1
+    total = reports.quarter_severity(ctx).agg(F.sum("CNT")).first()[0]
+    assert total == ctx.raw.claims().where("LOSS_DATE is not null").count()
