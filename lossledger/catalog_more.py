@@ -17,9 +17,11 @@ from lossledger.plans import quality
 
 for _k in ["orphan_keys", "primary_key_check", "relationship_map", "fk_coverage", "required_tables",
            "build_validation", "numeric_histogram", "category_top_n", "numeric_profile", "null_profile",
-           "distinct_counts"]:
+           "distinct_counts", "numeric_profile_events", "histogram_event_value", "histogram_event_id"]:
     register(_k, getattr(quality, _k), _QUALITY_SQL[_k])
-register("table_inventory", quality.table_inventory)  # schema-derived columns: rows-only check
+# schema-derived columns: rows-only check
+register("table_inventory", quality.table_inventory)
+register("column_inventory", quality.column_inventory)
 
 from lossledger.oracle.semantic import SEMANTIC as _SEM_SQL
 from lossledger.plans import semantic as _sem
@@ -39,6 +41,7 @@ for _k in ["cdc_net_changes", "merge_fact_claims", "merge_fact_expense", "merge_
 
 from lossledger.streaming import pipeline as _stream
 
-# writes change files and table versions under spark.checkpoint.dir; no SQL oracle
-register("stream_fact_claims", _stream.stream_fact_claims)
-register("run_history", _stream.stream_run_history)
+# these write change files and tables under spark.checkpoint.dir
+register("stream_fact_claims", _stream.stream_fact_claims, _INC_SQL["stream_fact_claims"])
+register("run_history", _stream.stream_run_history, _INC_SQL["run_history"])
+register("stream_status", _stream.stream_status, _INC_SQL["stream_status"])

@@ -41,7 +41,10 @@ def net_changes(changes: DataFrame, keys: list[str], seq_col: str = "seq", actio
 
 
 def upsert(target: DataFrame, changes: DataFrame, keys: list[str], update_cols: list[str] | None = None,
-           seq_col: str = "seq", action_col: str = "action", apply_deletes: bool = False) -> DataFrame:
+           seq_col: str = "seq", action_col: str = "action", apply_deletes: bool = False,
+           applied_col: str | None = None) -> DataFrame:
+    """The merged table. With `applied_col` (a column of both sides, the seq
+    a row was last changed by) a change only counts where it is newer."""
     cols = target.columns
     update = set(update_cols if update_cols is not None else [c for c in cols if c not in keys])
     net = net_changes(changes, keys, seq_col, action_col, apply_deletes)
@@ -51,6 +54,8 @@ def upsert(target: DataFrame, changes: DataFrame, keys: list[str], update_cols:
     t = target.select(*[F.col(c).alias(f"_t_{c}") for c in cols])
     on = reduce(and_, [F.col(f"_t_{k}") == F.col(f"_s_{k}") for k in keys])
     matched = F.col("_s").isNotNull()
+    if applied_col:
+        matched = matched & (F.col(f"_t_{applied_col}").isNull() | (F.col(f"_s_{applied_col}") > F.col(f"_t_{applied_col}")))
 
     def typed(col, c):
         return col.cast(target.schema[c].dataType).alias(c)

@@ -106,3 +106,20 @@ INC["merge_fact_claims_all_sources"] = with_base(
      ("a_lit", _apply(LIT_CORE, "l_net", "CLAIM_ID")),
      ("a_ids", "SELECT CLAIM_ID FROM c_net UNION SELECT CLAIM_ID FROM f_net UNION SELECT CLAIM_ID FROM l_net"),
      ("a_fact", _all_fact)])
+
+
+# -- streaming runs: the drops of each task, and what its runs log ------------------
+INC["stream_fact_claims"] = INC["merge_fact_claims"]
+_DROPS = """
+SELECT 'INCR_DIM_POLICY' AS TASK, 0 AS drop_no, COUNT(*) AS input_rows, COUNT(*) FILTER (action = 'INSERT') AS n FROM p_feed
+UNION ALL
+SELECT 'INCR_FACT_CLAIMS', CASE WHEN seq % 10 <= 1 THEN 0 ELSE 1 END, COUNT(*), COUNT(*) FILTER (action = 'INSERT') FROM c_feed GROUP BY 2
+UNION ALL
+SELECT 'INCR_FACT_EXPENSE', 0, COUNT(*), COUNT(*) FILTER (action = 'INSERT') FROM e_feed"""
+_FEEDS = [("c_feed", CLAIM_FEED), ("e_feed", EXPENSE_FEED), ("p_feed", POLICY_FEED), ("drops", _DROPS)]
+INC["run_history"] = with_base("""
+SELECT TASK, CAST(3 AS BIGINT) AS TOTAL_RUNS, COUNT(*) FILTER (input_rows > 0) AS SUCCEEDED,
+  3 - COUNT(*) FILTER (input_rows > 0) AS SKIPPED, CAST(0 AS BIGINT) AS FAILED, CAST(SUM(n) AS BIGINT) AS ROWS, 'SKIPPED' AS CURRENT_STATE
+FROM drops GROUP BY TASK""", _FEEDS)
+INC["stream_status"] = with_base(
+    "SELECT TASK, COUNT(*) FILTER (input_rows > 0) AS BATCHES_WITH_DATA FROM drops GROUP BY TASK", _FEEDS)

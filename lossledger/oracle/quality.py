@@ -104,9 +104,9 @@ SELECT CLAIM_CITY AS VALUE, COUNT(*) AS COUNT FROM r_claims WHERE CLAIM_CITY IS
 GROUP BY CLAIM_CITY ORDER BY COUNT DESC, VALUE ASC LIMIT 15""")
 
 Q["numeric_profile"] = with_base("\nUNION ALL\n".join(
-    f"SELECT '{c}' AS COLUMN_NAME, MIN(CAST({c} AS DECIMAL(38,2))) AS MIN_VALUE, "
-    f"MAX(CAST({c} AS DECIMAL(38,2))) AS MAX_VALUE, {avg_sql(f'CAST({c} AS DECIMAL(38,2))', 2)} AS AVG_VALUE, "
-    f"COUNT(DISTINCT CAST({c} AS DECIMAL(38,2))) AS DISTINCT_COUNT FROM fact_claims"
+    f"SELECT '{c}' AS COLUMN_NAME, CAST(MIN({c}) AS DECIMAL(38,6)) AS MIN_VALUE, "
+    f"CAST(MAX({c}) AS DECIMAL(38,6)) AS MAX_VALUE, {avg_sql(f'CAST({c} AS DECIMAL(38,2))', 2)} AS AVG_VALUE, "
+    f"COUNT(DISTINCT {c}) AS DISTINCT_COUNT FROM fact_claims"
     for c in NUMERIC_FACT_COLUMNS))
 
 Q["null_profile"] = with_base("\nUNION ALL\n".join(
@@ -117,3 +117,23 @@ Q["null_profile"] = with_base("\nUNION ALL\n".join(
 _keys = ["DATE_KEY", "GEOGRAPHY_KEY", "CLAIM_TYPE_KEY", "LOSS_CAUSE_KEY", "WEATHER_EVENT_KEY", "POLICY_KEY"]
 Q["distinct_counts"] = with_base("SELECT " + ", ".join(f"COUNT(DISTINCT {k}) AS DISTINCT_{k}" for k in _keys)
                                  + " FROM fact_claims")
+
+# -- profiles of a double and of a long column of a given table ---------------------
+Q["numeric_profile_events"] = """
+SELECT 'value' AS COLUMN_NAME, CAST(MIN(value) AS DECIMAL(38,6)) AS MIN_VALUE, CAST(MAX(value) AS DECIMAL(38,6)) AS MAX_VALUE,
+  CAST(ROUND(AVG(value), 2) AS DECIMAL(38,2)) AS AVG_VALUE, COUNT(DISTINCT value) AS DISTINCT_COUNT FROM events
+UNION ALL
+SELECT 'event_id', CAST(MIN(event_id) AS DECIMAL(38,6)), CAST(MAX(event_id) AS DECIMAL(38,6)),
+  CAST(ROUND(CAST(SUM(event_id) AS DECIMAL(38,6)) / COUNT(event_id), 2) AS DECIMAL(38,2)), COUNT(DISTINCT event_id) FROM events"""
+Q["histogram_event_value"] = """
+WITH s AS (SELECT MIN(value) AS mn, MAX(value) AS mx, ROUND(AVG(value), 6) AS MEAN FROM events),
+b AS (SELECT CAST(CASE WHEN mx = mn THEN 0 ELSE least(29, floor((value - mn) * 30 / (mx - mn))) END AS INTEGER) AS BIN, COUNT(*) AS COUNT
+      FROM events, s WHERE value IS NOT NULL GROUP BY 1)
+SELECT BIN, ROUND(mn + (mx - mn) * BIN / 30, 6) AS BIN_LOW, ROUND(mn + (mx - mn) * (BIN + 1) / 30, 6) AS BIN_HIGH, COUNT, MEAN FROM b, s"""
+Q["histogram_event_id"] = """
+WITH s AS (SELECT MIN(event_id) AS mn, MAX(event_id) AS mx,
+             CAST(ROUND(CAST(SUM(event_id) AS DECIMAL(38,6)) / COUNT(event_id), 2) AS DECIMAL(38,2)) AS MEAN FROM events),
+b AS (SELECT CAST(CASE WHEN mx = mn THEN 0 ELSE least(29, ((event_id - mn)::HUGEINT * 30) // (mx - mn)) END AS INTEGER) AS BIN, COUNT(*) AS COUNT
+      FROM events, s WHERE event_id IS NOT NULL GROUP BY 1)
+SELECT BIN, CAST(ROUND(CAST(mn * 30 + (mx - mn) * BIN AS DECIMAL(36,6)) / 30, 2) AS DECIMAL(38,2)) AS BIN_LOW,
+  CAST(ROUND(CAST(mn * 30 + (mx - mn) * (BIN + 1) AS DECIMAL(36,6)) / 30, 2) AS DECIMAL(38,2)) AS BIN_HIGH, COUNT, MEAN FROM b, s"""

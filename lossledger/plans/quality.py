@@ -8,6 +8,7 @@ uniqueness with a group-by on the key.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,34 +69,47 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def edge_check(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
     """One row: non-NULL child keys, NULL child keys, and child rows whose key
-    has no parent.
-
-    The child is first reduced to one row per key value with its row count
-    (partial aggregation map-side), so a hot key is summed before the shuffle
-    and only distinct keys meet the parent's distinct keys in a left join.
-    One aggregation over that join gives all three counts."""
-    per_key = child.groupBy(F.col(fk).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
-    parents = parent.select(F.col(pk).alias("_k")).where(F.col("_k").isNotNull()).distinct() \
-        .withColumn("_p", F.lit(True))
-    j = per_key.join(parents, "_k", "left")
+    has no parent."""
+    return edge_checks(child, [(fk, parent, pk)]).drop("FK")
+
+
+def edge_checks(child: DataFrame, edges: list[tuple[str, DataFrame, str]]) -> DataFrame:
+    """Per foreign key (fk, parent, pk) of one child table a row FK, CHILD_KEYS,
+    NULL_KEYS, ORPHAN_ROWS, from one scan of the child.
+
+    Each row gives one (edge, key) pair per foreign key; pairs are counted
+    map-side first, so a hot key is summed before the shuffle, and only
+    distinct pairs meet the parents' keys (each parent scanned once). One
+    aggregation over that join gives all three counts."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("_e"), F.col(fk).cast("string").alias("_k"))
+                                for i, (fk, _, _) in enumerate(edges)]))
+    per_key = child.select(pairs.alias("p")).groupBy("p._e", "p._k").agg(F.count(F.lit(1)).alias("_n"))
+    parents = _union([parent.select(F.lit(i).alias("_e"), F.col(pk).cast("string").alias("_k")).where(F.col("_k").isNotNull())
+                      for i, (_, parent, pk) in enumerate(edges)]).distinct().withColumn("_p", F.lit(True))
+    j = per_key.join(parents, ["_e", "_k"], "left")
     k, n = F.col("_k"), F.col("_n")
 
     def total(cond):
         return F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("long")
-    return j.agg(total(k.isNotNull()).alias("CHILD_KEYS"), total(k.isNull()).alias("NULL_KEYS"),
-                 total(k.isNotNull() & F.col("_p").isNull()).alias("ORPHAN_ROWS"))
+    counts = j.groupBy("_e").agg(total(k.isNotNull()).alias("CHILD_KEYS"), total(k.isNull()).alias("NULL_KEYS"),
+                                 total(k.isNotNull() & F.col("_p").isNull()).alias("ORPHAN_ROWS"))
+    # An empty child has no pair: its edges still give a row of zeros.
+    names = child.sparkSession.createDataFrame([(i, fk) for i, (fk, _, _) in enumerate(edges)], "_e int, FK string")
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("CHILD_KEYS", "NULL_KEYS", "ORPHAN_ROWS")]
+    return names.join(counts, "_e", "left").select("FK", *zero)
 
 
 def orphan_keys(ctx) -> DataFrame:
-    """Declared foreign keys of the raw tables, checked on the data."""
+    """Declared foreign keys of the raw tables, checked on the data; each child table is scanned once."""
     r = ctx.raw
     parts = []
-    for child, fk, parent, pk in RAW_EDGES:
-        chk = edge_check(r.by_name(child), fk, r.by_name(parent), pk)
-        parts.append(chk.select(F.lit(child).alias("CHILD_TABLE"), F.lit(fk).alias("CHILD_COLUMN"),
-                                F.lit(parent).alias("PARENT_TABLE"), F.lit(pk).alias("PARENT_COLUMN"),
-                                "CHILD_KEYS", "NULL_KEYS", "ORPHAN_ROWS"))
-    return _union(parts)
+    for child in dict.fromkeys(e[0] for e in RAW_EDGES):
+        edges = [e for e in RAW_EDGES if e[0] == child]
+        parts.append(edge_checks(r.by_name(child), [(fk, r.by_name(p).select(pk), pk) for _, fk, p, pk in edges])
+                     .withColumn("CHILD_TABLE", F.lit(child)))
+    named = F.broadcast(ctx.spark.createDataFrame(RAW_EDGES, "CHILD_TABLE string, CHILD_COLUMN string, PARENT_TABLE string, PARENT_COLUMN string"))
+    return _union(parts).withColumnRenamed("FK", "CHILD_COLUMN").join(named, ["CHILD_TABLE", "CHILD_COLUMN"]).select(
+        "CHILD_TABLE", "CHILD_COLUMN", "PARENT_TABLE", "PARENT_COLUMN", "CHILD_KEYS", "NULL_KEYS", "ORPHAN_ROWS")
 
 
 def primary_key_check(ctx) -> DataFrame:
@@ -115,17 +129,15 @@ def primary_key_check(ctx) -> DataFrame:
 
 
 def relationship_map(ctx) -> DataFrame:
-    """Every star-schema foreign key with matched / unmatched / NULL rows."""
+    """Every star-schema foreign key with matched / unmatched / NULL rows; each fact is scanned once as a child."""
     s = ctx.star
-    parts = []
-    for fact, edges in STAR_EDGES.items():
-        for fk, dim, pk in edges:
-            chk = edge_check(s.by_name(fact), fk, s.by_name(dim), pk)
-            parts.append(chk.select(
-                F.lit(fact).alias("FACT_TABLE"), F.lit(fk).alias("FK_COLUMN"), F.lit(dim).alias("DIM_TABLE"),
-                F.lit(pk).alias("DIM_COLUMN"), (F.col("CHILD_KEYS") - F.col("ORPHAN_ROWS")).alias("MATCHED_ROWS"),
-                F.col("ORPHAN_ROWS").alias("UNMATCHED_ROWS"), "NULL_KEYS"))
-    return _union(parts)
+    parts = [edge_checks(s.by_name(fact), [(fk, s.by_name(dim).select(pk), pk) for fk, dim, pk in edges]).withColumn("FACT_TABLE", F.lit(fact))
+             for fact, edges in STAR_EDGES.items()]
+    named = F.broadcast(ctx.spark.createDataFrame([(f, *e) for f, edges in STAR_EDGES.items() for e in edges],
+                                                  "FACT_TABLE string, FK_COLUMN string, DIM_TABLE string, DIM_COLUMN string"))
+    return _union(parts).withColumnRenamed("FK", "FK_COLUMN").join(named, ["FACT_TABLE", "FK_COLUMN"]).select(
+        "FACT_TABLE", "FK_COLUMN", "DIM_TABLE", "DIM_COLUMN", (F.col("CHILD_KEYS") - F.col("ORPHAN_ROWS")).alias("MATCHED_ROWS"),
+        F.col("ORPHAN_ROWS").alias("UNMATCHED_ROWS"), "NULL_KEYS")
 
 
 def fk_coverage(ctx) -> DataFrame:
@@ -141,14 +153,28 @@ def fk_coverage(ctx) -> DataFrame:
         count_if(F.col("IS_WEATHER_RELATED")).alias("WEATHER_RELATED"))
 
 
+def exists(ctx, table: str) -> bool:
+    """The source table can be read: its files are there and have a schema."""
+    try:
+        ctx.raw.by_name(table).schema  # noqa: B018 — resolves the table
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "TABLE_OR_VIEW_NOT_FOUND"):
+            raise
+        return False
+    return True
+
+
 def required_tables(ctx) -> DataFrame:
     """The eight source tables the incremental pipeline needs: found or not,
-    with row counts (a left join of the required list to the tables that
-    exist, so a missing table shows FOUND = false)."""
+    with row counts. Each table is tested for before it is counted, so a
+    missing one shows FOUND = false instead of failing the check."""
     spark = ctx.spark
-    counts = _union([ctx.raw.by_name(t).agg(F.count(F.lit(1)).alias("ROW_COUNT"))
-                     .select(F.lit(t).alias("TABLE_NAME"), "ROW_COUNT") for t in ctx.raw.RAW_TABLES])
     req = spark.createDataFrame([(t,) for t in REQUIRED_SOURCE_TABLES], "TABLE_NAME string")
+    found = [t for t in REQUIRED_SOURCE_TABLES if exists(ctx, t)]
+    if not found:
+        return req.select("TABLE_NAME", F.lit(False).alias("FOUND"), F.lit(None).cast("long").alias("ROW_COUNT"))
+    counts = _union([ctx.raw.by_name(t).agg(F.count(F.lit(1)).alias("ROW_COUNT"))
+                     .select(F.lit(t).alias("TABLE_NAME"), "ROW_COUNT") for t in found])
     j = req.join(counts, "TABLE_NAME", "left")
     return j.select("TABLE_NAME", F.col("ROW_COUNT").isNotNull().alias("FOUND"), "ROW_COUNT")
 
@@ -198,6 +224,19 @@ def numeric_profile(ctx) -> DataFrame:
     return P.numeric_profile(ctx.star.fact_claims())
 
 
+def numeric_profile_events(ctx) -> DataFrame:
+    """A double and a long column of a given table."""
+    return P.numeric_profile(ctx.table("events").select("value", "event_id"))
+
+
+def histogram_event_value(ctx) -> DataFrame:
+    return P.numeric_histogram(ctx.table("events"), "value", 30)
+
+
+def histogram_event_id(ctx) -> DataFrame:
+    return P.numeric_histogram(ctx.table("events"), "event_id", 30)
+
+
 def null_profile(ctx) -> DataFrame:
     return P.null_profile(ctx.star.fact_claims())
 
@@ -209,7 +248,13 @@ def distinct_counts(ctx) -> DataFrame:
     return fc.agg(*[F.count_distinct(k).alias(f"DISTINCT_{k}") for k in keys])
 
 
+def _all_tables(ctx) -> dict[str, DataFrame]:
+    return {t: ctx.raw.by_name(t) for t in ctx.raw.RAW_TABLES} | {t: ctx.star.by_name(t) for t in STAR_TABLES}
+
+
 def table_inventory(ctx) -> DataFrame:
-    tables = {t: ctx.raw.by_name(t) for t in ctx.raw.RAW_TABLES}
-    tables.update({t: ctx.star.by_name(t) for t in STAR_TABLES})
-    return P.table_inventory(tables)
+    return P.table_inventory(_all_tables(ctx))
+
+
+def column_inventory(ctx) -> DataFrame:
+    return P.column_inventory(_all_tables(ctx))

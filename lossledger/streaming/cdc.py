@@ -2,21 +2,25 @@
 
 Change files (table columns + `action` + `seq`) land in a directory; a
 streaming query reads them with the file source and, per micro-batch,
-`foreachBatch` merges the batch into a `BucketedTable`:
-
-* the target is parquet partitioned by `_bucket = pmod(xxhash64(keys), n)`;
-* a batch touches only the buckets of its keys (the list of touched bucket
-  ids is at most `n` integers — bounded by configuration, not data);
-* those buckets are read with partition pruning, upserted, written to a
-  per-batch staging directory, then swapped in with a dynamic partition
-  overwrite — so a micro-batch rewrites only the buckets it changes, and a
-  replay of the same batch id rewrites the same buckets with the same rows
-  (idempotent);
+`foreachBatch` appends the target rows they make to a `ChangeTable`:
+
+* a base in parquet, and one folder of changes per micro-batch next to it;
+  nothing that was written is ever written over, so a reader never sees half a
+  merge and a crash leaves the state before the batch;
+* a replay of a batch writes the same rows into that batch's folder again;
+* the current table is the base merged with the changes (`operators.upsert`):
+  the newest `seq` of a key wins whatever batch it came with, so a retry that
+  arrives late cannot undo a newer change, and a DELETE hides its key;
+* `compact` writes base and changes into a new base folder. The rows keep the
+  `seq` they were last changed by, deleted keys included, so older changes
+  that arrive afterwards are still told apart;
 * an empty batch is logged as SKIPPED, mirroring "run only when the stream
   has data".
 
-Offsets and progress live in the streaming checkpoint; every batch appends
-one record to a run log (see `runlog`).
+A batch costs as much as its own rows; a read scans the base once and
+broadcasts the net changes while they are small. Offsets and progress live in
+the streaming checkpoint; every batch appends one record to a run log (see
+`runlog`).
 """
 
 from __future__ import annotations
@@ -27,75 +31,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lossledger.operators.upsert import upsert
-from lossledger.shared import shared_dir  # noqa: F401 — the run's folders
 from lossledger.streaming.runlog import RunLog
 
-BUCKET = "_bucket"
+APPLIED, GONE = "_applied", "_gone"
 
 
-class BucketedTable:
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int = 64):
+class ChangeTable:
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], apply_deletes: bool = False):
         self.spark = spark
         self.path = path.rstrip("/")
         self.keys = keys
-        self.buckets = buckets
+        self.apply_deletes = apply_deletes
 
-    @property
-    def data_path(self) -> str:
-        return f"{self.path}/data"
-
-    def with_bucket(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(BUCKET, F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+    def _folders(self, kind: str) -> list[int]:
+        """Numbers of the complete folders of a kind ("base", "batch"), in order: one name per compaction or batch since."""
+        jvm = self.spark._jvm
+        top = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}-*/_SUCCESS")) or []
+        return sorted(int(st.getPath().getParent().getName().rpartition("-")[2]) for st in found)
 
     def create(self, df: DataFrame) -> None:
-        self.with_bucket(df).write.mode("overwrite").partitionBy(BUCKET).parquet(self.data_path)
+        df.withColumns({APPLIED: F.lit(None).cast("long"), GONE: F.lit(False)}).write.parquet(f"{self.path}/base-0")
+
+    def append(self, rows: DataFrame, batch_id: int) -> None:
+        """Keep the change rows (target columns + action + seq) of one micro-batch; again for a replay."""
+        if not self.apply_deletes:
+            rows = rows.where(F.col("action") == "INSERT")
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch-{int(batch_id)}")
+
+    def _state(self) -> DataFrame:
+        base = self.spark.read.parquet(f"{self.path}/base-{self._folders('base')[-1]}")
+        batches = self._folders("batch")
+        if not batches:
+            return base
+        changes = self.spark.read.parquet(*[f"{self.path}/batch-{b}" for b in batches])
+        changes = changes.withColumns({APPLIED: F.col("seq"), GONE: F.col("action") == "DELETE", "action": F.lit("INSERT")})
+        return upsert(base, changes, self.keys, applied_col=APPLIED)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.data_path).drop(BUCKET)
-
-    def merge(self, rows: DataFrame, batch_id: int, update_cols: list[str] | None = None,
-              apply_deletes: bool = False) -> int:
-        """Upsert change rows (target columns + action + seq); returns the
-        number of buckets rewritten."""
-        src = self.with_bucket(rows)
-        touched = sorted(r[0] for r in src.select(BUCKET).distinct().collect())  # <= self.buckets ints
-        if not touched:
-            return 0
-        cur = self.spark.read.parquet(self.data_path).where(F.col(BUCKET).isin(touched))
-        merged = upsert(cur, src, self.keys, update_cols, apply_deletes=apply_deletes)
-        staging = f"{self.path}/_staging/batch={int(batch_id)}"
-        merged.write.mode("overwrite").partitionBy(BUCKET).parquet(staging)
-        staged = self.spark.read.parquet(staging)
-        prev = self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            staged.select(*cur.columns).write.mode("overwrite").partitionBy(BUCKET).parquet(self.data_path)
-        finally:
-            self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
-        return len(touched)
+        return self._state().where(~F.col(GONE)).drop(APPLIED, GONE)
+
+    def compact(self) -> None:
+        """A new base with all changes in it. Older folders stay for readers that started before; a change that is in the base already counts no second time."""
+        state = self._state()
+        state.write.parquet(f"{self.path}/base-{self._folders('base')[-1] + 1}")
 
 
-def merge_batch_fn(table: BucketedTable, build, log: RunLog, task: str, update_cols=None, apply_deletes=False):
+def merge_batch_fn(table: ChangeTable, build, log: RunLog, task: str):
     """foreachBatch callback: skip empty batches, build target rows from the
-    change rows (`build(batch, batch_id)`), merge, and log the outcome."""
+    change rows (`build(batch, batch_id)`), keep them, and log the outcome."""
     def run(batch: DataFrame, batch_id: int) -> None:
         started = time.time()
         if batch.isEmpty():
             log.record(task, batch_id, "SKIPPED", 0, started, time.time())
             return
-        rows = None
         try:
-            # two actions read the rows (count, merge): cache them for the batch
-            rows = (build(batch, batch_id) if build else batch).persist()
-            n = rows.count()
-            table.merge(rows, batch_id, update_cols, apply_deletes)
+            table.append(build(batch, batch_id) if build else batch, batch_id)
+            n = table.spark.read.parquet(f"{table.path}/batch-{int(batch_id)}").count()
             log.record(task, batch_id, "SUCCEEDED", n, started, time.time())
         except Exception as e:  # noqa: BLE001 — logged, then re-raised to fail the query
             log.record(task, batch_id, "FAILED", 0, started, time.time(), str(e)[:500])
             raise
-        finally:
-            if rows is not None:
-                rows.unpersist()
     return run
 
 

@@ -1,7 +1,7 @@
 """End-to-end incremental runs with Structured Streaming.
 
-Each task keeps one target as a BucketedTable in the shared checkpoint
-folder and consumes its own change directory with a file-source stream:
+Each task keeps one target as a ChangeTable in the shared checkpoint folder
+and consumes its own change directory with a file-source stream:
 
   INCR_DIM_POLICY    POLICY changes        -> DIM_POLICY        by POLICY_KEY
   INCR_FACT_CLAIMS   CLAIMS changes        -> FACT_CLAIMS       by CLAIM_KEY
@@ -9,23 +9,24 @@ folder and consumes its own change directory with a file-source stream:
 
 The change files arrive in drops; after each drop every task runs once with
 an availableNow trigger (the scheduled incremental job), in dependency order
-(policy, claims, expense), and merges only files it has not seen (offsets are
+(policy, claims, expense), and takes only files it has not seen (offsets are
 in each stream's checkpoint). Rules the original left open are handled:
 
-* a claim at an address the geography dimension lacks gets a new key
-  (dimension rows are appended first, keyed after the current maximum);
+* a claim at an address the geography dimension lacks, or with a new loss
+  cause, gets a new key (dimension rows are appended first, keyed after the
+  current maximum);
 * an expense whose claim has not arrived yet is not dropped: the unmatched
   change rows are written back into the expense change directory as a retry
-  file, which the next run picks up — by then the claim is in the fact;
+  file, which the next run picks up, by then with the claim in the fact;
 * an empty batch is logged SKIPPED.
 
-The feeds are derived from the data (`plans.incremental`), plus one claim
-that arrives late (a copy of the newest claim under the next free id) and
-its expense line, which arrives one drop early.
+The drops default to the feeds derived from the data (`plans.incremental`).
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,63 +34,37 @@ from lossledger.operators.upsert import net_changes
 from lossledger.plans.incremental import (claim_change_feed, claim_fact_rows, expense_change_feed,
                                           new_geography_rows, policy_change_feed)
 from lossledger.plans.star import build_fact_expense
-from lossledger.streaming.cdc import BucketedTable, merge_batch_fn, run_change_stream, shared_dir
-from lossledger.streaming.runlog import RunLog, record_progress, run_history
-
-ROUNDS = 3
-
-
-def _with_change(df: DataFrame, key: str, step: int) -> DataFrame:
-    return df.select("*", F.lit("INSERT").alias("action"), (F.col(key) * 10 + step).cast("long").alias("seq"))
-
-
-def late_claim(ctx) -> DataFrame:
-    """A new claim derived from the data: the newest claim copied under the
-    next free claim id (it arrives one drop after its expense line)."""
-    c = ctx.raw.claims()
-    top = c.agg(F.max("CLAIM_ID").alias("_mx"))
-    newest = c.join(F.broadcast(top), c.CLAIM_ID == top._mx).drop("_mx")   # one-row aggregate
-    return newest.withColumn("CLAIM_ID", (F.col("CLAIM_ID") + 1).cast(c.schema["CLAIM_ID"].dataType))
+from lossledger.shared import shared_dir
+from lossledger.streaming.cdc import ChangeTable, merge_batch_fn, run_change_stream
+from lossledger.streaming.runlog import RunLog, recent_runs, record_progress, run_history
 
 
-def early_expense(ctx) -> DataFrame:
-    """The late claim's expense line (arrives before the claim)."""
-    e = ctx.raw.claims_expense()
-    lc = late_claim(ctx).select(F.col("CLAIM_ID").alias("_new"))
-    first = e.join(F.broadcast(e.agg(F.max("CLAIM_ID").alias("_mx"))), e.CLAIM_ID == F.col("_mx")).drop("_mx")
-    first = first.join(F.broadcast(first.agg(F.min("EXPENSE_ID").alias("_me"))), F.col("EXPENSE_ID") == F.col("_me"))
-    return first.crossJoin(F.broadcast(lc)).select(
-        *[(F.col("_new") * 10 + 1).cast(e.schema["EXPENSE_ID"].dataType).alias(c) if c == "EXPENSE_ID"
-          else F.col("_new").cast(e.schema["CLAIM_ID"].dataType).alias(c) if c == "CLAIM_ID" else F.col(c)
-          for c in e.columns])
+def default_drops(ctx) -> dict[str, list[DataFrame]]:
+    """The feeds of `plans.incremental` in three drops: first changes, second changes of the same keys, nothing."""
+    step = F.col("seq") % 10
+    claims, expense, policy = claim_change_feed(ctx), expense_change_feed(ctx), policy_change_feed(ctx)
+    none = F.lit(False)
+    return {"policy": [policy, policy.where(none), policy.where(none)],
+            "claims": [claims.where(step <= 1), claims.where(step >= 2), claims.where(none)],
+            "expense": [expense, expense.where(none), expense.where(none)]}
 
 
-def run_incremental(ctx, buckets: int = 8) -> dict:
+def run_incremental(ctx, drops: dict[str, list[DataFrame]] | None = None) -> dict:
     spark = ctx.spark
+    drops = drops or default_drops(ctx)
     base = shared_dir(spark, "incremental")
     log = RunLog(spark, f"{base}/run_log")
     s = ctx.star
 
-    claims_t = BucketedTable(spark, f"{base}/FACT_CLAIMS", ["CLAIM_KEY"], buckets)
+    claims_t = ChangeTable(spark, f"{base}/FACT_CLAIMS", ["CLAIM_KEY"])
     claims_t.create(s.fact_claims())
-    expense_t = BucketedTable(spark, f"{base}/FACT_CLAIM_EXPENSE", ["EXPENSE_KEY"], buckets)
+    expense_t = ChangeTable(spark, f"{base}/FACT_CLAIM_EXPENSE", ["EXPENSE_KEY"])
     expense_t.create(s.fact_claim_expense())
-    policy_t = BucketedTable(spark, f"{base}/DIM_POLICY", ["POLICY_KEY"], buckets)
+    policy_t = ChangeTable(spark, f"{base}/DIM_POLICY", ["POLICY_KEY"])
     policy_t.create(s.dim_policy())
     geo_path = f"{base}/DIM_GEOGRAPHY"
     s.dim_geography().write.mode("overwrite").parquet(geo_path)
 
-    step = F.col("seq") % 10
-    claim_feed = claim_change_feed(ctx)
-    claim_drops = [claim_feed.where(step <= 1),
-                   claim_feed.where(step >= 2).unionByName(_with_change(late_claim(ctx), "CLAIM_ID", 1)),
-                   claim_feed.where(F.lit(False))]
-    exp_feed = expense_change_feed(ctx)
-    exp_drops = [exp_feed.unionByName(_with_change(early_expense(ctx), "EXPENSE_ID", 1)),
-                 exp_feed.where(F.lit(False)), exp_feed.where(F.lit(False))]
-    pol_feed = policy_change_feed(ctx)
-    pol_drops = [pol_feed, pol_feed.where(F.lit(False)), pol_feed.where(F.lit(False))]
-
     def build_claims(batch, batch_id):
         net = batch.where(F.col("action") == "INSERT")
         new_geo = new_geography_rows(spark.read.parquet(geo_path), net, spark)
@@ -115,15 +90,15 @@ def run_incremental(ctx, buckets: int = 8) -> dict:
         return merge_dim_policy_rows(ctx, batch)
 
     tasks = [
-        ("INCR_DIM_POLICY", policy_t, build_policy, pol_drops, f"{base}/changes/policy"),
-        ("INCR_FACT_CLAIMS", claims_t, build_claims, claim_drops, f"{base}/changes/claims"),
-        ("INCR_FACT_EXPENSE", expense_t, build_expense, exp_drops, exp_changes),
+        ("INCR_DIM_POLICY", policy_t, build_policy, drops["policy"], f"{base}/changes/policy"),
+        ("INCR_FACT_CLAIMS", claims_t, build_claims, drops["claims"], f"{base}/changes/claims"),
+        ("INCR_FACT_EXPENSE", expense_t, build_expense, drops["expense"], exp_changes),
     ]
-    for i in range(ROUNDS):
-        for name, table, build, drops, changes in tasks:
-            drops[i].write.mode("append").parquet(f"{changes}/drop={i}")
+    for i in range(max(len(d) for _, _, _, d, _ in tasks)):
+        for name, table, build, parts, changes in tasks:
+            parts[i].write.mode("append").parquet(f"{changes}/drop={i}")
             on_batch = merge_batch_fn(table, build, log, name)
-            q = run_change_stream(spark, f"{changes}/*", drops[i].schema, on_batch, f"{base}/checkpoints/{name}")
+            q = run_change_stream(spark, f"{changes}/*", parts[i].schema, on_batch, f"{base}/checkpoints/{name}")
             record_progress(spark, f"{base}/progress", name, q.recentProgress)
     return {"FACT_CLAIMS": claims_t, "FACT_CLAIM_EXPENSE": expense_t, "DIM_POLICY": policy_t, "log": log,
             "geo_path": geo_path, "progress_path": f"{base}/progress"}
@@ -134,4 +109,13 @@ def stream_fact_claims(ctx) -> DataFrame:
 
 
 def stream_run_history(ctx) -> DataFrame:
-    return run_history(run_incremental(ctx)["log"].read())
+    """Runs of the last 24 hours per task, at most the 10 latest of each."""
+    day = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None) - dt.timedelta(hours=24)
+    return run_history(recent_runs(run_incremental(ctx)["log"].read(), 10, day))
+
+
+def stream_status(ctx) -> DataFrame:
+    """Per task how many micro-batches of its stream had rows. (The input row counts of a progress record count a
+    batch once per action that reads it, so they are kept in the progress log but not reported.)"""
+    p = ctx.spark.read.parquet(run_incremental(ctx)["progress_path"])
+    return p.groupBy("TASK").agg(F.count_distinct(F.when(F.col("NUM_INPUT_ROWS") > 0, F.col("BATCH_ID"))).alias("BATCHES_WITH_DATA"))

@@ -167,3 +167,37 @@ def test_edge_check_counts(spark):
     assert [tuple(r) for r in row] == [(53, 2, 2)]          # hot key 1; key 3 is an orphan twice
     empty = edge_check(child.where("false"), "k", parent, "pk").collect()
     assert [tuple(r) for r in empty] == [(0, 0, 0)]
+
+
+def test_profiles_keep_each_type(spark):
+    df = spark.createDataFrame([(0.001, 9_000_000_000_000_000_000, Decimal("0.0001")), (0.002, -9_000_000_000_000_000_000, Decimal("0.0002")),
+                                (0.004, 5, Decimal("0.0002")), (None, None, None)], "d double, l long, m decimal(20,4)")
+    got = {r["COLUMN_NAME"]: r for r in P.numeric_profile(df).collect()}
+    assert [got[c]["DISTINCT_COUNT"] for c in ("d", "l", "m")] == [3, 3, 2]
+    assert got["d"]["MIN_VALUE"] == Decimal("0.001") and got["l"]["MAX_VALUE"] == 9_000_000_000_000_000_000
+    approx = {r["COLUMN_NAME"]: r["DISTINCT_COUNT"] for r in P.numeric_profile(df, distinct="approx").collect()}
+    assert approx == {"d": 3, "l": 3, "m": 2}
+    bins = lambda c: {r["BIN"]: r["COUNT"] for r in P.numeric_histogram(df, c, 3).collect()}
+    assert bins("d") == {0: 1, 1: 1, 2: 1} and bins("l") == {0: 1, 1: 1, 2: 1} and bins("m") == {0: 1, 2: 2}
+
+
+def test_required_tables_reports_a_missing_one(spark, tmp_path):
+    import os
+
+    from lossledger.context import Context
+    from lossledger.plans.quality import required_tables
+    for t in ("nation", "customer", "supplier", "orders", "events"):  # no lineitem
+        os.symlink(f"/root/testdata/sf0.001/{t}.parquet", tmp_path / f"{t}.parquet")
+    got = {r["TABLE_NAME"]: r for r in required_tables(Context(spark, str(tmp_path))).collect()}
+    missing = {t for t, r in got.items() if not r["FOUND"]}
+    assert missing and missing < set(got) and all(got[t]["ROW_COUNT"] is None for t in missing)
+
+
+def test_edge_checks_scan_the_child_once(spark, tmp_path):
+    from lossledger.plans.quality import edge_checks
+    path = str(tmp_path / "child")
+    spark.createDataFrame([(1, 5), (2, 6), (None, 7)], "a int, b int").write.parquet(path)
+    parent = spark.createDataFrame([(1,), (5,), (6,)], "k int")
+    out = edge_checks(spark.read.parquet(path), [("a", parent, "k"), ("b", parent, "k")])
+    assert sorted(map(tuple, out.collect())) == [("a", 2, 1, 1), ("b", 3, 0, 1)]
+    assert len(re.findall(r"Relation \[.*\] parquet", out._jdf.queryExecution().optimizedPlan().toString())) == 1

@@ -1,16 +1,40 @@
 """The streaming change-feed run ends in the same table as the batch MERGE,
-skips an empty batch, and replays idempotently."""
+skips an empty batch, and survives replays, retries and late changes."""
 
-from lossledger.plans.incremental import claim_change_feed, claim_fact_rows, merge_fact_claims
-from lossledger.streaming.cdc import BucketedTable, shared_dir
-from lossledger.streaming.runlog import run_history
+from pyspark.sql import functions as F
+
+from lossledger.plans.incremental import claim_change_feed, claim_fact_rows, merge_dim_policy, merge_fact_claims
+from lossledger.shared import shared_dir
+from lossledger.streaming.cdc import ChangeTable
+from lossledger.streaming.pipeline import default_drops, run_incremental
+from lossledger.streaming.runlog import recent_runs, run_history
+
+
+def _with_change(df, key, step):
+    return df.select("*", F.lit("INSERT").alias("action"), (F.col(key) * 10 + step).cast("long").alias("seq"))
+
+
+def late_claim(ctx):
+    """The newest claim copied under the next free claim id (it arrives one drop after its expense line)."""
+    c = ctx.raw.claims()
+    top = c.agg(F.max("CLAIM_ID")).first()[0]
+    return c.where(F.col("CLAIM_ID") == top).withColumn("CLAIM_ID", (F.col("CLAIM_ID") + 1).cast(c.schema["CLAIM_ID"].dataType))
+
+
+def early_expense(ctx):
+    """The late claim's expense line (arrives before the claim)."""
+    e = ctx.raw.claims_expense()
+    new = late_claim(ctx).first()["CLAIM_ID"]
+    first = e.orderBy(F.col("CLAIM_ID").desc(), "EXPENSE_ID").limit(1)
+    return first.withColumns({"EXPENSE_ID": F.lit(new * 10 + 1).cast(e.schema["EXPENSE_ID"].dataType),
+                              "CLAIM_ID": F.lit(new).cast(e.schema["CLAIM_ID"].dataType)})
 
 
 def test_incremental_streams(ctx):
-    from pyspark.sql import functions as F
-    from lossledger.plans.incremental import merge_dim_policy
-    from lossledger.streaming.pipeline import early_expense, late_claim, run_incremental
-    out = run_incremental(ctx)
+    drops = default_drops(ctx)
+    drops["claims"][1] = drops["claims"][1].unionByName(_with_change(late_claim(ctx), "CLAIM_ID", 1))
+    drops["expense"][0] = drops["expense"][0].unionByName(_with_change(early_expense(ctx), "EXPENSE_ID", 1))
+    out = run_incremental(ctx, drops)
     a = out["FACT_CLAIMS"].read()
     b = merge_fact_claims(ctx)
     late_id = late_claim(ctx).first()["CLAIM_ID"]
@@ -28,21 +52,55 @@ def test_incremental_streams(ctx):
     assert (hist["INCR_FACT_CLAIMS"]["SUCCEEDED"], hist["INCR_FACT_CLAIMS"]["SKIPPED"]) == (2, 1)
     assert hist["INCR_FACT_EXPENSE"]["SUCCEEDED"] == 2          # drop 0, then the retry file
     assert all(h["FAILED"] == 0 for h in hist.values())
-    from lossledger.streaming.runlog import recent_runs
     assert recent_runs(out["log"].read(), per_task=2).count() == 6
     progress = ctx.spark.read.parquet(out["progress_path"])
     assert progress.where("NUM_INPUT_ROWS > 0").count() >= 3
+    # compaction changes nothing that is read
+    out["FACT_CLAIMS"].compact()
+    c = out["FACT_CLAIMS"].read()
+    assert c.count() == a.count() and c.exceptAll(a).count() == 0
 
 
-def test_bucketed_merge_replay(ctx):
+def test_change_table_cases(spark):
+    t = ChangeTable(spark, shared_dir(spark, "cases") + "/t", ["k"], apply_deletes=True)
+    t.create(spark.createDataFrame([(k, 0) for k in range(12)], "k long, v long"))
+    change = lambda *rows: spark.createDataFrame(list(rows), "k long, v long, action string, seq long")
+    state = lambda: {r["k"]: r["v"] for r in t.read().collect()}
+    t.append(change(*[(k, None, "DELETE", 1) for k in (3, 5, 7, 11)]), 0)
+    assert set(state()) == {0, 1, 2, 4, 6, 8, 9, 10}            # all of several keys deleted, nothing left behind
+    t.append(change((1, 9, "INSERT", 9)), 1)
+    t.append(change((1, 2, "INSERT", 2)), 2)                     # a retry with an older change comes late
+    assert state()[1] == 9
+    t.append(change((1, 2, "INSERT", 2)), 2)                     # the same batch again
+    assert state()[1] == 9
+    t.compact()
+    t.append(change((1, 3, "INSERT", 3), (3, 4, "INSERT", 0), (5, 6, "INSERT", 7)), 3)
+    assert state()[1] == 9 and 3 not in state() and state()[5] == 6
+    # a batch whose write broke off leaves the state as it was
+    change((0, 77, "INSERT", 99)).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{t.path}/batch-4")
+    assert state()[0] == 0
+    t.append(change(*[(k, None, "DELETE", 100) for k in range(12)]), 4)
+    assert state() == {}
+
+
+def test_merge_replay(ctx):
     spark = ctx.spark
-    t = BucketedTable(spark, shared_dir(spark, "replay") + "/t", ["CLAIM_KEY"], 4)
+    t = ChangeTable(spark, shared_dir(spark, "replay") + "/t", ["CLAIM_KEY"])
     t.create(ctx.star.fact_claims())
     rows = claim_fact_rows(ctx, claim_change_feed(ctx))
-    t.merge(rows, 0)
-    first = sorted(t.read().collect())
-    t.merge(rows, 0)
-    assert sorted(t.read().collect()) == first
+    t.append(rows, 0)
+    first = sorted(t.read().collect(), key=str)
+    t.append(rows, 0)
+    assert sorted(t.read().collect(), key=str) == first
+
+
+def test_new_loss_cause_gets_a_key(ctx):
+    from lossledger.plans.incremental import merge_fact_claims_from
+    c = ctx.raw.claims().orderBy("CLAIM_ID").limit(1)
+    moved = c.withColumn("LOSS_CAUSE", F.lit("METEORITE")).select("*", F.lit("INSERT").alias("action"), F.lit(1).cast("long").alias("seq"))
+    top = ctx.star.dim_loss_cause().agg(F.max("LOSS_CAUSE_KEY")).first()[0]
+    out = merge_fact_claims_from(ctx, moved)
+    assert out.where(F.col("CLAIM_KEY") == c.first()["CLAIM_ID"]).first()["LOSS_CAUSE_KEY"] == top + 1
 
 
 def test_unseen_city_gets_a_new_geography_key(ctx):
