@@ -5,6 +5,8 @@ dimensions."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from lossledger.oracle.base import avg_sql, round_div_sql, with_base
 from lossledger.plans import semantic as S
 
@@ -19,11 +21,20 @@ KEY = {"dim_date": "DATE_KEY", "dim_geography": "GEOGRAPHY_KEY", "dim_claim_type
 def _lit(v):
     if isinstance(v, bool):
         return "TRUE" if v else "FALSE"
+    if isinstance(v, dt.date):
+        return f"DATE '{v.isoformat()}'"
     if isinstance(v, str):
         return "'" + v + "'"
     return str(v)
 
 
+def _condition(c: str, v) -> str:
+    if isinstance(v, S.Range):
+        bounds = [f"{c} >= {_lit(v.low)}"] * (v.low is not None) + [f"{c} <= {_lit(v.high)}"] * (v.high is not None)
+        return " AND ".join(bounds) or "TRUE"
+    return f"{c} IN ({', '.join(_lit(x) for x in v)})" if isinstance(v, (list, tuple, set)) else f"{c} = {_lit(v)}"
+
+
 def _metric_sql(m) -> str:
     if m.expr in S.ROW_FACTS:
         src = S.ROW_FACTS[m.expr][1]
@@ -46,8 +57,7 @@ def _part(fact, metrics, dims, where) -> str:
         joins.append(f"LEFT JOIN {CTE[t]} {t} ON {fact}.{KEY[t]} = {t}.{KEY[t]}")
     conds = []
     for d, v in where.items():
-        c = f"{d.table}.{d.column}"
-        conds.append(f"{c} IN ({', '.join(_lit(x) for x in v)})" if isinstance(v, (list, tuple)) else f"{c} = {_lit(v)}")
+        conds.append(_condition(f"{d.table}.{d.column}", v))
     sel = [f"{d.table}.{d.column} AS {d.name}" for d in dims] + [f"{_metric_sql(m)} AS {m.name}" for m in metrics]
     sql = f"SELECT {', '.join(sel)} FROM {CTE[fact]} {fact} " + " ".join(joins)
     if conds:

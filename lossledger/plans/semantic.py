@@ -18,6 +18,7 @@ places (the model's rule); counts are BIGINT.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections import deque
 from dataclasses import dataclass, field
 
@@ -33,7 +34,6 @@ class LogicalTable:
     table: str
     primary_key: str
     synonyms: tuple = ()
-    comment: str = ""
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,6 @@ class Dimension:
     table: str
     column: str
     synonyms: tuple = ()
-    comment: str = ""
 
 
 @dataclass(frozen=True)
@@ -60,7 +59,6 @@ class Metric:
     kind: str            # "sum" | "count" | "avg"
     expr: str            # column name, or a row-level fact name
     synonyms: tuple = ()
-    comment: str = ""
 
 
 # ---------------------------------------------------------------------------
@@ -68,22 +66,14 @@ class Metric:
 # facts, dimensions, metrics, with their synonyms)
 # ---------------------------------------------------------------------------
 TABLES = [
-    LogicalTable("fact_claims", "FACT_CLAIMS", "CLAIM_KEY", ("claims", "insurance claims"),
-                 "Claims fact table with financial, fraud, weather, and litigation data"),
-    LogicalTable("fact_expense", "FACT_CLAIM_EXPENSE", "EXPENSE_KEY", ("claim expenses", "expenses"),
-                 "Claim expense fact with actual vs budgeted"),
-    LogicalTable("dim_date", "DIM_DATE", "DATE_KEY", ("calendar", "dates"),
-                 "Date dimension with day, month, quarter, year grain"),
-    LogicalTable("dim_geography", "DIM_GEOGRAPHY", "GEOGRAPHY_KEY", ("geography", "location"),
-                 "Geographic dimension with state, city, zip, and region"),
-    LogicalTable("dim_claim_type", "DIM_CLAIM_TYPE", "CLAIM_TYPE_KEY", ("line of business", "LOB"),
-                 "Claim type dimension by line of business"),
-    LogicalTable("dim_loss_cause", "DIM_LOSS_CAUSE", "LOSS_CAUSE_KEY", ("cause of loss", "loss reason"),
-                 "Loss cause with weather-related categorization"),
-    LogicalTable("dim_weather", "DIM_WEATHER_EVENT", "WEATHER_EVENT_KEY", ("catastrophe", "weather event"),
-                 "Weather event / catastrophe dimension"),
-    LogicalTable("dim_policy", "DIM_POLICY", "POLICY_KEY", ("insurance policy", "policy"),
-                 "Policy details with coverage and premium"),
+    LogicalTable("fact_claims", "FACT_CLAIMS", "CLAIM_KEY", ("claims", "insurance claims")),
+    LogicalTable("fact_expense", "FACT_CLAIM_EXPENSE", "EXPENSE_KEY", ("claim expenses", "expenses")),
+    LogicalTable("dim_date", "DIM_DATE", "DATE_KEY", ("calendar", "dates")),
+    LogicalTable("dim_geography", "DIM_GEOGRAPHY", "GEOGRAPHY_KEY", ("geography", "location")),
+    LogicalTable("dim_claim_type", "DIM_CLAIM_TYPE", "CLAIM_TYPE_KEY", ("line of business", "LOB")),
+    LogicalTable("dim_loss_cause", "DIM_LOSS_CAUSE", "LOSS_CAUSE_KEY", ("cause of loss", "loss reason")),
+    LogicalTable("dim_weather", "DIM_WEATHER_EVENT", "WEATHER_EVENT_KEY", ("catastrophe", "weather event")),
+    LogicalTable("dim_policy", "DIM_POLICY", "POLICY_KEY", ("insurance policy", "policy")),
 ]
 
 RELATIONSHIPS = [
@@ -112,51 +102,36 @@ ROW_FACTS = {
 }
 
 DIMENSIONS = [
-    Dimension("calendar_year", "dim_date", "YEAR", ("year",), "Calendar year"),
-    Dimension("calendar_quarter", "dim_date", "QUARTER", ("quarter",), "Calendar quarter (1-4)"),
-    Dimension("calendar_month", "dim_date", "MONTH", ("month number",), "Calendar month number (1-12)"),
-    Dimension("month_name_dim", "dim_date", "MONTH_NAME", ("month name", "month"), "Month name abbreviation"),
-    Dimension("year_month_period", "dim_date", "YEAR_MONTH", ("year-month", "monthly period"),
-              "Year-month period (YYYY-MM)"),
-    Dimension("year_quarter_period", "dim_date", "YEAR_QUARTER", ("year-quarter", "quarterly period"),
-              "Year-quarter period (YYYY-Qn)"),
-    Dimension("state_name", "dim_geography", "STATE_NAME", ("state",), "Full state name"),
-    Dimension("region", "dim_geography", "REGION", ("geographic region", "area"), "Geographic region"),
-    Dimension("city", "dim_geography", "CITY", ("city name",), "City name"),
-    Dimension("claim_type", "dim_claim_type", "CLAIM_TYPE", ("insurance type", "line of business"),
-              "Type of insurance claim / line of business"),
-    Dimension("claim_category", "dim_claim_type", "CLAIM_CATEGORY", ("claim group", "business category"),
-              "Claim category (Personal, Commercial, Specialty)"),
-    Dimension("loss_cause", "dim_loss_cause", "LOSS_CAUSE", ("cause of loss", "root cause"),
-              "Root cause of the insurance claim"),
-    Dimension("loss_category", "dim_loss_cause", "LOSS_CATEGORY", ("loss type", "cause category"),
-              "Loss cause category"),
-    Dimension("is_weather_related", "dim_loss_cause", "IS_WEATHER_RELATED", ("weather related flag",),
-              "Whether the loss cause is weather related"),
-    Dimension("weather_condition_type", "dim_loss_cause", "WEATHER_CONDITION_MAPPING", ("weather type",),
-              "Mapped weather condition for weather-related losses"),
-    Dimension("event_name", "dim_weather", "EVENT_NAME", ("catastrophe name", "weather event name"),
-              "Name of the catastrophe/weather event"),
-    Dimension("weather_condition", "dim_weather", "WEATHER_CONDITION", ("event type", "weather category"),
-              "Type of weather event"),
-    Dimension("event_severity", "dim_weather", "EVENT_SEVERITY_TIER", ("weather severity", "event severity"),
-              "Severity tier (Catastrophic, Severe, Major, Moderate)"),
-    Dimension("primary_weather_driver_dim", "dim_weather", "PRIMARY_WEATHER_DRIVER", ("weather driver",),
-              "Primary weather driver"),
-    Dimension("coverage_type", "dim_policy", "COVERAGE_TYPE", ("coverage", "policy coverage"),
-              "Type of policy coverage"),
-    Dimension("policy_status", "dim_policy", "POLICY_STATUS", ("policy state",), "Current policy status"),
-    Dimension("claim_status", "fact_claims", "CLAIM_STATUS", ("status",), "Claim status"),
-    Dimension("claim_severity", "fact_claims", "CLAIM_SEVERITY", ("severity", "severity level"), "Claim severity"),
-    Dimension("fraud_risk_tier", "fact_claims", "FRAUD_RISK_TIER", ("fraud tier", "fraud risk"),
-              "Fraud risk classification"),
-    Dimension("payment_type", "fact_claims", "PAYMENT_TYPE", ("payment method",), "Type of claim payment"),
-    Dimension("expense_category", "fact_expense", "EXPENSE_CATEGORY", ("expense type",), "Category of the expense"),
+    Dimension("calendar_year", "dim_date", "YEAR", ("year",)),
+    Dimension("calendar_quarter", "dim_date", "QUARTER", ("quarter",)),
+    Dimension("calendar_month", "dim_date", "MONTH", ("month number",)),
+    Dimension("month_name_dim", "dim_date", "MONTH_NAME", ("month name", "month")),
+    Dimension("year_month_period", "dim_date", "YEAR_MONTH", ("year-month", "monthly period")),
+    Dimension("year_quarter_period", "dim_date", "YEAR_QUARTER", ("year-quarter", "quarterly period")),
+    Dimension("state_name", "dim_geography", "STATE_NAME", ("state",)),
+    Dimension("region", "dim_geography", "REGION", ("geographic region", "area")),
+    Dimension("city", "dim_geography", "CITY", ("city name",)),
+    Dimension("claim_type", "dim_claim_type", "CLAIM_TYPE", ("insurance type", "line of business")),
+    Dimension("claim_category", "dim_claim_type", "CLAIM_CATEGORY", ("claim group", "business category")),
+    Dimension("loss_cause", "dim_loss_cause", "LOSS_CAUSE", ("cause of loss", "root cause")),
+    Dimension("loss_category", "dim_loss_cause", "LOSS_CATEGORY", ("loss type", "cause category")),
+    Dimension("is_weather_related", "dim_loss_cause", "IS_WEATHER_RELATED", ("weather related flag",)),
+    Dimension("weather_condition_type", "dim_loss_cause", "WEATHER_CONDITION_MAPPING", ("weather type",)),
+    Dimension("event_name", "dim_weather", "EVENT_NAME", ("catastrophe name", "weather event name")),
+    Dimension("weather_condition", "dim_weather", "WEATHER_CONDITION", ("event type", "weather category")),
+    Dimension("event_severity", "dim_weather", "EVENT_SEVERITY_TIER", ("weather severity", "event severity")),
+    Dimension("primary_weather_driver_dim", "dim_weather", "PRIMARY_WEATHER_DRIVER", ("weather driver",)),
+    Dimension("coverage_type", "dim_policy", "COVERAGE_TYPE", ("coverage", "policy coverage")),
+    Dimension("policy_status", "dim_policy", "POLICY_STATUS", ("policy state",)),
+    Dimension("claim_status", "fact_claims", "CLAIM_STATUS", ("status",)),
+    Dimension("claim_severity", "fact_claims", "CLAIM_SEVERITY", ("severity", "severity level")),
+    Dimension("fraud_risk_tier", "fact_claims", "FRAUD_RISK_TIER", ("fraud tier", "fraud risk")),
+    Dimension("payment_type", "fact_claims", "PAYMENT_TYPE", ("payment method",)),
+    Dimension("expense_category", "fact_expense", "EXPENSE_CATEGORY", ("expense type",)),
 ]
 
 METRICS = [
-    Metric("total_revenue", "fact_claims", "sum", "PAID_AMOUNT", ("total paid", "revenue", "paid amount"),
-           "Total paid claim amount"),
+    Metric("total_revenue", "fact_claims", "sum", "PAID_AMOUNT", ("total paid", "revenue", "paid amount")),
     Metric("total_incurred_loss", "fact_claims", "sum", "INCURRED_LOSS", ("total incurred", "incurred loss")),
     Metric("reserve_fund", "fact_claims", "sum", "RESERVE_AMOUNT", ("total reserves", "reserve", "reserves")),
     Metric("total_net_incurred", "fact_claims", "sum", "NET_INCURRED", ("net loss", "net incurred")),
@@ -177,6 +152,21 @@ METRICS = [
 ]
 
 
+@dataclass(frozen=True)
+class Range:
+    """A filter value: from `low` to `high`, both included; either may be open."""
+    low: object = None
+    high: object = None
+
+
+def condition(c: Column, v) -> Column:
+    """A filter on a column: a value, a collection of values, or a Range."""
+    if isinstance(v, Range):
+        low, high = (F.lit(True) if x is None else test(F.lit(x)) for x, test in ((v.low, c.__ge__), (v.high, c.__le__)))
+        return low & high
+    return c.isin(*v) if isinstance(v, (list, tuple, set)) else c == v
+
+
 class AmbiguousName(ValueError):
     pass
 
@@ -263,8 +253,7 @@ class SemanticModel:
         are exact, so the final metrics are unchanged."""
         base = self._df(fact)
         for d, v in fact_filters.items():
-            c = F.col(d.column)
-            base = base.where(c.isin(*v) if isinstance(v, (list, tuple, set)) else c == v)
+            base = base.where(condition(F.col(d.column), v))
         fks, own = [], []
         for d in dims:
             if d.table == fact:
@@ -290,6 +279,9 @@ class SemanticModel:
 
     def query(self, metrics: list, dimensions: list | None = None, where: dict | None = None,
               order_by: list | None = None, limit: int | None = None) -> DataFrame:
+        """Metrics by dimensions. `where` maps a dimension (a name, or any
+        column as a Dimension) to a value, a collection of values or a Range:
+        a span of periods, or amounts over a bound."""
         ms = [self.metric(m) for m in metrics]
         ds = [self.dimension(d) for d in (dimensions or [])]
         filt = {self.dimension(k): v for k, v in (where or {}).items()}
@@ -304,8 +296,7 @@ class SemanticModel:
             for d, v in filt.items():
                 if d.table == fact:
                     continue
-                c = F.col(f"{d.table}.{d.column}")
-                frame = frame.where(c.isin(*v) if isinstance(v, (list, tuple, set)) else c == v)
+                frame = frame.where(condition(F.col(f"{d.table}.{d.column}"), v))
             keys = [F.col(f"{d.table}.{d.column}").alias(d.name) for d in ds]
             aggs = [self._final(m).alias(m.name) for m in fms]
             parts.append(frame.groupBy(*keys).agg(*aggs) if keys else frame.agg(*aggs))
@@ -367,6 +358,27 @@ CANNED = {
 }
 
 
+#: Columns that questions filter or group by besides the model's dimensions.
+PAID = Dimension("paid", "fact_claims", "PAID_AMOUNT")
+CLAIM_DATE = Dimension("claim_date", "dim_date", "DATE_KEY")
+EVENT_DURATION = Dimension("event_duration_days", "dim_weather", "EVENT_DURATION_DAYS")
+
+CANNED |= {
+    "sq_paid_by_quarter_of_year": dict(metrics=["total_revenue", "claim_count"], dimensions=["calendar_year", "calendar_quarter"]),
+    "sq_claims_by_month_name": dict(metrics=["claim_count"], dimensions=["calendar_month", "month_name_dim"]),
+    "sq_paid_by_state_last_quarters": dict(metrics=["total_revenue", "total_recovery"], dimensions=["state_name", "year_quarter_period"],
+                                           where={"year_quarter_period": Range("2000-Q3", "2001-Q2")}),
+    "sq_claims_by_city_since": dict(metrics=["claim_count", "avg_claim_amount"], dimensions=["city"],
+                                    where={CLAIM_DATE: Range(low=dt.date(1999, 7, 1))}),
+    "sq_weather_driver": dict(metrics=["claim_count", "total_incurred_loss"],
+                              dimensions=["primary_weather_driver_dim", "event_severity", "weather_condition_type"]),
+    "sq_event_duration": dict(metrics=["claim_count", "total_net_incurred"], dimensions=[EVENT_DURATION, "primary_weather_driver_dim"]),
+    "sq_policy_coverage": dict(metrics=["claim_count", "reserve_fund"], dimensions=["coverage_type", "policy_status"]),
+    "sq_large_payments_by_type": dict(metrics=["claim_count", "total_revenue"], dimensions=["payment_type"],
+                                      where={PAID: Range(low=50_000), "calendar_year": Range(1996, 2000)}),
+}
+
+
 def canned(key: str):
     spec = CANNED[key]
 

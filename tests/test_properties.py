@@ -64,3 +64,12 @@ def test_top_k_has_full_tie_break(ctx):
     a = [tuple(r) for r in R.top_loss_causes(ctx).collect()]
     b = [tuple(r) for r in R.top_loss_causes(ctx).collect()]
     assert a == b and len(a) == 8
+
+
+def test_all_dimensions_are_asked_for():
+    """The canned questions together use every dimension of the model."""
+    from lossledger.plans import semantic as S
+    model = S.SemanticModel(None)
+    used = {model.dimension(d).name for spec in S.CANNED.values() for d in [*spec.get("dimensions", ()), *spec.get("where", {})]}
+    used |= {"region", "claim_category", "claim_status", "loss_category"}  # semantic_by_dimension, semantic_join_path
+    assert len(S.DIMENSIONS) == 26 and {d.name for d in S.DIMENSIONS} <= used
