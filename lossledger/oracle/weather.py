@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lossledger.functions.pick import pick_sql, sql_values
 from lossledger.plans.outlook import HORIZON_DAYS, WEATHER_AS_OF
+from lossledger.sources.weather import DAYS_OF_YEAR, MEASURES, SLOT_SECONDS
 from lossledger.sources import reference as ref
 
 W_AS_OF = f"DATE '{WEATHER_AS_OF.isoformat()}'"
@@ -13,29 +14,46 @@ def _wrap(v, m):
     return f"({v} - floor({v} / {m}) * {m})"
 
 
+PRECIP = f"greatest({_wrap('value', 5)} - CAST(2.5 AS DOUBLE), CAST(0 AS DOUBLE))"
+SNOW = f"greatest({_wrap('value', 10)} - 8, CAST(0 AS DOUBLE))"
 FORECAST = f"""
 SELECT {pick_sql(ref.FORECAST_CITIES, 'user_id % 3')} AS CITY_NAME, 'US' AS COUNTRY_CODE,
   CAST(ts AS DATE) AS DATE_VALID_STD, ts AS TIME_INIT_UTC, event_id AS FORECAST_ID,
   40 + {_wrap('value', 60)} - 10 AS MIN_TEMPERATURE_AIR_2M_F,
   40 + {_wrap('value', 60)} AS AVG_TEMPERATURE_AIR_2M_F,
   40 + {_wrap('value', 60)} + 10 AS MAX_TEMPERATURE_AIR_2M_F,
+  greatest({_wrap('value', 100)} - 15, 0.0) AS MIN_HUMIDITY_RELATIVE_2M_PCT,
   {_wrap('value', 100)} AS AVG_HUMIDITY_RELATIVE_2M_PCT,
+  least({_wrap('value', 100)} + 15, 100.0) AS MAX_HUMIDITY_RELATIVE_2M_PCT,
+  990 + {_wrap('value', 45)} AS AVG_PRESSURE_MEAN_SEA_LEVEL_MB,
   {_wrap('value', 70)} AS MAX_WIND_SPEED_MPH,
   {_wrap('value', 70)} / 2 AS AVG_WIND_SPEED_MPH,
-  value / 200 AS TOT_PRECIPITATION_IN,
-  greatest({_wrap('value', 10)} - 8, 0.0) AS TOT_SNOWFALL_IN
+  {_wrap('(value * 7)', 360)} AS WIND_DIRECTION_DEG,
+  {PRECIP} AS TOT_PRECIPITATION_IN,
+  {SNOW} AS TOT_SNOWFALL_IN,
+  {_wrap('(value * 3)', 100)} AS AVG_CLOUD_COVER_TOT_PCT,
+  CASE WHEN {PRECIP} > 0 THEN 50 + {_wrap('value', 50)} ELSE {_wrap('value', 30)} END AS PROBABILITY_OF_PRECIPITATION_PCT,
+  CASE WHEN {SNOW} > 0 THEN 50 + {_wrap('value', 40)} ELSE {_wrap('value', 20)} END AS PROBABILITY_OF_SNOW_PCT
 FROM events"""
 
-MEASURES = ["MIN_TEMPERATURE_AIR_2M_F", "AVG_TEMPERATURE_AIR_2M_F", "MAX_TEMPERATURE_AIR_2M_F",
-            "AVG_HUMIDITY_RELATIVE_2M_PCT", "MAX_WIND_SPEED_MPH", "AVG_WIND_SPEED_MPH", "TOT_PRECIPITATION_IN",
-            "TOT_SNOWFALL_IN"]
+TURN = "degrees(atan2(AVG(sin(radians(WIND_DIRECTION_DEG))), AVG(cos(radians(WIND_DIRECTION_DEG)))))"
+DOY = f"(CAST(floor(epoch(TIME_INIT_UTC)) AS BIGINT) // {SLOT_SECONDS}) % {DAYS_OF_YEAR} + 1"
 
-CLIMATOLOGY = ("SELECT CITY_NAME, COUNTRY_CODE, CAST(dayofyear(DATE_VALID_STD) AS INTEGER) AS DOY_STD, "
-               + ", ".join(f"ROUND(AVG({m}), 6) AS {m}" for m in MEASURES)
+
+def _mean(m: str) -> str:
+    if m.startswith("TOT_"):
+        return f"ROUND(COALESCE(AVG({m}) FILTER ({m} > 0), 0), 6)"
+    if m == "WIND_DIRECTION_DEG":
+        return f"ROUND(CASE WHEN {TURN} < 0 THEN {TURN} + 360 ELSE {TURN} END, 4)"
+    return f"ROUND(AVG({m}), 6)"
+
+
+CLIMATOLOGY = (f"SELECT CITY_NAME, COUNTRY_CODE, CAST({DOY} AS INTEGER) AS DOY_STD, "
+               + ", ".join(f"{_mean(m)} AS {m}" for m in MEASURES)
                + ", ROUND(AVG(CASE WHEN TOT_PRECIPITATION_IN > 0 THEN 100.0 ELSE 0.0 END), 6) "
                  "AS PROBABILITY_OF_PRECIPITATION_PCT"
                + ", ROUND(AVG(CASE WHEN TOT_SNOWFALL_IN > 0 THEN 100.0 ELSE 0.0 END), 6) AS PROBABILITY_OF_SNOW_PCT"
-               + " FROM w_forecast GROUP BY CITY_NAME, COUNTRY_CODE, dayofyear(DATE_VALID_STD)")
+               + f" FROM w_forecast GROUP BY CITY_NAME, COUNTRY_CODE, {DOY}")
 
 LATEST = f"""
 SELECT * FROM (
@@ -69,7 +87,7 @@ M = ", ".join(MEASURES)
 FORECAST_ROWS = f"""
 SELECT m.CLAIM_STATE, m.STATE_NAME, f.CITY_NAME AS SOURCE_CITY, f.DATE_VALID_STD AS FORECAST_DATE,
   m.LATITUDE AS LATITUDE_DEG, m.LONGITUDE AS LONGITUDE_DEG, m.ZIP_CODE, {', '.join('f.' + x for x in MEASURES)},
-  CAST(NULL AS DOUBLE) AS PROBABILITY_OF_PRECIPITATION_PCT, CAST(NULL AS DOUBLE) AS PROBABILITY_OF_SNOW_PCT,
+  f.PROBABILITY_OF_PRECIPITATION_PCT, f.PROBABILITY_OF_SNOW_PCT,
   'FORECAST' AS DATA_SOURCE
 FROM w_latest f JOIN w_cities m ON f.CITY_NAME = m.PROXY_CITY"""
 

@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 from lossledger.functions.rules import weather_condition, weather_risk
 from lossledger.operators.latest import latest_per_key
 from lossledger.sources import reference as ref
-from lossledger.sources.weather import MEASURES, climatology, forecast
+from lossledger.sources.weather import MEASURES, PROBABILITIES, climatology, forecast
 
 WEATHER_AS_OF = dt.date(2024, 1, 1)
 HORIZON_DAYS = 90
 
 OUTLOOK_COLUMNS = ["CLAIM_STATE", "STATE_NAME", "SOURCE_CITY", "FORECAST_DATE", "LATITUDE_DEG", "LONGITUDE_DEG",
-                   "ZIP_CODE", *MEASURES, "PROBABILITY_OF_PRECIPITATION_PCT", "PROBABILITY_OF_SNOW_PCT",
+                   "ZIP_CODE", *MEASURES, *PROBABILITIES,
                    "DATA_SOURCE", "WEATHER_CONDITION", "WEATHER_RISK_LEVEL"]
 
 
@@ -57,9 +57,7 @@ def weather_outlook(ctx, as_of: dt.date = WEATHER_AS_OF, horizon_days: int = HOR
     fc = fc.select(
         "CLAIM_STATE", "STATE_NAME", F.col("CITY_NAME").alias("SOURCE_CITY"),
         F.col("DATE_VALID_STD").alias("FORECAST_DATE"), F.col("LATITUDE").alias("LATITUDE_DEG"),
-        F.col("LONGITUDE").alias("LONGITUDE_DEG"), "ZIP_CODE", *MEASURES,
-        F.lit(None).cast("double").alias("PROBABILITY_OF_PRECIPITATION_PCT"),
-        F.lit(None).cast("double").alias("PROBABILITY_OF_SNOW_PCT"),
+        F.col("LONGITUDE").alias("LONGITUDE_DEG"), "ZIP_CODE", *MEASURES, *PROBABILITIES,
         F.lit("FORECAST").alias("DATA_SOURCE"))
     forecast_rows = _classify(fc, with_severe_wind=True)
 
@@ -71,8 +69,8 @@ def weather_outlook(ctx, as_of: dt.date = WEATHER_AS_OF, horizon_days: int = HOR
     cj = cj.join(have, (cj.CLAIM_STATE == have._S) & (cj.FORECAST_DATE == have._D), "left_anti")
     cl = cj.select(
         "CLAIM_STATE", "STATE_NAME", F.col("CITY_NAME").alias("SOURCE_CITY"), "FORECAST_DATE",
-        F.col("LATITUDE").alias("LATITUDE_DEG"), F.col("LONGITUDE").alias("LONGITUDE_DEG"), "ZIP_CODE", *MEASURES,
-        "PROBABILITY_OF_PRECIPITATION_PCT", "PROBABILITY_OF_SNOW_PCT", F.lit("CLIMATOLOGY").alias("DATA_SOURCE"))
+        F.col("LATITUDE").alias("LATITUDE_DEG"), F.col("LONGITUDE").alias("LONGITUDE_DEG"), "ZIP_CODE", *MEASURES, *PROBABILITIES,
+        F.lit("CLIMATOLOGY").alias("DATA_SOURCE"))
     clim_rows = _classify(cl, with_severe_wind=False)
     return forecast_rows.unionByName(clim_rows).select(*OUTLOOK_COLUMNS)
 

@@ -201,3 +201,15 @@ def test_edge_checks_scan_the_child_once(spark, tmp_path):
     out = edge_checks(spark.read.parquet(path), [("a", parent, "k"), ("b", parent, "k")])
     assert sorted(map(tuple, out.collect())) == [("a", 2, 1, 1), ("b", 3, 0, 1)]
     assert len(re.findall(r"Relation \[.*\] parquet", out._jdf.queryExecution().optimizedPlan().toString())) == 1
+
+
+def test_outlook_has_forecasts_and_normals(spark):
+    """Days without a forecast come from the normals; together 90 days for each state, and every step of the ladder."""
+    from lossledger.context import Context
+    from lossledger.plans.outlook import weather_outlook
+    out = weather_outlook(Context(spark, "/root/testdata/sf0.01")).cache()
+    by = {r[0]: r[1] for r in out.groupBy("DATA_SOURCE").count().collect()}
+    assert by["FORECAST"] > 0 and by["CLIMATOLOGY"] > 0
+    assert {r[1] for r in out.groupBy("CLAIM_STATE").agg(F.count_distinct("FORECAST_DATE")).collect()} == {90}
+    kinds = {r[0] for r in out.where("DATA_SOURCE = 'FORECAST'").select("WEATHER_CONDITION").distinct().collect()}
+    assert {"Heavy Rain", "Clear/Dry"} <= kinds
