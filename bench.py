@@ -25,7 +25,6 @@ import json
 import os
 import re
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -52,9 +51,9 @@ def main() -> None:
     from lossledger.catalog import builders
     from lossledger.context import Context
     from lossledger.plans.reports import region_performance
+    from lossledger.shared import shared_dir
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lossledger-bench-")
-    run_dir = f"{base.rstrip('/')}/lossledger-bench/{int(time.time() * 1000)}"
+    run_dir = shared_dir(spark, "bench")
     times: dict[str, float] = {}
 
     def timed(name, fn):
