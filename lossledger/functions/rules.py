@@ -66,10 +66,6 @@ def severity_rank(sev: Column) -> Column:
     return expr
 
 
-def severity_of_rank(idx0: Column) -> Column:
-    return pick(SEVERITIES, idx0)
-
-
 def primary_weather_driver(event_type: Column) -> Column:
     return (F.when(event_type.isin("Hurricane"), "Wind/Rain")
             .when(event_type.isin("Wildfire"), "Heat/Fire")
