@@ -39,9 +39,8 @@ PLACE = ["_d", "_t", "idx"]
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`row` and `text` of `df` with the document's key: its id (a null below all others) and a hash that tells texts under one id apart."""
-    text = F.col(text_col)
-    return boxed(df, text=text, _d=F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), _t=F.xxhash64(F.coalesce(text, F.lit(""))))
+    """`row` of `df` with the document's key: its id (a null below all others) and a hash that tells texts under one id apart."""
+    return boxed(df, _d=F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), _t=F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def lines_of(text: Column) -> Column:
@@ -50,7 +49,7 @@ def lines_of(text: Column) -> Column:
 
 def line_table(df: DataFrame, m: int, id_col: str, text_col: str) -> DataFrame:
     """A row per line that is not blank: place, lines of its document, line id (a, b), and where m lines from it begin and end."""
-    every = F.transform(lines_of(F.col("text")), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
+    every = F.transform(lines_of(F.col(f"row.{text_col}")), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
     items = keyed(df, id_col, text_col).select("_d", "_t", F.filter(every, lambda s: s["line"].rlike(NOT_BLANK)).alias("items"))
     rows = items.select("_d", "_t", F.size("items").alias("of"), F.transform("items", lambda s: s["at"]).alias("ats"),
                         F.posexplode("items").alias("idx", "item"))
@@ -118,7 +117,8 @@ def suffix_array(df: DataFrame, m: int = RUN_LINES, id_col: str = "doc_id", text
 def later_copies(intervals: DataFrame) -> DataFrame:
     """The members of an interval that are not its first: `first` and `last` say which lines of the text they cover."""
     heads = intervals.groupBy("interval").agg(F.min(F.struct(*PLACE)).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return intervals.join(heads, "interval").where(F.struct(*PLACE) != F.col("head")).select(*PLACE, "first", "last")
+    # Written: a join whose sides both come straight from a shuffle can be split where an interval is hot.
+    return intervals.join(written(heads, "heads"), "interval").where(F.struct(*PLACE) != F.col("head")).select(*PLACE, "first", "last")
 
 
 def maximal_runs(copies: DataFrame) -> DataFrame:
@@ -137,7 +137,8 @@ def _stripped(df: DataFrame, m: int, id_col: str, text_col: str) -> DataFrame:
     runs = written(maximal_runs(later_copies(intervals)), "runs")
     inside = lambda i: F.exists("runs", lambda r: (i >= r["first"]) & (i <= r["last"]))
     left = F.array_join(F.filter(lines_of(F.col("text")), lambda x, i: ~inside(i)), "\n")
-    return keyed(df, id_col, text_col).join(runs, ["_d", "_t"], "left").withColumn("left", F.when(F.col("runs").isNull(), F.col("text")).otherwise(left))
+    rows = keyed(df, id_col, text_col).join(runs, ["_d", "_t"], "left").withColumn("text", F.col(f"row.{text_col}"))
+    return rows.withColumn("left", F.when(F.col("runs").isNull(), F.col("text")).otherwise(left))
 
 
 def deduplicated(df: DataFrame, m: int = RUN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
