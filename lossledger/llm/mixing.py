@@ -87,10 +87,11 @@ def mixed(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
     """
     taken = plan(df, weights, budget, most, seed, id_col, text_col, source_col).where("size > 0")
     nth = F.row_number().over(Window.partitionBy("id").orderBy("stratum", "size"))  # pairs off rows that repeat an id
-    left = boxed(df, id=F.col(id_col).cast("long"), text=F.col(text_col), stratum=stratum(F.col(source_col)), size=word_count(F.col(text_col)))
+    left = boxed(df, id=F.col(id_col).cast("long"), stratum=stratum(F.col(source_col)), size=word_count(F.col(text_col)))
     left = left.where("size > 0").withColumn("nth", nth)
     right = taken.withColumnRenamed("doc_id", "id").withColumn("nth", nth).select(F.col("id").alias("rid"), F.col("nth").alias("rnth"), "taken")
     rows = left.join(right, F.col("id").eqNullSafe(F.col("rid")) & (F.col("nth") == F.col("rnth"))).where("taken > 0")
+    rows = rows.withColumn("text", F.col(f"row.{text_col}"))
     copies = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")))
     words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
     start = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORDS), F.lit(0)), F.lit(1), F.col("words")))
