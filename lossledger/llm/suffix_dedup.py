@@ -317,7 +317,7 @@ def dealt(units: DataFrame) -> DataFrame:
 def crowds(units: DataFrame, by: str) -> DataFrame:
     """Units whose group has a weight of two or more, with `crowded` where it has too many different members."""
     groups = units.groupBy(by).agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("different")).where("total > 1")
-    return units.join(groups.select(by, (F.col("different") > CROWD).alias("crowded")), by)
+    return units.join(written(groups.select(by, (F.col("different") > CROWD).alias("crowded")), "crowds"), by)
 
 
 def solve_pieces(cut: DataFrame) -> DataFrame:
@@ -368,7 +368,8 @@ def packed(docs: DataFrame) -> DataFrame:
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """_d, _t, spans: per document the stretches (lo, past hi) of bytes that repeated strings cover, unmerged."""
     stretches = anchored(docs)
-    twice = stretches.groupBy("anchor").count().where("count > 1").select("anchor")
+    # Written: a join whose sides both come straight from a shuffle can be split where an anchor is hot.
+    twice = written(stretches.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     members = written(stretches.join(twice, "anchor"), "members")
     contexts = members.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("_d", "_t", "first", "size")).alias("at"))
     contexts = crowds(written(contexts.select("anchor", "context", "weight", "at.*"), "contexts"), "anchor")
