@@ -7,9 +7,10 @@ prefix, and
 
     count[i] = count[i - len(t)] + 1
 
-with t that last token. `PrefixTable` holds count[] and the last token's
-length for each byte of one word (a match of the pre-tokeniser); a text's
-table chains the tables of its words. Any question about a prefix, such as
+with t that last token. The table holds count and last token's length for
+each prefix of each word (a match of the pre-tokeniser) and is shared by the
+words: one goes on where another with the same beginning left off. A text's
+table chains those of its words. Any question about a prefix, such as
 where a budget of tokens ends, is then read off without encoding again.
 
 Cases: null text counts as empty (0 tokens); the special string inside a text
@@ -48,6 +49,10 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
 
 
+#: The entries of longer words are not kept: their prefixes would be many and large.
+LONG = 48
+
+
 class PrefixTable:
     """For one word: counts[i] tokens encode its first i bytes, the last of them `last[i]` bytes long."""
 
@@ -77,34 +82,75 @@ class TokenCounter:
         self.tokens = {raw(s) for s in spec["model"]["vocab"] if s not in added}
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.rank = {(raw(a), raw(b)): i for i, (a, b) in enumerate(merges)}
-        self.longest = max(map(len, self.tokens))
+        #: The last three bytes of a prefix -> the lengths that its last token can have, longest first.
+        lengths: dict[bytes, set[int]] = {}
+        for t in self.tokens:
+            if len(t) > 2:
+                lengths.setdefault(t[-3:], {2, 1}).add(len(t))
+        self.lengths = {end: tuple(sorted(found, reverse=True)) for end, found in lengths.items()}
         self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.words, self.seams = regex.compile(PATTERN), regex.compile(SEAM)
         self.fits = Memo(self._fits, most=400_000)
-        self.tables = Memo(self._table, most=300_000, longest=64)
+        self.states: dict[bytes, int] = {}
+        self.most_states = 1_000_000
         self.totals = Memo(self._total, most=400_000)
 
     def _fits(self, pair: tuple[bytes, bytes]) -> bool:
         joined = pair[0] + pair[1]
         return merge_pairs([joined[i:i + 1] for i in range(len(joined))], self.rank) == list(pair)
 
-    def _table(self, word: bytes) -> PrefixTable:
-        counts, last, ending = [0], [0], [b""]
-        for i in range(1, len(word) + 1):
-            for k in range(min(i, self.longest), 0, -1):
-                token = word[i - k:i]
-                if token in self.tokens and (k == i or self.fits[ending[i - k], token]):
-                    counts.append(counts[i - k] + 1)
-                    last.append(k)
-                    ending.append(token)
-                    break
-            else:
-                raise ValueError(f"no token ends at byte {i} of {word!r}")
+    def _last(self, word: bytes, end: int, ending) -> int:
+        """Length of the last token of the first `end` bytes; ending(i) is the last token of the first i."""
+        tokens = self.tokens
+        for k in self.lengths.get(word[max(0, end - 3):end], (2, 1)):
+            if k <= end:
+                token = word[end - k:end]
+                if token in tokens and (k == end or self.fits[ending(end - k), token]):
+                    return k
+        raise ValueError(f"no token ends at byte {end} of {word!r}")
+
+    def state(self, word: bytes) -> int:
+        """The table's entry for all of `word`: its count * 256 + the length of its last token.
+
+        Entries are kept by prefix, so a word goes on from the longest prefix
+        that any word before it had.
+        """
+        states = self.states
+        if (found := states.get(word)) is not None:
+            return found
+        if len(word) > LONG:
+            table = self.table_of(word)
+            return table.counts[-1] << 8 | table.last[-1]
+        if len(states) > self.most_states:
+            states.clear()
+        known = len(word) - 1
+        while known and word[:known] not in states:
+            known -= 1
+        ending = lambda i: word[i - (states[word[:i]] & 255):i]
+        for end in range(known + 1, len(word) + 1):
+            k = self._last(word, end, ending)
+            found = ((states[word[:end - k]] & ~255) + 256 if k < end else 256) | k
+            states[word[:end]] = found
+        return found
+
+    def table_of(self, word: bytes) -> PrefixTable:
+        """Counts and last tokens of all prefixes of one word."""
+        counts, last = [0], [0]
+        if len(word) <= LONG:
+            for i in range(1, len(word) + 1):
+                entry = self.state(word[:i])
+                counts.append(entry >> 8)
+                last.append(entry & 255)
+        else:
+            for end in range(1, len(word) + 1):
+                k = self._last(word, end, lambda i: word[i - last[i]:i])
+                counts.append(counts[end - k] + 1)
+                last.append(k)
         return PrefixTable(tuple(counts), tuple(last))
 
     def _total(self, chunk: str) -> int:
         """Tokens of a stretch of words that no match crosses."""
-        return sum(self.tables[w.encode()].counts[-1] for w in self.words.findall(chunk))
+        return sum([self.state(w.encode()) >> 8 for w in self.words.findall(chunk)])
 
     def stretches(self, text: str) -> Iterator[str | None]:
         """The text between special tokens; None for each special token."""
@@ -134,7 +180,7 @@ class TokenCounter:
                 cut = len(text[:done + (sum(map(len, chunks[:k])) if s is not None else 0)].encode())
                 left = tokens - before[k]
                 for word in self.words.findall(chunks[k]) if s is not None else ():
-                    table = self.tables[word.encode()]
+                    table = self.table_of(word.encode())
                     cut += table.cut(left)
                     left -= table.counts[-1]
                     if left < 0:
@@ -171,7 +217,7 @@ class TextTable:
             else:
                 self.words += counter.words.findall(s)
         self.starts = list(accumulate(map(len, self.words), initial=0))
-        sizes = (1 if i in self.special else counter.tables[w.encode()].counts[-1] for i, w in enumerate(self.words))
+        sizes = (1 if i in self.special else counter.state(w.encode()) >> 8 for i, w in enumerate(self.words))
         self.before = list(accumulate(sizes, initial=0))
 
     def total(self) -> int:
@@ -196,7 +242,7 @@ class TextTable:
         done = len(self.text[:self.starts[k]].encode())
         if k == len(self.words) or k in self.special:
             return done
-        return done + self.counter.tables[self.words[k].encode()].cut(tokens - self.before[k])
+        return done + self.counter.table_of(self.words[k].encode()).cut(tokens - self.before[k])
 
 
 @lru_cache(maxsize=4)
