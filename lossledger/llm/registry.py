@@ -1,12 +1,13 @@
 """The corpus operators as queries: key -> function of (spark, sf_dir), and DuckDB SQL where SQL can say the same.
 
 Each query applies one operator, with production parameters, to the whole
-`documents` table. `TOKENIZERS` names the folder of the public vocabularies;
-it can be set to another place.
+`documents` table. `TOKENIZERS` is the folder of the public vocabularies, the
+same on driver and executors; the operators take the files' paths as parameters.
 """
 
 from __future__ import annotations
 
+import importlib.util
 import os
 from collections.abc import Callable
 
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lossledger.llm import exact_dedup, hyperminhash, imatch, langid, line_dedup, mixing, sentencepiece_codec, sharding, suffix_dedup, token_counts
 from lossledger.llm.common import documents
 
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+_PACKAGE = importlib.util.find_spec("public_tokenizers")
+TOKENIZERS = os.path.dirname(_PACKAGE.origin) if _PACKAGE else "/opt/tokenizers"
 PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
 
