@@ -3,26 +3,29 @@
 A document's shingle hashes fall into 128 buckets by their top bits. A
 bucket's register describes the smallest hash in it by the number of leading
 zeros (6 bits) and the 10 bits behind the leading one: 16 bits instead of 64,
-0 if the bucket is empty. Bands of three registers, 42 of them, are the keys
-under which documents meet. Two sets with a similarity of 0.75 agree in a
-register about as often, so they meet in none of the bands once in 10^10.
+0 if the bucket is empty. Bands of four registers, 32 of them, are the keys
+under which documents meet. Two sets with a similarity of exactly 0.75 agree
+in a register about as often, so they meet in none of the bands about five
+times in a million; at 0.8 it is five times in a hundred million.
 
 1. Documents with equal sets become one node, named by a hash of the set.
 2. In each band's bucket every node is paired with the bucket's smallest node
-   only, so a bucket makes as many pairs as it has nodes.
+   only, so a bucket makes as many pairs as it has nodes. A pair that one
+   bucket of several nodes makes alone waits for step 4.
 3. Pairs whose registers, corrected for accidental agreement, leave no doubt
    are let go; the others are confirmed on the whole texts: of each node the
    most promising pair first, the others only where that has not joined both.
 4. A bucket whose nodes are then in one component is done: further links in
-   it join nothing new. In the others the remaining nodes are compared with
-   each other across components. Large ones are first dealt into finer
-   buckets, by a second band each, which nodes with a similarity of 0.75 share
-   as surely as the first.
+   it join nothing new. The nodes of the others are the rest. They are
+   compared by their rarest shingles: in any order of all shingles, two sets
+   with a similarity of 0.75 have one in common among the first quarter of
+   each. Frequent shingles, estimated on a bounded sample, come last in the
+   order, so a passage that many documents share makes no pairs.
 5. Components are the smallest labels that spread over the confirmed links.
 
-Nothing is capped: step 4 takes whatever step 2 left. Texts are shuffled once,
-for the confirmation; no task and no driver sees a bucket, a component or a
-set of links whole.
+Nothing is capped: step 4 takes whatever step 2 left, and its filter is exact
+for any sample. Texts are shuffled once, compressed, for steps 3 and 4; no
+task and no driver sees a bucket, a component or a set of links whole.
 
 Cases: a null or blank text has no shingles and no links; a text of fewer
 than five words has one shingle; rows that repeat id and text are one node,
@@ -34,17 +37,18 @@ ignored by `near_duplicates` and kept by `deduplicated`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossledger.llm.common import boxed, discard, id_and_text, ship_code, unboxed, written
 from lossledger.llm.shingles import U, mix, pieces, shingle_sets
 
 BUCKET_BITS, MANTISSA = 7, 10
-BANDS, ROWS = 42, 3
+BANDS, ROWS = 32, 4
 REGISTERS = 1 << BUCKET_BITS
 WIDTH = 5
 #: Links: 100 * intersection >= PERCENT * union.
@@ -52,8 +56,10 @@ PERCENT = 75
 #: Pairs are let go below this estimate, more than six standard deviations under the threshold,
 #: and only where so many registers are filled that the estimate has that precision.
 HOPELESS, SURE = 0.5, 64
-#: Buckets of more nodes than this are dealt into finer ones before their rest is compared.
-LARGE = 64
+#: The order of shingles is estimated on at most about so many nodes, and holds so many frequent ones.
+SAMPLE_NODES, FREQUENT = 4_000, 200_000
+#: A shingle of more holders is hot; a pair looks back over so many hot shingles for an earlier one in common.
+FEW, LOOK_BACK = 8, 32
 NO_BAND = bytes(2 * ROWS)
 
 
@@ -129,11 +135,31 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, score double")
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """doc_id, text_hash and the text's bytes, compressed for the shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([press.compress(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())],
+                                             names=["doc_id", "text_hash", "packed"])
+
+    return df.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, packed binary")
+
+
+def unpacked(column: pa.Array) -> list[str]:
+    import zstandard
+
+    unpress = zstandard.ZstdDecompressor()
+    return [unpress.decompress(x).decode() for x in column.to_pylist()]
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are similar enough; texts: node, text."""
+    """The pairs (a, b) whose whole shingle sets are similar enough; texts: node, packed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            left, right = (unpacked(batch.column(k)) for k in (2, 3))
             good = np.zeros(len(left), bool)
             for i, j in pieces([x + y for x, y in zip(left, right, strict=True)]):
                 owner, hashes = shingle_sets([t for k in range(i, j) for t in (left[k], right[k])], WIDTH)
@@ -145,7 +171,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 good[i:j] = common * 100 >= (size[::2] + size[1::2] - common) * PERCENT
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
 
-    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("packed").alias(f"text_{x}"))
     both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(run, "a long, b long")
 
@@ -178,38 +204,75 @@ def met(nodes: DataFrame) -> DataFrame:
     """key, node, pivot, members: the nodes of each bucket that holds several, and the smallest node in it."""
     keys = band_keys(nodes)
     buckets = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    return written(keys.join(buckets, "key"), "met")
+    return written(keys.join(written(buckets, "buckets"), "key"), "met")
+
 
+def unfinished(meetings: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, label of the nodes in buckets that hold several components; the one pair of a bucket of two is tested."""
+    rows = meetings.where("members > 2").select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    return rows.join(written(split, "split"), "key", "left_semi").select("node", "label").distinct()
 
-def unfinished(rows: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
-    """key, node, label, members of the buckets whose nodes are in several components."""
-    rows = rows.select("key", "node", *more).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high")
-    return written(rows.join(split.select("key", "members"), "key"), "unfinished")
 
+def frequent_shingles(texts: DataFrame) -> dict[int, int]:
+    """Hash -> count of the shingles that several of the sampled nodes hold, the most frequent ones; bounded on the driver."""
+    share = min(1.0, SAMPLE_NODES / max(1, texts.count()))
+    sample = texts.where(F.pmod(F.xxhash64(F.lit("sample"), "node"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
-def pairs_across(rows: DataFrame) -> DataFrame:
-    """All pairs (a, b) of nodes in one bucket and two components."""
-    left = rows.select("key", F.col("node").alias("a"), F.col("label").alias("al"))
-    right = rows.select("key", F.col("node").alias("b"), F.col("label").alias("bl"))
-    return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("al") != F.col("bl"))).select("a", "b").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = unpacked(batch.column(0))
+            for i, j in pieces(found):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(found[i:j], WIDTH)[1].view(np.int64))], names=["shingle"])
+
+    counts = sample.select("packed").mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 1")
+    return {r[0]: r[1] for r in counts.orderBy(F.col("count").desc(), "shingle").limit(FREQUENT).collect()}
+
+
+def pairs_of_rest(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the rest (node, label) in two components that share a shingle among the first of each.
 
+    Sets with a similarity of 0.75 overlap in three quarters of either, so
+    one that they share is among the first n - 3n/4 + 1 of both. At the first
+    one they share, at places i and j, no more than min(n - i, n - j) can be
+    shared in all; the pair counts only where that is enough.
+    """
+    own = texts.join(rest, "node")
+    order = texts.sparkSession.sparkContext.broadcast(frequent_shingles(own.select("node", "packed")))
 
-def rest_of_buckets(rows: DataFrame, nodes: DataFrame, labels: DataFrame, deepest: int = 2) -> DataFrame:
-    """The pairs (a, b) across components within a bucket; large buckets are first dealt by further bands."""
-    rows = unfinished(rows.where("members > 2").withColumn("used", F.array("key")), labels, "used")
-    found = None
-    for depth in range(deepest + 1):
-        small = rows.where(F.col("members") <= LARGE) if depth < deepest else rows
-        pairs = written(pairs_across(small), "pairs")
-        found = pairs if found is None else found.unionByName(pairs)
-        large = rows.where(F.col("members") > LARGE)
-        if depth == deepest or large.isEmpty():
-            return found.distinct()
-        finer = band_keys(large.select("node", "used", F.col("key").alias("outer")).join(nodes.select("node", "regs"), "node"), "used", "outer")
-        finer = finer.where(~F.array_contains("used", F.col("key")))
-        rows = unfinished(finer.select(F.xxhash64("outer", "key").alias("key"), "node", F.array_append("used", F.col("key")).alias("used")), labels, "used")
-    return found
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.array(sorted(order.value.items()), np.int64).reshape(-1, 2)
+        for batch in batches:
+            found = unpacked(batch.column(2))
+            for i, j in pieces(found):
+                owner, hashes = shingle_sets(found[i:j], WIDTH)
+                hashes = hashes.view(np.int64)
+                at = np.minimum(np.searchsorted(known[:, 0], hashes), max(0, len(known) - 1))
+                count = np.where(known[at, 0] == hashes, known[at, 1], 0) if len(known) else np.zeros(len(hashes), np.int64)
+                by = np.lexsort((hashes, count, owner))
+                owner, hashes = owner[by], hashes[by]
+                size = np.bincount(owner, minlength=j - i)
+                place = np.arange(len(owner)) - np.concatenate([[0], np.cumsum(size)[:-1]])[owner]
+                n = size[owner]
+                first = place <= n - (n * PERCENT + 99) // 100
+                rows = pa.array(owner[first] + i)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(hashes[first]), pa.array(n[first].astype(np.int32)),
+                     pa.array(place[first].astype(np.int32))], names=["node", "label", "shingle", "n", "place"])
+
+    prefix = written(own.select("node", "label", "packed").mapInArrow(run, "node long, label long, shingle long, n int, place int"), "prefix")
+    shared = prefix.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("holders")).where("low < high")
+    prefix = prefix.join(written(shared.select("shingle", (F.col("holders") > FEW).alias("hot")), "shared"), "shingle")
+    # Copies of one text share many shingles: a pair is made at the first of them, not at each.
+    before = F.collect_list(F.when(F.col("hot"), F.col("shingle"))).over(Window.partitionBy("node").orderBy("place").rowsBetween(-LOOK_BACK, -1))
+    prefix = written(prefix.withColumn("before", F.when(F.col("hot"), before).otherwise(F.array().cast("array<long>"))), "prefix")
+    side = lambda x: [F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("label", "n", "place", "before")]]
+    both = prefix.select("shingle", *side("a")).join(prefix.select("shingle", *side("b")), "shingle")
+    an, bn = F.col("a_n"), F.col("b_n")
+    enough = F.least(an - F.col("a_place"), bn - F.col("b_place")) * (100 + PERCENT) >= (an + bn) * PERCENT
+    near = (an * 100 >= bn * PERCENT) & (bn * 100 >= an * PERCENT)
+    first = ~F.arrays_overlap("a_before", "b_before")
+    return both.where((F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & near & enough & first).select("a", "b").distinct()
 
 
 def linked(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -220,17 +283,19 @@ def linked(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = written(signed.where("n_shingles > 0").dropDuplicates(SET).withColumn("node", F.monotonically_increasing_id()), "nodes")
     rows = signed.select("doc_id", *SET).join(nodes.select(*SET, "node"), SET, "left").select("doc_id", "n_shingles", "node")
     meetings = met(nodes)
-    pairs = meetings.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = meetings.where("node != pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(
+        F.count(F.lit(1)).alias("shared"), F.min("members").alias("fewest"))
+    pairs = pairs.where((F.col("shared") > 1) | (F.col("fewest") == 2)).select("a", "b")
     candidates = written(estimated(pairs, nodes), "candidates")
     first = candidates.groupBy("b").agg(F.max_by(F.col("a"), F.struct("score", -F.col("a"))).alias("a")).select("a", "b")
 
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        ends = wanted.select(F.col("a").alias("node")).unionByName(wanted.select(F.col("b").alias("node"))).distinct()
-        reps = nodes.join(ends, "node", "left_semi").select("node", F.col("doc_id").alias("rep"), "text_hash")
-        same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.xxhash64("text") == F.col("text_hash"))
-        return written(df.join(reps, same).select("node", "text").dropDuplicates(["node"]), "texts")
+    # The texts of all nodes that may be compared: those of the candidates and of buckets that may be left unfinished.
+    ends = reduce(DataFrame.unionByName, [candidates.select(F.col("a").alias("node")), candidates.select(F.col("b").alias("node")),
+                                          meetings.where("members > 2").select("node")]).distinct()
+    reps = nodes.join(ends, "node", "left_semi").select("node", F.col("doc_id").alias("rep"), F.col("text_hash").alias("rep_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))
+    texts = written(packed(df).join(reps, same).select("node", "packed").dropDuplicates(["node"]), "texts")
 
-    texts = texts_of(candidates)
     links = written(confirmed(first, texts), "links")
     labels = components(links)
     side = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
@@ -240,10 +305,12 @@ def linked(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not second.isEmpty():
         links = links.unionByName(written(confirmed(second, texts), "links"))
         labels = components(links)
-    third = written(estimated(rest_of_buckets(meetings, nodes, labels).join(pairs, ["a", "b"], "left_anti"), nodes), "candidates")
-    if not third.isEmpty():
-        links = links.unionByName(written(confirmed(third, texts_of(third)), "links"))
-        labels = components(links)
+    rest = written(unfinished(meetings, labels), "rest")
+    if not rest.isEmpty():
+        third = written(estimated(pairs_of_rest(rest, texts).join(candidates.select("a", "b"), ["a", "b"], "left_anti"), nodes), "candidates")
+        if not third.isEmpty():
+            links = links.unionByName(written(confirmed(third, texts), "links"))
+            labels = components(links)
     return rows, labels
 
 
@@ -251,7 +318,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_shingles, component_id, kept."""
     rows, labels = linked(id_and_text(df, id_col, text_col))
     rows = written(rows.join(labels, "node", "left").withColumn("group", F.coalesce("label", "node")).select("doc_id", "n_shingles", "group"), "grouped")
-    heads = rows.where(F.col("group").isNotNull()).groupBy("group").agg(F.min("doc_id").alias("head"))
+    # Written: a join whose sides both come straight from a shuffle can be split where a group is hot.
+    heads = written(rows.where(F.col("group").isNotNull()).groupBy("group").agg(F.min("doc_id").alias("head")), "heads")
     return (rows.join(heads, "group", "left").withColumn("component_id", F.coalesce("head", "doc_id"))
             .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
 

@@ -225,12 +225,24 @@ def test_near_duplicates(spark):
         assert in_order(rows(got, "doc_id", "n_shingles", "component_id", "kept")) == near_by_hand(pairs)
 
 
-def test_rest_of_large_buckets(spark, monkeypatch):
-    """With a tiny bound nearly every bucket is dealt again; no link may be lost."""
-    monkeypatch.setattr(hyperminhash, "LARGE", 2)
-    pairs = [*family(5, 25, 120, 9), *family(6, 25, 40, 4)]
-    got = hyperminhash.near_duplicates(documents(spark, pairs))
-    assert in_order(rows(got, "doc_id", "n_shingles", "component_id", "kept")) == near_by_hand(pairs)
+@pytest.mark.parametrize("sample", [1, 4000])
+def test_rest_of_unfinished_buckets(spark, monkeypatch, sample):
+    """The exact way for the rest finds every link between components, whatever the order of shingles rests on."""
+    monkeypatch.setattr(hyperminhash, "SAMPLE_NODES", sample)
+    r = random.Random(11)
+    passage = [f"p{k}" for k in range(50)]
+    mixed = [(k, " ".join([f"o{r.randrange(40)}" for _ in range(r.randint(0, 20))] + passage + [f"q{r.randrange(9)}" for _ in range(r.randint(0, 9))])) for k in range(60)]
+    pairs = [*mixed, *family(5, 25, 120, 9), *family(6, 25, 40, 4)]
+    want = near_by_hand(pairs)
+    assert in_order(rows(hyperminhash.near_duplicates(documents(spark, pairs)), "doc_id", "n_shingles", "component_id", "kept")) == want
+    # Every node by itself: the pairs of the rest hold each link.
+    sets = dict(sets_by_hand(pairs))
+    hyperminhash.ship_code(spark)
+    texts = hyperminhash.packed(documents(spark, pairs).select("doc_id", "text")).select(F.col("doc_id").alias("node"), "packed")
+    alone = texts.select("node", F.col("node").alias("label"))
+    found = set(rows(hyperminhash.pairs_of_rest(alone, texts), "a", "b"))
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert links <= found and len(found) < len(sets) ** 2 / 2
 
 
 def test_estimate_is_near_the_similarity():
