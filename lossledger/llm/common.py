@@ -104,5 +104,6 @@ def seeded_key(seed: int, *cols: str):
 
 
 def slice_count(rows: int) -> int:
-    """Into how many slices running totals cut the rows: some 2,000 rows each, 100,000 slices at most."""
-    return int(min(100_000, max(8, rows // 2_000)))
+    """Into how many slices running totals cut the rows: some 200 rows each, so that a source with a third of
+    all rows spreads over all tasks; 100,000 slices at most."""
+    return int(min(100_000, max(64, rows // 200)))
