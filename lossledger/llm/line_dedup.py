@@ -10,6 +10,10 @@ lines. In each such interval the first copy, by document id and line, stays;
 the lines of the later copies are deleted, and overlapping or touching copies
 make up one maximal run.
 
+With `long_words`, an interval with a common prefix of one line counts too
+where that line has so many words: its later copies go whatever surrounds
+them. It is off by default: the query's SQL has the rule of m lines alone.
+
 Only suffixes that start with a repeated line take part. A line that occurs
 once is an id of its own, named by its place and sorted before the repeated
 lines, so a suffix that reaches such a line is settled in that round. Ranks
@@ -30,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lossledger.llm.common import boxed, discard, unboxed, written
+from lossledger.llm.common import WORDS, boxed, discard, unboxed, written
 
 #: A run of this many lines is deleted where it occurs again.
 RUN_LINES = 2
@@ -121,6 +125,15 @@ def later_copies(intervals: DataFrame) -> DataFrame:
     return intervals.join(written(heads, "heads"), "interval").where(F.struct(*PLACE) != F.col("head")).select(*PLACE, "first", "last")
 
 
+def long_lines(df: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
+    """The lines of at least `least` words; `interval` is the line, by its two hashes."""
+    every = F.transform(lines_of(F.col(f"row.{text_col}")), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
+    solid = F.filter(every, lambda s: s["line"].rlike(NOT_BLANK))
+    rows = keyed(df, id_col, text_col).select("_d", "_t", F.posexplode(solid).alias("idx", "item")).where(F.regexp_count("item.line", F.lit(WORDS)) >= least)
+    line = F.struct(F.xxhash64("item.line").alias("a"), F.xxhash64(F.lit("second"), "item.line").alias("b"))
+    return written(rows.select(*PLACE, F.col("item.at").alias("first"), F.col("item.at").alias("last"), line.alias("interval")), "long-lines")
+
+
 def maximal_runs(copies: DataFrame) -> DataFrame:
     """_d, _t, runs: of each document the stretches of lines to delete, as an array of (first, last)."""
     by_doc = Window.partitionBy("_d", "_t").orderBy("idx")
@@ -131,26 +144,29 @@ def maximal_runs(copies: DataFrame) -> DataFrame:
     return runs.groupBy("_d", "_t").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
 
-def _stripped(df: DataFrame, m: int, id_col: str, text_col: str) -> DataFrame:
+def _stripped(df: DataFrame, m: int, id_col: str, text_col: str, long_words: int | None) -> DataFrame:
     """`keyed` with `runs` (null where nothing is deleted) and `left`, what is left of the text."""
     _, intervals = suffix_array(df, m, id_col, text_col)
-    runs = written(maximal_runs(later_copies(intervals)), "runs")
+    copies = later_copies(intervals)
+    if long_words is not None:
+        copies = copies.unionByName(later_copies(long_lines(df, long_words, id_col, text_col)))
+    runs = written(maximal_runs(copies), "runs")
     inside = lambda i: F.exists("runs", lambda r: (i >= r["first"]) & (i <= r["last"]))
     left = F.array_join(F.filter(lines_of(F.col("text")), lambda x, i: ~inside(i)), "\n")
     rows = keyed(df, id_col, text_col).join(runs, ["_d", "_t"], "left").withColumn("text", F.col(f"row.{text_col}"))
     return rows.withColumn("left", F.when(F.col("runs").isNull(), F.col("text")).otherwise(left))
 
 
-def deduplicated(df: DataFrame, m: int = RUN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(df: DataFrame, m: int = RUN_LINES, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None) -> DataFrame:
     """`df` without the lines of later copies; a document that loses all its lines goes, all other columns stay."""
-    out = _stripped(df, m, id_col, text_col).where(F.col("runs").isNull() | F.col("left").rlike(NOT_BLANK))
+    out = _stripped(df, m, id_col, text_col, long_words).where(F.col("runs").isNull() | F.col("left").rlike(NOT_BLANK))
     return unboxed(out, df.columns, **{text_col: F.col("left")})
 
 
-def report(df: DataFrame, m: int = RUN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def report(df: DataFrame, m: int = RUN_LINES, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None) -> DataFrame:
     """doc_id, n_lines (not blank), n_removed, n_runs, kept_sha256 of what is left."""
     count = lambda c: F.size(F.filter(lines_of(F.col(c)), lambda x: x.rlike(NOT_BLANK))).cast("long")
-    out = _stripped(df.select(id_col, text_col), m, id_col, text_col)
+    out = _stripped(df.select(id_col, text_col), m, id_col, text_col, long_words)
     return out.select(F.col(f"row.{id_col}").cast("long").alias("doc_id"), count("text").alias("n_lines"),
                       (count("text") - count("left")).alias("n_removed"),
                       F.coalesce(F.size("runs"), F.lit(0)).cast("long").alias("n_runs"),

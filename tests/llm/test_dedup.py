@@ -84,6 +84,30 @@ def test_line_runs(spark, m):
         assert in_order(rows(got, "doc_id", "kept_sha256")) == expected
 
 
+def test_long_lines_go_from_later_copies(spark):
+    """With `long_words`, a line of so many words goes where it occurs again, whatever surrounds it; shorter ones stay."""
+    r = random.Random(50)
+    words = lambda n, c: " ".join(f"{c}{k}" for k in range(n))
+    pool = [words(50, "p"), words(50, "q") + " ", words(49, "s"), "short", "", "\t"]
+    made = [(k, "\n".join(x for y in r.choices(pool, k=r.randint(0, 6)) for x in (y, f"only {k} {r.random()}"))) for k in range(40)]
+    pairs = [*AWKWARD, *made, (60, words(50, "p")), (61, words(50, "p")), (61, words(50, "p")), (62, words(49, "s")), (None, words(50, "q") + " ")]
+    two = lines_by_hand(pairs, 2)
+    at, gone = {}, {}
+    for d, (i, t) in enumerate(dict.fromkeys(pairs)):
+        for k, x in enumerate((t or "").split("\n")):
+            if len(x.split()) >= 50:
+                at.setdefault(x, []).append((-1 if i is None else i, k, d, (i, t)))
+    for found in at.values():
+        for _, k, _, pair in sorted(found, key=lambda f: f[:3])[1:]:
+            gone.setdefault(pair, set()).add(k)
+    # No two lines repeat together but in the awkward rows, where the whole text does: there the long lines are part of the runs.
+    want = {p: two[p] if two[p] != (p[1] or "") else "\n".join(x for k, x in enumerate((p[1] or "").split("\n")) if k not in gone.get(p, ())) for p in two}
+    got = line_dedup.report(documents(spark, pairs), long_words=50)
+    assert in_order(rows(got, "doc_id", "kept_sha256")) == in_order([(i, hashlib.sha256(want[i, t].encode()).hexdigest()) for i, t in pairs])
+    left = {r["doc_id"] for r in rows(line_dedup.deduplicated(documents(spark, pairs), long_words=50))}
+    assert 60 not in left and 61 not in left and {None, 62} <= left
+
+
 def test_line_dedup_keeps_rows_and_columns(spark):
     df = documents(spark, [(1, "a\nb\nc"), (2, "a\nb\nd"), (3, "a\nb"), (4, None), (5, "")])
     out = line_dedup.deduplicated(df)
