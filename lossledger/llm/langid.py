@@ -9,9 +9,10 @@ probability is the sum of its words'. Expectation maximisation over the same
 sums (forward-backward) fits the probabilities.
 
 Words are runs of letters, lower-cased, with the mark in front. Training
-reads the text and label of at most `TRAINING_DOCUMENTS` documents, chosen by
-a hash of the id among those that are not held out; every document is scored,
-whole. Texts alone decide a prediction.
+reads the text and label of about `TRAINING_DOCUMENTS` documents a language at
+most, chosen by a hash of the id among those that are not held out, so a rare
+language is learned as well; every document is scored, whole. Texts alone
+decide a prediction.
 
 Cases: a null text, or one without a letter, gives `und` with score 0; a
 language that ties goes to the first in alphabetical order; rows without a
@@ -38,7 +39,7 @@ from lossledger.llm.merging import Memo
 
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
-#: The classifier is fitted on at most about this many labelled documents.
+#: The classifier is fitted on at most about this many labelled documents of each language.
 TRAINING_DOCUMENTS = 2_000
 #: Probability, in any language, of a character that no piece holds.
 STRANGE = 1e-9
@@ -167,12 +168,19 @@ def is_held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def hash_limits(sizes: dict[str, int], most: int) -> dict[str, int]:
+    """language -> the 63-bit hash below which about `most` of its rows fall; languages with no more than that are left out."""
+    return {lang: (most << 63) // n for lang, n in sizes.items() if n > most}
+
+
 def training_counts(df: DataFrame, id_col: str, text_col: str, lang_col: str, most: int) -> dict[str, dict[str, int]]:
-    """language -> word -> count over the training documents; what reaches the driver is bounded by `most` documents."""
+    """language -> word -> count over the training documents; what reaches the driver is bounded by `most` documents a language."""
     usable = df.where(~is_held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    n = usable.count()
-    share = min(1.0, most / n) if n else 1.0
-    chosen = usable.where(F.pmod(F.xxhash64(F.lit("train"), F.col(id_col)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    limits = hash_limits({r[0]: r[1] for r in usable.groupBy(F.col(lang_col)).count().collect()}, most)
+    chosen = usable
+    if limits:
+        limit = F.create_map(*[c for lang, x in sorted(limits.items()) for c in (F.lit(lang), F.lit(x).cast("long"))])[F.col(lang_col)]
+        chosen = usable.where(limit.isNull() | (F.shiftrightunsigned(F.xxhash64(F.lit("train"), F.col(id_col)), 1) < limit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = defaultdict(Counter)

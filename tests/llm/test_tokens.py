@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from lossledger.llm import langid, registry
 from lossledger.llm.merging import merge_joined, merge_pairs
@@ -175,3 +176,15 @@ def test_language_cases(spark):
     blind = documents(spark, texts)  # no label anywhere
     assert {r["lang_pred"] for r in rows(langid.identify(blind, registry.PIECES))} == {"und"}
     assert langid.identify(df.limit(0), registry.PIECES).count() == 0
+
+
+def test_every_language_is_learned_at_any_size(spark):
+    """A language with a thousandth of the rows gets training documents; a tiny share of many rows still chooses some."""
+    texts = [("the and of by was it", "en")] * 4000 + [("und der ist nicht von", "de")] * 4
+    df = documents(spark, [t for t, _ in texts], langs=[x for _, x in texts])
+    counts = langid.training_counts(df, "doc_id", "text", "lang", 40)
+    assert counts["de"]["▁und"] >= 1 and 10 <= counts["en"]["▁the"] <= 120
+    assert langid.hash_limits({"en": 1 << 50, "de": 2000, "fr": 1999, "es": 2001}, 2000) == {"en": 2000 << 13, "es": (2000 << 63) // 2001}
+    # More than 2^20 usable rows for each one to choose.
+    many = spark.range(6_000_000).select(F.col("id").alias("doc_id"), F.lit("the of").alias("text"), F.lit("en").alias("lang"))
+    assert 0 < langid.training_counts(many, "doc_id", "text", "lang", 4)["en"]["▁the"] <= 20
