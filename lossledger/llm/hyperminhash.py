@@ -29,9 +29,11 @@ task and no driver sees a bucket, a component or a set of links whole.
 
 Cases: a null or blank text has no shingles and no links; a text of fewer
 than five words has one shingle; rows that repeat id and text are one node,
-and as each equals the smallest id each is kept; null ids are ignored when the
-smallest id is sought; an empty table gives no rows; further columns are
-ignored by `near_duplicates` and kept by `deduplicated`.
+and `near_duplicates` calls each row with the smallest id kept, while
+`deduplicated` leaves one row of each component, whatever ids are null or
+repeat; null ids are ignored when the smallest id is sought; an empty table
+gives no rows; further columns are ignored by `near_duplicates` and kept by
+`deduplicated`.
 """
 
 from __future__ import annotations
@@ -276,12 +278,12 @@ def pairs_of_rest(rest: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def linked(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From doc_id, text: (doc_id, n_shingles, node) of each row, and (node, label) of the nodes that have links."""
+    """From doc_id, text: (doc_id, text_hash, n_shingles, node) of each row, and (node, label) of the nodes that have links."""
     ship_code(df.sparkSession)
     signed = written(signatures(df), "signatures")
     # One row of each set stands for it; which one makes no difference.
     nodes = written(signed.where("n_shingles > 0").dropDuplicates(SET).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    rows = signed.select("doc_id", *SET).join(nodes.select(*SET, "node"), SET, "left").select("doc_id", "n_shingles", "node")
+    rows = signed.select("doc_id", "text_hash", *SET).join(nodes.select(*SET, "node"), SET, "left").select("doc_id", "text_hash", "n_shingles", "node")
     meetings = met(nodes)
     pairs = meetings.where("node != pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(
         F.count(F.lit(1)).alias("shared"), F.min("members").alias("fewest"))
@@ -314,10 +316,15 @@ def linked(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, labels
 
 
+def grouped(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """doc_id, n_shingles, group (null without shingles) and the columns `more` of each row."""
+    rows, labels = linked(id_and_text(df, id_col, text_col))
+    return written(rows.join(labels, "node", "left").withColumn("group", F.coalesce("label", "node")).select("doc_id", "n_shingles", "group", *more), "grouped")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
-    rows, labels = linked(id_and_text(df, id_col, text_col))
-    rows = written(rows.join(labels, "node", "left").withColumn("group", F.coalesce("label", "node")).select("doc_id", "n_shingles", "group"), "grouped")
+    rows = grouped(df, id_col, text_col)
     # Written: a join whose sides both come straight from a shuffle can be split where a group is hot.
     heads = written(rows.where(F.col("group").isNotNull()).groupBy("group").agg(F.min("doc_id").alias("head")), "heads")
     return (rows.join(heads, "group", "left").withColumn("component_id", F.coalesce("head", "doc_id"))
@@ -325,7 +332,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `df` that stay: of each component the one with the smallest id. All columns are kept."""
-    stay = written(near_duplicates(df, id_col, text_col).where("kept").select("doc_id").distinct(), "near-kept")
-    rows = boxed(df, id=F.col(id_col).cast("long"))
-    return unboxed(rows.join(stay, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi"), df.columns)
+    """The rows of `df` that stay: of each component one, and all without shingles. All columns are kept.
+
+    The one has the smallest id, null ids last; of several texts under that id
+    the one with the smallest hash; of rows that repeat id and text the one
+    whose columns have the smallest hash.
+    """
+    rows = grouped(df, id_col, text_col, "text_hash")
+    key = ["doc_id", "text_hash"]
+    blank = rows.where(F.col("group").isNull()).select(*key, F.lit(False).alias("repeats")).distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), *key, (F.col("n") > 1).alias("repeats"))).alias("least")
+    heads = rows.where(F.col("group").isNotNull()).groupBy("group", *key).agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(least)
+    stay = written(heads.select(*[f"least.{c}" for c in (*key, "repeats")]).unionByName(blank), "near-kept")
+    rows = boxed(df, id=F.col(id_col).cast("long"), hash=F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
+    out = rows.join(stay.where(~F.col("repeats")), same, "left_semi").select("row")
+    repeats = stay.where("repeats")
+    if not repeats.isEmpty():
+        # Combined on the map side: rows that repeat id and text cost each task one row.
+        twins = rows.join(repeats, same, "left_semi").groupBy("id", "hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        out = out.unionByName(twins.select("row"))
+    return unboxed(out, df.columns)

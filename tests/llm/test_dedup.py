@@ -291,3 +291,16 @@ def test_near_dedup_keeps_one_row_of_a_group(spark):
     out = hyperminhash.deduplicated(df)
     assert sorted(r["doc_id"] for r in rows(out)) == [7, 8, 1000] and out.columns == df.columns
     assert hyperminhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_near_dedup_keeps_one_row_where_ids_are_null_or_repeat(spark):
+    one, two, three, four = ([t for _, t in family(k, 4, 200, 2)] for k in (21, 22, 23, 24))
+    pairs = [*[(None, t) for t in one],  # no id at all
+             *[(None, t) for t in two[1:]], (5, two[0]),  # the row with an id stands for them
+             *[(7, t) for t in three], (8, three[0]),  # one id, several texts
+             (7, four[0]), (3, four[1]),  # an id kept elsewhere
+             *[(9, "a twin row of six words")] * 3, (None, "another twin row without id")]
+    pairs += [pairs[-1], (7, None), (7, None), (None, " ")]  # without shingles: all stay
+    got = rows(hyperminhash.deduplicated(documents(spark, pairs)), "doc_id", "text")
+    assert Counter(i for i, _ in got) == Counter([None, 5, 7, 3, 9, None, 7, 7, None])
+    assert all(sum(t in texts for _, t in got) == 1 for texts in (one, two, three, four)) and not Counter(got) - Counter(pairs)
