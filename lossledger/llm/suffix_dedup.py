@@ -13,11 +13,11 @@ suffix arrays for its share:
    meet by anchor. Read in blocks of BLOCK bytes, aligned at the anchor, a task's
    contexts form one text. In its suffix array, neighbours that agree in as
    many blocks as any repeated string must hold form a class; within each class
-   the strings themselves are compared, byte by byte of alignment.
+   the strings at every byte are grouped by a 64-bit hash.
 3. An anchor with more than `CROWD` different contexts would be a hot group.
    Its contexts are dealt out in pieces of PIECE starts, which meet by all the
    bytes that their strings share and go through 2 in their turn; a piece
-   that still draws a crowd is compared string by string, counted by hash.
+   that still draws a crowd has its strings counted by a 128-bit hash.
 4. The repeated starts return to the documents that hold the contexts and are
    merged into removed runs.
 
