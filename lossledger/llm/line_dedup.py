@@ -8,7 +8,8 @@ h lines further on). Suffixes with the same rank by m lines are the members
 of one interval of the suffix array whose longest common prefix is at least m
 lines. In each such interval the first copy, by document id and line, stays;
 the lines of the later copies are deleted, and overlapping or touching copies
-make up one maximal run.
+make up one run, wherever their first copies lie. Only the intervals by m
+lines decide; the rounds beyond m finish the array.
 
 With `long_words`, an interval with a common prefix of one line counts too
 where that line has so many words: its later copies go whatever surrounds
@@ -135,7 +136,7 @@ def long_lines(df: DataFrame, least: int, id_col: str, text_col: str) -> DataFra
 
 
 def maximal_runs(copies: DataFrame) -> DataFrame:
-    """_d, _t, runs: of each document the stretches of lines to delete, as an array of (first, last)."""
+    """_d, _t, runs: of each document the stretches of lines to delete, as an array of (first, last); touching copies make one."""
     by_doc = Window.partitionBy("_d", "_t").orderBy("idx")
     reach = F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(F.col("first") > F.coalesce(reach, F.lit(-2)) + 1, 1).otherwise(0)
