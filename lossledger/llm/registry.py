@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lossledger.llm import bpe_tree, exact_dedup, hyperminhash, imatch, langid, line_dedup, mixing, prefix_trie, sentencepiece_codec, sharding, suffix_dedup, token_counts
+from lossledger.llm import bpe_tree, exact_dedup, hyperminhash, imatch, langid, line_dedup, mixing, phrases, prefix_trie, sentencepiece_codec, sharding, suffix_dedup, token_counts
 from lossledger.llm.common import documents
 
 _PACKAGE = importlib.util.find_spec("public_tokenizers")
@@ -62,6 +62,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -77,6 +81,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_line_dedup, op4_token_counts, op5_suffix_dedup, op6_sharding, op7_fingerprints, op8_mixing, op9_exact_dedup, op10_near_dedup, op12_prefix_trie, op13_bpe, pipeline)}
+    f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_line_dedup, op4_token_counts, op5_suffix_dedup, op6_sharding, op7_fingerprints, op8_mixing, op9_exact_dedup, op10_near_dedup, op11_phrases, op12_prefix_trie, op13_bpe, pipeline)}
 SQL: dict[str, str] = {"op3_line_dedup": line_dedup.SQL, "op6_sharding": sharding.SQL, "op8_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL,
-                       "op12_prefix_trie": prefix_trie.SQL}
+                       "op11_phrases": phrases.SQL, "op12_prefix_trie": prefix_trie.SQL}
