@@ -8,11 +8,17 @@ so the segmentations of a text are those of its words, and a text's log
 probability is the sum of its words'. Expectation maximisation over the same
 sums (forward-backward) fits the probabilities.
 
-Words are runs of letters, lower-cased, with the mark in front. Training
-reads the text and label of about `TRAINING_DOCUMENTS` documents a language at
-most, chosen by a hash of the id among those that are not held out, so a rare
-language is learned as well; every document is scored, whole. Texts alone
-decide a prediction.
+Words are runs of letters (Unicode's categories L), lower-cased, with the mark
+in front. Training reads the text and label of about `TRAINING_DOCUMENTS`
+documents a language at most, chosen by a hash of the id among those that are
+not held out, so a rare language is learned as well; every document is scored,
+whole. Texts alone decide a prediction.
+
+Each language is fitted in a task of its own, from its words' counts; the
+driver gets the probabilities of the pieces in use, at most one per piece and
+language. Both sums run over many words of equal length at once, with numpy:
+a piece is found by a 64-bit hash of its characters, rolled from one length to
+the next. A task keeps the scores of words that it has seen, up to a bound.
 
 Cases: a null text, or one without a letter, gives `und` with score 0; a
 language that ties goes to the first in alphabetical order; rows without a
@@ -24,20 +30,20 @@ ignored.
 from __future__ import annotations
 
 import math
-import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lossledger.llm.common import ship_code
-from lossledger.llm.merging import Memo
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 MARK = "▁"
 #: The classifier is fitted on at most about this many labelled documents of each language.
 TRAINING_DOCUMENTS = 2_000
@@ -45,10 +51,16 @@ TRAINING_DOCUMENTS = 2_000
 STRANGE = 1e-9
 #: Words longer than this are scored in parts of this length, so a stray megabyte of letters stays linear.
 LONGEST_WORD = 64
+#: Words whose scores a task keeps, and characters of text that it takes at a time.
+MOST_WORDS, STRETCH = 500_000, 4_000_000
 
 
 def words_of(text: str) -> list[str]:
-    return [MARK + w[i:i + LONGEST_WORD] for w in LETTERS.findall(text.lower()) for i in range(0, len(w), LONGEST_WORD)]
+    return [part for w in LETTERS.findall(text.lower()) for part in parts_of(w)]
+
+
+def parts_of(word: str) -> list[str]:
+    return [MARK + word[i:i + LONGEST_WORD] for i in range(0, len(word), LONGEST_WORD)]
 
 
 @lru_cache(maxsize=4)
@@ -61,50 +73,103 @@ def piece_list(model_path: str) -> frozenset:
     return frozenset(p for p in pieces if p == MARK or (p.removeprefix(MARK).isalpha() and p == p.lower()))
 
 
+#: For words of one length, from left to right: start, end, the words that have a piece there, and the pieces' numbers.
+Edges = list[tuple[int, int, np.ndarray, np.ndarray]]
+
+
 class Lattice:
-    """The pieces that can stand at each place of a word."""
+    """Finds the pieces that can stand at each place of many words; a single character always may, as number `unknown`."""
+
+    _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, pieces):
-        self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
-
-    def edges(self, word: str) -> list[tuple[int, int, str]]:
-        """(start, end, piece); a single character always may stand, also as an unknown piece."""
-        n, pieces, most = len(word), self.pieces, self.longest
-        return [(i, j, word[i:j]) for i in range(n) for j in range(i + 1, min(n, i + most) + 1) if j == i + 1 or word[i:j] in pieces]
-
-
-def expected_counts(words: dict[str, int], lattice: Lattice, prob: dict[str, float]) -> Counter:
-    """Expected number of uses of each piece over all segmentations of the counted words."""
-    out: Counter = Counter()
-    for word, times in words.items():
-        edges, n = lattice.edges(word), len(word)
-        p = [prob.get(piece, STRANGE) for _, _, piece in edges]
-        forward, backward = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-        for (i, j, _), x in zip(edges, p, strict=True):
-            forward[j] += forward[i] * x
-        for (i, j, _), x in zip(reversed(edges), reversed(p), strict=True):
-            backward[i] += backward[j] * x
-        if forward[n] > 0:
-            scale = times / forward[n]
-            for (i, j, piece), x in zip(edges, p, strict=True):
-                out[piece] += forward[i] * x * backward[j] * scale
+        self.pieces = sorted(pieces)
+        self.unknown = len(self.pieces)
+        self.longest = max(map(len, self.pieces), default=1)
+        hashes = np.array([self._hash(p) for p in self.pieces], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.numbers = hashes[order], order
+        if (self.hashes[1:] == self.hashes[:-1]).any():
+            raise ValueError("two pieces share a hash")
+        beginnings = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+        self.begins, self.whole = np.zeros(1 << 20, bool), np.zeros(1 << 20, bool)
+        self.begins[[self._hash(b) >> 44 for b in beginnings]] = True
+        self.whole[hashes >> np.uint64(44)] = True
+
+    @classmethod
+    def _hash(cls, text: str) -> int:
+        h = 0
+        for c in text:
+            h = (h ^ ord(c)) * int(cls._FACTOR) & 0xFFFFFFFFFFFFFFFF
+            h ^= h >> 29
+        return h
+
+    def edges(self, words: list[str]) -> Edges:
+        """For words of one and the same length."""
+        size = len(words[0])
+        letters = np.array(words, f"<U{size}").view("<u4").reshape(len(words), size).astype(np.uint64)
+        out: Edges = []
+        for i in range(size):
+            alive, h = np.arange(len(words)), np.zeros(len(words), np.uint64)
+            for j in range(i + 1, min(size, i + self.longest) + 1):
+                h = (h ^ letters[alive, j - 1]) * self._FACTOR
+                h ^= h >> np.uint64(29)
+                short = h >> np.uint64(44)
+                at = np.flatnonzero(self.whole[short])
+                place = np.minimum(np.searchsorted(self.hashes, h[at]), max(self.unknown - 1, 0))
+                found = self.hashes[place] == h[at] if self.unknown else np.zeros(0, bool)
+                rows, numbers = alive[at[found]], self.numbers[place[found]]
+                if j == i + 1:
+                    every = np.full(len(words), self.unknown)
+                    every[rows] = numbers
+                    rows, numbers = alive, every
+                if len(rows):
+                    out.append((i, j, rows, numbers))
+                going = np.flatnonzero(self.begins[short])
+                if not len(going):
+                    break
+                alive, h = alive[going], h[going]
+        return out
+
+
+def by_length(words, most: int) -> Iterator[list[str]]:
+    """The words in lists of one length, each of about `most` characters."""
+    groups: dict[int, list[str]] = defaultdict(list)
+    for w in words:
+        groups[len(w)].append(w)
+    for size, group in sorted(groups.items()):
+        step = max(1, most // size)
+        for k in range(0, len(group), step):
+            yield group[k:k + step]
+
+
+def expected_counts(words: dict[str, int], lattice: Lattice, prob: np.ndarray) -> np.ndarray:
+    """Expected number of uses of each piece over all segmentations of the counted words; the last number is of unknown characters."""
+    out = np.zeros(lattice.unknown + 1)
+    for group in by_length(words, 1_000_000):
+        n, edges = len(group[0]), lattice.edges(group)
+        forward, backward = np.zeros((n + 1, len(group))), np.zeros((n + 1, len(group)))
+        forward[0] = backward[n] = 1.0
+        for i, j, rows, numbers in edges:
+            forward[j, rows] += forward[i, rows] * prob[numbers]
+        for i, j, rows, numbers in reversed(edges):
+            backward[i, rows] += backward[j, rows] * prob[numbers]
+        times = np.array([words[w] for w in group], float)
+        scale = np.divide(times, forward[n], out=np.zeros(len(group)), where=forward[n] > 0)
+        for i, j, rows, numbers in edges:
+            out += np.bincount(numbers, forward[i, rows] * prob[numbers] * backward[j, rows] * scale[rows], len(out))
     return out
 
 
-def fit(counts: dict[str, dict[str, int]], pieces: frozenset, rounds: int = 2, smoothing: float = 0.05) -> dict[str, tuple[float, ...]]:
-    """piece -> its probability in each language (sorted); counts: language -> word -> count."""
-    lattice, languages = Lattice(pieces), sorted(counts)
-    by_language = {}
-    for language in languages:
-        # Long pieces are rarer than short ones a priori; the rounds correct this start.
-        prob = {p: 30.0 ** -len(p) for p in pieces}
-        for _ in range(rounds):
-            seen = expected_counts(counts[language], lattice, prob)
-            total = sum(seen.values()) + smoothing * len(pieces)
-            prob = {p: (seen.get(p, 0.0) + smoothing) / total for p in pieces}
-        by_language[language] = prob
-    return {p: tuple(by_language[x][p] for x in languages) for p in pieces}
+def fit(counts: dict[str, int], lattice: Lattice, rounds: int = 2, smoothing: float = 0.05) -> np.ndarray:
+    """The pieces' probabilities in one language, from its words' counts; the last is that of unknown characters."""
+    # Long pieces are rarer than short ones a priori; the rounds correct this start.
+    prob = np.array([*(30.0 ** -len(p) for p in lattice.pieces), STRANGE])
+    for _ in range(rounds):
+        seen = expected_counts(counts, lattice, prob)
+        prob = (seen + smoothing) / (seen.sum() + smoothing * lattice.unknown)
+        prob[-1] = STRANGE
+    return prob
 
 
 class Scorer:
@@ -112,55 +177,85 @@ class Scorer:
 
     def __init__(self, languages: tuple[str, ...], probability: dict[str, tuple[float, ...]]):
         self.languages, self.probability = languages, probability
-        self.lattice = Lattice(probability.keys())
-        self.row = Memo(self._row, most=500_000, longest=LONGEST_WORD + 1)
-        self.table = np.zeros((1 << 14, len(languages)))
-        self.used = 0
-
-    def _row(self, word: str) -> int:
-        if self.used == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[self.used] = self.word(word)
-        self.used += 1
-        return self.used - 1
-
-    def word(self, word: str) -> list[float]:
-        """Log of the word's probability per language: the forward algorithm over all segmentations."""
-        n, most, known = len(word), self.lattice.longest, self.probability
-        strange = (STRANGE,) * len(self.languages)
-        sums = [[1.0] * len(self.languages)] + [None] * n
-        for j in range(1, n + 1):
-            at = [0.0] * len(self.languages)
-            for i in range(max(0, j - most), j):
-                p = known.get(word[i:j]) or (strange if i == j - 1 else None)
-                if p:
-                    at = [a + s * x for a, s, x in zip(at, sums[i], p)]
-            sums[j] = at
-            if at[0] < 1e-200 or min(at) < 1e-200:  # long words: keep the sums in a float's range
-                return self._scaled(word)
-        return [math.log(x) for x in sums[n]]
+        self.lattice = Lattice(probability)
+        self.matrix = np.array([*(probability[p] for p in self.lattice.pieces), (STRANGE,) * len(languages)], float)
+        self.row: dict[str, int] = {}
+        self.table = np.zeros((0, len(languages)))
+
+    def logs(self, words: list[str]) -> np.ndarray:
+        """Per word (one length) and language the log of its probability: the forward algorithm over all segmentations."""
+        n = len(words[0])
+        sums, shift = np.zeros((n + 1, len(words), len(self.languages))), np.zeros(len(words))
+        sums[0], at = 1.0, 0
+        for i, j, rows, numbers in self.lattice.edges(words):
+            if i > at:  # all sums up to i are final; keep them in a float's range
+                at = i
+                low = np.flatnonzero(sums[i].max(1) < 1e-100)
+                sums[i:, low] *= 1e100
+                shift[low] -= 100 * math.log(10)
+            sums[j, rows] += sums[i, rows] * self.matrix[numbers]
+        with np.errstate(divide="ignore"):
+            out = np.log(sums[n]) + shift[:, None]
+        for k in np.flatnonzero((sums[n] < 1e-290).any(1)):
+            out[k] = self._scaled(words[k])
+        return out
 
     def _scaled(self, word: str) -> list[float]:
-        logs = []
-        for k in range(len(self.languages)):
-            f = [0.0] + [-math.inf] * len(word)
-            for i, j, piece in self.lattice.edges(word):
-                p = self.probability.get(piece)
-                f[j] = np.logaddexp(f[j], f[i] + math.log(p[k] if p else STRANGE))
-            logs.append(float(f[-1]))
-        return logs
-
-    def __call__(self, text: str) -> tuple[str, float]:
-        words = words_of(text or "")
+        """The same for one word, with logs throughout."""
+        with np.errstate(divide="ignore"):
+            logs = np.log(self.matrix)
+        f = np.full((len(word) + 1, len(self.languages)), -np.inf)
+        f[0] = 0.0
+        for i, j, _, numbers in self.lattice.edges([word]):
+            f[j] = np.logaddexp(f[j], f[i] + logs[numbers[0]])
+        return f[-1].tolist()
+
+    def _learn(self, words) -> None:
+        """Rows for words (without mark) that have none."""
+        parts = {w: parts_of(w) for w in words}
+        of_part: dict[str, np.ndarray] = {}
+        for group in by_length({p for ps in parts.values() for p in ps}, max(1, 1_000_000 // len(self.languages))):
+            of_part.update(zip(group, self.logs(group), strict=True))
+        rows = [of_part[ps[0]] if len(ps) == 1 else np.sum([of_part[p] for p in ps], 0) for ps in parts.values()]
+        self.row.update(zip(parts, range(len(self.table), len(self.table) + len(parts)), strict=True))
+        self.table = np.concatenate([self.table, rows])
+
+    def scores(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """For each text the best language and its posterior under equal priors."""
+        out: list[tuple[str, float]] = []
+        at = 0
+        while at < len(texts):
+            upto, size = at, 0
+            while upto < len(texts) and (upto == at or size + len(texts[upto] or "") <= STRETCH):
+                size += len(texts[upto] or "")
+                upto += 1
+            out += self._stretch(texts[at:upto])
+            at = upto
+        return out
+
+    def _stretch(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        words: list[str] = []
+        ends = []
+        for text in texts:
+            words += LETTERS.findall(text.lower()) if text else ()
+            ends.append(len(words))
         if not words or not self.languages:
-            return "und", 0.0
-        if len(self.row) + len(words) > self.row.most or self.used > 2 * self.row.most:
-            self.row.clear()
-            self.used = 0
-        rows = [self.row[w] for w in words] if len(words) <= self.row.most // 2 else None
-        total = self.table[rows].sum(0) if rows else np.sum([self.word(w) for w in words], 0)
-        best = int(np.argmax(total))
-        return self.languages[best], float(1.0 / np.exp(total - total[best]).sum())
+            return [("und", 0.0)] * len(texts)
+        new = set(words) - self.row.keys()
+        if new:
+            if len(self.row) + len(new) > MOST_WORDS:
+                self.row, self.table, new = {}, self.table[:0], set(words)
+            self._learn(sorted(new))
+        rows = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
+        starts = np.array([0, *ends[:-1]])
+        some = np.flatnonzero(np.array(ends) > starts)
+        total = np.add.reduceat(self.table[rows], starts[some])
+        best = total.argmax(1)
+        score = 1.0 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+        out = [("und", 0.0)] * len(texts)
+        for k, b, x in zip(some.tolist(), best.tolist(), score.tolist(), strict=True):
+            out[k] = (self.languages[b], x)
+        return out
 
 
 def is_held_out(id_col: str = "doc_id") -> Column:
@@ -173,8 +268,8 @@ def hash_limits(sizes: dict[str, int], most: int) -> dict[str, int]:
     return {lang: (most << 63) // n for lang, n in sizes.items() if n > most}
 
 
-def training_counts(df: DataFrame, id_col: str, text_col: str, lang_col: str, most: int) -> dict[str, dict[str, int]]:
-    """language -> word -> count over the training documents; what reaches the driver is bounded by `most` documents a language."""
+def training_words(df: DataFrame, id_col: str, text_col: str, lang_col: str, most: int) -> DataFrame:
+    """lang, word, n over the training documents: about `most` documents a language at most."""
     usable = df.where(~is_held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     limits = hash_limits({r[0]: r[1] for r in usable.groupBy(F.col(lang_col)).count().collect()}, most)
     chosen = usable
@@ -193,20 +288,15 @@ def training_counts(df: DataFrame, id_col: str, text_col: str, lang_col: str, mo
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())],
                                              names=["lang", "word", "n"])
 
-    found = (chosen.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(run, "lang string, word string, n long")
-             .groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for lang, word, c in sorted(tuple(r) for r in found.collect()):
-        counts[lang][word] = c
-    return counts
+    return (chosen.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(run, "lang string, word string, n long")
+            .groupBy("lang", "word").agg(F.sum("n").alias("n")))
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[str, Scorer] = {}
 
 
-def scorer_of(languages: tuple[str, ...], probability: dict) -> Scorer:
+def scorer_of(key: str, languages: tuple[str, ...], probability: dict) -> Scorer:
     """One scorer per Python worker and model, so that its words outlive a task."""
-    key = hash((languages, len(probability), tuple(sorted(probability.items())[:50])))
     if key not in _SCORERS:
         _SCORERS.clear()
         _SCORERS[key] = Scorer(languages, probability)
@@ -214,10 +304,29 @@ def scorer_of(languages: tuple[str, ...], probability: dict) -> Scorer:
 
 
 def fitted(df: DataFrame, model_path: str, id_col: str, text_col: str, lang_col: str, most: int):
-    """The languages and the model, learned from `df`, as a broadcast: a probability per piece of the fixed vocabulary and language."""
+    """The languages and the model, learned from `df`, as a broadcast: a probability per piece of the fixed vocabulary and language.
+
+    Pieces that a language does not use share its least probability.
+    """
     ship_code(df.sparkSession)
-    counts = training_counts(df, id_col, text_col, lang_col, most)
-    return df.sparkSession.sparkContext.broadcast((tuple(sorted(counts)), fit(counts, piece_list(model_path))))
+
+    def run(table: pa.Table) -> pa.Table:
+        lattice = Lattice(piece_list(model_path))
+        table = table.sort_by("word")
+        prob = fit(dict(zip(table.column("word").to_pylist(), table.column("n").to_pylist(), strict=True)), lattice)[:-1]
+        used = np.flatnonzero(prob > prob.min())
+        pieces = [lattice.pieces[k] for k in used.tolist()] + [None]
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(pieces)), "piece": pa.array(pieces, pa.string()),
+                         "p": pa.array(np.append(prob[used], prob.min()))})
+
+    words = training_words(df, id_col, text_col, lang_col, most)
+    found = words.groupBy("lang").applyInArrow(run, "lang string, piece string, p double").toArrow()
+    by_language: dict[str, dict[str | None, float]] = defaultdict(dict)
+    for lang, piece, p in zip(*(found.column(c).to_pylist() for c in ("lang", "piece", "p")), strict=True):
+        by_language[lang][piece] = p
+    languages = tuple(sorted(by_language))
+    probability = {p: tuple(by_language[x].get(p, by_language[x][None]) for x in languages) for p in sorted(piece_list(model_path))} if languages else {}
+    return df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, languages, probability))
 
 
 def identify(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -228,7 +337,7 @@ def identify(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer_of(*model.value)
         for batch in batches:
-            found = [score(t) for t in batch.column(1).to_pylist()]
+            found = score.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                                              names=["doc_id", "lang_pred", "score"])
 
@@ -249,7 +358,7 @@ def keep_identified(df: DataFrame, model_path: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer_of(*model.value)
         for batch in batches:
-            found = [score(t) for t in batch.column(at).to_pylist()]
+            found = score.scores(batch.column(at).to_pylist())
             yield batch.filter(pa.array([x[0] != "und" and x[1] >= least for x in found], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -1,9 +1,11 @@
 """SentencePiece codec, prefix token counts and language ID against the libraries and by definition."""
 
+import collections
 import hashlib
 import itertools
 import math
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -129,27 +131,94 @@ def test_token_counts_over_awkward_rows(spark):
 
 
 def test_forward_sums_all_segmentations():
-    pieces = {"▁": (0.1,), "▁a": (0.2,), "a": (0.3,), "b": (0.05,), "ab": (0.25,), "▁ab": (0.1,), "ba": (0.07,)}
-    scorer = langid.Scorer(("x",), pieces)
+    pieces = {"▁": (0.1, 0.2), "▁a": (0.2, 0.1), "a": (0.3, 0.3), "b": (0.05, 0.1), "ab": (0.25, 0.1), "▁ab": (0.1, 0.2), "ba": (0.07, 0.01)}
+    scorer = langid.Scorer(("x", "y"), pieces)
 
-    def brute(word):
+    def brute(word, k):
         if not word:
             return 1.0
-        return sum((pieces.get(word[:k]) or ((langid.STRANGE,) if k == 1 else (0.0,)))[0] * brute(word[k:]) for k in range(1, len(word) + 1))
+        return sum((pieces.get(word[:i]) or ((langid.STRANGE,) * 2 if i == 1 else (0.0, 0.0)))[k] * brute(word[i:], k) for i in range(1, len(word) + 1))
 
-    for word in ("▁a", "▁ab", "▁abba", "▁babab", "▁zab"):
-        assert scorer.word(word)[0] == pytest.approx(math.log(brute(word)))
-        assert scorer._scaled(word)[0] == pytest.approx(math.log(brute(word)))
+    for group in (["▁a"], ["▁ab", "▁ba", "▁za"], ["▁abba"], ["▁babab", "▁ababa", "▁zzzab"], ["▁" + "z" * 40, "▁" + "ab" * 20]):
+        for word, logs in zip(group, scorer.logs(group)):
+            if len(word) < 10:
+                assert logs.tolist() == pytest.approx([math.log(brute(word, k)) for k in (0, 1)])
+            assert logs.tolist() == pytest.approx(scorer._scaled(word))
 
 
 def test_expected_counts_by_enumeration():
-    prob = {"a": 0.3, "b": 0.2, "ab": 0.4, "ba": 0.1}
+    prob = {"a": 0.3, "ab": 0.4, "b": 0.2, "ba": 0.1}
     lattice = langid.Lattice(prob)
     cuts = [["a", "b", "a"], ["ab", "a"], ["a", "ba"]]
     weight = [math.prod(prob[p] for p in c) for c in cuts]
     want = {p: sum(w * c.count(p) for c, w in zip(cuts, weight)) / sum(weight) for p in prob}
-    got = langid.expected_counts({"aba": 2}, lattice, prob)
-    assert all(got[p] == pytest.approx(2 * want[p]) for p in prob)
+    got = langid.expected_counts({"aba": 2}, lattice, np.array([prob[p] for p in lattice.pieces] + [langid.STRANGE]))
+    assert dict(zip(lattice.pieces, got)) == pytest.approx({p: 2 * want[p] for p in prob})
+
+
+def test_predictions_equal_a_plain_version(spark):
+    """All rows of op2 against a version without numpy, hashing or grouping: dictionaries, one word and one edge at a time."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    extra = documents(spark, [(10_000 + i, t) for i, (_, t) in enumerate(AWKWARD)]).select(*docs.columns)
+    df = docs.unionByName(extra)
+    found = {r["doc_id"]: r for r in rows(langid.identify(df, registry.PIECES, most=10_000))}
+    pieces = langid.piece_list(registry.PIECES)
+
+    def plain_words(text):
+        letters = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (text or "").lower())
+        return ["▁" + w[i:i + 64] for w in letters.split() for i in range(0, len(w), 64)]
+
+    def edges(word):
+        return [(i, j, word[i:j]) for i in range(len(word)) for j in range(i + 1, min(len(word), i + 20) + 1) if j == i + 1 or word[i:j] in pieces]
+
+    all_rows = rows(df, "doc_id", "text", "lang")
+    counts = {}
+    for i, text, lang in all_rows:
+        if lang is not None and text is not None and i is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts.setdefault(lang, collections.Counter()).update(plain_words(text))
+    lattices = {w: edges(w) for c in counts.values() for w in c}
+    models = {}
+    for lang, words in counts.items():
+        prob = {p: 30.0 ** -len(p) for p in pieces}
+        for _ in range(2):
+            seen = collections.Counter()
+            for w, times in words.items():
+                f, b = [1.0] + [0.0] * len(w), [0.0] * len(w) + [1.0]
+                for i, j, p in lattices[w]:
+                    f[j] += f[i] * prob.get(p, langid.STRANGE)
+                for i, j, p in reversed(lattices[w]):
+                    b[i] += b[j] * prob.get(p, langid.STRANGE)
+                for i, j, p in lattices[w]:
+                    seen[p] += f[i] * prob.get(p, langid.STRANGE) * b[j] * times / f[-1] if f[-1] else 0.0
+            total = sum(seen.values()) + 0.05 * len(pieces)
+            prob = {p: (seen.get(p, 0.0) + 0.05) / total for p in pieces}
+        models[lang] = prob
+    known = {}
+
+    def log_p(word, lang):
+        if (word, lang) not in known:
+            f = [0.0] + [-math.inf] * len(word)
+            for i, j, p in lattices.get(word) or edges(word):
+                f[j] = np.logaddexp(f[j], f[i] + math.log(models[lang].get(p, langid.STRANGE)))
+            known[word, lang] = f[-1]
+        return known[word, lang]
+
+    assert len(found) >= len(all_rows) - 2  # AWKWARD's ids were renumbered, so none repeats
+    for i, text, _ in all_rows:
+        words = plain_words(text)
+        if not words:
+            assert (found[i]["lang_pred"], found[i]["score"]) == ("und", 0.0)
+            continue
+        sums = {lang: sum(log_p(w, lang) for w in words) for lang in sorted(models)}
+        best = max(sums, key=sums.get)
+        assert found[i]["lang_pred"] == best
+        assert found[i]["score"] == pytest.approx(1 / sum(math.exp(x - sums[best]) for x in sums.values()), abs=1e-6)
+
+
+def test_numerals_are_no_letters(spark):
+    texts = ["²³", "½", "Ⅷ", "①", "the and of"]
+    df = documents(spark, texts, langs=[None, None, None, None, "en"])
+    assert [r[1] for r in sorted(rows(langid.identify(df, registry.PIECES), "doc_id", "lang_pred"))] == ["und"] * 4 + ["en"]
 
 
 def test_language_is_found_on_held_out_documents(spark):
@@ -182,9 +251,10 @@ def test_every_language_is_learned_at_any_size(spark):
     """A language with a thousandth of the rows gets training documents; a tiny share of many rows still chooses some."""
     texts = [("the and of by was it", "en")] * 4000 + [("und der ist nicht von", "de")] * 4
     df = documents(spark, [t for t, _ in texts], langs=[x for _, x in texts])
-    counts = langid.training_counts(df, "doc_id", "text", "lang", 40)
-    assert counts["de"]["▁und"] >= 1 and 10 <= counts["en"]["▁the"] <= 120
+    training = lambda d, most: {(r["lang"], r["word"]): r["n"] for r in rows(langid.training_words(d, "doc_id", "text", "lang", most))}
+    counts = training(df, 40)
+    assert counts["de", "▁und"] >= 1 and 10 <= counts["en", "▁the"] <= 120
     assert langid.hash_limits({"en": 1 << 50, "de": 2000, "fr": 1999, "es": 2001}, 2000) == {"en": 2000 << 13, "es": (2000 << 63) // 2001}
     # More than 2^20 usable rows for each one to choose.
     many = spark.range(6_000_000).select(F.col("id").alias("doc_id"), F.lit("the of").alias("text"), F.lit("en").alias("lang"))
-    assert 0 < langid.training_counts(many, "doc_id", "text", "lang", 4)["en"]["▁the"] <= 20
+    assert 0 < training(many, 4)["en", "▁the"] <= 20
