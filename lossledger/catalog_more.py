@@ -45,3 +45,8 @@ from lossledger.streaming import pipeline as _stream
 register("stream_fact_claims", _stream.stream_fact_claims, _INC_SQL["stream_fact_claims"])
 register("run_history", _stream.stream_run_history, _INC_SQL["run_history"])
 register("stream_status", _stream.stream_status, _INC_SQL["stream_status"])
+
+from lossledger.plans import growing as _growing
+
+for _k in ["grown_loss_causes", "grown_geography", "grown_calendar", "fact_after_two_merges", "gaps_after_two_merges"]:
+    register(_k, getattr(_growing, _k), _INC_SQL[_k])

@@ -62,14 +62,15 @@ def extend_keys(existing: DataFrame, candidates: DataFrame, natural: list[str],
     largest existing surrogate key (in natural-key order), as
     (natural..., key). Existing keys never change, so facts built earlier
     stay valid; re-running with the same input adds nothing (idempotent).
-    The anti join is NULL-safe, so a NULL part of a natural key matches."""
-    cand = candidates.select(*natural).distinct()
-    have = existing.select(*[F.col(c).alias(f"_e_{c}") for c in natural])
-    cond = None
-    for c in natural:
-        e = F.col(c).eqNullSafe(F.col(f"_e_{c}"))
-        cond = e if cond is None else cond & e
-    new = cand.join(have, cond, "left_anti")
+    The anti join is NULL-safe, so a NULL part of a natural key matches; when
+    it leaves nothing, nothing is numbered.
+
+    The keys are not stored here: where a second batch may follow, use
+    `operators.members.MemberStore`, which is built on the same join."""
+    from lossledger.operators.members import missing_members
+    new = written(missing_members(existing, candidates, natural), "new-members")
+    if new.isEmpty():
+        return new.withColumn(key, F.lit(None).cast("long"))
     keyed = sequential_key(new, natural, "_n", num_partitions)
     base = F.broadcast(existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("_base")))  # one row
     return keyed.crossJoin(base).select(*natural, (F.col("_base") + F.col("_n")).alias(key))

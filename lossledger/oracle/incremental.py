@@ -123,3 +123,73 @@ SELECT TASK, CAST(3 AS BIGINT) AS TOTAL_RUNS, COUNT(*) FILTER (input_rows > 0) A
 FROM drops GROUP BY TASK""", _FEEDS)
 INC["stream_status"] = with_base(
     "SELECT TASK, COUNT(*) FILTER (input_rows > 0) AS BATCHES_WITH_DATA FROM drops GROUP BY TASK", _FEEDS)
+
+
+# -- dimensions after two batches with new members ----------------------------------------
+_MOVE = ("LOSS_CAUSE || '{m}' AS LOSS_CAUSE, CLAIM_CITY || '{s}' AS CLAIM_CITY, "
+         "CAST(LOSS_DATE + INTERVAL {y} YEAR AS DATE) AS LOSS_DATE")
+
+
+def _moved(status: str, mark: str, side: str, years: int) -> str:
+    return f"SELECT * REPLACE ({_MOVE.format(m=mark, s=side, y=years)}) FROM r_claims WHERE CLAIM_STATUS = '{status}'"
+
+
+_dims = dict(star_ctes())
+_cause_rows = _dims["dim_loss_cause"].split("FROM (SELECT DISTINCT")[1].split("LEFT JOIN", 1)[1]
+_geo_rows = _dims["dim_geography"].split("LEFT JOIN", 1)[1]
+
+
+def _next_causes(before: str, claims: str, batch: str) -> str:
+    return f"""
+SELECT * FROM {before} UNION ALL
+SELECT (SELECT MAX(LOSS_CAUSE_KEY) FROM {before}) + ROW_NUMBER() OVER (ORDER BY d.LOSS_CAUSE), d.LOSS_CAUSE,
+  r.LOSS_CATEGORY, COALESCE(r.IS_WEATHER_RELATED, FALSE), r.WEATHER_CONDITION_MAPPING, '{batch}'
+FROM (SELECT DISTINCT LOSS_CAUSE FROM {claims} WHERE LOSS_CAUSE NOT IN (SELECT LOSS_CAUSE FROM {before})) d
+LEFT JOIN {_cause_rows}"""
+
+
+def _next_geography(before: str, claims: str, batch: str) -> str:
+    return f"""
+SELECT * FROM {before} UNION ALL
+SELECT g.GEOGRAPHY_KEY, g.STATE_CODE, COALESCE(s.STATE_NAME, g.STATE_CODE), COALESCE(s.REGION, 'Unknown'), g.CITY, g.ZIP_CODE, '{batch}'
+FROM (SELECT (SELECT MAX(GEOGRAPHY_KEY) FROM {before})
+             + ROW_NUMBER() OVER (ORDER BY STATE_CODE, CITY NULLS FIRST, ZIP_CODE NULLS FIRST) AS GEOGRAPHY_KEY, *
+      FROM (SELECT CLAIM_STATE AS STATE_CODE, CLAIM_CITY AS CITY, CLAIM_ZIP AS ZIP_CODE FROM {claims} WHERE CLAIM_STATE IS NOT NULL
+            EXCEPT SELECT STATE_CODE, CITY, ZIP_CODE FROM {before})) g
+LEFT JOIN {_geo_rows}"""
+
+
+def _next_days(before: str, claims: str, batch: str) -> str:
+    return f"""
+SELECT * FROM {before} UNION ALL
+SELECT CAST(d AS DATE), '{batch}' FROM (
+  SELECT unnest(generate_series(date_trunc('year', lo), date_trunc('year', hi) + INTERVAL 1 YEAR - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS d
+  FROM (SELECT MIN(x) AS lo, MAX(x) AS hi FROM (SELECT DATE_KEY AS x FROM {before} UNION ALL SELECT LOSS_DATE FROM {claims})))
+WHERE CAST(d AS DATE) NOT IN (SELECT DATE_KEY FROM {before})"""
+
+
+def _fact_of(claims: str, geo: str, cause: str) -> str:
+    out = (_STAR["fact_claims"].replace("FROM r_claims c\n", f"FROM {claims} c\n").replace("LEFT JOIN dim_geography g", f"LEFT JOIN {geo} g")
+           .replace("LEFT JOIN dim_loss_cause lc", f"LEFT JOIN {cause} lc"))
+    assert claims in out and geo in out and cause in out
+    return out
+
+
+_TWO = [("n1", _moved("Stalled", " (reopened)", " NORTH", 10)),
+        ("n2", _moved("Pending Review", " (review)", " SOUTH", 20) + "\nUNION ALL\n" + _moved("Rejected", " (reopened)", " NORTH", 10)),
+        ("c0", "SELECT *, 'build' AS ALLOCATED_IN FROM dim_loss_cause"), ("c1", _next_causes("c0", "n1", "1")), ("c2", _next_causes("c1", "n2", "2")),
+        ("g0", "SELECT *, 'build' AS ALLOCATED_IN FROM dim_geography"), ("g1", _next_geography("g0", "n1", "1")), ("g2", _next_geography("g1", "n2", "2")),
+        ("d0", "SELECT DATE_KEY, 'build' AS ALLOCATED_IN FROM dim_date"), ("d1", _next_days("d0", "n1", "1")), ("d2", _next_days("d1", "n2", "2")),
+        ("f1", _fact_of("n1", "g1", "c1")), ("f2", _fact_of("n2", "g2", "c2")),
+        ("after", "SELECT * FROM f2 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM fact_claims "
+                  "WHERE CLAIM_KEY NOT IN (SELECT CLAIM_KEY FROM f1 UNION ALL SELECT CLAIM_KEY FROM f2)")]
+INC["grown_loss_causes"] = with_base("SELECT * FROM c2", _TWO)
+INC["grown_geography"] = with_base("SELECT * FROM g2", _TWO)
+INC["grown_calendar"] = with_base("""
+SELECT ALLOCATED_IN, CAST(year(DATE_KEY) AS INTEGER) AS YEAR, COUNT(*) AS DAYS, MIN(DATE_KEY) AS FIRST_DAY, MAX(DATE_KEY) AS LAST_DAY
+FROM d2 GROUP BY 1, 2""", _TWO)
+INC["fact_after_two_merges"] = with_base("SELECT * FROM after", _TWO)
+INC["gaps_after_two_merges"] = with_base("\nUNION ALL\n".join(
+    f"SELECT '{k}' AS FK, COUNT({k}) AS CHILD_KEYS, COUNT(*) FILTER ({k} IS NULL) AS NULL_KEYS, "
+    f"COUNT(*) FILTER ({k} IS NOT NULL AND {k} NOT IN (SELECT {k} FROM {dim})) AS ORPHAN_ROWS FROM after"
+    for k, dim in (("DATE_KEY", "d2"), ("GEOGRAPHY_KEY", "g2"), ("LOSS_CAUSE_KEY", "c2"))), _TWO)

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from lossledger.operators.keys import extend_keys
 from lossledger.operators.upsert import net_changes, upsert
+from lossledger.shared import written
 from lossledger.sources import reference as ref
 from lossledger.plans.star import build_fact_claims, build_fact_expense, weather_event_rows
 
@@ -108,27 +109,33 @@ def cdc_net_changes(ctx) -> DataFrame:
     return net_changes(claim_change_feed(ctx), ["CLAIM_ID"])
 
 
+def described_geography(new: DataFrame, spark) -> DataFrame:
+    """DIM_GEOGRAPHY rows of keyed addresses (GEOGRAPHY_KEY, STATE_CODE, CITY, ZIP_CODE)."""
+    return new.join(F.broadcast(ref.states(spark)), "STATE_CODE", "left").select(
+        "GEOGRAPHY_KEY", "STATE_CODE", F.coalesce("STATE_NAME", "STATE_CODE").alias("STATE_NAME"),
+        F.coalesce("REGION", F.lit("Unknown")).alias("REGION"), "CITY", "ZIP_CODE")
+
+
+def described_causes(new: DataFrame, spark) -> DataFrame:
+    """DIM_LOSS_CAUSE rows of keyed causes; one missing from the reference list has a NULL category."""
+    out = new.join(F.broadcast(ref.loss_causes(spark)), "LOSS_CAUSE", "left")
+    return out.withColumn("IS_WEATHER_RELATED", F.coalesce("IS_WEATHER_RELATED", F.lit(False)))
+
+
 def new_geography_rows(dim_geo: DataFrame, claims: DataFrame, spark) -> DataFrame:
     """DIM_GEOGRAPHY rows for addresses in `claims` that the dimension lacks,
     keyed after its largest key (a claim in an unseen city gets a key instead
-    of a NULL)."""
+    of a NULL). Not stored: for one merge only (see `plans.growing`)."""
     cand = claims.where(F.col("CLAIM_STATE").isNotNull()).select(
         F.col("CLAIM_STATE").alias("STATE_CODE"), F.col("CLAIM_CITY").alias("CITY"), F.col("CLAIM_ZIP").alias("ZIP_CODE"))
-    new = extend_keys(dim_geo, cand, ["STATE_CODE", "CITY", "ZIP_CODE"], "GEOGRAPHY_KEY")
-    st = F.broadcast(ref.states(spark))
-    return new.join(st, "STATE_CODE", "left").select(
-        "GEOGRAPHY_KEY", "STATE_CODE", F.coalesce("STATE_NAME", "STATE_CODE").alias("STATE_NAME"),
-        F.coalesce("REGION", F.lit("Unknown")).alias("REGION"), "CITY", "ZIP_CODE")
+    return described_geography(extend_keys(dim_geo, cand, ["STATE_CODE", "CITY", "ZIP_CODE"], "GEOGRAPHY_KEY"), spark)
 
 
 def new_cause_rows(dim_cause: DataFrame, claims: DataFrame, spark) -> DataFrame:
     """DIM_LOSS_CAUSE rows for causes in `claims` that the dimension lacks,
-    keyed after its largest key; a cause missing from the reference list has
-    a NULL category."""
+    keyed after its largest key; not stored, as above."""
     cand = claims.where(F.col("LOSS_CAUSE").isNotNull()).select("LOSS_CAUSE")
-    new = extend_keys(dim_cause, cand, ["LOSS_CAUSE"], "LOSS_CAUSE_KEY")
-    out = new.join(F.broadcast(ref.loss_causes(spark)), "LOSS_CAUSE", "left")
-    return out.withColumn("IS_WEATHER_RELATED", F.coalesce("IS_WEATHER_RELATED", F.lit(False))).select(*dim_cause.columns)
+    return described_causes(extend_keys(dim_cause, cand, ["LOSS_CAUSE"], "LOSS_CAUSE_KEY"), spark).select(*dim_cause.columns)
 
 
 def extended_causes(ctx, claims: DataFrame) -> DataFrame:
@@ -144,17 +151,17 @@ def extended_dimensions(ctx, claims: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def claim_fact_rows(ctx, feed: DataFrame, apply_deletes: bool = False,
-                    dim_geo: DataFrame | None = None) -> DataFrame:
+                    dim_geo: DataFrame | None = None, dim_cause: DataFrame | None = None) -> DataFrame:
     """Changed claims rebuilt into FACT_CLAIMS rows (+ action, seq): the
     change rows are the streaming side, financials / litigation / dims the
-    static side of the joins. Addresses the geography dimension does not
-    know yet are keyed first (`new_geography_rows`), so no fact row gets a
-    NULL geography key."""
+    static side of the joins. Without dimensions given, addresses and causes
+    that the star's do not know are keyed for this call alone."""
     net = net_changes(feed, ["CLAIM_ID"], apply_deletes=apply_deletes)
     changed = net.select(*ctx.raw.claims().columns)
-    geo, cause = extended_dimensions(ctx, changed) if dim_geo is None else (dim_geo, extended_causes(ctx, changed))
+    if dim_geo is None or dim_cause is None:
+        dim_geo, dim_cause = extended_dimensions(ctx, changed)
     rebuilt = build_fact_claims(changed, ctx.raw.financial_data(), ctx.raw.litigation(with_id=False),
-                                geo, cause, ctx.fraud_rule)
+                                dim_geo, dim_cause, ctx.fraud_rule)
     return rebuilt.join(net.select(F.col("CLAIM_ID").alias("CLAIM_KEY"), "action", "seq"), "CLAIM_KEY")
 
 
@@ -261,6 +268,7 @@ def merge_fact_claims_all_sources_from(ctx, claim_feed: DataFrame, financial_fee
            .unionByName(net_changes(financial_feed, ["FINANCIAL_ID"]).select("CLAIM_ID"))
            .unionByName(net_changes(litigation_feed, ["CLAIM_ID"]).select("CLAIM_ID"))
            .distinct())
+    ids = written(ids, "changed-claims")  # four semi joins read it
 
     def in_ids(df: DataFrame) -> DataFrame:
         return df.join(ids, "CLAIM_ID", "left_semi")
