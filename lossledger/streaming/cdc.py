@@ -2,24 +2,23 @@
 
 Change files (table columns + `action` + `seq`) land in a directory; a
 streaming query reads them with the file source and, per micro-batch,
-`foreachBatch` appends the target rows they make to a `ChangeTable`:
-
-* a base in parquet, and one folder of changes per micro-batch next to it;
-  nothing that was written is ever written over, so a reader never sees half a
-  merge and a crash leaves the state before the batch;
-* a replay of a batch writes the same rows into that batch's folder again;
-* the current table is the base merged with the changes (`operators.upsert`):
-  the newest `seq` of a key wins whatever batch it came with, so a retry that
-  arrives late cannot undo a newer change, and a DELETE hides its key;
-* `compact` writes base and changes into a new base folder. The rows keep the
-  `seq` they were last changed by, deleted keys included, so older changes
-  that arrive afterwards are still told apart;
-* an empty batch is logged as SKIPPED, mirroring "run only when the stream
-  has data".
-
-A batch costs as much as its own rows; a read scans the base once and
-broadcasts the net changes while they are small. Offsets and progress live in
-the streaming checkpoint; every batch appends one record to a run log (see
+`foreachBatch` merges the target rows they make into a `RunTable`:
+
+* every run reads the table as the run before left it and writes the merged
+  table (`operators.upsert`) to a new folder of plain parquet; nothing is
+  written over, so a reader never sees half a merge, and a run that broke off
+  leaves the state before it;
+* a replay of a batch merges into the state before that batch again;
+* the newest `seq` of a key wins whatever batch it came with, so a retry that
+  arrives late cannot undo a newer change; a deleted key keeps its row, marked,
+  so an older change that arrives afterwards stays without effect;
+* `keep` deletes all but the last runs;
+* an empty batch writes nothing and is logged as SKIPPED, mirroring "run only
+  when the stream has data".
+
+A run scans and writes the target once and broadcasts the net changes while
+they are small; readers scan one folder. Offsets and progress live in the
+streaming checkpoint; every batch appends one record to a run log (see
 `runlog`).
 """
 
@@ -30,65 +29,64 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lossledger.operators.members import complete_folders
 from lossledger.operators.upsert import upsert
+from lossledger.shared import written
 from lossledger.streaming.runlog import RunLog
 
 APPLIED, GONE = "_applied", "_gone"
 
 
-class ChangeTable:
+class RunTable:
     def __init__(self, spark: SparkSession, path: str, keys: list[str], apply_deletes: bool = False):
         self.spark = spark
         self.path = path.rstrip("/")
         self.keys = keys
         self.apply_deletes = apply_deletes
 
-    def _folders(self, kind: str) -> list[int]:
-        """Numbers of the complete folders of a kind ("base", "batch"), in order: one name per compaction or batch since."""
-        jvm = self.spark._jvm
-        top = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}-*/_SUCCESS")) or []
-        return sorted(int(st.getPath().getParent().getName().rpartition("-")[2]) for st in found)
+    def _runs(self) -> list[int]:
+        """Numbers of the finished runs, in order; 0 is the table that the first batch found."""
+        return sorted(int(name.rpartition("-")[2]) for name in complete_folders(self.spark, self.path, "run-*"))
+
+    def _state(self, run: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/run-{run}")
 
     def create(self, df: DataFrame) -> None:
-        df.withColumns({APPLIED: F.lit(None).cast("long"), GONE: F.lit(False)}).write.parquet(f"{self.path}/base-0")
+        df.withColumns({APPLIED: F.lit(None).cast("long"), GONE: F.lit(False)}).write.parquet(f"{self.path}/run-0")
 
-    def append(self, rows: DataFrame, batch_id: int) -> None:
-        """Keep the change rows (target columns + action + seq) of one micro-batch; again for a replay."""
+    def merge(self, rows: DataFrame, batch_id: int) -> None:
+        """Merge the change rows (target columns + action + seq) of one micro-batch; again for a replay."""
+        run = int(batch_id) + 1
+        before = max(r for r in self._runs() if r < run)
         if not self.apply_deletes:
             rows = rows.where(F.col("action") == "INSERT")
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch-{int(batch_id)}")
-
-    def _state(self) -> DataFrame:
-        base = self.spark.read.parquet(f"{self.path}/base-{self._folders('base')[-1]}")
-        batches = self._folders("batch")
-        if not batches:
-            return base
-        changes = self.spark.read.parquet(*[f"{self.path}/batch-{b}" for b in batches])
-        changes = changes.withColumns({APPLIED: F.col("seq"), GONE: F.col("action") == "DELETE", "action": F.lit("INSERT")})
-        return upsert(base, changes, self.keys, applied_col=APPLIED)
+        changes = rows.withColumns({APPLIED: F.col("seq"), GONE: F.col("action") == "DELETE", "action": F.lit("INSERT")})
+        merged = upsert(self._state(before), changes, self.keys, applied_col=APPLIED)
+        merged.write.mode("overwrite").parquet(f"{self.path}/run-{run}")
 
     def read(self) -> DataFrame:
-        return self._state().where(~F.col(GONE)).drop(APPLIED, GONE)
+        return self._state(self._runs()[-1]).where(~F.col(GONE)).drop(APPLIED, GONE)
 
-    def compact(self) -> None:
-        """A new base with all changes in it. Older folders stay for readers that started before; a change that is in the base already counts no second time."""
-        state = self._state()
-        state.write.parquet(f"{self.path}/base-{self._folders('base')[-1] + 1}")
+    def keep(self, runs: int = 2) -> None:
+        """Delete all but the last `runs` runs (at least one stays)."""
+        jvm, jsc = self.spark._jvm, self.spark._jsc
+        for run in self._runs()[:-max(1, runs)]:
+            folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/run-{run}")
+            folder.getFileSystem(jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def merge_batch_fn(table: ChangeTable, build, log: RunLog, task: str):
+def merge_batch_fn(table: RunTable, build, log: RunLog, task: str):
     """foreachBatch callback: skip empty batches, build target rows from the
-    change rows (`build(batch, batch_id)`), keep them, and log the outcome."""
+    change rows (`build(batch, batch_id)`), merge them, and log the outcome."""
     def run(batch: DataFrame, batch_id: int) -> None:
         started = time.time()
         if batch.isEmpty():
             log.record(task, batch_id, "SKIPPED", 0, started, time.time())
             return
         try:
-            table.append(build(batch, batch_id) if build else batch, batch_id)
-            n = table.spark.read.parquet(f"{table.path}/batch-{int(batch_id)}").count()
+            rows = written(build(batch, batch_id) if build else batch, "batch-rows")
+            table.merge(rows, batch_id)
+            n = rows.count()
             log.record(task, batch_id, "SUCCEEDED", n, started, time.time())
         except Exception as e:  # noqa: BLE001 — logged, then re-raised to fail the query
             log.record(task, batch_id, "FAILED", 0, started, time.time(), str(e)[:500])

@@ -1,6 +1,6 @@
 """End-to-end incremental runs with Structured Streaming.
 
-Each task keeps one target as a ChangeTable in the shared checkpoint folder
+Each task keeps one target as a RunTable in the shared checkpoint folder
 and consumes its own change directory with a file-source stream:
 
   INCR_DIM_POLICY    POLICY changes        -> DIM_POLICY        by POLICY_KEY
@@ -12,9 +12,9 @@ an availableNow trigger (the scheduled incremental job), in dependency order
 (policy, claims, expense), and takes only files it has not seen (offsets are
 in each stream's checkpoint). Rules the original left open are handled:
 
-* a claim at an address the geography dimension lacks, or with a new loss
-  cause, gets a new key (dimension rows are appended first, keyed after the
-  current maximum);
+* a claim with a new address, loss cause or year is given dimension rows
+  first, stored with their keys (`plans.growing`), so later batches find them
+  and no fact misses its dimension; expense dates extend the calendar too;
 * an expense whose claim has not arrived yet is not dropped: the unmatched
   change rows are written back into the expense change directory as a retry
   file, which the next run picks up, by then with the claim in the fact;
@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lossledger.operators.upsert import net_changes
-from lossledger.plans.incremental import (claim_change_feed, claim_fact_rows, expense_change_feed,
-                                          new_geography_rows, policy_change_feed)
+from lossledger.plans.growing import GrowingDimensions
+from lossledger.plans.incremental import claim_change_feed, claim_fact_rows, expense_change_feed, policy_change_feed
 from lossledger.plans.star import build_fact_expense
 from lossledger.shared import shared_dir
-from lossledger.streaming.cdc import ChangeTable, merge_batch_fn, run_change_stream
+from lossledger.streaming.cdc import RunTable, merge_batch_fn, run_change_stream
 from lossledger.streaming.runlog import RunLog, recent_runs, record_progress, run_history
 
 
@@ -56,26 +56,23 @@ def run_incremental(ctx, drops: dict[str, list[DataFrame]] | None = None) -> dic
     log = RunLog(spark, f"{base}/run_log")
     s = ctx.star
 
-    claims_t = ChangeTable(spark, f"{base}/FACT_CLAIMS", ["CLAIM_KEY"])
+    claims_t = RunTable(spark, f"{base}/FACT_CLAIMS", ["CLAIM_KEY"])
     claims_t.create(s.fact_claims())
-    expense_t = ChangeTable(spark, f"{base}/FACT_CLAIM_EXPENSE", ["EXPENSE_KEY"])
+    expense_t = RunTable(spark, f"{base}/FACT_CLAIM_EXPENSE", ["EXPENSE_KEY"])
     expense_t.create(s.fact_claim_expense())
-    policy_t = ChangeTable(spark, f"{base}/DIM_POLICY", ["POLICY_KEY"])
+    policy_t = RunTable(spark, f"{base}/DIM_POLICY", ["POLICY_KEY"])
     policy_t.create(s.dim_policy())
-    geo_path = f"{base}/DIM_GEOGRAPHY"
-    s.dim_geography().write.mode("overwrite").parquet(geo_path)
+    dims = GrowingDimensions(ctx, f"{base}/dimensions").create()
 
     def build_claims(batch, batch_id):
-        net = batch.where(F.col("action") == "INSERT")
-        new_geo = new_geography_rows(spark.read.parquet(geo_path), net, spark)
-        if not new_geo.isEmpty():
-            new_geo.write.mode("append").parquet(geo_path)
-        return claim_fact_rows(ctx, batch, dim_geo=spark.read.parquet(geo_path))
+        dims.take_in(batch.where(F.col("action") == "INSERT"), f"claims-{batch_id}")
+        return claim_fact_rows(ctx, batch, dim_geo=dims.geography.members(), dim_cause=dims.causes.members())
 
     exp_changes = f"{base}/changes/expense"
 
     def build_expense(batch, batch_id):
         net = net_changes(batch, ["EXPENSE_ID"])
+        dims.take_in_dates(net.select("EXPENSE_DATE"), f"expense-{batch_id}")
         fc = claims_t.read()           # the claims fact as of now (stream-static join)
         exp_cols = ctx.raw.claims_expense().columns
         rows = build_fact_expense(net.select(*exp_cols), fc).join(
@@ -101,7 +98,7 @@ def run_incremental(ctx, drops: dict[str, list[DataFrame]] | None = None) -> dic
             q = run_change_stream(spark, f"{changes}/*", parts[i].schema, on_batch, f"{base}/checkpoints/{name}")
             record_progress(spark, f"{base}/progress", name, q.recentProgress)
     return {"FACT_CLAIMS": claims_t, "FACT_CLAIM_EXPENSE": expense_t, "DIM_POLICY": policy_t, "log": log,
-            "geo_path": geo_path, "progress_path": f"{base}/progress"}
+            "dimensions": dims, "progress_path": f"{base}/progress"}
 
 
 def stream_fact_claims(ctx) -> DataFrame:
