@@ -50,3 +50,16 @@ from lossledger.plans import growing as _growing
 
 for _k in ["grown_loss_causes", "grown_geography", "grown_calendar", "fact_after_two_merges", "gaps_after_two_merges"]:
     register(_k, getattr(_growing, _k), _INC_SQL[_k])
+
+from lossledger.oracle.incremental import reverse_references_sql as _reverse_sql
+from lossledger.plans import propagate as _propagate
+
+for _k in ["propagate_dim_policy", "propagate_fact_claims", "propagate_fact_expense", "touched_rows"]:
+    register(_k, getattr(_propagate, _k), _INC_SQL[_k])
+register("reverse_references", _propagate.reverse_references, _reverse_sql(quality.RAW_EDGES))
+
+from lossledger.oracle.intake import INTAKE as _INTAKE_SQL
+from lossledger.plans import intake as _intake
+
+for _k in _INTAKE_SQL:
+    register(_k, getattr(_intake, _k), _INTAKE_SQL[_k])

@@ -193,3 +193,51 @@ INC["gaps_after_two_merges"] = with_base("\nUNION ALL\n".join(
     f"SELECT '{k}' AS FK, COUNT({k}) AS CHILD_KEYS, COUNT(*) FILTER ({k} IS NULL) AS NULL_KEYS, "
     f"COUNT(*) FILTER ({k} IS NOT NULL AND {k} NOT IN (SELECT {k} FROM {dim})) AS ORPHAN_ROWS FROM after"
     for k, dim in (("DATE_KEY", "d2"), ("GEOGRAPHY_KEY", "g2"), ("LOSS_CAUSE_KEY", "c2"))), _TWO)
+
+
+# -- changes followed through reverse foreign keys ------------------------------------------
+_INSURED_FEED = "\nUNION ALL\n".join([
+    _ch("r_insured", "STATE = 'FL'", "DELETE", "INSURED_ID", 0),
+    _ch("r_insured", "STATE = 'FL'", "INSERT", "INSURED_ID", 1, "LAST_NAME || ' (renamed)' AS LAST_NAME"),
+])
+_SEVERE = _ch("r_claims", "CLAIM_STATUS = 'Stalled'", "INSERT", "CLAIM_ID", 1, "'Severe' AS CLAIM_SEVERITY")
+_PROPAGATED = [
+    ("i_feed", _INSURED_FEED), ("i_net", _net("i_feed", "INSURED_ID")), ("p_feed", POLICY_FEED), ("p_net", _net("p_feed", "POLICY_ID")),
+    ("c_feed", CLAIM_FEED), ("c_net", _net("c_feed", "CLAIM_ID")), ("f_feed", FIN_FEED), ("f_net", _net("f_feed", "FINANCIAL_ID")),
+    ("l_feed", LIT_FEED), ("l_net", _net("l_feed", "CLAIM_ID")), ("e_feed", EXPENSE_FEED), ("e_net", _net("e_feed", "EXPENSE_ID")),
+    ("s_net", _SEVERE), ("a_insured", _apply("r_insured", "i_net", "INSURED_ID")), ("a_policy", _apply("r_policy", "p_net", "POLICY_ID")),
+    ("a_fin", _apply("r_financial", "f_net", "FINANCIAL_ID")), ("a_lit", _apply(LIT_CORE, "l_net", "CLAIM_ID")),
+    ("a_claims", _apply("r_claims", "s_net", "CLAIM_ID")), ("a_expense", _apply("r_expense", "e_net", "EXPENSE_ID")),
+]
+# The whole star rebuilt from the changed sources: propagation must give the same.
+INC["propagate_dim_policy"] = with_base(
+    _STAR["dim_policy"].replace("FROM r_policy p LEFT JOIN r_insured i", "FROM a_policy p LEFT JOIN a_insured i"), _PROPAGATED)
+INC["propagate_fact_claims"] = with_base(
+    _STAR["fact_claims"].replace("LEFT JOIN r_financial f", "LEFT JOIN a_fin f").replace("LEFT JOIN r_litigation l", "LEFT JOIN a_lit l"), _PROPAGATED)
+INC["propagate_fact_expense"] = with_base(
+    _STAR["fact_expense"].replace("FROM r_expense e JOIN fact_claims fc", "FROM a_expense e JOIN s_fact fc"),
+    [*_PROPAGATED, ("s_fact", _STAR["fact_claims"].replace("FROM r_claims c\n", "FROM a_claims c\n"))])
+assert all(name in INC[key] for key, name in (("propagate_dim_policy", "a_policy p LEFT JOIN a_insured i"), ("propagate_fact_claims", "LEFT JOIN a_fin f"),
+                                              ("propagate_fact_expense", "FROM a_expense e JOIN s_fact fc")))
+INC["touched_rows"] = with_base("""
+SELECT STAR_TABLE, CHANGED_TABLE, COUNT(*) AS ROWS FROM (
+  SELECT DISTINCT 'DIM_POLICY' AS STAR_TABLE, 'INSURED' AS CHANGED_TABLE, POLICY_ID AS k FROM r_policy WHERE INSURED_ID IN (SELECT INSURED_ID FROM i_net)
+  UNION SELECT 'DIM_POLICY', 'POLICY', POLICY_ID FROM p_net
+  UNION SELECT * FROM t_claims
+  UNION SELECT 'FACT_CLAIM_EXPENSE', 'CLAIMS_EXPENSE', EXPENSE_ID FROM e_net
+  UNION SELECT 'FACT_CLAIM_EXPENSE', t.CHANGED_TABLE, e.EXPENSE_ID FROM r_expense e JOIN t_claims t ON t.k = e.CLAIM_ID)
+GROUP BY 1, 2""", [*_PROPAGATED, ("t_claims", """
+SELECT 'FACT_CLAIMS' AS STAR_TABLE, 'CLAIMS' AS CHANGED_TABLE, CLAIM_ID AS k FROM c_net
+UNION SELECT 'FACT_CLAIMS', 'FINANCIAL_DATA', CLAIM_ID FROM f_net
+UNION SELECT 'FACT_CLAIMS', 'LITIGATION', CLAIM_ID FROM l_net""")])
+
+_RAW_CTE = {"INSURED": "r_insured", "LINE_OF_BUSINESS": "r_lob", "POLICY": "r_policy", "VENDOR": "r_vendor", "CATASTROPHE": "r_catastrophe",
+            "CLAIMS": "r_claims", "CLAIM_ASSIGNMENT": "(SELECT CLAIM_ID FROM r_claims)", "FINANCIAL_DATA": "r_financial", "CLAIMS_EXPENSE": "r_expense", "LITIGATION": "r_litigation"}
+
+
+def reverse_references_sql(edges) -> str:
+    return with_base("\nUNION ALL\n".join(f"""
+SELECT '{parent}' AS PARENT_TABLE, '{key}' AS PARENT_COLUMN, '{child}' AS CHILD_TABLE, '{col}' AS CHILD_COLUMN,
+  CAST(COALESCE(SUM(n), 0) AS BIGINT) AS CHILD_ROWS, COUNT(n) AS REFERENCED_KEYS, COUNT(*) - COUNT(n) AS UNREFERENCED_KEYS,
+  CAST(COALESCE(MAX(n), 0) AS BIGINT) AS MOST_CHILD_ROWS
+FROM {_RAW_CTE[parent]} p LEFT JOIN (SELECT {col} AS k, COUNT(*) AS n FROM {_RAW_CTE[child]} GROUP BY 1) c ON c.k = p.{key}""" for child, col, parent, key in edges))

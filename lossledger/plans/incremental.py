@@ -196,20 +196,23 @@ def merge_fact_expense(ctx) -> DataFrame:
     return merge_fact_expense_from(ctx, expense_change_feed(ctx))[0]
 
 
-def merge_dim_policy_rows(ctx, feed: DataFrame) -> DataFrame:
-    """DIM_POLICY rows (+ action, seq) for the policies in a change feed."""
-    net = net_changes(feed, ["POLICY_ID"])
-    i = ctx.raw.insured().select("INSURED_ID", "FIRST_NAME", "LAST_NAME")
-    as_of = F.lit(ctx.as_of)
-    return net.join(i, "INSURED_ID", "left").select(
+def policy_rows(policies: DataFrame, insured: DataFrame, as_of, *more: str) -> DataFrame:
+    """DIM_POLICY rows of POLICY and INSURED rows, and the columns in `more`."""
+    today = F.lit(as_of)
+    return policies.join(insured.select("INSURED_ID", "FIRST_NAME", "LAST_NAME"), "INSURED_ID", "left").select(
         F.col("POLICY_ID").alias("POLICY_KEY"), "POLICY_NUMBER", "INSURED_ID",
         F.concat(F.coalesce("FIRST_NAME", F.lit("")), F.lit(" "), F.coalesce("LAST_NAME", F.lit("")))
         .alias("INSURED_NAME"),
         "POLICY_EFFECTIVE_DATE", "POLICY_EXPIRATION_DATE", "POLICY_TERM_MONTHS", "COVERAGE_TYPE", "COVERAGE_LIMIT",
         "DEDUCTIBLE", "PREMIUM", "POLICY_STATE", "POLICY_ZIP", "AGENT_NAME", "AGENCY_NAME", "POLICY_STATUS",
-        F.when(F.col("POLICY_EXPIRATION_DATE") < as_of, "Expired").when(F.col("POLICY_EFFECTIVE_DATE") > as_of,
+        F.when(F.col("POLICY_EXPIRATION_DATE") < today, "Expired").when(F.col("POLICY_EFFECTIVE_DATE") > today,
                                                                            "Future").otherwise("Active")
-        .alias("POLICY_ACTIVE_STATUS"), "action", "seq")
+        .alias("POLICY_ACTIVE_STATUS"), *more)
+
+
+def merge_dim_policy_rows(ctx, feed: DataFrame) -> DataFrame:
+    """DIM_POLICY rows (+ action, seq) for the policies in a change feed. (A changed insured: `plans.propagate`.)"""
+    return policy_rows(net_changes(feed, ["POLICY_ID"]), ctx.raw.insured(), ctx.as_of, "action", "seq")
 
 
 def merge_dim_policy_from(ctx, feed: DataFrame, target: DataFrame | None = None,
