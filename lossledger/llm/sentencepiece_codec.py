@@ -145,7 +145,7 @@ class PieceModel:
         self.begin, self.end = proto.trainer_spec.bos_id, proto.trainer_spec.eos_id
         #: A mark after another character inside a piece would let pieces run across words.
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.words, self.atoms = Memo(self._word, 300_000), Memo(self._atom, 400_000)
+        self.words, self.atoms = Memo(self._word, 500_000), Memo(self._atom, 300_000)
         self.adjacent = {pair for p in self.ids for pair in zip(p, p[1:])}
         self.decoded = [self._surface(i) for i in range(len(self.surface))]
         u4 = lambda n: np.array([n], "<u4").tobytes()
@@ -160,7 +160,7 @@ class PieceModel:
         cuts = [i for i, pair in enumerate(zip(word, word[1:]), 1) if pair not in joined]
         if cuts:
             return tuple(map(b"".join, zip(*(self.atoms[word[i:j]] for i, j in zip([0, *cuts], [*cuts, len(word)])))))
-        return self.atoms[word]
+        return self._atom(word)
 
     def _atom(self, atom: str) -> tuple[bytes, bytes, bytes]:
         if (one := self.made.get(atom)) and len(atom) == 1:
@@ -220,7 +220,7 @@ class PieceModel:
     def encode_and_decode(self, text: str) -> tuple[bytes, np.ndarray, np.ndarray, bytes]:
         """`encode`'s result with begin and end ids, and the bytes that those ids decode to."""
         normal, origin = self.normalizer(text)
-        found = [self.words[w] for w in self._split(normal)]
+        found = list(map(self.words.__getitem__, self._split(normal)))
         edge = [np.array([i], "<u4").tobytes() for i in (self.begin, self.end)]
         ids = b"".join([edge[0], *[f[0] for f in found], edge[1]])
         ends = np.cumsum(np.frombuffer(b"".join([f[1] for f in found]), "<u4"), dtype=np.int64)

@@ -367,10 +367,11 @@ def packed(docs: DataFrame) -> DataFrame:
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """_d, _t, spans: per document the stretches (lo, past hi) of bytes that repeated strings cover, unmerged."""
-    stretches = anchored(docs)
+    stretches = written(anchored(docs), "stretches")  # read twice: for the anchors that repeat, and for their members
     # Written: a join whose sides both come straight from a shuffle can be split where an anchor is hot.
     twice = written(stretches.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     members = written(stretches.join(twice, "anchor"), "members")
+    discard(stretches, twice)
     contexts = members.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("_d", "_t", "first", "size")).alias("at"))
     contexts = crowds(written(contexts.select("anchor", "context", "weight", "at.*"), "contexts"), "anchor")
     wanted = contexts.groupBy("_d", "_t").agg(F.collect_list(F.struct("anchor", "context", "first", "size", "weight", "crowded")).alias("wanted"))
