@@ -63,3 +63,8 @@ from lossledger.plans import intake as _intake
 
 for _k in _INTAKE_SQL:
     register(_k, getattr(_intake, _k), _INTAKE_SQL[_k])
+
+from lossledger.plans import running as _running
+
+for _k in ["status_counts_from_feed", "region_performance_from_feed", "profit_and_loss"]:
+    register(_k, getattr(_running, _k), _INC_SQL[_k])

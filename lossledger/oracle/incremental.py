@@ -241,3 +241,33 @@ SELECT '{parent}' AS PARENT_TABLE, '{key}' AS PARENT_COLUMN, '{child}' AS CHILD_
   CAST(COALESCE(SUM(n), 0) AS BIGINT) AS CHILD_ROWS, COUNT(n) AS REFERENCED_KEYS, COUNT(*) - COUNT(n) AS UNREFERENCED_KEYS,
   CAST(COALESCE(MAX(n), 0) AS BIGINT) AS MOST_CHILD_ROWS
 FROM {_RAW_CTE[parent]} p LEFT JOIN (SELECT {col} AS k, COUNT(*) AS n FROM {_RAW_CTE[child]} GROUP BY 1) c ON c.k = p.{key}""" for child, col, parent, key in edges))
+
+
+# -- reports kept from the feed: the full reports over the merged fact; profit and loss ---------
+from lossledger.oracle.reports import REPORTS as _REPORTS  # noqa: E402
+
+
+def _over_merged(key: str) -> str:
+    select = _REPORTS[key][len(with_base("")):] if _REPORTS[key].startswith(with_base("")) else None
+    assert select and "fact_claims" in select, key
+    return with_base(select.replace("FROM fact_claims", "FROM m_fact"),
+                     [("c_feed", CLAIM_FEED), ("c_net", _net("c_feed", "CLAIM_ID")), ("c_fact", _changed_fact),
+                      ("m_fact", "SELECT * FROM fact_claims WHERE CLAIM_KEY NOT IN (SELECT CLAIM_KEY FROM c_fact) UNION ALL SELECT * FROM c_fact")])
+
+
+INC["status_counts_from_feed"] = _over_merged("status_counts")
+INC["region_performance_from_feed"] = _over_merged("region_performance")
+INC["profit_and_loss"] = with_base("""
+SELECT LEVEL, PERIOD, EARNED AS EARNED_PREMIUM, PAID AS PAID_LOSSES, EXPENSE AS EXPENSES, CAST(EARNED - PAID - EXPENSE AS DECIMAL(38,2)) AS RESULT FROM (
+  SELECT CASE WHEN D IS NOT NULL THEN 'DAY' WHEN M IS NOT NULL THEN 'MONTH' ELSE 'QUARTER' END AS LEVEL, COALESCE(D, M, Q) AS PERIOD,
+    CAST(SUM(EARNED) AS DECIMAL(38,2)) AS EARNED, CAST(SUM(PAID) AS DECIMAL(38,2)) AS PAID, CAST(SUM(EXPENSE) AS DECIMAL(38,2)) AS EXPENSE
+  FROM (SELECT strftime(DAY, '%Y-%m-%d') AS D, strftime(DAY, '%Y-%m') AS M, CAST(year(DAY) AS VARCHAR) || '-Q' || CAST(quarter(DAY) AS VARCHAR) AS Q, EARNED, PAID, EXPENSE
+        FROM days WHERE DAY IS NOT NULL)
+  GROUP BY GROUPING SETS ((D), (M), (Q)))
+WHERE EARNED <> 0 OR PAID <> 0 OR EXPENSE <> 0""", [
+    ("terms", "SELECT POLICY_EFFECTIVE_DATE AS a, CAST(PREMIUM * 100 AS BIGINT) AS c, date_diff('day', POLICY_EFFECTIVE_DATE, POLICY_EXPIRATION_DATE) AS d FROM dim_policy"),
+    ("days", """
+SELECT CAST(a + CAST(i AS INTEGER) AS DATE) AS DAY, CAST(c // d + CASE WHEN i < c % d THEN 1 ELSE 0 END AS DECIMAL(38,2)) / 100 AS EARNED, 0 AS PAID, 0 AS EXPENSE
+FROM (SELECT *, unnest(range(d)) AS i FROM terms WHERE d > 0)
+UNION ALL SELECT PAYMENT_DATE, 0, PAID_AMOUNT, 0 FROM fact_claims
+UNION ALL SELECT EXPENSE_DATE, 0, 0, TOTAL_ACTUAL_EXPENSE FROM fact_expense""")])

@@ -29,7 +29,7 @@ def test_matches_oracle(spark, con, key):
 def test_every_query_has_oracle_or_is_documented():
     assert set(builders()) - set(oracle()) == {"table_inventory", "column_inventory"}
     assert set(builders()) <= set(queries()) and set(oracle()) <= set(oracle_sql())
-    assert len(builders()) == 130
+    assert len(builders()) == 133
 
 
 def test_entry_smoke(spark):
