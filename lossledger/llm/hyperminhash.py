@@ -205,15 +205,19 @@ def components(links: DataFrame) -> DataFrame:
 def met(nodes: DataFrame) -> DataFrame:
     """key, node, pivot, members: the nodes of each bucket that holds several, and the smallest node in it."""
     keys = band_keys(nodes)
-    buckets = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    return written(keys.join(written(buckets, "buckets"), "key"), "met")
+    buckets = written(keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
+    found = written(keys.join(buckets, "key"), "met")
+    discard(buckets)
+    return found
 
 
 def unfinished(meetings: DataFrame, labels: DataFrame) -> DataFrame:
     """node, label of the nodes in buckets that hold several components; the one pair of a bucket of two is tested."""
     rows = meetings.where("members > 2").select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    return rows.join(written(split, "split"), "key", "left_semi").select("node", "label").distinct()
+    split = written(rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "split")
+    rest = written(rows.join(split, "key", "left_semi").select("node", "label").distinct(), "rest")
+    discard(split)
+    return rest
 
 
 def frequent_shingles(texts: DataFrame) -> dict[int, int]:
@@ -264,21 +268,26 @@ def pairs_of_rest(rest: DataFrame, texts: DataFrame) -> DataFrame:
 
     prefix = written(own.select("node", "label", "packed").mapInArrow(run, "node long, label long, shingle long, n int, place int"), "prefix")
     shared = prefix.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("holders")).where("low < high")
-    prefix = prefix.join(written(shared.select("shingle", (F.col("holders") > FEW).alias("hot")), "shared"), "shingle")
+    shared = written(shared.select("shingle", (F.col("holders") > FEW).alias("hot")), "shared")
+    every, prefix = prefix, prefix.join(shared, "shingle")
     # Copies of one text share many shingles: a pair is made at the first of them, not at each.
     before = F.collect_list(F.when(F.col("hot"), F.col("shingle"))).over(Window.partitionBy("node").orderBy("place").rowsBetween(-LOOK_BACK, -1))
     prefix = written(prefix.withColumn("before", F.when(F.col("hot"), before).otherwise(F.array().cast("array<long>"))), "prefix")
+    discard(every, shared)
     side = lambda x: [F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("label", "n", "place", "before")]]
     both = prefix.select("shingle", *side("a")).join(prefix.select("shingle", *side("b")), "shingle")
     an, bn = F.col("a_n"), F.col("b_n")
     enough = F.least(an - F.col("a_place"), bn - F.col("b_place")) * (100 + PERCENT) >= (an + bn) * PERCENT
     near = (an * 100 >= bn * PERCENT) & (bn * 100 >= an * PERCENT)
     first = ~F.arrays_overlap("a_before", "b_before")
-    return both.where((F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & near & enough & first).select("a", "b").distinct()
+    pairs = written(both.where((F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & near & enough & first).select("a", "b").distinct(), "pairs")
+    discard(prefix)
+    return pairs
 
 
-def linked(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From doc_id, text: (doc_id, text_hash, n_shingles, node) of each row, and (node, label) of the nodes that have links."""
+def linked(df: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """From doc_id, text: (doc_id, text_hash, n_shingles, node) of each row, (node, label) of the nodes that have links,
+    and the written frames to discard once the rows were read."""
     ship_code(df.sparkSession)
     signed = written(signatures(df), "signatures")
     # One row of each set stands for it; which one makes no difference.
@@ -307,19 +316,23 @@ def linked(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not second.isEmpty():
         links = links.unionByName(written(confirmed(second, texts), "links"))
         labels = components(links)
-    rest = written(unfinished(meetings, labels), "rest")
+    rest = unfinished(meetings, labels)
+    discard(meetings)
     if not rest.isEmpty():
         third = written(estimated(pairs_of_rest(rest, texts).join(candidates.select("a", "b"), ["a", "b"], "left_anti"), nodes), "candidates")
         if not third.isEmpty():
             links = links.unionByName(written(confirmed(third, texts), "links"))
             labels = components(links)
-    return rows, labels
+    discard(texts, candidates)
+    return rows, labels, [signed, nodes]
 
 
 def grouped(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """doc_id, n_shingles, group (null without shingles) and the columns `more` of each row."""
-    rows, labels = linked(id_and_text(df, id_col, text_col))
-    return written(rows.join(labels, "node", "left").withColumn("group", F.coalesce("label", "node")).select("doc_id", "n_shingles", "group", *more), "grouped")
+    rows, labels, used = linked(id_and_text(df, id_col, text_col))
+    out = written(rows.join(labels, "node", "left").withColumn("group", F.coalesce("label", "node")).select("doc_id", "n_shingles", "group", *more), "grouped")
+    discard(*used)
+    return out
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
