@@ -52,7 +52,7 @@ STRANGE = 1e-9
 #: Words longer than this are scored in parts of this length, so a stray megabyte of letters stays linear.
 LONGEST_WORD = 64
 #: Words whose scores a task keeps, and characters of text that it takes at a time.
-MOST_WORDS, STRETCH = 1_000_000, 4_000_000
+MOST_WORDS, STRETCH = 400_000, 2_000_000
 
 
 def words_of(text: str) -> list[str]:

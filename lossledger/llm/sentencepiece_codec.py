@@ -145,7 +145,7 @@ class PieceModel:
         self.begin, self.end = proto.trainer_spec.bos_id, proto.trainer_spec.eos_id
         #: A mark after another character inside a piece would let pieces run across words.
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.words, self.atoms = Memo(self._word, 500_000), Memo(self._atom, 300_000)
+        self.words, self.atoms = Memo(self._word, 300_000), Memo(self._atom, 200_000)
         self.adjacent = {pair for p in self.ids for pair in zip(p, p[1:])}
         self.decoded = [self._surface(i) for i in range(len(self.surface))]
         u4 = lambda n: np.array([n], "<u4").tobytes()
