@@ -51,8 +51,8 @@ TRAINING_DOCUMENTS = 2_000
 STRANGE = 1e-9
 #: Words longer than this are scored in parts of this length, so a stray megabyte of letters stays linear.
 LONGEST_WORD = 64
-#: Words whose scores a task keeps, and characters of text that it takes at a time.
-MOST_WORDS, STRETCH = 400_000, 2_000_000
+#: Words whose scores a task keeps until its end, and characters of text that it takes at a time.
+MOST_WORDS, STRETCH = 200_000, 1_000_000
 
 
 def words_of(text: str) -> list[str]:
@@ -220,6 +220,9 @@ class Scorer:
         self.row.update(zip(parts, range(len(self.table), len(self.table) + len(parts)), strict=True))
         self.table = np.concatenate([self.table, rows])
 
+    def forget(self) -> None:
+        self.row, self.table = {}, self.table[:0].copy()
+
     def scores(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """For each text the best language and its posterior under equal priors."""
         out: list[tuple[str, float]] = []
@@ -244,7 +247,8 @@ class Scorer:
         new = set(words) - self.row.keys()
         if new:
             if len(self.row) + len(new) > MOST_WORDS:
-                self.row, self.table, new = {}, self.table[:0], set(words)
+                self.forget()
+                new = set(words)
             self._learn(sorted(new))
         rows = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
         starts = np.array([0, *ends[:-1]])
@@ -296,7 +300,7 @@ _SCORERS: dict[str, Scorer] = {}
 
 
 def scorer_of(key: str, languages: tuple[str, ...], probability: dict) -> Scorer:
-    """One scorer per Python worker and model, so that its words outlive a task."""
+    """One scorer per Python worker and model: its piece index outlives a task, the words that it has seen do not."""
     if key not in _SCORERS:
         _SCORERS.clear()
         _SCORERS[key] = Scorer(languages, probability)
@@ -340,6 +344,7 @@ def identify(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             found = score.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                                              names=["doc_id", "lang_pred", "score"])
+        score.forget()
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return (rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -360,5 +365,6 @@ def keep_identified(df: DataFrame, model_path: str, id_col: str = "doc_id", text
         for batch in batches:
             found = score.scores(batch.column(at).to_pylist())
             yield batch.filter(pa.array([x[0] != "und" and x[1] >= least for x in found], pa.bool_()))
+        score.forget()
 
     return df.mapInArrow(run, df.schema)
