@@ -53,7 +53,8 @@ def test_each_stage_decides_as_by_hand(spark):
 @pytest.mark.parametrize("key", sorted(registry.SQL))
 def test_query_equals_its_sql(spark, key):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{TABLES}/documents.parquet')")
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{TABLES}/{table}.parquet')")
     df = registry.QUERIES[key](spark, TABLES)
     found = con.execute(registry.SQL[key])
     names = [c[0] for c in found.description]
