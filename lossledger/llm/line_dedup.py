@@ -13,14 +13,17 @@ lines decide; the rounds beyond m finish the array.
 
 With `long_words`, an interval with a common prefix of one line counts too
 where that line has so many words: its later copies go whatever surrounds
-them. It is off by default: the query's SQL has the rule of m lines alone.
+them. The query and the pipeline use LONG_WORDS.
 
-Only suffixes that start with a repeated line take part. A line that occurs
-once is an id of its own, named by its place and sorted before the repeated
-lines, so a suffix that reaches such a line is settled in that round. Ranks
+Only suffixes that start with a repeated line take part. A suffix whose rank
+no other shares is settled: it leaves the rounds, and one that reaches it is
+settled in the next. One whose document ends within h lines is settled too,
+and stays only while others can reach it. So a round costs what may still
+split, and one very long document makes no rounds for the others. Ranks
 are positions in a range-partitioned, sorted and written table of the
-distinct pairs: no window over all rows, and a line that a third of all rows
-hold is one row of that table. Rounds go on until no interval splits any more.
+distinct pairs that repeat: no window over all rows (that by document sees the
+lines of one text), and a line that a third of all rows hold is one row of
+that table. Rounds go on until no interval can split any more.
 
 Cases: a null text has no lines and stays null; a text that loses all its
 lines becomes empty; `a a a` with m = 2 holds `a a` twice, overlapping, and
@@ -39,6 +42,8 @@ from lossledger.llm.common import WORDS, boxed, discard, unboxed, written
 
 #: A run of this many lines is deleted where it occurs again.
 RUN_LINES = 2
+#: A single line of so many words is deleted where it occurs again.
+LONG_WORDS = 50
 NOT_BLANK = "[^\\x20\\x09-\\x0D]"
 PLACE = ["_d", "_t", "idx"]
 
@@ -52,14 +57,16 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_table(df: DataFrame, m: int, id_col: str, text_col: str) -> DataFrame:
-    """A row per line that is not blank: place, lines of its document, line id (a, b), and where m lines from it begin and end."""
+def line_table(df: DataFrame, m: int, id_col: str, text_col: str, long_words: int | None) -> DataFrame:
+    """A row per line that is not blank: place, lines of its document, line id (a, b), where m lines from it begin and end, whether it is long."""
     every = F.transform(lines_of(F.col(f"row.{text_col}")), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
     items = keyed(df, id_col, text_col).select("_d", "_t", F.filter(every, lambda s: s["line"].rlike(NOT_BLANK)).alias("items"))
     rows = items.select("_d", "_t", F.size("items").alias("of"), F.transform("items", lambda s: s["at"]).alias("ats"),
                         F.posexplode("items").alias("idx", "item"))
+    # So many words take at least so many characters: short lines are not matched.
+    long = F.lit(False) if long_words is None else (F.length("item.line") >= 2 * long_words - 1) & (F.regexp_count("item.line", F.lit(WORDS)) >= long_words)
     return rows.select("_d", "_t", "of", "idx", F.col("item.at").alias("first"), F.get("ats", F.col("idx") + (m - 1)).alias("last"),
-                       F.xxhash64("item.line").alias("a"), F.xxhash64(F.lit("second"), "item.line").alias("b"))
+                       F.xxhash64("item.line").alias("a"), F.xxhash64(F.lit("second"), "item.line").alias("b"), long.alias("long"))
 
 
 def ranked(names: DataFrame, by: list[str]) -> DataFrame:
@@ -68,55 +75,73 @@ def ranked(names: DataFrame, by: list[str]) -> DataFrame:
     return written(names.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()), "ranks")
 
 
-def shifted(cur: DataFrame, h: int) -> DataFrame:
-    """Each suffix with the rank of the suffix h lines further on, or what stands there instead.
-
-    kind 2: a repeated line (k its rank); 1: a line that occurs once (k, k2, k3 its place); 0: the document's end.
-    """
-    ahead = cur.select("_d", "_t", (F.col("idx") - h).alias("idx"), F.col("rank").alias("ahead"))
-    kind = F.when(F.col("ahead").isNotNull(), 2).when(F.col("idx") + h < F.col("of"), 1).otherwise(0)
-    out = cur.join(ahead, PLACE, "left").withColumn("kind", kind)
-    place = lambda c: F.when(F.col("kind") == 1, c).otherwise(F.lit(0))
-    return out.withColumns({"k": F.coalesce("ahead", place(F.col("_d"))), "k2": place(F.col("_t")), "k3": place((F.col("idx") + h).cast("long"))}).drop("ahead")
+PAIR = ["prior", "kind", "k"]
 
 
-PAIR = ["rank", "kind", "k", "k2", "k3"]
+def shifted(level: DataFrame, h: int) -> DataFrame:
+    """Each suffix that shares its rank, as `prior`, with the rank of the suffix h lines further on, or what stands there instead.
 
+    kind 2: a suffix that shares its rank (k); 1: one that shares it with none; 0: the document's end.
+    """
+    ahead = F.first("rank").over(Window.partitionBy("_d", "_t").orderBy("idx").rangeBetween(h, h))
+    kind = F.when(F.col("k").isNotNull(), 2).when(F.col("idx") + h < F.col("of"), 1).otherwise(0)
+    return level.where(F.col("rank").isNotNull()).withColumn("k", ahead).withColumn("kind", kind).withColumn("k", F.coalesce("k", F.lit(0))).withColumnRenamed("rank", "prior")
 
-def doubled(cur: DataFrame, h: int) -> tuple[DataFrame, int]:
-    """Suffixes ranked by h lines -> ranked by 2h lines, and how many ranks there are."""
-    pairs = shifted(cur, h)
-    names = ranked(pairs.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("rank", "prior"),
-                   ["prior", *PAIR[1:]])
-    new = written(pairs.withColumnRenamed("rank", "prior").join(names.drop("n"), ["prior", *PAIR[1:]])
-                  .select(*PLACE, "of", "first", "last", "rank"), "suffixes")
-    count = names.count()
-    discard(names)
-    return new, count
 
+def doubled(level: DataFrame, h: int) -> DataFrame:
+    """Suffixes ranked by h lines -> ranked by 2h lines; the rank is null where no other suffix has it.
 
-def suffix_array(df: DataFrame, m: int = RUN_LINES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """All suffixes that start with a repeated line, ranked; and `interval`, the rank by m lines, of those that have m lines."""
-    lines = line_table(df, m, id_col, text_col)
+    Suffixes that are settled and that no other reaches are left out: those
+    whose rank was null, and those whose document ends within h lines and
+    that stand less than h lines from its start.
+    """
+    pairs = written(shifted(level.where((F.col("idx") + h < F.col("of")) | (F.col("idx") >= h)), h), "pairs")
+    meet = pairs.where("kind != 1")
+    names = ranked(meet.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), PAIR)
+    keep = [*PLACE, "of", "first", "last", "rank"]
+    new = written(meet.join(names, PAIR, "left").select(*keep)
+                  .unionByName(pairs.where("kind = 1").withColumn("rank", F.lit(None).cast("long")).select(*keep)), "suffixes")
+    discard(pairs, names)
+    return new
+
+
+def levels(df: DataFrame, m: int, id_col: str, text_col: str, long_words: int | None) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """The suffixes that start with a repeated line, by their ranks of 1, 2, 4, ... lines; and the intervals: by m lines, and by one long line."""
+    lines = line_table(df, m, id_col, text_col, long_words)
     names = ranked(lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), ["a", "b"])
-    cur = written(lines.join(names, ["a", "b"]).select(*PLACE, "of", "first", "last", "rank").dropDuplicates(PLACE), "suffixes")
-    count = names.count()
+    found = [written(lines.join(names, ["a", "b"]).select(*PLACE, "of", "first", "last", "long", "rank").dropDuplicates(PLACE), "suffixes")]
     discard(names)
-    h, before, intervals = 1, -1, None
+    long, h, intervals = found[0].where("long").withColumn("interval", F.struct("rank")), 1, None
     while True:
-        kept = False
-        if intervals is None and h <= m < 2 * h:
-            whole = cur.where(F.col("idx") + m <= F.col("of"))
+        level = found[-1]
+        if h <= m < 2 * h:
+            whole = F.col("idx") + m <= F.col("of")
             if m == h:
-                intervals, kept = whole.withColumn("interval", F.struct("rank")), True
+                intervals = level.where(whole & F.col("rank").isNotNull()).withColumn("interval", F.struct("rank"))
             else:
-                intervals = written(shifted(cur, m - h).where(F.col("idx") + m <= F.col("of")).withColumn("interval", F.struct(*PAIR)), "intervals")
-        if intervals is not None and count == before:
-            return cur, intervals
-        new, found = doubled(cur, h)
-        if not kept:
-            discard(cur)
-        cur, h, before, count = new, 2 * h, count, found
+                # The line m - h further on decides; where it is settled alone, so is this one.
+                intervals = shifted(level, m - h).where(whole & (F.col("kind") != 1)).withColumn("interval", F.struct(*PAIR))
+        if intervals is not None and level.where(F.col("rank").isNotNull() & (F.col("idx") + h < F.col("of"))).isEmpty():
+            return found, intervals, long
+        found.append(doubled(level, h))
+        h *= 2
+
+
+def suffix_array(df: DataFrame, m: int = RUN_LINES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All suffixes that start with a repeated line, with `rank`, alike for equal suffixes only; and `interval`, by m lines, of those that have m lines.
+
+    The rank names the round that settled the suffix, its rank in that round,
+    and its place where it shares that with no other.
+    """
+    found, intervals, _ = levels(df, m, id_col, text_col, None)
+    alone, rows = F.col("rank").isNull(), None
+    for n, level in enumerate(found):
+        # What ended in an earlier round was settled there, and is only here to be reached.
+        new = F.lit(n == 0) | (F.col("idx") + (1 << n) // 2 < F.col("of"))
+        place = [F.when(alone, F.col(c)).alias(c) for c in PLACE]
+        settled = level.where(new & (alone | (F.col("idx") + (1 << n) >= F.col("of")))).select(*PLACE, F.struct(F.lit(n).alias("round"), F.col("rank").alias("by"), *place).alias("rank"))
+        rows = settled if rows is None else rows.unionByName(settled)
+    return rows, intervals
 
 
 def later_copies(intervals: DataFrame) -> DataFrame:
@@ -126,15 +151,6 @@ def later_copies(intervals: DataFrame) -> DataFrame:
     return intervals.join(written(heads, "heads"), "interval").where(F.struct(*PLACE) != F.col("head")).select(*PLACE, "first", "last")
 
 
-def long_lines(df: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
-    """The lines of at least `least` words; `interval` is the line, by its two hashes."""
-    every = F.transform(lines_of(F.col(f"row.{text_col}")), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
-    solid = F.filter(every, lambda s: s["line"].rlike(NOT_BLANK))
-    rows = keyed(df, id_col, text_col).select("_d", "_t", F.posexplode(solid).alias("idx", "item")).where(F.regexp_count("item.line", F.lit(WORDS)) >= least)
-    line = F.struct(F.xxhash64("item.line").alias("a"), F.xxhash64(F.lit("second"), "item.line").alias("b"))
-    return written(rows.select(*PLACE, F.col("item.at").alias("first"), F.col("item.at").alias("last"), line.alias("interval")), "long-lines")
-
-
 def maximal_runs(copies: DataFrame) -> DataFrame:
     """_d, _t, runs: of each document the stretches of lines to delete, as an array of (first, last); touching copies make one."""
     by_doc = Window.partitionBy("_d", "_t").orderBy("idx")
@@ -147,11 +163,12 @@ def maximal_runs(copies: DataFrame) -> DataFrame:
 
 def _stripped(df: DataFrame, m: int, id_col: str, text_col: str, long_words: int | None) -> DataFrame:
     """`keyed` with `runs` (null where nothing is deleted) and `left`, what is left of the text."""
-    _, intervals = suffix_array(df, m, id_col, text_col)
+    found, intervals, long = levels(df, m, id_col, text_col, long_words)
     copies = later_copies(intervals)
     if long_words is not None:
-        copies = copies.unionByName(later_copies(long_lines(df, long_words, id_col, text_col)))
+        copies = copies.unionByName(later_copies(long.withColumn("last", F.col("first"))))
     runs = written(maximal_runs(copies), "runs")
+    discard(*found)
     inside = lambda i: F.exists("runs", lambda r: (i >= r["first"]) & (i <= r["last"]))
     left = F.array_join(F.filter(lines_of(F.col("text")), lambda x, i: ~inside(i)), "\n")
     rows = keyed(df, id_col, text_col).join(runs, ["_d", "_t"], "left").withColumn("text", F.col(f"row.{text_col}"))
@@ -183,7 +200,10 @@ s AS (
 w AS (
   SELECT doc_id, pos AS first, line, lead(pos) OVER o AS last, lead(line) OVER o AS next FROM s WHERE solid WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 c AS (
-  SELECT doc_id, first, last FROM w WHERE last IS NOT NULL QUALIFY row_number() OVER (PARTITION BY line, next ORDER BY doc_id, first) > 1),
+  SELECT doc_id, first, last FROM w WHERE last IS NOT NULL QUALIFY row_number() OVER (PARTITION BY line, next ORDER BY doc_id, first) > 1
+  UNION ALL
+  SELECT doc_id, first, first AS last FROM w WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= 50
+  QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, first) > 1),
 i AS (
   SELECT *, CASE WHEN first > coalesce(max(last) OVER (PARTITION BY doc_id ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -2) + 1 THEN 1 ELSE 0 END AS new FROM c),
 g AS (SELECT doc_id, count(*) FILTER (new = 1) AS n_runs, list(first) AS firsts, list(last) AS lasts FROM i GROUP BY doc_id),

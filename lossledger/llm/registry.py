@@ -31,7 +31,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(documents(spark, sf_dir))
+    return line_dedup.report(documents(spark, sf_dir), long_words=line_dedup.LONG_WORDS)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

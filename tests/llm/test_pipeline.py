@@ -34,7 +34,7 @@ def test_each_stage_decides_as_by_hand(spark):
     one, frame = step("language ID", docs)
     assert {r["doc_id"] for r in one} == {i for i, t in rows(docs, "doc_id", "text") if t and any(c.isalpha() for c in t)}
     two, frame = step("line dedup", frame)
-    want = lines_by_hand([(r["doc_id"], r["text"]) for r in one], 2)
+    want = lines_by_hand([(r["doc_id"], r["text"]) for r in one], 2, 50)
     assert {r["doc_id"]: r["text"] for r in two} == {i: left for (i, t), left in want.items() if left.strip() or not (t or "").strip()}
     three, frame = step("near dedup", frame)
     assert sorted(r["doc_id"] for r in three) == sorted(i for i, _, _, kept in near_by_hand([(r["doc_id"], r["text"]) for r in two]) if kept)
