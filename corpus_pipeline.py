@@ -1,6 +1,7 @@
 """The corpus pipeline: raw documents to a mixed, tokenised training set.
 
-STAGES in order: documents in no learned language go; lines of repeated runs
+STAGES in order: documents in no learned language go; lines of repeated runs,
+and long lines that repeat,
 go from later copies, and documents that lose all their lines with them; of
 each group of near-duplicates one document stays; sources are mixed to target
 weights, with whole and partial repetitions; the texts are encoded. Each
@@ -30,7 +31,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return recounted(line_dedup.deduplicated(docs))
+    return recounted(line_dedup.deduplicated(docs, long_words=line_dedup.LONG_WORDS))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
