@@ -171,7 +171,8 @@ def _stripped(df: DataFrame, m: int, id_col: str, text_col: str, long_words: int
     discard(*found)
     inside = lambda i: F.exists("runs", lambda r: (i >= r["first"]) & (i <= r["last"]))
     left = F.array_join(F.filter(lines_of(F.col("text")), lambda x, i: ~inside(i)), "\n")
-    rows = keyed(df, id_col, text_col).join(runs, ["_d", "_t"], "left").withColumn("text", F.col(f"row.{text_col}"))
+    # Merged at every size: documents with runs grow with the input, so the texts must move once anyhow.
+    rows = keyed(df, id_col, text_col).join(runs.hint("merge"), ["_d", "_t"], "left").withColumn("text", F.col(f"row.{text_col}"))
     return rows.withColumn("left", F.when(F.col("runs").isNull(), F.col("text")).otherwise(left))
 
 
