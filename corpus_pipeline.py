@@ -1,9 +1,8 @@
 """The corpus pipeline: raw documents to a mixed, tokenised training set.
 
 STAGES in order: documents in no learned language go; lines of repeated runs,
-and long lines that repeat,
-go from later copies, and documents that lose all their lines with them; of
-each group of near-duplicates one document stays; sources are mixed to target
+and long lines that repeat, go from later copies, and documents that lose all
+their lines with them; of each group of near-duplicates one document stays; sources are mixed to target
 weights, with whole and partial repetitions; the texts are encoded. Each
 function takes (spark, docs, sf_dir) and returns a frame; `run` writes it to
 the shared folder and reads it again as the next stage's docs. All but the
