@@ -11,20 +11,26 @@ times in a million; at 0.8 it is five times in a hundred million.
 1. Documents with equal sets become one node, named by a hash of the set.
 2. In each band's bucket every node is paired with the bucket's smallest node
    only, so a bucket makes as many pairs as it has nodes. A pair that one
-   bucket of several nodes makes alone waits for step 4.
+   bucket of several nodes makes alone waits for step 5.
 3. Pairs whose registers, corrected for accidental agreement, leave no doubt
    are let go; the others are confirmed on the whole texts: of each node the
    most promising pair first, the others only where that has not joined both.
 4. A bucket whose nodes are then in one component is done: further links in
-   it join nothing new. The nodes of the others are the rest. They are
+   it join nothing new. In the others a few turns choose new pivots, first the
+   node that shares its buckets with most others (the middle of a family of
+   copies), then at random in proportion to that; nodes of other components
+   are paired with the pivot alone. What a turn joins is one component in the
+   next, so a family at the threshold costs rows by its size, not its square.
+5. The nodes of the buckets still open are the rest. They are
    compared by their rarest shingles: in any order of all shingles, two sets
    with a similarity of 0.75 have one in common among the first quarter of
    each. Frequent shingles, estimated on a bounded sample, come last in the
-   order, so a passage that many documents share makes no pairs.
-5. Components are the smallest labels that spread over the confirmed links.
+   order, so a passage that many documents share makes no pairs. Holders of a
+   shingle in its largest component meet those outside it, not each other.
+6. Components are the smallest labels that spread over the confirmed links.
 
-Nothing is capped: step 4 takes whatever step 2 left, and its filter is exact
-for any sample. Texts are shuffled once, compressed, for steps 3 and 4; no
+Nothing is capped: step 5 takes whatever the turns left, and its filter is exact
+for any sample. Texts are shuffled once, compressed, for steps 3 to 5; no
 task and no driver sees a bucket, a component or a set of links whole.
 
 Cases: a null or blank text has no shingles and no links; a text of fewer
@@ -62,6 +68,9 @@ HOPELESS, SURE = 0.5, 64
 SAMPLE_NODES, FREQUENT = 4_000, 200_000
 #: A shingle of more holders is hot; a pair looks back over so many hot shingles for an earlier one in common.
 FEW, LOOK_BACK = 8, 32
+#: Turns of new pivots before the exact filter, at most, and while one pair in so many is a link; they change what the
+#: filter costs, not what is found.
+TURNS, WORTH = 3, 4
 NO_BAND = bytes(2 * ROWS)
 
 
@@ -211,15 +220,50 @@ def met(nodes: DataFrame) -> DataFrame:
     return found
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """`labels` (node, label) after more links (a, b): only what the links join is labelled anew."""
+    side = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    ends = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    ends = written(ends.select("a", "b", F.coalesce("label_a", "a").alias("label_a"), F.coalesce("label_b", "b").alias("label_b")), "ends")
+    moved = components(ends.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).where("a != b").distinct())
+    every = labels.unionByName(ends.select(F.col("a").alias("node")).unionByName(ends.select(F.col("b").alias("node"))).distinct()
+                               .join(labels, "node", "left_anti").withColumn("label", F.col("node")))
+    to = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    out = written(every.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+    discard(ends, moved, labels)
+    return out
+
+
 def unfinished(meetings: DataFrame, labels: DataFrame) -> DataFrame:
-    """node, label of the nodes in buckets that hold several components; the one pair of a bucket of two is tested."""
-    rows = meetings.where("members > 2").select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    """key, node, label, weight of the buckets that hold several components; the one pair of a bucket of two was tested.
+
+    The weight of a node is the number of nodes in all its buckets: large in the middle of a family.
+    """
+    rows = meetings.where("members > 2")
+    if "weight" in rows.columns:
+        rows = rows.select("key", "node", "members", "weight").join(labels, "node", "left")
+    else:
+        rows = rows.select("key", "node", "members").join(labels, "node", "left").withColumn("weight", F.sum("members").over(Window.partitionBy("node")))
+    rows = rows.withColumn("label", F.coalesce("label", "node"))
     split = written(rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "split")
-    rest = written(rows.join(split, "key", "left_semi").select("node", "label").distinct(), "rest")
+    rest = written(rows.join(split, "key", "left_semi").select("key", "node", "label", "members", "weight"), "rest")
     discard(split)
     return rest
 
 
+def turned(rest: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's pivot of this turn and its nodes in other components, if they meet twice."""
+    u = (F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
+    order = F.col("weight").cast("double") if turn == 0 else F.log(u) / F.col("weight")
+    pivots = rest.groupBy("key").agg(F.max(F.struct(order.alias("order"), F.col("node").alias("a"), F.col("label").alias("of"))).alias("pivot"))
+    # Written: a join whose sides both come straight from a shuffle can be split where a bucket is hot.
+    pivots = written(pivots.select("key", "pivot.a", "pivot.of"), "pivots")
+    pairs = rest.join(pivots, "key").where("label != of").groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    pairs = written(pairs.where("shared > 1").select("a", "b"), "pairs")
+    discard(pivots)
+    return pairs
+
+
 def frequent_shingles(texts: DataFrame) -> dict[int, int]:
     """Hash -> count of the shingles that several of the sampled nodes hold, the most frequent ones; bounded on the driver."""
     share = min(1.0, SAMPLE_NODES / max(1, texts.count()))
@@ -267,20 +311,24 @@ def pairs_of_rest(rest: DataFrame, texts: DataFrame) -> DataFrame:
                      pa.array(place[first].astype(np.int32))], names=["node", "label", "shingle", "n", "place"])
 
     prefix = written(own.select("node", "label", "packed").mapInArrow(run, "node long, label long, shingle long, n int, place int"), "prefix")
-    shared = prefix.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("holders")).where("low < high")
-    shared = written(shared.select("shingle", (F.col("holders") > FEW).alias("hot")), "shared")
+    # The largest component among a shingle's holders: two holders in it are joined already, and are never paired.
+    shared = prefix.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle").agg(
+        F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("holders")).where("labels > 1")
+    shared = written(shared.select("shingle", "main", (F.col("holders") > FEW).alias("hot")), "shared")
     every, prefix = prefix, prefix.join(shared, "shingle")
     # Copies of one text share many shingles: a pair is made at the first of them, not at each.
     before = F.collect_list(F.when(F.col("hot"), F.col("shingle"))).over(Window.partitionBy("node").orderBy("place").rowsBetween(-LOOK_BACK, -1))
     prefix = written(prefix.withColumn("before", F.when(F.col("hot"), before).otherwise(F.array().cast("array<long>"))), "prefix")
     discard(every, shared)
-    side = lambda x: [F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("label", "n", "place", "before")]]
-    both = prefix.select("shingle", *side("a")).join(prefix.select("shingle", *side("b")), "shingle")
+    side = lambda x: [F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("label", "main", "n", "place", "before")]]
+    both = prefix.where("label != main").select("shingle", *side("a")).join(prefix.select("shingle", *side("b")), "shingle")
+    once = (F.col("a") < F.col("b")) | (F.col("b_label") == F.col("b_main"))
     an, bn = F.col("a_n"), F.col("b_n")
     enough = F.least(an - F.col("a_place"), bn - F.col("b_place")) * (100 + PERCENT) >= (an + bn) * PERCENT
     near = (an * 100 >= bn * PERCENT) & (bn * 100 >= an * PERCENT)
     first = ~F.arrays_overlap("a_before", "b_before")
-    pairs = written(both.where((F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & near & enough & first).select("a", "b").distinct(), "pairs")
+    found = both.where(once & (F.col("a_label") != F.col("b_label")) & near & enough & first)
+    pairs = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     discard(prefix)
     return pairs
 
@@ -313,16 +361,26 @@ def linked(df: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
     second = candidates.select("a", "b").join(first, ["a", "b"], "left_anti")
     second = written(second.join(side("a"), "a", "left").join(side("b"), "b", "left").where(apart).select("a", "b"), "pairs")
-    if not second.isEmpty():
-        links = links.unionByName(written(confirmed(second, texts), "links"))
-        labels = components(links)
-    rest = unfinished(meetings, labels)
+    rest, tested = unfinished(meetings, labels), candidates.select("a", "b")
     discard(meetings)
+    for turn in range(TURNS):
+        best = estimated(turned(rest, turn), nodes).groupBy("b").agg(F.max_by(F.col("a"), F.struct("score", -F.col("a"))).alias("a"))
+        best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        best = written(best if turn else best.unionByName(second), "pairs")
+        found = written(confirmed(best, texts), "links")
+        tested, n = tested.unionByName(best), found.count()
+        if not n:
+            break
+        labels, before = joined(labels, found), rest
+        rest = unfinished(before.drop("label"), labels)
+        discard(before)
+        if n * WORTH < best.count():
+            break
     if not rest.isEmpty():
-        third = written(estimated(pairs_of_rest(rest, texts).join(candidates.select("a", "b"), ["a", "b"], "left_anti"), nodes), "candidates")
+        rest = written(rest.select("node", "label").distinct(), "rest")
+        third = written(estimated(pairs_of_rest(rest, texts).join(tested, ["a", "b"], "left_anti"), nodes), "candidates")
         if not third.isEmpty():
-            links = links.unionByName(written(confirmed(third, texts), "links"))
-            labels = components(links)
+            labels = joined(labels, written(confirmed(third, texts), "links"))
     discard(texts, candidates)
     return rows, labels, [signed, nodes]
 
