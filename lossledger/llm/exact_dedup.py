@@ -48,10 +48,21 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", conten
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `df` that stay, all columns kept; ids are expected to be unique."""
-    stay = written(groups(df, id_col, text_col).where("kept").select("doc_id"), "exact-kept")
-    rows = boxed(df, id=F.col(id_col).cast("long"))
-    return unboxed(rows.join(stay, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi"), df.columns)
+    """The rows of `df` that stay, all columns kept: one of each text.
+
+    Of rows that repeat the smallest id as well the one whose columns have the smallest hash.
+    """
+    held = groups(df, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    stay = written(held.groupBy("doc_id", "text_sha256").agg((F.count(F.lit(1)) > 1).alias("repeats")), "exact-kept")
+    rows = boxed(df, id=F.col(id_col).cast("long"), sha=F.sha2(normalised(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("sha") == F.col("text_sha256"))
+    out = rows.join(stay.where(~F.col("repeats")), same, "left_semi").select("row")
+    repeats = stay.where("repeats")
+    if not repeats.isEmpty():
+        # Combined on the map side: rows that repeat id and text cost each task one row.
+        twins = rows.join(repeats, same, "left_semi").groupBy("id", "sha").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        out = out.unionByName(twins.select("row"))
+    return unboxed(out, df.columns)
 
 
 SQL = """

@@ -55,6 +55,12 @@ def test_exact_keeps_all_columns(spark):
     assert exact_dedup.deduplicated(df).columns == df.columns and exact_dedup.groups(df.limit(0)).count() == 0
 
 
+def test_exact_keeps_one_row_where_ids_are_null_or_repeat(spark):
+    pairs = [(None, "a  b"), (None, "a b"), (None, "c"), (4, "c"), (4, "c"), (4, "d"), (5, "d"), (6, None), (None, ""), (6, "")]
+    got = rows(exact_dedup.deduplicated(documents(spark, pairs)), "doc_id", "text")
+    assert sorted((i or 0, re.sub(" +", " ", t or "")) for i, t in got) == [(0, "a b"), (4, "c"), (4, "d"), (6, "")]
+
+
 # line runs
 
 def lines_by_hand(pairs, m, long_words=None):
