@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +28,8 @@ class Context:
     raw_dir: str | None = None    # read materialised raw tables from here when given
     star_dir: str | None = None   # read star tables from here when given
     tables: Callable | None = None  # raw tables from a Context, instead of those mapped from sf_dir
+    store: object | None = None   # writes a table of raw_dir or star_dir when it is first read (`warehouse.Store`)
+    fused: bool = False           # with a store: raw tables not written yet are derived inside the reader's plan
     _cache: dict = field(default_factory=dict, repr=False)
 
     def table(self, name: str) -> DataFrame:
@@ -37,6 +39,12 @@ class Context:
             self._cache[key] = self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
         return self._cache[key]
 
+    def stored(self, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The table at `path`; with a store, written from `build` if nobody read it before."""
+        if self.store is not None:
+            self.store.ensure(path, build)
+        return self.spark.read.parquet(path)
+
     def memo(self, key, build):
         if key not in self._cache:
             self._cache[key] = build()
@@ -53,6 +61,12 @@ class Context:
         from lossledger.sources.raw import RawTables
         return RawTables(self)
 
+    @property
+    def star_sources(self):
+        """The raw tables that the star is built from. With a store a step between (payments per order, expense
+        lines) that no query has asked for stays inside the plan of the star table that needs it."""
+        return self.raw if self.store is None else replace(self, fused=True, _cache={}).raw
+
     @property
     def star(self):
         from lossledger.plans.star import StarSchema

@@ -85,11 +85,11 @@ class StarSchema:
     def __init__(self, ctx):
         self.ctx = ctx
         self.spark = ctx.spark
-        self.raw = ctx.raw
+        self.raw = ctx.star_sources
 
     def _m(self, key, build):
         if self.ctx.star_dir:
-            return self.ctx.memo(("star", key), lambda: self.spark.read.parquet(f"{self.ctx.star_dir}/{key}"))
+            return self.ctx.memo(("star", key), lambda: self.ctx.stored(f"{self.ctx.star_dir}/{key}", build))
         return self.ctx.memo(("star", key), build)
 
     # -- dimensions --------------------------------------------------------
@@ -169,11 +169,11 @@ class StarSchema:
     def fact_claims(self) -> DataFrame:
         return self._m("FACT_CLAIMS", lambda: build_fact_claims(
             self.raw.claims(), self.raw.financial_data(), self.raw.litigation(with_id=False),
-            self.dim_geography(), self.dim_loss_cause(), self.ctx.fraud_rule))
+            self.dim_geography(), self.dim_loss_cause(), self.ctx.fraud_rule, by_date if self.ctx.star_dir else None))
 
     def fact_claim_expense(self) -> DataFrame:
         return self._m("FACT_CLAIM_EXPENSE", lambda: build_fact_expense(
-            self.raw.claims_expense(), self.fact_claims(), self.spark))
+            self.raw.claims_expense(), self.fact_claims(), self.spark, by_date if self.ctx.star_dir else None))
 
     def by_name(self, name: str) -> DataFrame:
         return {
@@ -196,10 +196,10 @@ class StarSchema:
             self.by_name(name).write.mode("overwrite").parquet(f"{out_dir}/{name}")
         read = {n: self.spark.read.parquet(f"{out_dir}/{n}") for n in STAR_TABLES[:6]}
         fact = build_fact_claims(self.raw.claims(), self.raw.financial_data(), self.raw.litigation(with_id=False),
-                                 read["DIM_GEOGRAPHY"], read["DIM_LOSS_CAUSE"], self.ctx.fraud_rule)
-        by_date(fact).write.mode("overwrite").parquet(f"{out_dir}/FACT_CLAIMS")
+                                 read["DIM_GEOGRAPHY"], read["DIM_LOSS_CAUSE"], self.ctx.fraud_rule, by_date)
+        fact.write.mode("overwrite").parquet(f"{out_dir}/FACT_CLAIMS")
         written = self.spark.read.parquet(f"{out_dir}/FACT_CLAIMS")
-        by_date(build_fact_expense(self.raw.claims_expense(), written)).write.mode("overwrite").parquet(
+        build_fact_expense(self.raw.claims_expense(), written, arrange=by_date).write.mode("overwrite").parquet(
             f"{out_dir}/FACT_CLAIM_EXPENSE")
 
 
@@ -234,15 +234,17 @@ def geography_keys(claims: DataFrame, dim_geo: DataFrame) -> DataFrame:
 
 
 def build_fact_claims(claims: DataFrame, financial: DataFrame, litigation: DataFrame,
-                      dim_geo: DataFrame, dim_cause: DataFrame, fraud_rule: str = "score") -> DataFrame:
+                      dim_geo: DataFrame, dim_cause: DataFrame, fraud_rule: str = "score", arrange=None) -> DataFrame:
     """FACT_CLAIMS: one row per claim (all left joins on unique keys, so the
     row count equals CLAIMS). The financial, litigation and geography-key
     inputs are all keyed by claim id, so the wide claim rows are shuffled
-    once, by claim id, and every join reuses that partitioning."""
-    return _fact_from(claims, financial, litigation, geography_keys(claims, dim_geo), dim_cause, fraud_rule)
+    once, by claim id, and every join reuses that partitioning. `arrange`
+    (`by_date` for a written table) moves the rows before the columns that
+    follow from others are added, so those are not shuffled."""
+    return _fact_from(claims, financial, litigation, geography_keys(claims, dim_geo), dim_cause, fraud_rule, arrange)
 
 
-def _fact_from(claims, financial, litigation, geo_keys, dim_cause, fraud_rule):
+def _fact_from(claims, financial, litigation, geo_keys, dim_cause, fraud_rule, arrange):
     c = claims.alias("c")
     f = financial.select("CLAIM_ID", "PAID_AMOUNT", "RESERVE_AMOUNT", "INCURRED_LOSS", "RECOVERY_AMOUNT",
                          "SUBROGATION_AMOUNT", "SALVAGE_AMOUNT", "PAYMENT_TYPE", "PAYMENT_DATE").alias("f")
@@ -259,8 +261,7 @@ def _fact_from(claims, financial, litigation, geo_keys, dim_cause, fraud_rule):
     def m0(name):
         return F.coalesce(F.col(f"f.{name}"), zero).cast("decimal(15,2)")
 
-    net = (m0("INCURRED_LOSS") - m0("RECOVERY_AMOUNT") - m0("SUBROGATION_AMOUNT") - m0("SALVAGE_AMOUNT"))
-    return j.select(
+    rows = j.select(
         F.col("c.CLAIM_ID").alias("CLAIM_KEY"), F.col("c.CLAIM_NUMBER"), F.col("c.LOSS_DATE").alias("DATE_KEY"),
         geo_key.alias("GEOGRAPHY_KEY"), F.col("c.LOB_ID").alias("CLAIM_TYPE_KEY"), F.col("lc.LOSS_CAUSE_KEY"),
         F.col("c.CATASTROPHE_ID").alias("WEATHER_EVENT_KEY"), F.col("c.POLICY_ID").alias("POLICY_KEY"),
@@ -268,21 +269,25 @@ def _fact_from(claims, financial, litigation, geo_keys, dim_cause, fraud_rule):
         m0("PAID_AMOUNT").alias("PAID_AMOUNT"), m0("RESERVE_AMOUNT").alias("RESERVE_AMOUNT"),
         m0("INCURRED_LOSS").alias("INCURRED_LOSS"), m0("RECOVERY_AMOUNT").alias("RECOVERY_AMOUNT"),
         m0("SUBROGATION_AMOUNT").alias("SUBROGATION_AMOUNT"), m0("SALVAGE_AMOUNT").alias("SALVAGE_AMOUNT"),
-        net.cast("decimal(15,2)").alias("NET_INCURRED"),
         F.col("f.PAYMENT_TYPE"), F.col("f.PAYMENT_DATE"), F.col("c.FRAUD_INDICATOR"), F.col("c.FRAUD_SCORE"),
-        fraud_risk_tier(F.col("c.FRAUD_SCORE"), F.col("c.FRAUD_INDICATOR"), fraud_rule).alias("FRAUD_RISK_TIER"),
         F.col("c.CAT_INDICATOR"), F.col("c.LITIGATION_INDICATOR"), F.col("c.SUBROGATION_INDICATOR"),
         F.coalesce(F.col("lc.IS_WEATHER_RELATED"), F.lit(False)).alias("IS_WEATHER_RELATED"),
         F.col("lc.WEATHER_CONDITION_MAPPING"),
-        F.datediff("c.REPORTED_DATE", "c.LOSS_DATE").alias("DAYS_TO_REPORT"),
-        F.datediff("c.OPEN_DATE", "c.REPORTED_DATE").alias("DAYS_TO_OPEN"),
-        F.datediff("c.CLOSE_DATE", "c.OPEN_DATE").alias("DAYS_TO_CLOSE"),
-        F.col("c.LOSS_DATE"), F.col("c.REPORTED_DATE"), F.col("c.OPEN_DATE"), F.col("c.CLOSE_DATE"),
+        F.col("c.REPORTED_DATE"), F.col("c.OPEN_DATE"), F.col("c.CLOSE_DATE"),
         F.col("c.LAST_ACTIVITY_DATE"),
         F.coalesce(F.col("l.SETTLEMENT_AMOUNT"), zero).alias("LITIGATION_SETTLEMENT_AMOUNT"),
         F.coalesce(F.col("l.DEFENSE_COSTS"), F.lit(0).cast("decimal(12,2)")).alias("LITIGATION_DEFENSE_COSTS"),
         F.col("l.LITIGATION_STATUS"),
     )
+    rows = arrange(rows) if arrange else rows
+    net = F.col("INCURRED_LOSS") - F.col("RECOVERY_AMOUNT") - F.col("SUBROGATION_AMOUNT") - F.col("SALVAGE_AMOUNT")
+    derived = {
+        "NET_INCURRED": net.cast("decimal(15,2)"), "LOSS_DATE": F.col("DATE_KEY"),
+        "FRAUD_RISK_TIER": fraud_risk_tier(F.col("FRAUD_SCORE"), F.col("FRAUD_INDICATOR"), fraud_rule),
+        "DAYS_TO_REPORT": F.datediff("REPORTED_DATE", "DATE_KEY"), "DAYS_TO_OPEN": F.datediff("OPEN_DATE", "REPORTED_DATE"),
+        "DAYS_TO_CLOSE": F.datediff("CLOSE_DATE", "OPEN_DATE"),
+    }
+    return rows.select(*[derived[c].alias(c) if c in derived else F.col(c) for c in FACT_CLAIMS_COLUMNS])
 
 
 def budget_columns(severity):
@@ -300,13 +305,15 @@ def budget_columns(severity):
     return cols
 
 
-def build_fact_expense(expense: DataFrame, fact_claims: DataFrame, spark=None) -> DataFrame:
+def build_fact_expense(expense: DataFrame, fact_claims: DataFrame, spark=None, arrange=None) -> DataFrame:
     """FACT_CLAIM_EXPENSE: expense lines inner-joined to their claim fact row
-    (many expenses per claim; both sides shuffle on the claim key)."""
+    (many expenses per claim; both sides shuffle on the claim key). `arrange`
+    as in `build_fact_claims`."""
     fc = fact_claims.select("CLAIM_KEY", "DATE_KEY", "GEOGRAPHY_KEY", "CLAIM_TYPE_KEY", "LOSS_CAUSE_KEY",
                             "WEATHER_EVENT_KEY", "POLICY_KEY", "CLAIM_SEVERITY", "FRAUD_INDICATOR",
                             "IS_WEATHER_RELATED")
-    j = expense.join(fc, expense.CLAIM_ID == fc.CLAIM_KEY)
+    j = expense.join(fc, expense.CLAIM_ID == fc.CLAIM_KEY).drop("CLAIM_ID")
+    j = arrange(j) if arrange else j
     b = budget_columns(F.col("CLAIM_SEVERITY"))
     actual = (F.col("LEGAL_FEES") + F.col("ADJUSTOR_COSTS") + F.col("INVESTIGATION_CHARGES") + F.col("ULAE"))
     with_budget = j.select("*", *b)

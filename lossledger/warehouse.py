@@ -6,21 +6,49 @@ This is the production shape of the pipeline (build step, then reports):
 each report's plan starts at a parquet scan of the star instead of
 re-deriving the whole lineage from the source tables, which keeps plans
 small, cuts lineage (a lost executor recomputes from parquet, not from the
-sources) and builds the expensive joins once. A build is keyed by the
-input directory and a fingerprint of the files of the tables in use (name,
-size, modification time), listed once per session and input; `forget` makes
-the next query look again.
+sources) and builds the expensive joins once.
+
+`query_context` writes each table when a query first reads it: a query over
+the claims fact does not wait for the expense fact, and one over a given table
+writes nothing. A star table takes the raw tables before it as they are
+written; one that no query has read stays inside the star table's own plan, so
+its rows are not written and shuffled once more. `warehouse_context` writes
+every table at once. Both share one warehouse per session, input directory and
+fingerprint of the files of the tables in use (name, size, modification time),
+listed once per session and input; `forget` makes the next query look again.
 """
 
 from __future__ import annotations
 
 import threading
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from lossledger.context import Context
+from lossledger.plans.star import STAR_TABLES
+from lossledger.sources.raw import RawTables
+
+
+class Store:
+    """The tables written so far under one folder."""
+    def __init__(self, base: str):
+        self.base = base
+        self._written: set[str] = set()
+        self._lock = threading.RLock()  # a table is built from others of the store
+
+    def has(self, path: str) -> bool:
+        return path in self._written
+
+    def ensure(self, path: str, build: Callable[[], DataFrame]) -> None:
+        """Write the table if it is not there; a write that broke off is done again by the next reader."""
+        with self._lock:
+            if path not in self._written:
+                build().write.mode("overwrite").parquet(path)
+                self._written.add(path)
 
-_BUILDS: dict[tuple, tuple[str, str]] = {}
+
+_BUILDS: dict[tuple, Store] = {}
 _LISTED: dict[tuple, tuple] = {}
 _LOCK = threading.Lock()
 
@@ -40,9 +68,9 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(sorted(files))
 
 
-def warehouse_context(spark: SparkSession, sf_dir: str, **params) -> Context:
-    """A Context that reads raw and star tables built (once per session and
-    input) from `sf_dir`."""
+def query_context(spark: SparkSession, sf_dir: str, **params) -> Context:
+    """A Context that reads raw and star tables written (once per session and
+    input) from `sf_dir`, each by the first query that reads it."""
     from lossledger.shared import shared_dir
     where = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if where not in _LISTED:  # once per session and input, not once per query
@@ -50,13 +78,19 @@ def warehouse_context(spark: SparkSession, sf_dir: str, **params) -> Context:
     key = (*where, _LISTED[where], tuple(sorted(params.items())))
     with _LOCK:
         if key not in _BUILDS:
-            base = shared_dir(spark, "warehouse")
-            raw_dir, star_dir = f"{base}/raw", f"{base}/star"
-            Context(spark, sf_dir, **params).raw.materialize(raw_dir)
-            Context(spark, sf_dir, raw_dir=raw_dir, **params).star.write(star_dir)
-            _BUILDS[key] = (raw_dir, star_dir)
-    raw_dir, star_dir = _BUILDS[key]
-    return Context(spark, sf_dir, raw_dir=raw_dir, star_dir=star_dir, **params)
+            _BUILDS[key] = Store(shared_dir(spark, "warehouse"))
+    store = _BUILDS[key]
+    return Context(spark, sf_dir, raw_dir=f"{store.base}/raw", star_dir=f"{store.base}/star", store=store, **params)
+
+
+def warehouse_context(spark: SparkSession, sf_dir: str, **params) -> Context:
+    """As `query_context`, with every raw and star table written now."""
+    ctx = query_context(spark, sf_dir, **params)
+    for name in RawTables.RAW_TABLES:
+        ctx.raw.by_name(name)
+    for name in STAR_TABLES:
+        ctx.star.by_name(name)
+    return ctx
 
 
 def forget(spark: SparkSession, sf_dir: str) -> None:

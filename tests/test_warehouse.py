@@ -68,3 +68,50 @@ def test_claims_of_any_year_reach_the_reports(spark):
     assert sum(rows.values()) == 1
     total = reports.quarter_severity(ctx).agg(F.sum("CNT")).first()[0]
     assert total == ctx.raw.claims().where("LOSS_DATE is not null").count()
+
+
+def _fresh(spark, tmp_path):
+    """A Context of an input that no query of this session has read."""
+    import shutil
+
+    from lossledger.warehouse import query_context
+    shutil.copytree(SMALL, tmp_path / "given")
+    return query_context(spark, str(tmp_path / "given"))
+
+
+def _tables(ctx):
+    return sorted(p.removesuffix("/_SUCCESS").rpartition("/")[2] for part in (ctx.raw_dir, ctx.star_dir)
+                  for p in glob.glob(f"{part.removeprefix('file:')}/*/_SUCCESS"))
+
+
+def test_a_query_writes_only_the_tables_it_reads(spark, tmp_path):
+    from lossledger.plans import intake, reports
+    ctx = _fresh(spark, tmp_path)
+    assert intake.cleansed_events(ctx).count() and _tables(ctx) == []
+    assert reports.close_days_by_severity(ctx).count()
+    assert _tables(ctx) == ["CLAIMS_BASE", "DIM_GEOGRAPHY", "DIM_LOSS_CAUSE", "FACT_CLAIMS"]
+
+
+def test_tables_written_on_demand_equal_those_written_in_order(spark, tmp_path):
+    from lossledger.context import Context
+    from lossledger.plans.star import STAR_TABLES
+    ctx = _fresh(spark, tmp_path)
+    raw, star = str(tmp_path / "raw"), str(tmp_path / "star")
+    Context(spark, SMALL).raw.materialize(raw)
+    whole = Context(spark, SMALL, raw_dir=raw)
+    whole.star.write(star)
+    whole = Context(spark, SMALL, raw_dir=raw, star_dir=star)
+    for get in [lambda c, n=n: c.star.by_name(n) for n in reversed(STAR_TABLES)] + [lambda c: c.raw.financial_data(), lambda c: c.raw.claims_expense()]:
+        one, other = get(ctx), get(whole)
+        assert one.schema == other.schema and one.count() == other.count() and one.exceptAll(other).isEmpty()
+
+
+def test_expense_lines_are_shuffled_once_by_claim(spark, ctx):
+    """Lines summed per order and line meet their claim where they lie: no exchange between."""
+    from lossledger.plans.star import build_fact_expense
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = build_fact_expense(ctx.raw.claims_expense(), spark.createDataFrame([], ctx.star.fact_claims().schema))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2, plan
