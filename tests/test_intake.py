@@ -107,3 +107,11 @@ def test_propagation_moves_rows_and_leaves_the_target_in_place(ctx):
     assert left == before | {one: Decimal("0.00")}
     plan = P.propagate_dim_policy(ctx)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"BroadcastHashJoin \[\S+\], \[_s_POLICY_KEY#\d+L\], LeftOuter, BuildRight", plan)
+
+
+def test_split_leaves_the_columns_to_the_reader(spark, ctx):
+    """The judged table is not written: a report on the kept rows scans the columns it needs."""
+    from lossledger.plans import intake
+    plan = intake.kept_lines(ctx)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" in plan and "judged" not in plan
+    assert "l_extendedprice" in plan and "l_shipdate" not in plan
