@@ -46,6 +46,12 @@ def decimals(df: DataFrame, col: str) -> int:
     return t.scale if isinstance(t, T.DecimalType) else 0
 
 
+def fits_long(df: DataFrame, col: str) -> bool:
+    """Whether every value of an exact column, unscaled, is a 64-bit number."""
+    t = df.schema[col].dataType
+    return not is_float(df, col) and not (isinstance(t, T.DecimalType) and t.precision > 18)
+
+
 def numeric_histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     """Equal-width histogram between the column's min and max, plus its mean.
 
@@ -96,7 +102,9 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None, distinct: str
     long form. Values are compared, summed and told apart in their own types;
     only what is shown is rounded. Min, max, sum and count come from one pass.
     Exact distinct counts use the unpivoted (column, value) pairs, grouped
-    once: a two-level aggregate with map-side de-duplication. Where many
+    once: a two-level aggregate with map-side de-duplication. A task holds the
+    different pairs of its split, so a pair is two numbers (the column's place
+    and the value, unscaled) and text only where 64 bits are too few. Where many
     columns are nearly unique, distinct="approx" counts them by sketches in
     the same pass as the rest, without a shuffle of values."""
     cols = cols or numeric_columns(df)
@@ -113,18 +121,20 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None, distinct: str
         total(c).alias(f"_s{i}"), F.count(c).alias(f"_n{i}"),
         *([F.approx_count_distinct(c).alias(f"_d{i}")] if distinct == "approx" else []))])
     stats = wide.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("COLUMN_NAME"), F.col(f"_mn{i}").alias("MIN_VALUE"),
+        F.struct(F.lit(i).alias("_i"), F.lit(c).alias("COLUMN_NAME"), F.col(f"_mn{i}").alias("MIN_VALUE"),
                  F.col(f"_mx{i}").alias("MAX_VALUE"), avg(i, c).alias("AVG_VALUE"),
                  *([F.col(f"_d{i}").alias("DISTINCT_COUNT")] if distinct == "approx" else []))
         for i, c in enumerate(cols)])).alias("r")).select("r.*")
     if distinct == "approx":
-        return stats
+        return stats.drop("_i")
     # As text a value keeps all its digits (+ 0.0 makes a negative zero a plain one).
     text = lambda c: (F.col(c) + F.lit(0.0) if is_float(df, c) else F.col(c)).cast("string")
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("COLUMN_NAME"), text(c).alias("V")) for c in cols]))
-    count = (df.select(pairs.alias("p")).select("p.*").groupBy("COLUMN_NAME")
-             .agg(F.count_distinct("V").alias("DISTINCT_COUNT")))
-    return F.broadcast(stats).join(count, "COLUMN_NAME", "left").select(
+    number = lambda c: (F.col(c) * F.lit(10 ** decimals(df, c)) if decimals(df, c) else F.col(c)).cast("long")
+    short = [c for c in cols if fits_long(df, c)]
+    counts = [df.select(F.explode(F.array(*[F.struct(F.lit(cols.index(c)).alias("_i"), value(c).alias("V")) for c in some])).alias("p"))
+              .groupBy("p._i").agg(F.count_distinct("p.V").alias("DISTINCT_COUNT"))
+              for some, value in ((short, number), ([c for c in cols if c not in short], text)) if some]
+    return F.broadcast(stats).join(reduce(DataFrame.unionByName, counts), "_i", "left").select(
         "COLUMN_NAME", "MIN_VALUE", "MAX_VALUE", "AVG_VALUE",
         F.coalesce("DISTINCT_COUNT", F.lit(0)).cast("long").alias("DISTINCT_COUNT"))
 

@@ -213,3 +213,14 @@ def test_outlook_has_forecasts_and_normals(spark):
     assert {r[1] for r in out.groupBy("CLAIM_STATE").agg(F.count_distinct("FORECAST_DATE")).collect()} == {90}
     kinds = {r[0] for r in out.where("DATA_SOURCE = 'FORECAST'").select("WEATHER_CONDITION").distinct().collect()}
     assert {"Heavy Rain", "Clear/Dry"} <= kinds
+
+
+def test_numeric_profile_tells_values_apart_as_numbers(spark):
+    """Distinct values are held as 64-bit numbers, as text only where those are too few."""
+    from lossledger.operators import profile
+    df = spark.sql("SELECT * FROM VALUES (1L, 1.10BD, 2, CAST(12345678901234567890.5 AS DECIMAL(30,4)), 0.0D), (-1L, -1.10BD, NULL, CAST(12345678901234567890.6 AS DECIMAL(30,4)), -0.0D),"
+                   " (9223372036854775807L, 1.11BD, 2, NULL, 1.5D) AS t(a, b, c, d, e)")
+    got = {r["COLUMN_NAME"]: r["DISTINCT_COUNT"] for r in profile.numeric_profile(df).select("COLUMN_NAME", "DISTINCT_COUNT").collect()}
+    assert got == {"a": 3, "b": 3, "c": 1, "d": 2, "e": 2}
+    plan = profile.numeric_profile(df.select("a", "b", "c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "as string" not in plan
