@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lossledger.shared import written
+
 N = "N"
 
 
@@ -27,12 +29,13 @@ def _sum(total: Column, name: str) -> Column:
 
 
 def images(feed: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(before, after): the rows of the feed, without action and seq, that a batch takes out and puts in."""
+    """(before, after): the rows of the feed, without action and seq, that a batch takes out and puts in. The feed
+    is grouped once, and the pairs of images are written for both."""
     row = F.struct(*[c for c in feed.columns if c not in ("action", "seq")])
     one = feed.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
         F.min_by(F.when(F.col("action") == "DELETE", row), F.when(F.col("action") == "DELETE", F.col("seq"))).alias("before"),
         F.max_by(F.when(F.col("action") == "INSERT", row), F.when(F.col("action") == "INSERT", F.col("seq"))).alias("after"))
-    one = one.where(F.col("after").isNotNull())
+    one = written(one.where(F.col("after").isNotNull()).select("before", "after"), "images")
     return one.where(F.col("before").isNotNull()).select("before.*"), one.select("after.*")
 
 

@@ -31,7 +31,7 @@ def totals_from_feed(ctx, drops: list[DataFrame]) -> DataFrame:
     """The totals of the fact as built, then brought forward drop by drop. Both images become fact rows by the same build."""
     stored = written(totals(ctx.star.fact_claims(), GROUP, _measures()), "totals")
     for feed in drops:
-        before, after = (written(side, "images") for side in images(feed, ["CLAIM_ID"]))
+        before, after = images(feed, ["CLAIM_ID"])
         dims = extended_dimensions(ctx, after)
         fact = lambda claims: build_fact_claims(claims, ctx.raw.financial_data(), ctx.raw.litigation(with_id=False), *dims, ctx.fraud_rule)  # noqa: B023, E731
         stored = written(applied(stored, fact(before), fact(after), GROUP, _measures()), "totals")

@@ -115,3 +115,16 @@ def test_split_leaves_the_columns_to_the_reader(spark, ctx):
     plan = intake.kept_lines(ctx)._jdf.queryExecution().executedPlan().toString()
     assert "lineitem.parquet" in plan and "judged" not in plan
     assert "l_extendedprice" in plan and "l_shipdate" not in plan
+
+
+def test_images_group_the_feed_once(spark):
+    """Both images are read from one written copy: the feed is not grouped again for the second."""
+    from lossledger.operators.deltas import images
+    feed = spark.createDataFrame([(1, "a", "DELETE", 10), (1, "b", "INSERT", 11), (1, "b", "DELETE", 12), (1, "c", "INSERT", 13), (2, "x", "DELETE", 20), (3, "n", "INSERT", 31)],
+                                 "id long, v string, action string, seq long")
+    before, after = images(feed, ["id"])
+    assert sorted(map(tuple, before.collect())) == [(1, "a")]
+    assert sorted(map(tuple, after.collect())) == [(1, "c"), (3, "n")]
+    for side in (before, after):
+        plan = side._jdf.queryExecution().executedPlan().toString()
+        assert "images-" in plan and "Aggregate" not in plan
