@@ -70,3 +70,25 @@ def upsert(target: DataFrame, changes: DataFrame, keys: list[str], update_cols:
     old = old.select(*[typed(F.when(matched, F.col(f"_s_{c}")).otherwise(F.col(f"_t_{c}")) if c in take else F.col(f"_t_{c}"), c) for c in cols])
     new = new.select(*[typed(F.col(f"_s_{c}") if c in src_cols else F.lit(None), c) for c in cols])
     return old.unionByName(new)
+
+
+def replaced(target: DataFrame, changes: DataFrame, keys: list[str], apply_deletes: bool = False) -> DataFrame:
+    """`upsert` for changes that carry every column of the target and refresh all of them.
+
+    The rows that stay are target LEFT ANTI JOIN changes, and a change takes
+    the place of each row with its key. An anti join passes through the union
+    that a merge before it made, so merges in a row by one key, none of them
+    written, shuffle the wide target once and not once each."""
+    cols = target.columns
+    net = net_changes(changes, keys, apply_deletes=apply_deletes)
+    s = written(net.select(*[F.col(c).alias(f"_s_{c}") for c in cols], F.col("action").alias("_s_action")), "changes")
+    t = target.select(*[F.col(c).alias(f"_t_{c}") for c in cols])
+    on = reduce(and_, [F.col(f"_t_{k}") == F.col(f"_s_{k}") for k in keys])
+    s_keys = s.select(*[f"_s_{k}" for k in keys])
+    kept = t.join(s_keys, on, "left_anti").select(*[F.col(f"_t_{c}").alias(c) for c in cols])
+    # one row per target row with a changed key: every row of a repeated key is replaced, as in `upsert`
+    same_key = t.select(*[F.col(f"_t_{k}") for k in keys]).join(s_keys, on, "left_semi")
+    put = s.join(same_key, on, "left")
+    if apply_deletes:
+        put = put.where(F.col("_s_action") != "DELETE")
+    return kept.unionByName(put.select(*[F.col(f"_s_{c}").cast(target.schema[c].dataType).alias(c) for c in cols]))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lossledger.operators.members import MemberStore
-from lossledger.operators.upsert import net_changes, upsert
+from lossledger.operators.upsert import net_changes, replaced
 from lossledger.plans.incremental import _change, claim_fact_rows, described_causes, described_geography
 from lossledger.plans.quality import edge_checks
 from lossledger.plans.star import date_dimension, date_spine
@@ -57,10 +57,10 @@ class GrowingDimensions:
 
 def merge_claims(ctx, dims: GrowingDimensions, feed: DataFrame, batch: str, target: DataFrame, apply_deletes: bool = False) -> DataFrame:
     """FACT_CLAIMS after one batch of CLAIMS changes; new members of dimensions are stored first."""
-    changed = net_changes(feed, ["CLAIM_ID"], apply_deletes=apply_deletes)
+    changed = written(net_changes(feed, ["CLAIM_ID"], apply_deletes=apply_deletes), "net-claims")  # five steps read it
     dims.take_in(changed, batch)
-    rows = claim_fact_rows(ctx, feed, apply_deletes, dims.geography.members(), dims.causes.members())
-    return upsert(target, rows, ["CLAIM_KEY"], apply_deletes=apply_deletes)
+    rows = claim_fact_rows(ctx, changed, apply_deletes, dims.geography.members(), dims.causes.members(), is_net=True)
+    return replaced(target, rows, ["CLAIM_KEY"], apply_deletes=apply_deletes)
 
 
 # -- two batches with new members, from the data -------------------------------------
@@ -108,8 +108,8 @@ def grown_calendar(ctx) -> DataFrame:
 
 def two_merges(ctx) -> tuple[DataFrame, GrowingDimensions]:
     dims, fact = _dimensions(ctx), ctx.star.fact_claims()
-    for k, feed in enumerate(new_member_feeds(ctx), 1):
-        fact = written(merge_claims(ctx, dims, feed, str(k), fact), "fact")
+    for k, feed in enumerate(new_member_feeds(ctx), 1):  # each merge writes its changes, not the whole fact once more
+        fact = merge_claims(ctx, dims, feed, str(k), fact)
     return fact, dims
 
 

@@ -151,12 +151,13 @@ def extended_dimensions(ctx, claims: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def claim_fact_rows(ctx, feed: DataFrame, apply_deletes: bool = False,
-                    dim_geo: DataFrame | None = None, dim_cause: DataFrame | None = None) -> DataFrame:
+                    dim_geo: DataFrame | None = None, dim_cause: DataFrame | None = None, is_net: bool = False) -> DataFrame:
     """Changed claims rebuilt into FACT_CLAIMS rows (+ action, seq): the
     change rows are the streaming side, financials / litigation / dims the
     static side of the joins. Without dimensions given, addresses and causes
-    that the star's do not know are keyed for this call alone."""
-    net = net_changes(feed, ["CLAIM_ID"], apply_deletes=apply_deletes)
+    that the star's do not know are keyed for this call alone. `is_net`: the
+    feed has been reduced to one row per claim and written."""
+    net = feed if is_net else written(net_changes(feed, ["CLAIM_ID"], apply_deletes=apply_deletes), "net-claims")
     changed = net.select(*ctx.raw.claims().columns)
     if dim_geo is None or dim_cause is None:
         dim_geo, dim_cause = extended_dimensions(ctx, changed)

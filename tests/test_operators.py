@@ -149,6 +149,27 @@ def test_upsert_does_not_shuffle_the_target(spark, tmp_path):
     assert got == {5: 0, 6: None, 7: 14, 2_000_001: 7} and out.count() == 2_000_001
 
 
+def test_replaced_gives_what_upsert_gives(spark):
+    from lossledger.operators.upsert import replaced
+    t = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "e")], "k long, v string")
+    ch = spark.createDataFrame([(1, "x", "INSERT", 1), (1, None, "INSERT", 2), (2, "y", "INSERT", 1), (2, "y", "DELETE", 2),
+                                (4, "z", "INSERT", 1), (5, "w", "DELETE", 1), (None, "n", "INSERT", 1)], "k long, v string, action string, seq long")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    for deletes in (False, True):
+        assert rows(replaced(t, ch, ["k"], deletes)) == rows(upsert(t, ch, ["k"], apply_deletes=deletes))
+
+
+def test_two_merges_shuffle_the_wide_fact_once(spark):
+    """No merge writes the whole fact: both anti joins stand over one scan of its columns."""
+    from lossledger.plans.growing import fact_after_two_merges
+    from lossledger.warehouse import query_context
+    from tests.conftest import SMALL
+    out = fact_after_two_merges(query_context(spark, SMALL))
+    plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert sum("LeftAnti" in line and "Join" in line for line in plan) >= 2
+    assert sum("FileScan" in line and re.search(r"[^_]CLAIM_NUMBER#", line.replace("_s_", "__")) is not None for line in plan) == 1
+
+
 def test_shared_folder_is_required_on_a_cluster():
     from types import SimpleNamespace
 
