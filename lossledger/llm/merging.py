@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable
+from itertools import repeat
 
 #: Up to this many symbols, scanning all pairs for the best beats a heap.
 SHORT = 48
@@ -32,21 +33,27 @@ def merge_pairs(parts: list, rank: dict) -> list:
     return parts
 
 
-def merge_joined(parts: list, rank: dict) -> list:
-    """The same with `rank` keyed by the joined parts a + b."""
+def merge_joined(parts: list | str, rank: dict, pairs: dict | None = None) -> list:
+    """The same with `rank` keyed by the joined parts a + b; `pairs` holds its entries for the first parts by (a, b)."""
     if len(parts) > SHORT:
         return _merge_long(parts, lambda a, b: rank.get(a + b))
-    parts, get = list(parts), rank.get
-    ranks = [get(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+    get = rank.get
+    if pairs is None:
+        ranks = [get(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+    else:
+        ranks = list(map(pairs.get, zip(parts, parts[1:]), repeat(NEVER)))
+    parts = list(parts)
     ranks.append(NEVER)
+    last = len(ranks) - 1
     while (best := min(ranks)) != NEVER:
         at = ranks.index(best)
-        parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        both = parts[at] = parts[at] + parts.pop(at + 1)
         del ranks[at]
+        last -= 1
         if at:
-            ranks[at - 1] = get(parts[at - 1] + parts[at], NEVER)
-        if at + 1 < len(parts):
-            ranks[at] = get(parts[at] + parts[at + 1], NEVER)
+            ranks[at - 1] = get(parts[at - 1] + both, NEVER)
+        if at < last:
+            ranks[at] = get(both + parts[at + 1], NEVER)
     return parts
 
 

@@ -7,7 +7,7 @@ each place and notes, for each byte it writes, the source byte it came from.
 `PieceModel.encode` merges pieces over the normalised text and projects their
 borders through that alignment, so every piece has the span of original bytes
 that it stands for. No piece of the models in use runs from a word into the
-blank of the next, so words are encoded one by one and remembered.
+blank of the next, so words are encoded one by one and remembered until the task ends.
 
 In a task: Arrow batches in, one row per document out; nothing is shuffled.
 Cases: a null text is the empty text (begin and end ids only); characters
@@ -147,6 +147,7 @@ class PieceModel:
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.words, self.atoms = Memo(self._word, 300_000), Memo(self._atom, 200_000)
         self.adjacent = {pair for p in self.ids for pair in zip(p, p[1:])}
+        self.pairs = {(p[0], p[1]): r for p, r in self.score.items() if len(p) == 2}
         self.decoded = [self._surface(i) for i in range(len(self.surface))]
         u4 = lambda n: np.array([n], "<u4").tobytes()
         self.made = {p: (u4(i), u4(len(p.encode())), self.decoded[i]) for p, i in self.ids.items()}
@@ -156,16 +157,17 @@ class PieceModel:
 
         A word falls apart between characters that stand side by side in no piece.
         """
-        joined = self.adjacent
-        cuts = [i for i, pair in enumerate(zip(word, word[1:]), 1) if pair not in joined]
-        if cuts:
-            return tuple(map(b"".join, zip(*(self.atoms[word[i:j]] for i, j in zip([0, *cuts], [*cuts, len(word)])))))
-        return self._atom(word)
+        joined = list(map(self.adjacent.__contains__, zip(word, word[1:])))
+        if False not in joined:
+            return self._atom(word)
+        cuts = [i for i, together in enumerate(joined, 1) if not together]
+        return tuple(map(b"".join, zip(*[self.atoms[word[i:j]] for i, j in zip([0, *cuts], [*cuts, len(word)])])))
 
     def _atom(self, atom: str) -> tuple[bytes, bytes, bytes]:
         if (one := self.made.get(atom)) and len(atom) == 1:
             return one
-        return tuple(map(b"".join, zip(*[self.made.get(p) or self._fallback(p) for p in merge_joined(atom, self.score)])))
+        found = [self.made.get(p) or self._fallback(p) for p in merge_joined(atom, self.score, self.pairs)]
+        return found[0] if len(found) == 1 else tuple(map(b"".join, zip(*found)))
 
     def _fallback(self, piece: str) -> tuple[bytes, bytes, bytes]:
         """A character without a piece: byte pieces, the last of which stands for it, or the unknown id."""
@@ -251,6 +253,15 @@ def _lossy(run: bytes) -> str:
         return "".join(out)
 
 
+def forgetting(model: PieceModel, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`rows`, after which (or a failure) the model drops the words it has seen: idle workers keep only the model."""
+    try:
+        yield from rows
+    finally:
+        model.words.clear()
+        model.atoms.clear()
+
+
 @lru_cache(maxsize=4)
 def piece_model(path: str) -> PieceModel:
     """One model, with the words it has seen, per Python worker and path."""
@@ -261,8 +272,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     """doc_id, ids, starts, ends (little-endian unsigned 32-bit integers), decoded: the operator's whole result."""
     ship_code(df.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = piece_model(model_path)
+    def rows_of(model: PieceModel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
@@ -272,6 +282,10 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
                     *(pa.array([r[c].astype("<u4").tobytes() for r in rows], pa.binary()) for c in (1, 2)),
                     pa.array([r[3].decode() for r in rows], pa.string())], names=["doc_id", "ids", "starts", "ends", "decoded"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = piece_model(model_path)
+        return forgetting(model, rows_of(model, batches))
+
     return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, starts binary, ends binary, decoded string")
 
 
@@ -285,8 +299,7 @@ def encode_digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text_
     ship_code(df.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string, n_covered long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = piece_model(model_path)
+    def rows_of(model: PieceModel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             rows = []
@@ -299,4 +312,8 @@ def encode_digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text_
                 [batch.column(0), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:4]), pa.array(cols[4], pa.int64())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256", "n_covered"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = piece_model(model_path)
+        return forgetting(model, rows_of(model, batches))
+
     return id_and_text(df, id_col, text_col).mapInArrow(run, schema)

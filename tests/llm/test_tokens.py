@@ -258,3 +258,19 @@ def test_every_language_is_learned_at_any_size(spark):
     # More than 2^20 usable rows for each one to choose.
     many = spark.range(6_000_000).select(F.col("id").alias("doc_id"), F.lit("the of").alias("text"), F.lit("en").alias("lang"))
     assert 0 < training(many, 4)["en", "▁the"] <= 20
+
+
+def test_words_are_dropped_at_a_tasks_end():
+    from lossledger.llm.registry import PIECES
+    from lossledger.llm.sentencepiece_codec import PieceModel, forgetting
+    model = PieceModel(PIECES)
+    rows = list(forgetting(model, (model.encode_and_decode(t) for t in ["alpha beta", "gamma漢字"])))
+    assert len(rows) == 2 and not model.words and not model.atoms
+
+
+def test_known_pairs_merge_alike():
+    from lossledger.llm.merging import merge_joined
+    rank = {"ab": 1, "bc": 1, "abc": 2, "cab": 0, "aa": 3, "aab": 4, "aaaa": 5}
+    pairs = {(p[0], p[1]): r for p, r in rank.items() if len(p) == 2}
+    for text in ("", "a", "abc", "aabca", "aaaaa", "cabcab", "xaby", "aab" * 10, "aab" * 30):
+        assert merge_joined(text, rank, pairs) == merge_joined(list(text), rank)
