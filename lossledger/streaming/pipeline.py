@@ -34,7 +34,7 @@ from lossledger.operators.upsert import net_changes
 from lossledger.plans.growing import GrowingDimensions
 from lossledger.plans.incremental import claim_change_feed, claim_fact_rows, expense_change_feed, policy_change_feed
 from lossledger.plans.star import build_fact_expense
-from lossledger.shared import shared_dir
+from lossledger.shared import shared_dir, written
 from lossledger.streaming.cdc import RunTable, merge_batch_fn, run_change_stream
 from lossledger.streaming.runlog import RunLog, recent_runs, record_progress, run_history
 
@@ -71,7 +71,7 @@ def run_incremental(ctx, drops: dict[str, list[DataFrame]] | None = None) -> dic
     exp_changes = f"{base}/changes/expense"
 
     def build_expense(batch, batch_id):
-        net = net_changes(batch, ["EXPENSE_ID"])
+        net = written(net_changes(batch, ["EXPENSE_ID"]), "net-expenses")  # four steps read it
         dims.take_in_dates(net.select("EXPENSE_DATE"), f"expense-{batch_id}")
         fc = claims_t.read()           # the claims fact as of now (stream-static join)
         exp_cols = ctx.raw.claims_expense().columns
