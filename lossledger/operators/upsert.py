@@ -92,3 +92,19 @@ def replaced(target: DataFrame, changes: DataFrame, keys: list[str], apply_delet
     if apply_deletes:
         put = put.where(F.col("_s_action") != "DELETE")
     return kept.unionByName(put.select(*[F.col(f"_s_{c}").cast(target.schema[c].dataType).alias(c) for c in cols]))
+
+
+def merged_once(target: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """`upsert` for changes that carry every column of the target and refresh all of them, in one full outer join.
+
+    For a feed that is a good part of the target and would be shuffled with it
+    in any case: each side is evaluated and shuffled once, and the changes are
+    not written. Sides that are dealt by the keys already are not shuffled. A
+    small feed is better merged by `upsert`, which leaves the target in place."""
+    cols = target.columns
+    s = net_changes(changes, keys).select(*[F.col(c).alias(f"_s_{c}") for c in cols], F.lit(True).alias("_s"))
+    t = target.select(*[F.col(c).alias(f"_t_{c}") for c in cols])
+    on = reduce(and_, [F.col(f"_t_{k}") == F.col(f"_s_{k}") for k in keys])
+    put = F.col("_s").isNotNull()  # one row per target row with a changed key, as in `upsert`
+    return t.join(s, on, "full_outer").select(
+        *[F.when(put, F.col(f"_s_{c}")).otherwise(F.col(f"_t_{c}")).cast(target.schema[c].dataType).alias(c) for c in cols])

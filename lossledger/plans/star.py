@@ -47,6 +47,16 @@ FACT_EXPENSE_COLUMNS = [
     "LEGAL_FEES_VARIANCE", "TOTAL_EXPENSE_VARIANCE", "CLAIM_SEVERITY", "FRAUD_INDICATOR", "IS_WEATHER_RELATED",
 ]
 
+#: The columns of CLAIMS that a fact row is made of.
+CLAIM_COLUMNS = ["CLAIM_ID", "CLAIM_NUMBER", "LOSS_DATE", "LOB_ID", "LOSS_CAUSE", "CATASTROPHE_ID", "POLICY_ID", "CLAIM_STATUS",
+                 "CLAIM_STAGE", "CLAIM_SEVERITY", "EXPOSURES", "FRAUD_INDICATOR", "FRAUD_SCORE", "CAT_INDICATOR",
+                 "LITIGATION_INDICATOR", "SUBROGATION_INDICATOR", "REPORTED_DATE", "OPEN_DATE", "CLOSE_DATE",
+                 "LAST_ACTIVITY_DATE", "CLAIM_STATE", "CLAIM_CITY", "CLAIM_ZIP"]
+
+#: What an expense line takes from its claim's fact row.
+EXPENSE_FROM_CLAIM = ["CLAIM_KEY", "DATE_KEY", "GEOGRAPHY_KEY", "CLAIM_TYPE_KEY", "LOSS_CAUSE_KEY", "WEATHER_EVENT_KEY",
+                      "POLICY_KEY", "CLAIM_SEVERITY", "FRAUD_INDICATOR", "IS_WEATHER_RELATED"]
+
 
 def date_dimension(days: DataFrame, col: str = "DATE_KEY") -> DataFrame:
     """Calendar columns for a one-column DataFrame of dates."""
@@ -175,6 +185,13 @@ class StarSchema:
         return self._m("FACT_CLAIM_EXPENSE", lambda: build_fact_expense(
             self.raw.claims_expense(), self.fact_claims(), self.spark, by_date if self.ctx.star_dir else None))
 
+    def expense_to_merge(self, arrange) -> DataFrame:
+        """FACT_CLAIM_EXPENSE for a merge that reads it once: where no query has written it, it stays inside the
+        merge's plan, dealt by `arrange` as in `build_fact_claims`."""
+        if self.ctx.store is None or self.ctx.store.has(f"{self.ctx.star_dir}/FACT_CLAIM_EXPENSE"):
+            return self.fact_claim_expense()
+        return build_fact_expense(self.raw.claims_expense(), self.fact_claims(), self.spark, arrange)
+
     def by_name(self, name: str) -> DataFrame:
         return {
             "DIM_DATE": self.dim_date, "DIM_CLAIM_TYPE": self.dim_claim_type,
@@ -309,9 +326,7 @@ def build_fact_expense(expense: DataFrame, fact_claims: DataFrame, spark=None, a
     """FACT_CLAIM_EXPENSE: expense lines inner-joined to their claim fact row
     (many expenses per claim; both sides shuffle on the claim key). `arrange`
     as in `build_fact_claims`."""
-    fc = fact_claims.select("CLAIM_KEY", "DATE_KEY", "GEOGRAPHY_KEY", "CLAIM_TYPE_KEY", "LOSS_CAUSE_KEY",
-                            "WEATHER_EVENT_KEY", "POLICY_KEY", "CLAIM_SEVERITY", "FRAUD_INDICATOR",
-                            "IS_WEATHER_RELATED")
+    fc = fact_claims.select(*EXPENSE_FROM_CLAIM)
     j = expense.join(fc, expense.CLAIM_ID == fc.CLAIM_KEY).drop("CLAIM_ID")
     j = arrange(j) if arrange else j
     b = budget_columns(F.col("CLAIM_SEVERITY"))

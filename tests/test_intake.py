@@ -109,6 +109,29 @@ def test_propagation_moves_rows_and_leaves_the_target_in_place(ctx):
     assert re.search(r"BroadcastHashJoin \[\S+\], \[_s_POLICY_KEY#\d+L\], LeftOuter, BuildRight", plan)
 
 
+def test_propagated_expense_lines_equal_a_rebuild(ctx):
+    """Claims change, lines are re-billed, one moves to another claim and one is new: as rebuilt from all lines."""
+    from lossledger.operators.upsert import upsert
+    from lossledger.plans.star import build_fact_expense
+    e = ctx.raw.claims_expense()
+    moved = F.col("EXPENSE_ID") == e.agg(F.min("EXPENSE_ID")).first()[0]
+    other = F.lit(e.agg(F.max("CLAIM_ID")).first()[0])
+    feed = P.expense_change_feed(ctx).unionByName(P._change(e.where(moved).withColumn("CLAIM_ID", other), "INSERT", "EXPENSE_ID", 5)) \
+        .unionByName(P._change(e.where(moved).withColumn("EXPENSE_ID", F.lit(-1).cast("long")), "INSERT", "EXPENSE_ID", 1))
+    feeds = {"CLAIMS": P.severity_change_feed(ctx), "CLAIMS_EXPENSE": feed, "FINANCIAL_DATA": P.all_feeds(ctx)["FINANCIAL_DATA"]}
+    both = P.propagate(ctx, feeds)
+    want = build_fact_expense(upsert(e, feed, ["EXPENSE_ID"]), both["FACT_CLAIMS"])
+    for got in (both["FACT_CLAIM_EXPENSE"], P.propagate(ctx, feeds, ["FACT_CLAIM_EXPENSE"])["FACT_CLAIM_EXPENSE"]):
+        assert got.schema.names == want.schema.names
+        assert got.count() == want.count() and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_policies_keep_the_names_of_insured_people_who_did_not_change(ctx):
+    names = lambda df: {r[0]: r[1] for r in df.select("POLICY_KEY", "INSURED_NAME").collect()}
+    before, after = names(ctx.star.dim_policy()), names(P.propagate_dim_policy(ctx))
+    assert before.keys() == after.keys() and all(after[k] in (n, f"{n} (renamed)") for k, n in before.items())
+
+
 def test_split_leaves_the_columns_to_the_reader(spark, ctx):
     """The judged table is not written: a report on the kept rows scans the columns it needs."""
     from lossledger.plans import intake

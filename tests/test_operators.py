@@ -159,6 +159,15 @@ def test_replaced_gives_what_upsert_gives(spark):
         assert rows(replaced(t, ch, ["k"], deletes)) == rows(upsert(t, ch, ["k"], apply_deletes=deletes))
 
 
+def test_merged_once_gives_what_upsert_gives(spark):
+    from lossledger.operators.upsert import merged_once
+    t = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "e")], "k long, v string")
+    ch = spark.createDataFrame([(1, "x", "INSERT", 1), (1, None, "INSERT", 2), (2, "y", "INSERT", 1), (2, "y", "DELETE", 2),
+                                (4, "z", "INSERT", 1), (5, "w", "DELETE", 1), (None, "n", "INSERT", 1)], "k long, v string, action string, seq long")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(merged_once(t, ch, ["k"])) == rows(upsert(t, ch, ["k"]))
+
+
 def test_two_merges_shuffle_the_wide_fact_once(spark):
     """No merge writes the whole fact: both anti joins stand over one scan of its columns."""
     from lossledger.plans.growing import fact_after_two_merges
