@@ -33,7 +33,7 @@ from lossledger.operators.keys import extend_keys
 from lossledger.operators.upsert import net_changes, upsert
 from lossledger.shared import written
 from lossledger.sources import reference as ref
-from lossledger.plans.star import build_fact_claims, build_fact_expense, weather_event_rows
+from lossledger.plans.star import CLAIM_COLUMNS, build_fact_claims, build_fact_expense, weather_event_rows
 
 # FIXED VALUES — columns the original MERGE statements update on a match
 FACT_CLAIMS_UPDATE_STRICT = [
@@ -279,7 +279,8 @@ def merge_fact_claims_all_sources_from(ctx, claim_feed: DataFrame, financial_fee
 
     # keyed by CLAIM_ID: restricting the target to the ids is exact (every
     # key a feed inserts is one of the ids; DELETE rows are not applied)
-    changed = upsert(in_ids(ctx.raw.claims()), claim_feed, ["CLAIM_ID"])
+    # written: the dimensions' candidates, the address lookup and the fact rows all read it
+    changed = written(upsert(in_ids(ctx.raw.claims().select(*CLAIM_COLUMNS)), claim_feed, ["CLAIM_ID"]), "claims")
     lit = upsert(in_ids(ctx.raw.litigation(with_id=False)), litigation_feed, ["CLAIM_ID"])
     # keyed by FINANCIAL_ID: a change that carries every column replaces the
     # row whether or not it matched, so the target may be cut to the ids and
