@@ -113,10 +113,11 @@ def orphan_keys(ctx) -> DataFrame:
 
 
 def primary_key_check(ctx) -> DataFrame:
-    """Rows, distinct keys and duplicated key values per raw table."""
-    parts = []
+    """Rows, distinct keys and duplicated key values per raw table. Each table is read once and for its key alone:
+    one that no query has written stays inside the plan, its other columns underived."""
+    parts, raw = [], ctx.star_sources
     for table, key in RAW_KEYS:
-        df = ctx.raw.by_name(table).select(F.col(key).alias("_k"))
+        df = raw.by_name(table).select(F.col(key).alias("_k"))
         per_key = df.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
         parts.append(per_key.agg(
             F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("ROWS"),

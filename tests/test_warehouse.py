@@ -115,3 +115,32 @@ def test_expense_lines_are_shuffled_once_by_claim(spark, ctx):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 2, plan
+
+
+def test_propagation_writes_only_what_leads_to_its_table(spark, tmp_path):
+    """No expense line is read for the claims fact, no fact for the policies; the expense fact's old state is not written to be merged once."""
+    from lossledger.plans import propagate as P
+    ctx = _fresh(spark, tmp_path)
+    assert P.propagate_dim_policy(ctx).count() and _tables(ctx) == ["DIM_POLICY", "INSURED", "POLICY"]
+    assert P.propagate_fact_claims(ctx).count()
+    assert not {"CLAIMS_EXPENSE", "FACT_CLAIM_EXPENSE"} & set(_tables(ctx))
+    lines = P.propagate_fact_expense(ctx)
+    assert "CLAIMS_EXPENSE" in _tables(ctx) and "FACT_CLAIM_EXPENSE" not in _tables(ctx)
+    ctx.star.fact_claim_expense()  # the same over the written fact
+    again = P.propagate_fact_expense(ctx)
+    assert lines.count() == again.count() and lines.exceptAll(again).isEmpty() and again.exceptAll(lines).isEmpty()
+
+
+def test_key_check_writes_no_table_for_its_key(spark, tmp_path):
+    from lossledger.plans import quality
+    ctx = _fresh(spark, tmp_path)
+    rows = {r["TABLE_NAME"]: r["ROWS"] for r in quality.primary_key_check(ctx).collect()}
+    assert _tables(ctx) == ["CLAIMS_BASE"]
+    assert rows == {t: ctx.raw.by_name(t).count() for t, _ in quality.RAW_KEYS}
+
+
+def test_changed_claims_are_brought_to_their_new_state_once(ctx):
+    """The fact rows, the address lookup and the dimensions' candidates read one written copy of the columns they need."""
+    from lossledger.plans.incremental import merge_fact_claims_all_sources
+    plan = merge_fact_claims_all_sources(ctx)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LOSS_DESCRIPTION" not in plan
