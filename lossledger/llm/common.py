@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +101,34 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
 
 
+def portions(batches: Iterator[pa.RecordBatch], *columns: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of about `most` bytes in the given columns (text or binary), at least one row each.
+
+    What Python makes of a slice, and what a task hands back at once, then follows its bytes and not the rows of a batch.
+    """
+    for batch in batches:
+        lengths = [pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False) for c in columns]
+        ends = np.cumsum(np.sum(lengths, 0, dtype=np.int64))
+        first = 0
+        while first < batch.num_rows:
+            upto = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, "right")))
+            yield batch.slice(first, upto - first)
+            first = upto
+
+
+def trimmed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`rows`, after which (or a failure) the worker's unused memory goes back to the system.
+
+    A worker waits for its next task with all the pages it has touched, while the executor's other work needs them.
+    """
+    try:
+        yield from rows
+    finally:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def seeded_key(seed: int, *cols: str):
     """A column that orders rows pseudo-randomly and alike in every engine: MD5 of the seed and the columns."""
     parts = [F.lit(str(seed))]

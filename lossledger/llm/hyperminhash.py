@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lossledger.llm.common import boxed, discard, id_and_text, ship_code, unboxed, written
+from lossledger.llm.common import boxed, discard, id_and_text, portions, ship_code, trimmed, unboxed, written
 from lossledger.llm.shingles import U, mix, pieces, shingle_sets
 
 BUCKET_BITS, MANTISSA = 7, 10
@@ -103,7 +103,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def signatures(df: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, two hashes of the whole set, registers; from doc_id, text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 1):
             texts = batch.column(1).to_pylist()
             for i, j in pieces(texts):
                 owner, hashes = shingle_sets(texts[i:j], WIDTH)
@@ -117,7 +117,7 @@ def signatures(df: DataFrame) -> DataFrame:
                      pa.array([r.tobytes() for r in regs], pa.binary())], names=["doc_id", "text_hash", "n_shingles", "s1", "s2", "regs"])
 
     return df.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
-        run, "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, regs binary")
+        lambda batches: trimmed(run(batches)), "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, regs binary")
 
 
 SET = ["n_shingles", "s1", "s2"]
@@ -133,7 +133,7 @@ def band_keys(nodes: DataFrame, *more: str) -> DataFrame:
 def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) with their estimate, without those whose sizes or registers rule them out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 2, 3):
             if batch.num_rows:
                 left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in (2, 3))
                 score, filled = similarity(left, right)
@@ -143,7 +143,7 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
     near = (F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & (F.col("n_b") * 100 >= F.col("n_a") * PERCENT)
     both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b", "regs_a", "regs_b")
-    return both.mapInArrow(run, "a long, b long, score double")
+    return both.mapInArrow(lambda batches: trimmed(run(batches)), "a long, b long, score double")
 
 
 def packed(df: DataFrame) -> DataFrame:
@@ -152,11 +152,12 @@ def packed(df: DataFrame) -> DataFrame:
         import zstandard
 
         press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in portions(batches, 2):
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([press.compress(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())],
                                              names=["doc_id", "text_hash", "packed"])
 
-    return df.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, packed binary")
+    return df.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        lambda batches: trimmed(run(batches)), "doc_id long, text_hash long, packed binary")
 
 
 def unpacked(column: pa.Array) -> list[str]:
@@ -169,7 +170,7 @@ def unpacked(column: pa.Array) -> list[str]:
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are similar enough; texts: node, packed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 2, 3, most=1 << 20):
             left, right = (unpacked(batch.column(k)) for k in (2, 3))
             good = np.zeros(len(left), bool)
             for i, j in pieces([x + y for x, y in zip(left, right, strict=True)]):
@@ -184,7 +185,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     side = lambda x: texts.select(F.col("node").alias(x), F.col("packed").alias(f"text_{x}"))
     both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lambda batches: trimmed(run(batches)), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -270,12 +271,12 @@ def frequent_shingles(texts: DataFrame) -> dict[int, int]:
     sample = texts.where(F.pmod(F.xxhash64(F.lit("sample"), "node"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 0, most=1 << 20):
             found = unpacked(batch.column(0))
             for i, j in pieces(found):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(found[i:j], WIDTH)[1].view(np.int64))], names=["shingle"])
 
-    counts = sample.select("packed").mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 1")
+    counts = sample.select("packed").mapInArrow(lambda batches: trimmed(run(batches)), "shingle long").groupBy("shingle").count().where("count > 1")
     return {r[0]: r[1] for r in counts.orderBy(F.col("count").desc(), "shingle").limit(FREQUENT).collect()}
 
 
@@ -292,7 +293,7 @@ def pairs_of_rest(rest: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.array(sorted(order.value.items()), np.int64).reshape(-1, 2)
-        for batch in batches:
+        for batch in portions(batches, 2, most=1 << 20):
             found = unpacked(batch.column(2))
             for i, j in pieces(found):
                 owner, hashes = shingle_sets(found[i:j], WIDTH)
@@ -310,7 +311,7 @@ def pairs_of_rest(rest: DataFrame, texts: DataFrame) -> DataFrame:
                     [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(hashes[first]), pa.array(n[first].astype(np.int32)),
                      pa.array(place[first].astype(np.int32))], names=["node", "label", "shingle", "n", "place"])
 
-    prefix = written(own.select("node", "label", "packed").mapInArrow(run, "node long, label long, shingle long, n int, place int"), "prefix")
+    prefix = written(own.select("node", "label", "packed").mapInArrow(lambda batches: trimmed(run(batches)), "node long, label long, shingle long, n int, place int"), "prefix")
     # The largest component among a shingle's holders: two holders in it are joined already, and are never paired.
     shared = prefix.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle").agg(
         F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("holders")).where("labels > 1")

@@ -41,7 +41,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lossledger.llm.common import ship_code
+from lossledger.llm.common import portions, ship_code, trimmed
 
 LETTERS = regex.compile(r"\p{L}+")
 MARK = "▁"
@@ -282,8 +282,11 @@ def training_words(df: DataFrame, id_col: str, text_col: str, lang_col: str, mos
         chosen = usable.where(limit.isNull() | (F.shiftrightunsigned(F.xxhash64(F.lit("train"), F.col(id_col)), 1) < limit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return trimmed(rows_of(batches))
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = defaultdict(Counter)
-        for batch in batches:
+        for batch in portions(batches, 0):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[lang].update(words_of(text))
         rows = [(a, w, c) for a, words in seen.items() for w, c in words.items()]
@@ -339,8 +342,11 @@ def identify(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     model = fitted(df, model_path, id_col, text_col, lang_col, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return trimmed(rows_of(batches))
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer_of(*model.value)
-        for batch in batches:
+        for batch in portions(batches, 1):
             found = score.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                                              names=["doc_id", "lang_pred", "score"])
@@ -361,8 +367,11 @@ def keep_identified(df: DataFrame, model_path: str, id_col: str = "doc_id", text
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return trimmed(rows_of(batches))
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer_of(*model.value)
-        for batch in batches:
+        for batch in portions(batches, at):
             found = score.scores(batch.column(at).to_pylist())
             yield batch.filter(pa.array([x[0] != "und" and x[1] >= least for x in found], pa.bool_()))
         score.forget()

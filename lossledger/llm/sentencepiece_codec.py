@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lossledger.llm.common import id_and_text, ship_code
+from lossledger.llm.common import id_and_text, portions, ship_code, trimmed
 from lossledger.llm.merging import Memo, merge_joined
 
 SPACE = "▁"
@@ -255,11 +255,14 @@ def _lossy(run: bytes) -> str:
 
 def forgetting(model: PieceModel, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """`rows`, after which (or a failure) the model drops the words it has seen: idle workers keep only the model."""
-    try:
-        yield from rows
-    finally:
-        model.words.clear()
-        model.atoms.clear()
+    def dropping() -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows
+        finally:
+            model.words.clear()
+            model.atoms.clear()
+
+    return trimmed(dropping())
 
 
 @lru_cache(maxsize=4)
@@ -301,7 +304,7 @@ def encode_digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def rows_of(model: PieceModel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in batches:
+        for batch in portions(batches, 1):
             rows = []
             for text in batch.column(1).to_pylist():
                 ids, starts, ends, back = model.encode_and_decode(text)
