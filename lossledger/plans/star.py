@@ -17,7 +17,7 @@ ever shipped to every executor.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossledger.functions import calendar as cal
@@ -53,6 +53,9 @@ CLAIM_COLUMNS = ["CLAIM_ID", "CLAIM_NUMBER", "LOSS_DATE", "LOB_ID", "LOSS_CAUSE"
                  "LITIGATION_INDICATOR", "SUBROGATION_INDICATOR", "REPORTED_DATE", "OPEN_DATE", "CLOSE_DATE",
                  "LAST_ACTIVITY_DATE", "CLAIM_STATE", "CLAIM_CITY", "CLAIM_ZIP"]
 
+#: Rows of a written fact file: about so many at most; down to so few, a file for each core.
+FILE_ROWS, LEAST_ROWS = 250_000, 100
+
 #: What an expense line takes from its claim's fact row.
 EXPENSE_FROM_CLAIM = ["CLAIM_KEY", "DATE_KEY", "GEOGRAPHY_KEY", "CLAIM_TYPE_KEY", "LOSS_CAUSE_KEY", "WEATHER_EVENT_KEY",
                       "POLICY_KEY", "CLAIM_SEVERITY", "FRAUD_INDICATOR", "IS_WEATHER_RELATED"]
@@ -179,7 +182,8 @@ class StarSchema:
     def fact_claims(self) -> DataFrame:
         return self._m("FACT_CLAIMS", lambda: build_fact_claims(
             self.raw.claims(), self.raw.financial_data(), self.raw.litigation(with_id=False),
-            self.dim_geography(), self.dim_loss_cause(), self.ctx.fraud_rule, by_date if self.ctx.star_dir else None))
+            self.dim_geography(), self.dim_loss_cause(), self.ctx.fraud_rule,
+            by_days_of(self.raw.claims()) if self.ctx.star_dir else None))
 
     def fact_claim_expense(self) -> DataFrame:
         return self._m("FACT_CLAIM_EXPENSE", lambda: build_fact_expense(
@@ -205,15 +209,16 @@ class StarSchema:
         facts are then built from the *written* dimensions, whose file sizes
         Spark knows when it picks the joins.
 
-        Facts are range-partitioned by DATE_KEY (with the claim key as a
-        second column, so a day with many claims is split) and sorted: each
+        Facts are partitioned by ranges of DATE_KEY (a day with many claims is
+        split by the claim key) and sorted: each
         file then covers a narrow range of days, and a pushed-down date filter
         skips the files and row groups of other days."""
         for name in STAR_TABLES[:6]:
             self.by_name(name).write.mode("overwrite").parquet(f"{out_dir}/{name}")
         read = {n: self.spark.read.parquet(f"{out_dir}/{n}") for n in STAR_TABLES[:6]}
         fact = build_fact_claims(self.raw.claims(), self.raw.financial_data(), self.raw.litigation(with_id=False),
-                                 read["DIM_GEOGRAPHY"], read["DIM_LOSS_CAUSE"], self.ctx.fraud_rule, by_date)
+                                 read["DIM_GEOGRAPHY"], read["DIM_LOSS_CAUSE"], self.ctx.fraud_rule,
+                                 by_days_of(self.raw.claims()))
         fact.write.mode("overwrite").parquet(f"{out_dir}/FACT_CLAIMS")
         written = self.spark.read.parquet(f"{out_dir}/FACT_CLAIMS")
         build_fact_expense(self.raw.claims_expense(), written, arrange=by_date).write.mode("overwrite").parquet(
@@ -225,6 +230,31 @@ def by_date(fact: DataFrame) -> DataFrame:
     return fact.repartitionByRange("DATE_KEY", "CLAIM_KEY").sortWithinPartitions("DATE_KEY", "CLAIM_KEY")
 
 
+def by_days_of(claims: DataFrame):
+    """The claims fact's rows dealt to files by ranges of days and sorted, as `by_date` does, without its sample.
+
+    A range partitioning samples its bounds from the rows it moves, so the joins before it run twice. Here the bounds
+    come from the claims' rows per day: a day begins where the days before it end, in rows, and a day of several
+    files is spread over them by a hash of the claim. The table of days is broadcast and numbered in one task; it is
+    as long as the calendar, not as the data."""
+    days = claims.groupBy(F.col("LOSS_DATE").alias("_day")).agg(F.count(F.lit(1)).alias("_rows"))
+    total = claims.count()
+    cores = claims.sparkSession.sparkContext.defaultParallelism
+    size = min(FILE_ROWS, max(LEAST_ROWS, -(-total // cores)))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = days.select("_day", "_rows", before.alias("_before")).select(
+        "_day", F.floor(F.col("_before") / size).alias("_first"), F.floor((F.col("_before") + F.col("_rows") - 1) / size).alias("_last"))
+
+    def arrange(fact: DataFrame) -> DataFrame:
+        dealt = fact.join(F.broadcast(files), F.col("DATE_KEY").eqNullSafe(F.col("_day")), "left")
+        file = F.col("_first") + F.pmod(F.xxhash64("CLAIM_KEY"), F.col("_last") - F.col("_first") + 1)
+        dealt = dealt.withColumn("_file", F.coalesce(file, F.lit(0)).cast("int")).drop("_day", "_first", "_last")
+        return (dealt.repartitionById(max(1, -(-total // size)), "_file").drop("_file")
+                .sortWithinPartitions("DATE_KEY", "CLAIM_KEY"))
+
+    return arrange
+
+
 def weather_event_rows(cat: DataFrame, catastrophic_loss: int) -> DataFrame:
     """DIM_WEATHER_EVENT columns from CATASTROPHE rows (also used by the
     incremental MERGE of that dimension)."""
@@ -256,7 +286,7 @@ def build_fact_claims(claims: DataFrame, financial: DataFrame, litigation: DataF
     row count equals CLAIMS). The financial, litigation and geography-key
     inputs are all keyed by claim id, so the wide claim rows are shuffled
     once, by claim id, and every join reuses that partitioning. `arrange`
-    (`by_date` for a written table) moves the rows before the columns that
+    (`by_days_of` for a written table) moves the rows before the columns that
     follow from others are added, so those are not shuffled."""
     return _fact_from(claims, financial, litigation, geography_keys(claims, dim_geo), dim_cause, fraud_rule, arrange)
 
