@@ -268,12 +268,13 @@ class RawTables:
             # partial aggregation per order happens before the shuffle
             per_order = (self._lineitem_money()
                          .groupBy("l_orderkey")
-                         .agg(F.sum(F.col("ext") * (100 - F.col("disc"))).alias("net"),
-                              F.sum("ext").alias("gross"),
+                         .agg(F.sum("ext").alias("gross"),
                               F.sum(F.col("ext") * F.col("disc")).alias("disc_amt"),
                               F.sum(F.col("ext") * F.col("tax")).alias("tax_amt")))
             c = self._claims_base().select("CLAIM_ID", "CLAIM_STATUS", "SUBROGATION_INDICATOR", "CLOSE_DATE",
                                            "OPEN_DATE", "CREATED_DATE", "_ORDER_TOTAL")
+            # exactly the sum of ext * (100 - disc), which so needs no sum of its own in the shuffle
+            per_order = per_order.withColumn("net", F.col("gross") * 100 - F.col("disc_amt"))
             per_order = per_order.select("l_orderkey", _amount("gross", 2), *[_amount(a, 4) for a in ("net", "disc_amt", "tax_amt")])
             j = per_order.join(c, per_order.l_orderkey == c.CLAIM_ID)
             k = F.col("CLAIM_ID")

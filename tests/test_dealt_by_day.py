@@ -1,4 +1,4 @@
-"""The claims fact is dealt to its files by days without computing its joins twice."""
+"""The claims fact is dealt to its files by days without computing its joins twice; payments need three sums of four."""
 
 import datetime as dt
 
@@ -52,3 +52,14 @@ def test_the_written_fact_is_not_sampled_and_equals_the_lazy_one(spark):
     fact = query_context(spark, SMALL).star.fact_claims()
     lazy = Context(spark, SMALL).star.fact_claims()
     assert fact.columns == lazy.columns and fact.exceptAll(lazy).isEmpty() and lazy.exceptAll(fact).isEmpty()
+
+
+def test_three_sums_of_the_line_items_are_shuffled(spark):
+    raw = Context(spark, SMALL).raw
+    plan = raw.financial_data()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sum(") == 3
+    paid = raw.financial_data().where("PAID_AMOUNT <> 0").select("CLAIM_ID", F.col("PAID_AMOUNT").alias("paid"))
+    ext, disc = F.col("l_extendedprice").cast("decimal(15,2)"), F.col("l_discount").cast("decimal(4,2)")
+    by_hand = Context(spark, SMALL).table("lineitem").groupBy("l_orderkey").agg(
+        F.sum(ext * (1 - disc)).cast("decimal(15,2)").alias("net"))
+    assert paid.join(by_hand, F.col("CLAIM_ID") == F.col("l_orderkey")).where("paid <> net").isEmpty() and not paid.isEmpty()
