@@ -15,6 +15,8 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lossledger.shared import read
+
 DEFAULT_AS_OF = dt.date(2001, 8, 1)
 
 
@@ -39,11 +41,16 @@ class Context:
             self._cache[key] = self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
         return self._cache[key]
 
-    def stored(self, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """The table at `path`; with a store, written from `build` if nobody read it before."""
+    @property
+    def buckets(self) -> int | None:
+        """To how many buckets large tables are dealt by claim; None where they are not."""
+        return self.store.buckets if self.store is not None else None
+
+    def stored(self, path: str, build: Callable[[], DataFrame], by: list[str] | None = None) -> DataFrame:
+        """The table at `path`; with a store, written from `build` if nobody read it before, dealt by `by`."""
         if self.store is not None:
-            self.store.ensure(path, build)
-        return self.spark.read.parquet(path)
+            self.store.ensure(path, build, by)
+        return read(self.spark, path)
 
     def memo(self, key, build):
         if key not in self._cache:

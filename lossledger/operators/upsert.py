@@ -108,3 +108,47 @@ def merged_once(target: DataFrame, changes: DataFrame, keys: list[str]) -> DataF
     put = F.col("_s").isNotNull()  # one row per target row with a changed key, as in `upsert`
     return t.join(s, on, "full_outer").select(
         *[F.when(put, F.col(f"_s_{c}")).otherwise(F.col(f"_t_{c}")).cast(target.schema[c].dataType).alias(c) for c in cols])
+
+
+#: Changed rows of one place up to which a target row looks through them; beyond, rows and changes meet by key as well.
+CROWD = 1000
+
+
+def placed(target: DataFrame, changes: DataFrame, keys: list[str], place: list[str], buckets: int | None = None,
+           applied_col: str | None = None) -> DataFrame:
+    """`upsert` that leaves a target dealt by `place` (columns that are never NULL) where it lies.
+
+    For changes, one per key, that carry every column of the target and refresh all of them, and that are too many to
+    be broadcast. Only the keys of both sides are shuffled to meet; the pairs found are written, with the place of
+    the target's row. The rows that stay are the target without those found, which it meets by `place`, and the
+    changes follow, dealt by `place` too: neither side's wide rows are shuffled, or no more than the changes. Both
+    sides are read twice. With `applied_col` as in `upsert`. Of a key that the target repeats every row goes."""
+    cols, beside = target.columns, [c for c in place if c not in keys]
+    applied = [applied_col] if applied_col else []
+    t = target.select(*[F.col(c).alias(f"_t_{c}") for c in [*keys, *beside, *applied]])
+    s = changes.select(*[F.col(c).alias(f"_s_{c}") for c in [*keys, *applied]])
+    found = t.join(s, reduce(and_, [F.col(f"_t_{k}") == F.col(f"_s_{k}") for k in keys]))
+    newer = F.lit(True)
+    if applied_col:
+        newer = F.col(f"_t_{applied_col}").isNull() | F.coalesce(F.col(f"_s_{applied_col}") > F.col(f"_t_{applied_col}"), F.lit(False))
+    hits = written(found.select(*[F.col(f"_t_{c}").alias(f"_h_{c}") for c in [*keys, *beside]], newer.alias("_newer")), "hits")
+
+    def without(df, some, by):
+        return df.join(some, reduce(and_, [F.col(c) == F.col(f"_h_{c}") for c in by]), "left_anti")
+
+    def dealt(df):
+        return (df.repartition(buckets, *place) if buckets else df).select(*[F.col(c).cast(target.schema[c].dataType).alias(c) for c in cols])
+
+    gone = hits.where("_newer")
+    at = [f"_h_{c}" for c in beside]
+    if not beside:
+        kept = without(target, gone, keys)
+    elif set(place) != set(beside) or (gone.groupBy(*at).count().agg(F.max("count")).first()[0] or 0) > CROWD:
+        kept = without(target, gone, [*keys, *beside])
+    else:
+        row = lambda p: F.struct(*[F.col(p + k).alias(k) for k in keys])
+        lists = gone.groupBy(*at).agg(F.collect_set(row("_h_")).alias("_gone"))
+        kept = target.join(lists, reduce(and_, [F.col(c) == F.col(f"_h_{c}") for c in beside]), "left").where(
+            ~F.coalesce(F.array_contains("_gone", row("")), F.lit(False)))
+    put = without(changes, hits.where("NOT _newer"), keys) if applied_col else changes
+    return dealt(kept).unionByName(dealt(put))

@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lossledger.operators.keys import extend_keys
-from lossledger.operators.upsert import net_changes, upsert
-from lossledger.shared import written
+from lossledger.operators.upsert import net_changes, placed, upsert
+from lossledger.shared import written, written_dealt
 from lossledger.sources import reference as ref
 from lossledger.plans.star import CLAIM_COLUMNS, build_fact_claims, build_fact_expense, weather_event_rows
 
@@ -180,17 +180,20 @@ def merge_fact_claims(ctx) -> DataFrame:
 
 def merge_fact_expense_from(ctx, feed: DataFrame, target: DataFrame | None = None,
                             strict_reference: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Returns (new FACT_CLAIM_EXPENSE, unmatched expense changes to retry)."""
+    """Returns (new FACT_CLAIM_EXPENSE, unmatched expense changes to retry).
+
+    The net changes are written once, by claim, for the fact rows and the retry. Lines and their claims lie by
+    claim, and so does the target where no query has written it: the merge moves the keys alone."""
     s = ctx.star
-    target = target if target is not None else s.fact_claim_expense()
-    net = net_changes(feed, ["EXPENSE_ID"])
+    net = written_dealt(net_changes(feed, ["EXPENSE_ID"]), "net-expenses", ["CLAIM_ID"], ctx.buckets)
+    target = target if target is not None else s.expense_to_merge()
     fc = s.fact_claims()
     exp_cols = ctx.raw.claims_expense().columns
-    rebuilt = build_fact_expense(net.select(*exp_cols), fc)
-    src = rebuilt.join(net.select(F.col("EXPENSE_ID").alias("EXPENSE_KEY"), "action", "seq"), "EXPENSE_KEY")
+    src = build_fact_expense(net.select(*exp_cols, "action", "seq"), fc, more=("action", "seq"))
     retry = net.join(fc.select(F.col("CLAIM_KEY").alias("CLAIM_ID")), "CLAIM_ID", "left_anti")
-    update = FACT_EXPENSE_UPDATE_STRICT if strict_reference else None
-    return upsert(target, src, ["EXPENSE_KEY"], update), retry
+    if strict_reference:
+        return upsert(target, src, ["EXPENSE_KEY"], FACT_EXPENSE_UPDATE_STRICT), retry
+    return placed(target, src, ["EXPENSE_KEY"], ["CLAIM_KEY"], ctx.buckets), retry
 
 
 def merge_fact_expense(ctx) -> DataFrame:

@@ -189,12 +189,20 @@ class StarSchema:
         return self._m("FACT_CLAIM_EXPENSE", lambda: build_fact_expense(
             self.raw.claims_expense(), self.fact_claims(), self.spark, by_date if self.ctx.star_dir else None))
 
-    def expense_to_merge(self, arrange) -> DataFrame:
-        """FACT_CLAIM_EXPENSE for a merge that reads it once: where no query has written it, it stays inside the
-        merge's plan, dealt by `arrange` as in `build_fact_claims`."""
+    def claims_to_deal(self) -> DataFrame:
+        """FACT_CLAIMS for a reader that deals it by claim: where no query has written it, it is built there, by claim,
+        and not dealt by day first."""
+        if self.ctx.store is None or self.ctx.store.has(f"{self.ctx.star_dir}/FACT_CLAIMS"):
+            return self.fact_claims()
+        return build_fact_claims(self.raw.claims(), self.raw.financial_data(), self.raw.litigation(with_id=False),
+                                 self.dim_geography(), self.dim_loss_cause(), self.ctx.fraud_rule)
+
+    def expense_to_merge(self, arrange=None, claims: DataFrame | None = None) -> DataFrame:
+        """FACT_CLAIM_EXPENSE for a merge: where no query has written it, it stays inside the merge's plan, dealt by
+        `arrange` as in `build_fact_claims`. `claims` is the claims fact, if the caller has it by claim."""
         if self.ctx.store is None or self.ctx.store.has(f"{self.ctx.star_dir}/FACT_CLAIM_EXPENSE"):
             return self.fact_claim_expense()
-        return build_fact_expense(self.raw.claims_expense(), self.fact_claims(), self.spark, arrange)
+        return build_fact_expense(self.raw.claims_expense(), claims if claims is not None else self.fact_claims(), self.spark, arrange)
 
     def by_name(self, name: str) -> DataFrame:
         return {
@@ -352,10 +360,10 @@ def budget_columns(severity):
     return cols
 
 
-def build_fact_expense(expense: DataFrame, fact_claims: DataFrame, spark=None, arrange=None) -> DataFrame:
+def build_fact_expense(expense: DataFrame, fact_claims: DataFrame, spark=None, arrange=None, more=()) -> DataFrame:
     """FACT_CLAIM_EXPENSE: expense lines inner-joined to their claim fact row
     (many expenses per claim; both sides shuffle on the claim key). `arrange`
-    as in `build_fact_claims`."""
+    as in `build_fact_claims`; `more` are columns of `expense` to keep."""
     fc = fact_claims.select(*EXPENSE_FROM_CLAIM)
     j = expense.join(fc, expense.CLAIM_ID == fc.CLAIM_KEY).drop("CLAIM_ID")
     j = arrange(j) if arrange else j
@@ -373,5 +381,5 @@ def build_fact_expense(expense: DataFrame, fact_claims: DataFrame, spark=None, a
         "BUDGETED_LEGAL_FEES", "BUDGETED_ADJUSTOR_COSTS", "BUDGETED_INVESTIGATION_CHARGES", "BUDGETED_ULAE",
         (F.col("LEGAL_FEES") - F.col("BUDGETED_LEGAL_FEES")).cast("decimal(15,2)").alias("LEGAL_FEES_VARIANCE"),
         (actual - budget_total).cast("decimal(15,2)").alias("TOTAL_EXPENSE_VARIANCE"),
-        "CLAIM_SEVERITY", "FRAUD_INDICATOR", "IS_WEATHER_RELATED",
+        "CLAIM_SEVERITY", "FRAUD_INDICATOR", "IS_WEATHER_RELATED", *more,
     )

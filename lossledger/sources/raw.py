@@ -52,12 +52,16 @@ class RawTables:
               "assignment": "CLAIM_ASSIGNMENT", "financial": "FINANCIAL_DATA", "expense": "CLAIMS_EXPENSE",
               "litigation_core": "LITIGATION_CORE", "litigation": "LITIGATION"}
 
+    # tables of claim rows that a store deals by claim
+    BY_CLAIM = ("claims_base", "financial", "expense")
+
     # -- helpers ---------------------------------------------------------
     def _m(self, key, build):
         if self.ctx.raw_dir and key in self.STORED:
             path = f"{self.ctx.raw_dir}/{self.STORED[key]}"
             if not (self.ctx.fused and key != "claims_base" and not self.ctx.store.has(path)):
-                return self.ctx.memo(("raw", key), lambda: self.ctx.stored(path, build))
+                by = ["CLAIM_ID"] if key in self.BY_CLAIM else None
+                return self.ctx.memo(("raw", key), lambda: self.ctx.stored(path, build, by))
         return self.ctx.memo(("raw", key), build)
 
     def materialize(self, out_dir: str) -> None:
@@ -175,6 +179,8 @@ class RawTables:
                                                 "o_orderpriority")
             cg = self._customer_geo().select("c_custkey", "c_nationkey", "n_name")
             j = o.join(cg, o.o_custkey == cg.c_custkey)
+            if self.ctx.buckets:  # dealt for its table before the columns that follow from others are added
+                j = j.repartition(self.ctx.buckets, "o_orderkey")
             k = F.col("o_orderkey")
             r = k % 100
             loss = F.to_date("o_orderdate")
@@ -300,7 +306,8 @@ class RawTables:
     def claims_expense(self) -> DataFrame:
         def build():
             # dealt by order alone, which serves the join to the claim that may follow as well
-            per_line = (self._lineitem_money().repartition("l_orderkey")
+            by_order = [*([self.ctx.buckets] if self.ctx.buckets else []), "l_orderkey"]
+            per_line = (self._lineitem_money().repartition(*by_order)
                         .groupBy("l_orderkey", "l_linenumber")
                         .agg(F.sum("ext").alias("gross"),
                              F.sum(F.col("ext") * F.col("disc")).alias("inv"),
