@@ -131,7 +131,7 @@ def placed(target: DataFrame, changes: DataFrame, keys: list[str], place: list[s
     newer = F.lit(True)
     if applied_col:
         newer = F.col(f"_t_{applied_col}").isNull() | F.coalesce(F.col(f"_s_{applied_col}") > F.col(f"_t_{applied_col}"), F.lit(False))
-    hits = written(found.select(*[F.col(f"_t_{c}").alias(f"_h_{c}") for c in [*keys, *beside]], newer.alias("_newer")), "hits")
+    hits = written(found.select(*[F.col(f"_t_{c}").alias(f"_h_{c}") for c in [*keys, *beside]], newer.alias("_h_newer")), "hits")
 
     def without(df, some, by):
         return df.join(some, reduce(and_, [F.col(c) == F.col(f"_h_{c}") for c in by]), "left_anti")
@@ -139,7 +139,7 @@ def placed(target: DataFrame, changes: DataFrame, keys: list[str], place: list[s
     def dealt(df):
         return (df.repartition(buckets, *place) if buckets else df).select(*[F.col(c).cast(target.schema[c].dataType).alias(c) for c in cols])
 
-    gone = hits.where("_newer")
+    gone = hits.where("_h_newer")
     at = [f"_h_{c}" for c in beside]
     if not beside:
         kept = without(target, gone, keys)
@@ -147,8 +147,9 @@ def placed(target: DataFrame, changes: DataFrame, keys: list[str], place: list[s
         kept = without(target, gone, [*keys, *beside])
     else:
         row = lambda p: F.struct(*[F.col(p + k).alias(k) for k in keys])
-        lists = gone.groupBy(*at).agg(F.collect_set(row("_h_")).alias("_gone"))
+        lists = gone.groupBy(*at).agg(F.collect_set(row("_h_")).alias("_h_gone"))
         kept = target.join(lists, reduce(and_, [F.col(c) == F.col(f"_h_{c}") for c in beside]), "left").where(
-            ~F.coalesce(F.array_contains("_gone", row("")), F.lit(False)))
-    put = without(changes, hits.where("NOT _newer"), keys) if applied_col else changes
+            ~F.coalesce(F.array_contains("_h_gone", row("")), F.lit(False)))
+    late = hits.where("NOT _h_newer")
+    put = changes if not applied_col or late.isEmpty() else without(changes, written(late, "late"), keys)
     return dealt(kept).unionByName(dealt(put))

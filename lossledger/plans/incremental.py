@@ -56,6 +56,23 @@ def _change(df: DataFrame, action: str, key: str, step: int) -> DataFrame:
     return df.select("*", F.lit(action).alias("action"), (F.col(key) * 10 + step).cast("long").alias("seq"))
 
 
+def _changes(df: DataFrame, key: str, *cases) -> DataFrame:
+    """The changes of a table in one scan. A case is a condition on a row, of which at most one holds, and the changes
+    that such a row goes through: (action, step, columns with another value)."""
+    touched = sorted({c for _, steps in cases for _, _, new in steps for c in new})
+
+    def step(action, number, new):
+        return F.struct(F.lit(action).alias("action"), F.lit(number).alias("step"),
+                        *[new.get(c, F.col(c)).cast(df.schema[c].dataType).alias(c) for c in touched])
+    made = None
+    for condition, steps in cases:
+        row = F.array(*[step(*s) for s in steps])
+        made = F.when(condition, row) if made is None else made.when(condition, row)
+    rows = df.select("*", F.explode(made).alias("_change"))
+    return rows.select(*[F.col(f"_change.{c}").alias(c) if c in touched else F.col(c) for c in df.columns],
+                       F.col("_change.action").alias("action"), (F.col(key) * 10 + F.col("_change.step")).cast("long").alias("seq"))
+
+
 # -- change feeds derived from the data ----------------------------------------
 def claim_change_feed(ctx) -> DataFrame:
     """Open claims close at as_of; stalled claims move to Negotiation and then
@@ -65,33 +82,22 @@ def claim_change_feed(ctx) -> DataFrame:
     c = ctx.raw.claims()
     st = F.col("CLAIM_STATUS")
     as_of = F.lit(ctx.as_of)
-    opened = c.where(st == "Open")
-    closed = opened.withColumn("CLAIM_STATUS", F.lit("Closed")).withColumn("CLOSE_DATE", as_of) \
-        .withColumn("LAST_ACTIVITY_DATE", as_of)
-    stalled = c.where(st == "Stalled")
-    nego = stalled.withColumn("CLAIM_STAGE", F.lit("Negotiation"))
-    settle = stalled.withColumn("CLAIM_STAGE", F.lit("Settlement Review"))
-    pending = c.where(st == "Pending Review")
-    unstaged = pending.withColumn("CLAIM_STAGE", F.lit(None).cast("string"))
-    rejected = c.where(st == "Rejected")
-    parts = [
-        _change(opened, "DELETE", "CLAIM_ID", 0), _change(closed, "INSERT", "CLAIM_ID", 1),
-        _change(stalled, "DELETE", "CLAIM_ID", 0), _change(nego, "INSERT", "CLAIM_ID", 1),
-        _change(nego, "DELETE", "CLAIM_ID", 2), _change(settle, "INSERT", "CLAIM_ID", 3),
-        _change(pending, "DELETE", "CLAIM_ID", 0), _change(unstaged, "INSERT", "CLAIM_ID", 1),
-        _change(rejected, "DELETE", "CLAIM_ID", 0),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    closed = {"CLAIM_STATUS": F.lit("Closed"), "CLOSE_DATE": as_of, "LAST_ACTIVITY_DATE": as_of}
+    nego, settle = {"CLAIM_STAGE": F.lit("Negotiation")}, {"CLAIM_STAGE": F.lit("Settlement Review")}
+    unstaged = {"CLAIM_STAGE": F.lit(None)}
+    return _changes(c, "CLAIM_ID",
+                    (st == "Open", [("DELETE", 0, {}), ("INSERT", 1, closed)]),
+                    (st == "Stalled", [("DELETE", 0, {}), ("INSERT", 1, nego), ("DELETE", 2, nego), ("INSERT", 3, settle)]),
+                    (st == "Pending Review", [("DELETE", 0, {}), ("INSERT", 1, unstaged)]),
+                    (st == "Rejected", [("DELETE", 0, {})]))
 
 
 def expense_change_feed(ctx) -> DataFrame:
     """Every legal expense line is re-billed with 250.00 more legal fees."""
-    e = ctx.raw.claims_expense().where(F.col("EXPENSE_CATEGORY") == "Legal")
-    after = e.withColumn("LEGAL_FEES", (F.col("LEGAL_FEES") + F.lit(250).cast("decimal(12,2)")).cast("decimal(12,2)"))
-    return _change(e, "DELETE", "EXPENSE_ID", 0).unionByName(_change(after, "INSERT", "EXPENSE_ID", 1))
+    e = ctx.raw.claims_expense()
+    legal = F.col("EXPENSE_CATEGORY") == "Legal"
+    after = {"LEGAL_FEES": (F.col("LEGAL_FEES") + F.lit(250).cast("decimal(12,2)")).cast("decimal(12,2)")}
+    return _changes(e.where(legal), "EXPENSE_ID", (legal, [("DELETE", 0, {}), ("INSERT", 1, after)]))
 
 
 def policy_change_feed(ctx) -> DataFrame:
@@ -157,8 +163,9 @@ def claim_fact_rows(ctx, feed: DataFrame, apply_deletes: bool = False,
     static side of the joins. Without dimensions given, addresses and causes
     that the star's do not know are keyed for this call alone. `is_net`: the
     feed has been reduced to one row per claim and written."""
-    net = feed if is_net else written(net_changes(feed, ["CLAIM_ID"], apply_deletes=apply_deletes), "net-claims")
-    changed = net.select(*ctx.raw.claims().columns)
+    net = feed if is_net else written_dealt(net_changes(feed.select(*CLAIM_COLUMNS, "action", "seq"), ["CLAIM_ID"], apply_deletes=apply_deletes),
+                                            "net-claims", ["CLAIM_ID"], ctx.buckets)
+    changed = net.select(*CLAIM_COLUMNS)
     if dim_geo is None or dim_cause is None:
         dim_geo, dim_cause = extended_dimensions(ctx, changed)
     rebuilt = build_fact_claims(changed, ctx.raw.financial_data(), ctx.raw.litigation(with_id=False),

@@ -5,7 +5,7 @@ streaming query reads them with the file source and, per micro-batch,
 `foreachBatch` merges the target rows they make into a `RunTable`:
 
 * every run reads the table as the run before left it and writes the merged
-  table (`operators.upsert`) to a new folder of plain parquet; nothing is
+  table (`operators.upsert.placed`) to a new folder of plain parquet; nothing is
   written over, so a reader never sees half a merge, and a run that broke off
   leaves the state before it;
 * a replay of a batch merges into the state before that batch again;
@@ -16,8 +16,11 @@ streaming query reads them with the file source and, per micro-batch,
 * an empty batch writes nothing and is logged as SKIPPED, mirroring "run only
   when the stream has data".
 
-A run scans and writes the target once and broadcasts the net changes while
-they are small; readers scan one folder. Offsets and progress live in the
+A run writes the target once and broadcasts the net changes while they are
+small; readers scan one folder. With `buckets` every run's folder is dealt by
+`place`, the columns by which batches are made and readers join (the key, if
+none are given): a batch of any size then leaves the target's rows where they
+lie, and only keys and changes are shuffled. Offsets and progress live in the
 streaming checkpoint; every batch appends one record to a run log (see
 `runlog`).
 """
@@ -30,39 +33,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lossledger.operators.members import complete_folders
-from lossledger.operators.upsert import upsert
-from lossledger.shared import written
+from lossledger.operators.upsert import net_changes, placed
+from lossledger.shared import forget_table, read, write_dealt, written_dealt
 from lossledger.streaming.runlog import RunLog
 
 APPLIED, GONE = "_applied", "_gone"
 
 
 class RunTable:
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], apply_deletes: bool = False):
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], apply_deletes: bool = False,
+                 place: list[str] | None = None, buckets: int | None = None):
         self.spark = spark
         self.path = path.rstrip("/")
         self.keys = keys
         self.apply_deletes = apply_deletes
+        self.place = place or keys
+        self.buckets = buckets
 
     def _runs(self) -> list[int]:
         """Numbers of the finished runs, in order; 0 is the table that the first batch found."""
         return sorted(int(name.rpartition("-")[2]) for name in complete_folders(self.spark, self.path, "run-*"))
 
     def _state(self, run: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/run-{run}")
+        return read(self.spark, f"{self.path}/run-{run}")
 
     def create(self, df: DataFrame) -> None:
-        df.withColumns({APPLIED: F.lit(None).cast("long"), GONE: F.lit(False)}).write.parquet(f"{self.path}/run-0")
+        write_dealt(df.withColumns({APPLIED: F.lit(None).cast("long"), GONE: F.lit(False)}), f"{self.path}/run-0", self.place, self.buckets)
 
-    def merge(self, rows: DataFrame, batch_id: int) -> None:
-        """Merge the change rows (target columns + action + seq) of one micro-batch; again for a replay."""
+    def merge(self, rows: DataFrame, batch_id: int, is_net: bool = False) -> None:
+        """Merge the change rows (target columns + action + seq) of one micro-batch; again for a replay. `is_net`: the
+        rows are one per key and written."""
         run = int(batch_id) + 1
         before = max(r for r in self._runs() if r < run)
         if not self.apply_deletes:
             rows = rows.where(F.col("action") == "INSERT")
-        changes = rows.withColumns({APPLIED: F.col("seq"), GONE: F.col("action") == "DELETE", "action": F.lit("INSERT")})
-        merged = upsert(self._state(before), changes, self.keys, applied_col=APPLIED)
-        merged.write.mode("overwrite").parquet(f"{self.path}/run-{run}")
+        if not is_net:
+            rows = written_dealt(net_changes(rows, self.keys, apply_deletes=True), "changes", self.place, self.buckets)
+        changes = rows.withColumns({APPLIED: F.col("seq"), GONE: F.col("action") == "DELETE"})
+        merged = placed(self._state(before), changes, self.keys, self.place, self.buckets, applied_col=APPLIED)
+        write_dealt(merged, f"{self.path}/run-{run}", self.place, self.buckets, lies_so=True)
 
     def read(self) -> DataFrame:
         return self._state(self._runs()[-1]).where(~F.col(GONE)).drop(APPLIED, GONE)
@@ -73,19 +82,20 @@ class RunTable:
         for run in self._runs()[:-max(1, runs)]:
             folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/run-{run}")
             folder.getFileSystem(jsc.hadoopConfiguration()).delete(folder, True)
+            forget_table(self.spark, f"{self.path}/run-{run}")
 
 
 def merge_batch_fn(table: RunTable, build, log: RunLog, task: str):
     """foreachBatch callback: skip empty batches, build target rows from the
-    change rows (`build(batch, batch_id)`), merge them, and log the outcome."""
+    change rows (`build(batch, batch_id)`, one per key), merge them, and log the outcome."""
     def run(batch: DataFrame, batch_id: int) -> None:
         started = time.time()
         if batch.isEmpty():
             log.record(task, batch_id, "SKIPPED", 0, started, time.time())
             return
         try:
-            rows = written(build(batch, batch_id) if build else batch, "batch-rows")
-            table.merge(rows, batch_id)
+            rows = written_dealt(build(batch, batch_id) if build else batch, "batch-rows", table.place, table.buckets)
+            table.merge(rows, batch_id, is_net=build is not None)
             n = rows.count()
             log.record(task, batch_id, "SUCCEEDED", n, started, time.time())
         except Exception as e:  # noqa: BLE001 — logged, then re-raised to fail the query

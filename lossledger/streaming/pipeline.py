@@ -20,6 +20,10 @@ in each stream's checkpoint). Rules the original left open are handled:
   file, which the next run picks up, by then with the claim in the fact;
 * an empty batch is logged SKIPPED.
 
+On a large input both facts and what their batches make are dealt by claim
+(`RunTable`): they are built where the raw tables' rows lie, batches meet the
+facts there, and an expense batch finds its old lines by their keys alone.
+
 The drops default to the feeds derived from the data (`plans.incremental`).
 """
 
@@ -33,8 +37,8 @@ from pyspark.sql import functions as F
 from lossledger.operators.upsert import net_changes
 from lossledger.plans.growing import GrowingDimensions
 from lossledger.plans.incremental import claim_change_feed, claim_fact_rows, expense_change_feed, policy_change_feed
-from lossledger.plans.star import build_fact_expense
-from lossledger.shared import shared_dir, written
+from lossledger.plans.star import CLAIM_COLUMNS, build_fact_expense
+from lossledger.shared import shared_dir, written_dealt
 from lossledger.streaming.cdc import RunTable, merge_batch_fn, run_change_stream
 from lossledger.streaming.runlog import RunLog, recent_runs, record_progress, run_history
 
@@ -54,29 +58,30 @@ def run_incremental(ctx, drops: dict[str, list[DataFrame]] | None = None) -> dic
     drops = drops or default_drops(ctx)
     base = shared_dir(spark, "incremental")
     log = RunLog(spark, f"{base}/run_log")
-    s = ctx.star
+    s, buckets = ctx.star, ctx.buckets
+    ctx.raw.financial_data(), ctx.raw.litigation(with_id=False)  # every claims batch reads them: written before the fact is made of them
 
-    claims_t = RunTable(spark, f"{base}/FACT_CLAIMS", ["CLAIM_KEY"])
-    claims_t.create(s.fact_claims())
-    expense_t = RunTable(spark, f"{base}/FACT_CLAIM_EXPENSE", ["EXPENSE_KEY"])
-    expense_t.create(s.fact_claim_expense())
+    claims_t = RunTable(spark, f"{base}/FACT_CLAIMS", ["CLAIM_KEY"], buckets=buckets)
+    claims_t.create(s.claims_to_deal())
+    expense_t = RunTable(spark, f"{base}/FACT_CLAIM_EXPENSE", ["EXPENSE_KEY"], place=["CLAIM_KEY"], buckets=buckets)
+    expense_t.create(s.expense_to_merge(claims=claims_t.read()))
     policy_t = RunTable(spark, f"{base}/DIM_POLICY", ["POLICY_KEY"])
     policy_t.create(s.dim_policy())
     dims = GrowingDimensions(ctx, f"{base}/dimensions").create()
 
     def build_claims(batch, batch_id):
         dims.take_in(batch.where(F.col("action") == "INSERT"), f"claims-{batch_id}")
-        return claim_fact_rows(ctx, batch, dim_geo=dims.geography.members(), dim_cause=dims.causes.members())
+        net = written_dealt(net_changes(batch.select(*CLAIM_COLUMNS, "action", "seq"), ["CLAIM_ID"]), "net-claims", ["CLAIM_ID"], buckets)
+        return claim_fact_rows(ctx, net, dim_geo=dims.geography.members(), dim_cause=dims.causes.members(), is_net=True)
 
     exp_changes = f"{base}/changes/expense"
 
     def build_expense(batch, batch_id):
-        net = written(net_changes(batch, ["EXPENSE_ID"]), "net-expenses")  # four steps read it
+        net = written_dealt(net_changes(batch, ["EXPENSE_ID"]), "net-expenses", ["CLAIM_ID"], buckets)  # three steps read it
         dims.take_in_dates(net.select("EXPENSE_DATE"), f"expense-{batch_id}")
         fc = claims_t.read()           # the claims fact as of now (stream-static join)
         exp_cols = ctx.raw.claims_expense().columns
-        rows = build_fact_expense(net.select(*exp_cols), fc).join(
-            net.select(F.col("EXPENSE_ID").alias("EXPENSE_KEY"), "action", "seq"), "EXPENSE_KEY")
+        rows = build_fact_expense(net.select(*exp_cols, "action", "seq"), fc, more=("action", "seq"))
         retry = net.join(fc.select(F.col("CLAIM_KEY").alias("CLAIM_ID")), "CLAIM_ID", "left_anti")
         if not retry.isEmpty():        # re-queue unmatched changes for the next run
             retry.select(*batch.columns).write.mode("overwrite").parquet(f"{exp_changes}/retry={batch_id}")
@@ -93,7 +98,7 @@ def run_incremental(ctx, drops: dict[str, list[DataFrame]] | None = None) -> dic
     ]
     for i in range(max(len(d) for _, _, _, d, _ in tasks)):
         for name, table, build, parts, changes in tasks:
-            parts[i].write.mode("append").parquet(f"{changes}/drop={i}")
+            parts[i].write.mode("append").option("compression", "zstd").parquet(f"{changes}/drop={i}")
             on_batch = merge_batch_fn(table, build, log, name)
             q = run_change_stream(spark, f"{changes}/*", parts[i].schema, on_batch, f"{base}/checkpoints/{name}")
             record_progress(spark, f"{base}/progress", name, q.recentProgress)
